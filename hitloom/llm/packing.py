@@ -21,6 +21,9 @@ from hitloom.llm.pretoken import PieceEncoder
 #: Pieces in a group at most, and groups wanted before groups grow past least_group pieces.
 MOST_GROUP, WANTED_GROUPS, LEAST_GROUP = 50_000, 48, 1_000
 
+#: Distinct pieces that are encoded as one text.
+ROW = 512
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECES}, sequence_id long, offset long"
 
@@ -32,8 +35,24 @@ def _encoder(path: str) -> tuple[PieceEncoder, object, tuple[str, ...]]:
     whole = Tokenizer.from_file(path)
     special = tuple(t.content for t in whole.get_added_tokens_decoder().values())
 
-    def encode(pieces: list[str]) -> list[list[int]]:
-        return [e.ids for e in whole.encode_batch(pieces, add_special_tokens=False)]
+    # Bytes of every token: its characters in the byte-level alphabet.
+    width = np.zeros(whole.get_vocab_size() + 1, np.int64)
+    for token, k in whole.get_vocab().items():
+        width[k] = len(token)
+
+    def encode(pieces: list[str]) -> list[np.ndarray]:
+        """Pieces that begin with a blank and a black character keep their cuts in a row, so many go in one call."""
+        in_row = [len(p) > 1 and p[0] == " " and not p[1].isspace() for p in pieces]
+        rows = [p for p, r in zip(pieces, in_row) if r]
+        ids: list[np.ndarray] = []
+        texts = [rows[k : k + ROW] for k in range(0, len(rows), ROW)]
+        for row, e in zip(texts, whole.encode_batch(["".join(r) for r in texts], add_special_tokens=False)):
+            got = np.asarray(e.ids, np.uint32)
+            ends = np.cumsum([len(p.encode()) for p in row])
+            ids += np.split(got, np.searchsorted(np.cumsum(width[got]), ends[:-1], "right"))
+        alone = iter(whole.encode_batch([p for p, r in zip(pieces, in_row) if not r], add_special_tokens=False))
+        taken = iter(ids)
+        return [next(taken) if r else np.asarray(next(alone).ids, np.uint32) for r in in_row]
 
     return PieceEncoder(encode, lambda t: len(whole.pre_tokenizer.pre_tokenize_str(t))), whole, special
 

@@ -89,9 +89,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class PieceEncoder:
-    """Ids of whole texts, through encode(list of distinct pieces) -> list of id lists."""
+    """Ids of whole texts, through encode(list of distinct pieces) -> list of their ids."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], pieces: Callable[[str], int], keep: int = 1 << 19):
+    def __init__(self, encode: Callable[[list[str]], list], pieces: Callable[[str], int], keep: int = 1 << 19):
         self.encode, self.keep, self.kinds = encode, keep, Kinds(pieces)
         self.known: dict[int, np.ndarray] = {}
 
@@ -134,7 +134,7 @@ class PieceEncoder:
         got = self.encode([joined[a[k] : b[k]] for k in need])
         ids: list = [None] * len(keys)
         for k, x in zip(need, got):
-            ids[k] = np.asarray(x, np.uint32)
+            ids[k] = x
         for k, key in enumerate(keys):
             if ids[k] is None:
                 ids[k] = known[key]
