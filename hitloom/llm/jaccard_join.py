@@ -63,7 +63,7 @@ def _rows(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per document (its id, set size and set key), and locally frequent shingles with their counts."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("h", pa.int64()), ("c", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("h", pa.int64()), ("c", pa.int64())])
     kept: list[np.ndarray] = []
     size = docs = 0
 
@@ -75,7 +75,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take = count >= max(2, FREQUENT * docs / 2)
         h = pa.array(flat[begin[take]].view(np.int64))
         none = pa.nulls(len(h), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, none, h, pa.array(count[take])], schema=schema)
+        return pa.RecordBatch.from_arrays([none, none, none, none, none, h, pa.array(count[take])], schema=schema)
 
     for batch in batches:
         n, k1, k2 = [], [], []
@@ -85,7 +85,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept.append(hashes)
             size, docs = size + len(hashes), docs + 1
         none = pa.nulls(len(n), pa.int64())
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), none, none], schema=schema)
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), none, none], schema=schema)
         if size >= FLUSH:
             yield frequent()
             kept, size, docs = [], 0, 0
@@ -253,7 +253,7 @@ def _block_links(table: pa.Table) -> pa.Table:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of docs(doc_id, text).
+    """doc_id, n_shingles, component_id, text_hash and component (a key of the group) of every row of docs(doc_id, text).
 
     Null, empty and blank texts have no shingles, link with nothing and are components of their own. Rows
     with equal sets are always linked; repeated rows give repeated rows. Null doc_ids are passed over
@@ -262,8 +262,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = written(rows.mapInArrow(_described, "doc_id long, n_shingles long, k1 long, k2 long, h long, c long"))
-    described = seen.where("h is null").select("doc_id", "n_shingles", "k1", "k2")
+    hashed = rows.withColumn("text_hash", F.xxhash64("text"))
+    seen = written(hashed.mapInArrow(_described, "doc_id long, text_hash long, n_shingles long, k1 long, k2 long, h long, c long"))
+    described = seen.where("h is null").select("doc_id", "text_hash", "n_shingles", "k1", "k2")
     total = described.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("shingles")).first()
     counts = seen.where("h is not null").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= max(8, FREQUENT * total.rows))
     often = np.sort(np.array([r.h for r in counts.select("h").collect()], np.int64).view(np.uint64))
@@ -299,11 +300,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     lowest = classes.select(F.col("k1").alias("node"), "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = lowest.select(F.col("node").alias("k1"), "label").join(lowest.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label")
-    return described.join(lowest.select("k1", "component_id"), "k1", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    return described.join(lowest.select("k1", "label", "component_id"), "k1", "left").select(
+        "doc_id",
+        "n_shingles",
+        F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        "text_hash",
+        F.col("label").alias("component"),
     )
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs with one row of each near-duplicate group: that of the smallest doc_id (null ones last, ties by text).
+
+    Rows without words belong to no group and stay; all columns stay.
+    """
+    id_ = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id"), F.lit(0)).alias("id"), "text_hash")
+    kept = near_duplicates(docs).where("component is not null").groupBy("component").agg(F.min(id_).alias("first")).select("first.*")
+    own = docs.withColumns({"no_id": F.col("doc_id").isNull(), "id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "text_hash": F.xxhash64(F.col("text").cast("string"))})
+    keys = ["no_id", "id", "text_hash"]
+    first = own.join(kept, keys, "left_semi").dropDuplicates(keys).drop(*keys)
+    blank = docs.where(F.col("text").isNull() | ~F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"))
+    return first.unionByName(blank)
+
+
 def _ring_links(regions: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
     """Links between points of one region that its pivot has not brought together."""
     named = labels.select(F.col("node").alias("k"), "label")
