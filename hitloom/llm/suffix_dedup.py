@@ -31,7 +31,7 @@ WIDTH, GRAM = 200, 56
 #: Bytes of a block that is hashed at once, of a piece of a long text, and of a shard's contexts on average.
 BLOCK, PIECE, SHARD = 1 << 20, 1 << 19, 1 << 20
 #: Anchors of a local count; an anchor is frequent from this share of all anchors, so at most 1 / share are.
-FLUSH, FREQUENT = 1_000_000, 1 / 20_000
+FLUSH, FREQUENT = 400_000, 1 / 20_000
 LEAST_FREQUENT = 30
 
 SPANS = "key long, lo long, hi long, c1 long, c2 long"
