@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = ""
+from hitloom.plans import graphs, metrics, objects, scalars  # noqa: F401  they register their queries
+from hitloom.plans.registry import ORACLES, QUERIES
+
+FLAGSHIP = "analyse"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
