@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hitloom.llm.graph import components
-from hitloom.llm.shared import partitions, written
+from hitloom.llm.shared import giving_back, partitions, written
 from hitloom.llm.words import set_key, shingle_sets
 
 #: Likeness of a link as a fraction, and the radius it gives.
@@ -41,7 +41,7 @@ FREQUENT = 0.002
 #: Points of a block on either side.
 BLOCK = 256
 #: Rows of a local count, and pairs of a reduce group on average.
-FLUSH, PAIRS = 4_000_000, 1_000_000
+FLUSH, PAIRS = 2_000_000, 1_000_000
 NO_ID = -(1 << 63)
 
 
@@ -263,7 +263,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     hashed = rows.withColumn("text_hash", F.xxhash64("text"))
-    seen = written(hashed.mapInArrow(_described, "doc_id long, text_hash long, n_shingles long, k1 long, k2 long, h long, c long"))
+    seen = written(hashed.mapInArrow(giving_back(_described), "doc_id long, text_hash long, n_shingles long, k1 long, k2 long, h long, c long"))
     described = seen.where("h is null").select("doc_id", "text_hash", "n_shingles", "k1", "k2")
     total = described.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("shingles")).first()
     counts = seen.where("h is not null").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= max(8, FREQUENT * total.rows))
@@ -272,14 +272,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     classes = described.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"))
     shared = (
-        rows.mapInArrow(_windows(often, buckets), "bucket int, pairs binary").groupBy("bucket").applyInArrow(_shared, "k long, h long, c long")
+        rows.mapInArrow(giving_back(_windows(often, buckets)), "bucket int, pairs binary").groupBy("bucket").applyInArrow(_shared, "k long, h long, c long")
     )
     looked = written(shared.groupBy("k").agg(F.collect_list("h").alias("hs"), F.collect_list("c").alias("cs")))
     points = classes.select(F.col("k1").alias("k"), F.coalesce("doc_id", F.lit(NO_ID)).alias("id"))
     # Points that look up nothing shared may still have frequent shingles only.
     asked = points.join(looked, "k", "left") if len(often) else points.join(looked, "k")
     texts = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text")
-    found = asked.join(texts, "id").select("k", "hs", "cs", "text").mapInArrow(_chosen(often), "k long, n long, hashes array<long>, looks array<long>")
+    found = asked.join(texts, "id").select("k", "hs", "cs", "text").mapInArrow(giving_back(_chosen(often)), "k long, n long, hashes array<long>, looks array<long>")
     chosen = written(found.dropDuplicates(["k"]))  # rows may share their doc_id
     sets = chosen.select("k", "n", "hashes")
     looks = chosen.select("k", F.explode("looks").alias("h"))
@@ -289,7 +289,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     met = meets.join(sets.withColumnRenamed("hashes", "kh"), "k").join(centre, "p")
     regions = written(
         met.select("p", "k", "pn", "n", "ph", "kh")
-        .mapInArrow(_distances, "p long, k long, pn long, n long, both long")
+        .mapInArrow(giving_back(_distances), "p long, k long, pn long, n long, both long")
         .withColumn("d", 1 - F.col("both") / (F.col("n") + F.col("pn") - F.col("both")))
     )
     direct = regions.where(F.expr(f"{OF} * both >= {NEAR} * (n + pn - both)")).select(F.col("p").alias("a"), F.col("k").alias("b"))

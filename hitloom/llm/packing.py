@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hitloom.llm.pretoken import PieceEncoder
+from hitloom.llm.shared import giving_back
 
 #: Pieces in a group at most, and groups wanted before groups grow past least_group pieces.
 MOST_GROUP, WANTED_GROUPS, LEAST_GROUP = 50_000, 48, 1_000
@@ -120,7 +121,7 @@ def pieces(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int = 0) -
             cols = zip(*rows) if rows else [[] for _ in types]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(giving_back(run), PIECES)
 
 
 def groups_for(rows: int) -> int:

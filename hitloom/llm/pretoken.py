@@ -8,11 +8,12 @@ of a batch is encoded once.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
+from hitloom.llm.words import mixed, powers
+
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: Pieces of more code points are not looked up by hash.
 LONG_PIECE = 64
@@ -67,35 +68,14 @@ def cuts(points: np.ndarray, kind: np.ndarray, doc_start: np.ndarray) -> np.ndar
     return begins
 
 
-@functools.cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    base = 0x9E3779B97F4A7C15 | 1
-    inverse = pow(base, -1, 1 << 64)
-    out = []
-    for b in (base, inverse):
-        p = np.full(n + 1, b, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijective mix of 64-bit integers."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class PieceEncoder:
     """Ids of whole texts, through encode(list of distinct pieces) -> list of their ids."""
 
-    def __init__(self, encode: Callable[[list[str]], list], pieces: Callable[[str], int], keep: int = 1 << 19):
+    def __init__(self, encode: Callable[[list[str]], list], pieces: Callable[[str], int], keep: int = 1 << 17):
         self.encode, self.keep, self.kinds = encode, keep, Kinds(pieces)
         self.known: dict[int, np.ndarray] = {}
 
-    def __call__(self, texts: Iterable[str], block: int = 1 << 21) -> Iterator[np.ndarray]:
+    def __call__(self, texts: Iterable[str], block: int = 1 << 19) -> Iterator[np.ndarray]:
         """The ids of each text in turn; texts are handled in blocks of about so many code points."""
         part: list[str] = []
         size = 0
@@ -120,7 +100,7 @@ class PieceEncoder:
         starts = np.flatnonzero(cuts(points, self.kinds(points), doc_start))
         stops = np.append(starts[1:], len(points))
         size = 1 << (len(points)).bit_length()
-        up, down = _powers(size)
+        up, down = powers(size)
         run = np.zeros(len(points) + 1, np.uint64)
         np.cumsum(mixed(points.astype(np.uint64) + np.uint64(1)) * up[: len(points)], out=run[1:])
         hashes = mixed((run[stops] - run[starts]) * down[starts] + (stops - starts).astype(np.uint64))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hitloom.llm.shared import partitions, written
+from hitloom.llm.shared import giving_back, partitions, written
 from hitloom.llm.words import PLACES, mixed, prefix_hash, span_hash
 
 #: Bytes of a repeated string, and of the runs that anchors are chosen from.
@@ -344,14 +344,14 @@ def repeats(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     parts = max(partitions(spark), 48)
     seen = rows.where(F.octet_length("text") >= WIDTH).select("key", "text")
-    found = written(seen.mapInArrow(_anchors(parts), "bucket int, kind int, packed binary").groupBy("bucket").applyInArrow(_repeated, "key long, pos long, h long"))
+    found = written(seen.mapInArrow(giving_back(_anchors(parts)), "bucket int, kind int, packed binary").groupBy("bucket").applyInArrow(_repeated, "key long, pos long, h long"))
     placed = found.where("key is not null")
     size = placed.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.expr(f"pos % 256 + {WIDTH - 1}")), F.lit(0)).alias("bytes")).first()
     least = max(LEAST_FREQUENT, int(size.n * FREQUENT))
     often = {r.h: int(r.pos // least + 1) for r in found.where(F.col("key").isNull() & (F.col("pos") >= least)).collect()}
     shards = max(parts, size.bytes // SHARD)
     listed = placed.groupBy("key").agg(F.collect_set(F.struct("pos", "h")).alias("x")).select("key", F.col("x.pos").alias("pos"), F.col("x.h").alias("hs"))
-    moved = seen.join(listed, "key").select("key", "text", "pos", "hs").mapInArrow(_dealt(often, shards), "shard int, bytes binary, hot boolean, places binary")
+    moved = seen.join(listed, "key").select("key", "text", "pos", "hs").mapInArrow(giving_back(_dealt(often, shards)), "shard int, bytes binary, hot boolean, places binary")
     spans = written(moved.groupBy("shard").applyInArrow(_settled, SPANS))
     final = spans.where("key is not null and c1 = 0 and c2 = 0").select("key", "lo", "hi")
     if often:
@@ -399,7 +399,7 @@ def report(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(x, pa.int64()) for x in (size, gone, spans)), pa.array(sha)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     found = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    return found.select("doc_id", "_text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.select("doc_id", "_text", "spans").mapInArrow(giving_back(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove(docs: DataFrame) -> DataFrame:
@@ -423,4 +423,4 @@ def remove(docs: DataFrame) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == at else batch[c] for c in columns], names=columns)
 
-    return kept.mapInArrow(run, schema).toDF(*names)
+    return kept.mapInArrow(giving_back(run), schema).toDF(*names)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,15 +24,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@functools.lru_cache(4)
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE and its inverse to the powers 0 to n, modulo 2**64."""
-    out = []
-    for b in (BASE, pow(BASE, -1, 1 << 64)):
-        p = np.full(n + 1, b, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """BASE and its inverse to the powers 0 to n at least, modulo 2**64. One table is kept, the longest so far."""
+    if len(_POWERS[0]) <= n:
+        for k, b in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            p = np.full(n + 1, b, np.uint64)
+            p[0] = 1
+            _POWERS[k] = np.multiply.accumulate(p)
+    return _POWERS
 
 
 BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64))
@@ -52,7 +53,7 @@ def span_hash(run: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndar
     return mixed((run[stops] - run[starts]) * down[starts] + (stops - starts).astype(np.uint64))
 
 
-def shingle_sets(texts: Iterable[str | None], size: int = 5, block: int = 1 << 21) -> Iterator[np.ndarray]:
+def shingle_sets(texts: Iterable[str | None], size: int = 5, block: int = 1 << 19) -> Iterator[np.ndarray]:
     """The sorted distinct hashes of each text's shingles of five lower-cased words.
 
     Fewer words make one shingle; null, empty and blank texts make none. Two different shingles share
