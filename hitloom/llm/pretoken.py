@@ -71,11 +71,11 @@ def cuts(points: np.ndarray, kind: np.ndarray, doc_start: np.ndarray) -> np.ndar
 class PieceEncoder:
     """Ids of whole texts, through encode(list of distinct pieces) -> list of their ids."""
 
-    def __init__(self, encode: Callable[[list[str]], list], pieces: Callable[[str], int], keep: int = 1 << 17):
+    def __init__(self, encode: Callable[[list[str]], list], pieces: Callable[[str], int], keep: int = 1 << 19):
         self.encode, self.keep, self.kinds = encode, keep, Kinds(pieces)
         self.known: dict[int, np.ndarray] = {}
 
-    def __call__(self, texts: Iterable[str], block: int = 1 << 19) -> Iterator[np.ndarray]:
+    def __call__(self, texts: Iterable[str], block: int = 1 << 20) -> Iterator[np.ndarray]:
         """The ids of each text in turn; texts are handled in blocks of about so many code points."""
         part: list[str] = []
         size = 0
