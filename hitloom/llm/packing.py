@@ -8,6 +8,7 @@ with the table. A group of thousands of pieces leaves about one bin unfilled, wh
 from __future__ import annotations
 
 import functools
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -41,19 +42,23 @@ def _encoder(path: str) -> tuple[PieceEncoder, object, tuple[str, ...]]:
     for token, k in whole.get_vocab().items():
         width[k] = len(token)
 
-    def encode(pieces: list[str]) -> list[np.ndarray]:
+    def flat(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and their number for each text."""
+        ids = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(counts.sum())), counts
+
+    def encode(pieces: list[str], in_row: np.ndarray, n_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pieces that begin with a blank and a black character keep their cuts in a row, so many go in one call."""
-        in_row = [len(p) > 1 and p[0] == " " and not p[1].isspace() for p in pieces]
-        rows = [p for p, r in zip(pieces, in_row) if r]
-        ids: list[np.ndarray] = []
-        texts = [rows[k : k + ROW] for k in range(0, len(rows), ROW)]
-        for row, e in zip(texts, whole.encode_batch(["".join(r) for r in texts], add_special_tokens=False)):
-            got = np.asarray(e.ids, np.uint32)
-            ends = np.cumsum([len(p.encode()) for p in row])
-            ids += np.split(got, np.searchsorted(np.cumsum(width[got]), ends[:-1], "right"))
-        alone = iter(whole.encode_batch([p for p, r in zip(pieces, in_row) if not r], add_special_tokens=False))
-        taken = iter(ids)
-        return [next(taken) if r else np.asarray(next(alone).ids, np.uint32) for r in in_row]
+        rows = list(itertools.compress(pieces, in_row.tolist()))
+        row_ids, _ = flat(["".join(rows[k : k + ROW]) for k in range(0, len(rows), ROW)])
+        alone_ids, alone = flat(list(itertools.compress(pieces, (~in_row).tolist())))
+        ends = np.searchsorted(np.cumsum(width[row_ids]), np.cumsum(n_bytes[in_row]), "right")
+        begin, count = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
+        count[in_row], count[~in_row] = np.diff(ends, prepend=0), alone
+        begin[in_row] = ends - count[in_row]
+        begin[~in_row] = len(row_ids) + np.cumsum(alone) - alone
+        return np.concatenate([row_ids, alone_ids]), begin, count
 
     return PieceEncoder(encode, lambda t: len(whole.pre_tokenizer.pre_tokenize_str(t))), whole, special
 

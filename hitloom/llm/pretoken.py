@@ -2,8 +2,8 @@
 
 The public split pattern is a scan from left to right whose next cut depends on the kinds of a few
 characters only (letter, number, white space, other), so all cuts of a batch come from array
-comparisons on its code points. Equal short pieces are found by hash, so that each distinct piece
-of a batch is encoded once.
+comparisons on its code points. Equal short pieces are found by hash, so that a piece is encoded
+once and looked up from then on.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from hitloom.llm.words import mixed, powers
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: Pieces of more code points are not looked up by hash.
 LONG_PIECE = 64
+#: Code points that are split at once: arrays of such a block stay in a core's cache.
+BLOCK = 1 << 18
 
 
 class Kinds:
@@ -69,13 +71,28 @@ def cuts(points: np.ndarray, kind: np.ndarray, doc_start: np.ndarray) -> np.ndar
 
 
 class PieceEncoder:
-    """Ids of whole texts, through encode(list of distinct pieces) -> list of their ids."""
+    """Ids of whole texts, through encode(distinct pieces, in_row, n_bytes) -> (ids, begin, width).
 
-    def __init__(self, encode: Callable[[list[str]], list], pieces: Callable[[str], int], keep: int = 1 << 19):
-        self.encode, self.keep, self.kinds = encode, keep, Kinds(pieces)
-        self.known: dict[int, np.ndarray] = {}
+    in_row: True for pieces that are a blank and black characters, n_bytes: their UTF-8 lengths; begin and
+    width place each piece's ids among the ids that come back. A table of 2**SLOTS places remembers the
+    pieces met: one place per hash, later pieces take the place of earlier ones.
+    """
+
+    SLOTS, KEEP = 20, 1 << 22
+
+    def __init__(self, encode: Callable[[list[str], np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]], pieces: Callable[[str], int]):
+        self.encode, self.kinds = encode, Kinds(pieces)
+        self.of_point = mixed(np.arange(1, 0x110001, dtype=np.uint64))
+        self.mask = np.uint64((1 << self.SLOTS) - 1)
+        self._clear()
 
-    def __call__(self, texts: Iterable[str], block: int = 1 << 20) -> Iterator[np.ndarray]:
+    def _clear(self) -> None:
+        """An empty table: the hash in each place is one that belongs to another."""
+        self.hashes = ~np.arange(1 << self.SLOTS, dtype=np.uint64)
+        self.at, self.width = np.zeros(1 << self.SLOTS, np.int64), np.zeros(1 << self.SLOTS, np.int64)
+        self.pool, self.used = np.empty(1 << 16, np.uint32), 0
+
+    def __call__(self, texts: Iterable[str], block: int = BLOCK) -> Iterator[np.ndarray]:
         """The ids of each text in turn; texts are handled in blocks of about so many code points."""
         part: list[str] = []
         size = 0
@@ -88,47 +105,54 @@ class PieceEncoder:
         if part:
             yield from self._block(part)
 
+    def _remember(self, ids: np.ndarray) -> int:
+        """Adds ids to the pool and returns the place of the first."""
+        at, self.used = self.used, self.used + len(ids)
+        if self.used > len(self.pool):
+            self.pool = np.concatenate([self.pool[:at], np.empty(2 * self.used - at, np.uint32)])
+        self.pool[at : self.used] = ids
+        return at
+
     def _block(self, texts: list[str]) -> list[np.ndarray]:
         joined = "".join(texts)
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         if not joined:
             return [np.empty(0, np.uint32) for _ in texts]
+        if self.used > self.KEEP:
+            self._clear()
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         ends = np.cumsum(lengths)
         doc_start = np.zeros(len(points), bool)
         doc_start[(ends - lengths)[lengths > 0]] = True
-        starts = np.flatnonzero(cuts(points, self.kinds(points), doc_start))
+        kind = self.kinds(points)
+        starts = np.flatnonzero(cuts(points, kind, doc_start))
         stops = np.append(starts[1:], len(points))
-        size = 1 << (len(points)).bit_length()
-        up, down = powers(size)
+        up, down = powers(1 << len(points).bit_length())
         run = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum(mixed(points.astype(np.uint64) + np.uint64(1)) * up[: len(points)], out=run[1:])
-        hashes = mixed((run[stops] - run[starts]) * down[starts] + (stops - starts).astype(np.uint64))
+        np.cumsum(self.of_point[points] * up[: len(points)], out=run[1:])
+        hashes = mixed(np.diff(run[np.append(starts, len(points))]) * down[starts] + (stops - starts).astype(np.uint64))
         long = stops - starts > LONG_PIECE
         hashes[long] = np.flatnonzero(long)  # each its own; short ones never meet these few small values in practice
-        _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        keys = hashes[first].tolist()
-        known, is_long = self.known, long[first].tolist()
-        need = [k for k, key in enumerate(keys) if is_long[k] or key not in known]
-        a, b = starts[first].tolist(), stops[first].tolist()
-        got = self.encode([joined[a[k] : b[k]] for k in need])
-        ids: list = [None] * len(keys)
-        for k, x in zip(need, got):
-            ids[k] = x
-        for k, key in enumerate(keys):
-            if ids[k] is None:
-                ids[k] = known[key]
-        if len(known) + len(need) > self.keep:
-            known.clear()
-        for k in need:
-            if not is_long[k]:
-                known[keys[k]] = ids[k]
-        width = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat, begin = np.concatenate(ids), np.cumsum(width) - width
-        per = width[back]
-        total = np.cumsum(per)
-        where = np.repeat(begin[back] - (total - per), per) + np.arange(total[-1])
-        tokens = flat[where]
+        slot = (hashes & self.mask).astype(np.int64)
+        at, width = self.at[slot], self.width[slot]
+        new = np.flatnonzero((self.hashes[slot] != hashes) | long)
+        if len(new):
+            _, first, back = np.unique(hashes[new], return_index=True, return_inverse=True)
+            pick = new[first]
+            a, b = starts[pick], stops[pick]
+            in_row = (b - a > 1) & (points[a] == 0x20) & (kind[np.minimum(a + 1, len(kind) - 1)] != SPACE)
+            n_bytes = b - a
+            for least in () if joined.isascii() else (0x80, 0x800, 0x10000):
+                above = np.append(0, np.cumsum(points >= least))
+                n_bytes = n_bytes + above[b] - above[a]
+            ids, begin, wide = self.encode([joined[i:j] for i, j in zip(a.tolist(), b.tolist())], in_row, n_bytes)
+            begin = begin + self._remember(ids)
+            at[new], width[new] = begin[back], wide[back]
+            kept = ~long[pick]
+            place = slot[pick][kept]
+            self.hashes[place], self.at[place], self.width[place] = hashes[pick][kept], begin[kept], wide[kept]
+        total = np.cumsum(width)
+        tokens = self.pool[np.repeat(at - (total - width), width) + np.arange(total[-1])]
         last = np.searchsorted(starts, ends, "left")  # pieces that begin before a text's end
         bounds = np.concatenate([[0], total])[last]
         return [tokens[x:y] for x, y in zip(np.concatenate([[0], bounds[:-1]]).tolist(), bounds.tolist())]
