@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hitloom.llm.graph import components
-from hitloom.llm.shared import giving_back, partitions, written
+from hitloom.llm.shared import giving_back, group_giving_back, partitions, written
 from hitloom.llm.words import set_key, shingle_sets
 
 #: Likeness of a link as a fraction, and the radius it gives.
@@ -272,7 +272,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     classes = described.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"))
     shared = (
-        rows.mapInArrow(giving_back(_windows(often, buckets)), "bucket int, pairs binary").groupBy("bucket").applyInArrow(_shared, "k long, h long, c long")
+        rows.mapInArrow(giving_back(_windows(often, buckets)), "bucket int, pairs binary").groupBy("bucket").applyInArrow(group_giving_back(_shared), "k long, h long, c long")
     )
     looked = written(shared.groupBy("k").agg(F.collect_list("h").alias("hs"), F.collect_list("c").alias("cs")))
     points = classes.select(F.col("k1").alias("k"), F.coalesce("doc_id", F.lit(NO_ID)).alias("id"))

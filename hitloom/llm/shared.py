@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no folder, as in local tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: Bytes of a batch that Python handles at once.
+SLICE = 1 << 22
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,20 +38,41 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about SLICE bytes, so that Python copies of long texts stay small."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * SLICE // max(batch.nbytes, 1))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run for mapInArrow; when a task ends, freed memory goes back to the machine.
+    """run for mapInArrow, on slices of batches; when a task ends, freed memory goes back to the machine.
 
     Spark uses Python workers again, and what one stage freed would else count beside the next stage's needs.
     """
 
     @functools.wraps(run)
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
+        yield from run(sliced(batches))
         release()
 
     return task
 
 
+def group_giving_back(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """run for applyInArrow; freed memory goes back after groups of more than SLICE bytes."""
+
+    @functools.wraps(run)
+    def group(table: pa.Table) -> pa.Table:
+        out = run(table)
+        if table.nbytes > SLICE:
+            release()
+        return out
+
+    return group
+
+
 def release() -> None:
     gc.collect()
     pa.default_memory_pool().release_unused()

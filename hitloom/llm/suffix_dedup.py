@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hitloom.llm.shared import giving_back, partitions, written
+from hitloom.llm.shared import giving_back, group_giving_back, partitions, written
 from hitloom.llm.words import PLACES, mixed, prefix_hash, span_hash
 
 #: Bytes of a repeated string, and of the runs that anchors are chosen from.
 WIDTH, GRAM = 200, 56
-#: Bytes of a block that is hashed at once, of a piece of a long text, and of a shard's contexts on average.
-BLOCK, PIECE, SHARD = 1 << 20, 1 << 19, 1 << 20
+#: Bytes of a block that is hashed at once, of a piece of a long text, of contexts that a task collects, and of a shard's contexts on average.
+BLOCK, PIECE, COLLECTED, SHARD = 1 << 18, 1 << 17, 1 << 24, 1 << 20
 #: Anchors of a local count; an anchor is frequent from this share of all anchors, so at most 1 / share are.
 FLUSH, FREQUENT = 400_000, 1 / 20_000
 LEAST_FREQUENT = 30
@@ -176,7 +176,7 @@ def _dealt(often: dict[int, int], shards: int):
                     part = raw[at : at + n + WIDTH - 1]
                     kept.setdefault((shard, part, salts > 0), []).extend((key, at))
                     size += len(part)
-            if size >= 16 * BLOCK:
+            if size >= COLLECTED:
                 yield packed()
                 kept, size = {}, 0
         if kept:
@@ -344,7 +344,7 @@ def repeats(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     parts = max(partitions(spark), 48)
     seen = rows.where(F.octet_length("text") >= WIDTH).select("key", "text")
-    found = written(seen.mapInArrow(giving_back(_anchors(parts)), "bucket int, kind int, packed binary").groupBy("bucket").applyInArrow(_repeated, "key long, pos long, h long"))
+    found = written(seen.mapInArrow(giving_back(_anchors(parts)), "bucket int, kind int, packed binary").groupBy("bucket").applyInArrow(group_giving_back(_repeated), "key long, pos long, h long"))
     placed = found.where("key is not null")
     size = placed.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.expr(f"pos % 256 + {WIDTH - 1}")), F.lit(0)).alias("bytes")).first()
     least = max(LEAST_FREQUENT, int(size.n * FREQUENT))
@@ -352,11 +352,11 @@ def repeats(rows: DataFrame) -> DataFrame:
     shards = max(parts, size.bytes // SHARD)
     listed = placed.groupBy("key").agg(F.collect_set(F.struct("pos", "h")).alias("x")).select("key", F.col("x.pos").alias("pos"), F.col("x.h").alias("hs"))
     moved = seen.join(listed, "key").select("key", "text", "pos", "hs").mapInArrow(giving_back(_dealt(often, shards)), "shard int, bytes binary, hot boolean, places binary")
-    spans = written(moved.groupBy("shard").applyInArrow(_settled, SPANS))
+    spans = written(moved.groupBy("shard").applyInArrow(group_giving_back(_settled), SPANS))
     final = spans.where("key is not null and c1 = 0 and c2 = 0").select("key", "lo", "hi")
     if often:
         open_ = spans.where("c1 <> 0 or c2 <> 0").withColumn("range", F.pmod("c1", F.lit(parts)))
-        final = final.unionByName(open_.groupBy("range").applyInArrow(_merged, "key long, lo long, hi long"))
+        final = final.unionByName(open_.groupBy("range").applyInArrow(group_giving_back(_merged), "key long, lo long, hi long"))
     return final.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
