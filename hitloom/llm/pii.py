@@ -30,13 +30,17 @@ CARD = rf"[0-9][0-9{MARK}]++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Other strings that may be identifiers: words with a digit.
 TOKEN = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
-#: Shortest such word, code points of a gap in which context words are sought.
-LEAST_TOKEN, NEAR_TEXT = 6, 48
+#: Marks around such a word are not part of the string; a plus before it is, as in phone numbers.
+HEAD_MARKS, TAIL_MARKS = r"^[\p{P}\p{S}&&[^+]]++", r"(?<![\p{P}\p{S}])[\p{P}\p{S}]++$"
+#: Shortest such word, code points of a context word that count, code points of a piece of text.
+LEAST_TOKEN, NEAR_TEXT, PIECE = 6, 48, 256
+#: The word before the first and after the last one; no word holds a blank.
+EDGE = " "
 
 #: Rounds of scoring, seeds that a pattern holds at least, and scores from which patterns and strings count.
 ROUNDS, SUPPORT, GOOD_PATTERN, GOOD_STRING = 3, 3, 0.7, 0.9
 
-SPAN = "array<struct<s:int,e:int,value:string,left:string,right:string>>"
+SPAN = "array<struct<s:int,e:int,value:string>>"
 
 
 def _let(value: Column, body) -> Column:
@@ -44,15 +48,8 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _word(text: Column, at_end: bool) -> Column:
-    """The word of a gap next to a match, in lower case, digits as 0."""
-    near = F.substring(text, -NEAR_TEXT, NEAR_TEXT) if at_end else F.substring(text, 1, NEAR_TEXT)
-    word = F.regexp_extract(near, r"(\S+)\s*$" if at_end else r"^\s*(\S+)", 1)
-    return F.regexp_replace(F.lower(word), "[0-9]", "0")
-
-
 def _spans(text: Column, form: str) -> Column:
-    """All matches with their places (code points), strings and the words before and after."""
+    """All matches with their places (code points) and strings."""
     none = F.array().cast(SPAN)
 
     def placed(hits: Column) -> Column:
@@ -60,13 +57,7 @@ def _spans(text: Column, form: str) -> Column:
             def step(done: Column, i: Column) -> Column:
                 s = done["at"] + F.char_length(F.get(gaps, i))
                 e = s + F.char_length(F.get(hits, i))
-                row = F.struct(
-                    s.alias("s"),
-                    e.alias("e"),
-                    F.get(hits, i).alias("value"),
-                    _word(F.get(gaps, i), True).alias("left"),
-                    _word(F.get(gaps, i + 1), False).alias("right"),
-                )
+                row = F.struct(s.alias("s"), e.alias("e"), F.get(hits, i).alias("value"))
                 return F.struct(F.concat(done["rows"], F.array(row)).cast(SPAN).alias("rows"), e.alias("at"))
 
             start = F.struct(none.alias("rows"), F.lit(0).alias("at"))
@@ -77,6 +68,56 @@ def _spans(text: Column, form: str) -> Column:
     return _let(F.regexp_extract_all(text, F.lit(form), F.lit(0)), placed)
 
 
+def _trimmed(x: Column) -> Column:
+    """The span without the marks at its edges."""
+    head, tail = (F.char_length(F.regexp_extract(x["value"], marks, 0)) for marks in (HEAD_MARKS, TAIL_MARKS))
+    s, e = x["s"] + head, x["e"] - tail
+    return F.struct(s.alias("s"), e.alias("e"), F.substring(x["value"], head + 1, e - s).alias("value"))
+
+
+def _single_blanks(text: Column) -> Column:
+    return F.regexp_replace(text, r"\s++", " ")
+
+
+def _around(text: Column) -> Column:
+    """The text in pieces, with the end of all that is before each piece and the beginning of all after it.
+
+    A word is then found in one piece, wherever it is in the text, and however long the blanks are.
+    """
+
+    def ends(pieces: Column, before: bool) -> Column:
+        def step(done: Column, piece: Column) -> Column:
+            near = _single_blanks(F.concat(done["near"], piece) if before else F.concat(piece, done["near"]))
+            near = F.substring(near, -NEAR_TEXT - 1, NEAR_TEXT + 1) if before else F.substring(near, 1, NEAR_TEXT + 1)
+            return F.struct(F.concat(done["all"], F.array(done["near"])).alias("all"), near.alias("near"))
+
+        start = F.struct(F.array().cast("array<string>").alias("all"), F.lit("").alias("near"))
+        return F.aggregate(pieces if before else F.reverse(pieces), start, step, lambda done: done["all"] if before else F.reverse(done["all"]))
+
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return _let(pieces, lambda p: F.struct(p.alias("pieces"), ends(p, True).alias("before"), ends(p, False).alias("after")))
+
+
+def _with_words(spans: Column, around: Column) -> Column:
+    """Spans with the words before and after in the whole text, in lower case, digits as 0."""
+
+    def at(name: str, place: Column) -> Column:
+        return F.coalesce(F.get(around[name], F.floor(place / PIECE).cast("int")), F.lit(""))
+
+    def word(near: Column, before: bool) -> Column:
+        near = F.substring_index(F.trim(_single_blanks(near)), " ", -1 if before else 1)
+        near = F.substring(near, -NEAR_TEXT, NEAR_TEXT) if before else F.substring(near, 1, NEAR_TEXT)
+        near = F.regexp_replace(F.lower(near), "[0-9]", "0")
+        return F.when(near == "", EDGE).otherwise(near)
+
+    def wide(x: Column) -> Column:
+        left = F.concat(at("before", x["s"]), F.substring(at("pieces", x["s"]), F.lit(1), x["s"] % PIECE))
+        right = F.concat(F.substring(at("pieces", x["e"]), x["e"] % PIECE + 1, F.lit(PIECE)), at("after", x["e"]))
+        return F.struct(x["s"].alias("s"), x["e"].alias("e"), x["value"].alias("value"), word(left, True).alias("left"), word(right, False).alias("right"))
+
+    return F.transform(spans, wide)
+
+
 def _luhn(digits: Column) -> Column:
     """Sum of digits, every second one from the right doubled, divisible by 10."""
     places = F.split(F.reverse(digits), "")
@@ -119,16 +160,20 @@ def _scan(docs: DataFrame, keep: list[str]) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     found = docs.withColumn("_text", text).select(F.monotonically_increasing_id().alias("rid"), *keep, "_text")
     found = found.withColumns({f"_{k}": c for k, c in base_spans(F.col("_text")).items()})
-    tokens = F.when(F.col("_text").rlike("[0-9]"), F.filter(_spans(F.col("_text"), TOKEN), lambda x: F.char_length(x["value"]) >= LEAST_TOKEN)).otherwise(F.array().cast(SPAN))
-    found = found.withColumn("_tokens", tokens).drop("_text")
+    words = F.filter(_spans(F.col("_text"), TOKEN), lambda x: F.char_length(x["value"]) >= LEAST_TOKEN)
+    found = found.withColumn("_tokens", F.when(F.col("_text").rlike("[0-9]"), F.transform(words, _trimmed)).otherwise(F.array().cast(SPAN)))
     known = F.concat(*(F.col(f"_{k}") for k in KINDS))
-    free = F.filter("_tokens", lambda t: ~F.exists(known, lambda b: (b["s"] < t["e"]) & (b["e"] > t["s"])))
-    return written(found.withColumn("_tokens", free))
+    free = _let(known, lambda all_: F.filter("_tokens", lambda t: ~F.exists(all_, lambda b: (b["s"] < t["e"]) & (b["e"] > t["s"]))))
+    found = found.withColumn("_tokens", free)
+    lists = [f"_{k}" for k in KINDS] + ["_tokens"]
+    some = sum((F.size(c) for c in lists[1:]), F.size(lists[0])) > 0
+    found = found.withColumn("_around", F.when(some, _around(F.col("_text")))).drop("_text")
+    return written(found.withColumns({c: _with_words(F.col(c), F.col("_around")) for c in lists}).drop("_around"))
 
 
 def _patterns(span: Column) -> Column:
-    """Words before and after; a pattern needs both, so that common words alone are none."""
-    return F.when((span["left"] != "") & (span["right"] != ""), F.array(F.concat_ws("\t", span["left"], span["right"]))).otherwise(F.array().cast("array<string>"))
+    """Words before and after; always both, so that common words alone are no pattern."""
+    return F.concat_ws("\t", span["left"], span["right"])
 
 
 def discovered(scanned: DataFrame) -> DataFrame | None:
@@ -139,11 +184,11 @@ def discovered(scanned: DataFrame) -> DataFrame | None:
     """
     seeds = None
     for kind in KINDS:
-        rows = scanned.select(F.explode(f"_{kind}").alias("x")).select(F.lit(kind).alias("kind"), F.col("x.value").alias("value"), F.explode(_patterns(F.col("x"))).alias("pattern"))
+        rows = scanned.select(F.explode(f"_{kind}").alias("x")).select(F.lit(kind).alias("kind"), F.col("x.value").alias("value"), _patterns(F.col("x")).alias("pattern"))
         seeds = rows if seeds is None else seeds.unionByName(rows)
     seeds = written(seeds.distinct())
     good = seeds.groupBy("pattern").agg(F.count_distinct("value").alias("n")).where(F.col("n") >= SUPPORT).select("pattern")
-    tokens = scanned.select("rid", F.explode("_tokens").alias("x")).select("rid", "x.s", "x.e", F.col("x.value").alias("value"), F.explode(_patterns(F.col("x"))).alias("pattern"))
+    tokens = scanned.select("rid", F.explode("_tokens").alias("x")).select("rid", "x.s", "x.e", F.col("x.value").alias("value"), _patterns(F.col("x")).alias("pattern"))
     places = written(tokens.join(good, "pattern"))
     if not places.limit(1).count():
         return None

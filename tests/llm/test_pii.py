@@ -67,6 +67,43 @@ def test_contexts_discover_more(spark):
     assert out[50] == "some words my card <CARD> expires soon" and out[52] == "no digits here" and out[60] is None
 
 
+def found_spans(spark, rows):
+    return {r[0]: r[-1] for r in run(spark, rows)}
+
+
+def place(kind: str, text: str, value: str) -> str:
+    return f"{kind}:{text.index(value)}:{text.index(value) + len(value)}"
+
+
+MAILS = ["jane@x.org", "tom@y.org", "ann@z.net", "bob@w.com", "eve@v.com", "joe@u.net"]
+CARDS = ["4111111111111111", "5500005555555559", "340000000000009", "30000000000004", "6011000000000004", "3530111333300000"]
+
+
+def test_contexts_of_candidates_and_seeds_are_alike(spark):
+    texts, expect = [], []
+
+    def case(seeds: list[str], text: str, kind: str = "", value: str = "") -> None:
+        texts.extend(seeds)
+        expect.append((len(texts), place(kind, text, value) if value else ""))
+        texts.append(text)
+
+    case([f"on 2024-01-0{i + 1} {m} wrote v1.2 of it" for i, m in enumerate(MAILS)], "so on 2024-03-04 jane7@localhost wrote again", "email", "jane7@localhost")
+    # A candidate ends before its marks, as a seed does.
+    case([f"pay with card {c}, then go" for c in CARDS], "pay with card QX88-1234, then go", "card", "QX88-1234")
+    case([], "now pay with card (QX77-1234), then go")
+    # The words beside a seed are those of the text: no private marks for dots, blanks and hyphens.
+    case([f"release v1.2 {m} 3-4-x" for m in MAILS], "a release v1.2 jane8@localhost 3-4-x", "email", "jane8@localhost")
+    # Edges of a text are words.
+    case([f"{m} wrote" for m in MAILS], "jane9@localhost wrote", "email", "jane9@localhost")
+    case([], "x jane6@localhost wrote")
+    # Blanks of any length, and words at any place of a long text.
+    for n in (245, 252):
+        wide = "é" * (n + 7) + f"\n my {n}card " + " " * 60 + "QX77-5678 \t expires"
+        case(["é" * n + f"\n my {n}card {c}" + " " * 300 + "expires " + "x " * 200 for c in CARDS], wide, "card", "QX77-5678")
+    got = found_spans(spark, list(enumerate(texts)))
+    assert [(i, got[i]) for i, _ in expect] == expect
+
+
 @pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.001"])
 def test_sample_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
