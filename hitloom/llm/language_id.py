@@ -2,13 +2,14 @@
 
 For each language a suffix automaton holds a sample of its labelled text. A text is cut into phrases,
 each the longest run that occurs in that sample; related text needs few phrases. The language with
-the fewest phrases per letter wins. Automata are small and dense, so whole batches of texts walk them in
-lock step: one array step reads one character of every text under every language.
+the fewest phrases per letter wins. All automata lie in one pair of arrays, so whole batches of texts walk
+them in lock step: one array step reads one character of every text under every language.
 """
 
 from __future__ import annotations
 
 import functools
+import random
 import re
 import zlib
 from collections.abc import Iterator
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 
 from hitloom.llm.shared import giving_back
 
-#: Bounds of the fit: rows of a language, code points of each and of all, languages, distinct characters.
-SAMPLE_ROWS, ROW_POINTS, LANGUAGE_POINTS, LANGUAGES, ALPHABET = 600, 400, 30_000, 32, 95
+#: Bounds of the fit: rows of a language, code points of each and of all.
+SAMPLE_ROWS, ROW_POINTS, LANGUAGE_POINTS = 600, 400, 30_000
+#: Random places that are tried for a row of transitions before it goes to the end.
+TRIES = 100
 #: Long texts are parsed in parts of so many code points; a phrase ends where a part ends.
 PART = 512
 #: Parts that are parsed together.
@@ -40,7 +43,11 @@ def normal(text: str) -> str:
 
 
 class Automaton:
-    """Suffix automaton of a string of small integers, as a dense table: state, symbol -> state or 0."""
+    """Suffix automaton of a string of integers from 1 to below width, as rows that share one array.
+
+    The transition of a state by a symbol is at base[state] + symbol, if owner names the state there: then
+    to holds the next state. Rows are shifted so that they do not meet, so size follows the string alone.
+    """
 
     def __init__(self, symbols: list[int], width: int):
         # State 0 stands for no match, state 1 is the root.
@@ -67,10 +74,32 @@ class Automaton:
                         p = link[p]
                     link[q] = link[new] = twin
             last = new
-        self.table = np.zeros((len(nexts), width), np.int32)
+        room = width + 2 * sum(map(len, nexts))
+        used = bytearray(room + width)
+        base = [0] * len(nexts)
+        rng = random.Random(0)
+        # Rows of several symbols go to random places, those of one symbol fill what is left.
+        for state in sorted((k for k, row in enumerate(nexts) if len(row) > 1), key=lambda k: -len(nexts[k])):
+            for _ in range(TRIES):
+                at = rng.randrange(room)
+                if not any(used[at + c] for c in nexts[state]):
+                    break
+            else:
+                at = len(used)
+                used.extend(bytes(width))
+            base[state] = at
+            for c in nexts[state]:
+                used[at + c] = 1
+        free = (k for k in range(width, len(used)) if not used[k])
+        for state, row in enumerate(nexts):
+            for c in row if len(row) == 1 else ():
+                base[state] = next(free) - c
+        self.base = np.array(base, np.int64)
+        # A state may read up to width places from its base.
+        self.owner, self.to = np.zeros((2, len(used) + width), np.int32)
         for state, row in enumerate(nexts):
             for c, to in row.items():
-                self.table[state, c] = to
+                self.owner[base[state] + c], self.to[base[state] + c] = state, to
 
 
 class CrossParser:
@@ -78,21 +107,24 @@ class CrossParser:
 
     def __init__(self, samples: Samples):
         self.names = [name for name, _ in samples]
-        points, counts = np.unique(np.frombuffer("".join(t for _, t in samples).encode("utf-32-le"), np.uint32), return_counts=True)
-        common = points[np.argsort(-counts, kind="stable")[:ALPHABET]]
+        points = np.unique(np.frombuffer("".join(t for _, t in samples).encode("utf-32-le"), np.uint32))
         #: Symbol 0: a character that no sample knows; it is a phrase of its own in all languages.
-        self.symbol = np.zeros(0x110000, np.uint8)
-        self.symbol[common] = np.arange(1, len(common) + 1)
-        self.width = len(common) + 1
-        offset, tables, roots = 0, [], []
-        for _, text in samples:
-            table = Automaton(self.symbol[np.frombuffer(text.encode("utf-32-le"), np.uint32)].tolist(), self.width).table
-            table[:, 0] = 0
-            tables.append(np.where(table > 0, table + offset, 0).astype(np.int32))
-            roots.append(1 + offset)
-            offset += len(table)
-        self.flat = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
-        self.roots = np.array(roots, np.int32)[:, None]
+        self.symbol = np.zeros(0x110000, np.int32)
+        self.symbol[points] = np.arange(1, len(points) + 1)
+        automata = [Automaton(self.symbol[np.frombuffer(text.encode("utf-32-le"), np.uint32)].tolist(), len(points) + 1) for _, text in samples]
+        states = np.cumsum([0, *(len(a.base) for a in automata)])
+        places = np.cumsum([0, *(len(a.owner) for a in automata)])
+        none = [np.zeros(0, np.int64)]
+        self.base = np.concatenate([*(a.base + at for a, at in zip(automata, places)), *none])
+        self.owner = np.concatenate([*(np.where(a.owner > 0, a.owner + at, -1) for a, at in zip(automata, states)), *none]).astype(np.int32)
+        self.to = np.concatenate([*(np.where(a.to > 0, a.to + at, 0) for a, at in zip(automata, states)), *none]).astype(np.int32)
+        self.roots = (states[:-1] + 1).astype(np.int32)[:, None]
+        #: What each root reads next, by symbol.
+        self.starts = self._next(np.repeat(self.roots, len(points) + 1, axis=1), np.arange(len(points) + 1))
+
+    def _next(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        at = self.base[state] + c
+        return np.where(self.owner[at] == state, self.to[at], 0)
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """(languages, texts): the number of phrases of each normal text."""
@@ -103,7 +135,7 @@ class CrossParser:
             some = parts[k : k + LANES]
             owner = np.fromiter((t for t, _ in some), np.int64, len(some))
             lengths = np.fromiter((len(x) for _, x in some), np.int64, len(some))
-            grid = np.zeros((len(some), lengths[0]), np.uint8)
+            grid = np.zeros((len(some), lengths[0]), np.int32)
             points = np.frombuffer("".join(x for _, x in some).encode("utf-32-le"), np.uint32)
             grid[np.arange(lengths[0]) < lengths[:, None]] = self.symbol[points]
             counts = self._walk(np.ascontiguousarray(grid.T), lengths)
@@ -118,12 +150,11 @@ class CrossParser:
         for step in range(len(grid)):
             while lengths[active - 1] <= step:
                 active -= 1
-            c = grid[step, :active].astype(np.int32)
-            now = state[:, :active]
-            to = self.flat[now * self.width + c]
+            c = grid[step, :active]
+            to = self._next(state[:, :active], c)
             ended = to == 0
             count[:, :active] += ended
-            again = self.flat[self.roots * self.width + c]
+            again = self.starts[:, c]
             # A character that the sample lacks leaves the parse at its start.
             to = np.where(ended, np.where(again == 0, self.roots, again), to)
             state[:, :active] = to
@@ -139,15 +170,14 @@ def fit(rows: DataFrame) -> Samples:
     """Samples of each language of rows(doc_id, text, lang), bounded by SAMPLE_ROWS, ROW_POINTS and LANGUAGE_POINTS.
 
     Rows come in the order of a hash of their text, equal texts once, so the sample is the same on every run.
-    Rows without text, letters or lang teach nothing. The LANGUAGES with most rows are kept.
+    Rows without text, letters or lang teach nothing. Every other lang is learned.
     """
     said = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", F.substring("text", 1, ROW_POINTS).alias("text"))
-    most = said.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
     # Distinct texts among the first few times as many rows: row_number keeps only these per task.
     first = said.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= 4 * SAMPLE_ROWS)
     found: dict[str, list[str]] = {}
-    for r in first.join(F.broadcast(most), "lang", "left_semi").orderBy("lang", "rn").toLocalIterator():
+    for r in first.orderBy("lang", "rn").toLocalIterator():
         texts = found.setdefault(r.lang, [])
         if len(texts) < SAMPLE_ROWS and r.text not in texts[-1:]:
             texts.append(r.text)

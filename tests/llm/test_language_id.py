@@ -50,6 +50,28 @@ def test_edge_cases(spark):
     assert {r.lang_pred for r in li.identify(spark.createDataFrame(rows, SCHEMA).withColumn("lang", li.F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_alphabets_of_any_size():
+    rng = random.Random(2)
+    # 170 symbols in all pairs fill the rows of the automaton; 3000 symbols are a script without an alphabet.
+    scripts = {name: [chr(first + k) for k in range(n)] for name, first, n in (("a", 97, 26), ("b", 0x4E00, 170), ("c", 0x5000, 3000), ("d", 0x430, 5))}
+    samples = tuple((name, "".join(rng.choice(letters) for _ in range(200 if name == "d" else 30_000))) for name, letters in scripts.items())
+    texts = [sample[k : k + 60] for _, sample in samples for k in (10, 100)]
+    got = li.CrossParser(samples).phrases(texts)
+    alphabet = set("".join(t for _, t in samples))
+    assert got.tolist() == [[phrases(t, s, alphabet) for t in texts] for _, s in samples]
+    assert got.argmin(axis=0).tolist() == [0, 0, 1, 1, 2, 2, 3, 3]
+
+
+def test_every_language_is_learned(spark):
+    rows = []
+    for k in range(40):
+        # Each language has three letters of its own; late names have few rows.
+        x, y, z = (chr(0x4E00 + 3 * k + j) for j in range(3))
+        rows += [(1000 * k + i, f"{x}{y}{z} {z}{x} {y * (i + 1)}", f"l{k:02}", "s", 1.0) for i in range(40 - k + 8)]
+    got = li.identify(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {d: lang for d, _, lang, _, _ in rows}
+
+
 @pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.01"])
 def test_held_out_accuracy(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
