@@ -23,6 +23,8 @@ from hitloom.llm.shared import giving_back
 
 #: Bounds of the fit: rows of a language, code points of each and of all.
 SAMPLE_ROWS, ROW_POINTS, LANGUAGE_POINTS = 600, 400, 30_000
+#: Tasks that share the first choice of a language's rows.
+CHOICES = 8
 #: Random places that are tried for a row of transitions before it goes to the end.
 TRIES = 100
 #: Long texts are parsed in parts of so many code points; a phrase ends where a part ends.
@@ -172,15 +174,15 @@ def fit(rows: DataFrame) -> Samples:
     Rows come in the order of a hash of their text, equal texts once, so the sample is the same on every run.
     Rows without text, letters or lang teach nothing. Every other lang is learned.
     """
-    said = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", F.substring("text", 1, ROW_POINTS).alias("text"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    # Distinct texts among the first few times as many rows: row_number keeps only these per task.
-    first = said.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= 4 * SAMPLE_ROWS)
+    said = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", F.substring("text", 1, ROW_POINTS).alias("text")).distinct()
+    first = said.withColumn("hash", F.xxhash64("text"))
+    # The first rows of a language are among the first of each of its shares.
+    for share in ([F.pmod("hash", F.lit(CHOICES))], []):
+        order = Window.partitionBy("lang", *share).orderBy("hash", "text")
+        first = first.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= SAMPLE_ROWS)
     found: dict[str, list[str]] = {}
     for r in first.orderBy("lang", "rn").toLocalIterator():
-        texts = found.setdefault(r.lang, [])
-        if len(texts) < SAMPLE_ROWS and r.text not in texts[-1:]:
-            texts.append(r.text)
+        found.setdefault(r.lang, []).append(r.text)
     return tuple((lang, " ".join(map(normal, texts))[:LANGUAGE_POINTS]) for lang, texts in sorted(found.items()))
 
 

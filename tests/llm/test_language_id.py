@@ -72,6 +72,16 @@ def test_every_language_is_learned(spark):
     assert {r.doc_id: r.lang_pred for r in got} == {d: lang for d, _, lang, _, _ in rows}
 
 
+def test_copies_leave_room_for_other_texts(spark):
+    names = "abcdefghijkl"
+    rows = spark.range(2500 * len(names)).selectExpr("id AS doc_id", f"concat('text of ', substr('{names}', int(id % {len(names)}) + 1, 1)) AS text", "'x' AS lang")
+    ((lang, sample),) = li.fit(rows)
+    assert lang == "x" and sorted(sample.split("text of ")) == ["", *(f"{c} " if not sample.endswith(c) else c for c in names)]
+    many = spark.range(2000).selectExpr("id AS doc_id", "concat('word ', translate(string(id), '0123456789', 'abcdefghij')) AS text", "'x' AS lang")
+    first = [r.text for r in many.orderBy(li.F.xxhash64("text"), "text").limit(li.SAMPLE_ROWS).collect()]
+    assert li.fit(many) == (("x", " ".join(first)[: li.LANGUAGE_POINTS]),)
+
+
 @pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.01"])
 def test_held_out_accuracy(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
