@@ -3,7 +3,8 @@
 Emails, IP addresses, card and phone numbers of a fixed form are the seeds. The words around a seed are
 its patterns. Patterns and the strings seen in them make a graph, scored in rounds: a pattern is as
 good as the strings that it holds, a string as likely as its patterns say together. Strings with digits
-that good patterns hold are found too, with the kind of the seeds there. SQL functions only.
+or at signs that good patterns hold are found too, with the kind of the seeds there, and bring patterns of
+their own to the next round. SQL functions only.
 
 Positions come from the text between matches: a match starts after all gaps and matches before it. The
 expressions start at the head of a run only and do not give back characters, so they take linear time;
@@ -28,8 +29,8 @@ IP_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 INNER_BLANK = r"(?<=[0-9])[\x20-](?=[0-9])"
 CARD = rf"[0-9][0-9{MARK}]++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Other strings that may be identifiers: words with a digit.
-TOKEN = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+#: Other strings that may be identifiers: words with a digit or an at sign.
+TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 #: Marks around such a word are not part of the string; a plus before it is, as in phone numbers.
 HEAD_MARKS, TAIL_MARKS = r"^[\p{P}\p{S}&&[^+]]++", r"(?<![\p{P}\p{S}])[\p{P}\p{S}]++$"
 #: Shortest such word, code points of a context word that count, code points of a piece of text.
@@ -156,12 +157,12 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def _scan(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """One row per document: a number for it, keep, its base spans by kind, and other strings with digits."""
+    """One row per document: a number for it, keep, its base spans by kind, and other strings with digits or at signs."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     found = docs.withColumn("_text", text).select(F.monotonically_increasing_id().alias("rid"), *keep, "_text")
     found = found.withColumns({f"_{k}": c for k, c in base_spans(F.col("_text")).items()})
     words = F.filter(_spans(F.col("_text"), TOKEN), lambda x: F.char_length(x["value"]) >= LEAST_TOKEN)
-    found = found.withColumn("_tokens", F.when(F.col("_text").rlike("[0-9]"), F.transform(words, _trimmed)).otherwise(F.array().cast(SPAN)))
+    found = found.withColumn("_tokens", F.when(F.col("_text").rlike("[0-9@]"), F.filter(F.transform(words, _trimmed), lambda x: x["e"] > x["s"])).otherwise(F.array().cast(SPAN)))
     known = F.concat(*(F.col(f"_{k}") for k in KINDS))
     free = _let(known, lambda all_: F.filter("_tokens", lambda t: ~F.exists(all_, lambda b: (b["s"] < t["e"]) & (b["e"] > t["s"]))))
     found = found.withColumn("_tokens", free)
@@ -187,24 +188,27 @@ def discovered(scanned: DataFrame) -> DataFrame | None:
         rows = scanned.select(F.explode(f"_{kind}").alias("x")).select(F.lit(kind).alias("kind"), F.col("x.value").alias("value"), _patterns(F.col("x")).alias("pattern"))
         seeds = rows if seeds is None else seeds.unionByName(rows)
     seeds = written(seeds.distinct())
-    good = seeds.groupBy("pattern").agg(F.count_distinct("value").alias("n")).where(F.col("n") >= SUPPORT).select("pattern")
-    tokens = scanned.select("rid", F.explode("_tokens").alias("x")).select("rid", "x.s", "x.e", F.col("x.value").alias("value"), _patterns(F.col("x")).alias("pattern"))
-    places = written(tokens.join(good, "pattern"))
-    if not places.limit(1).count():
-        return None
-    edges = written(places.select("pattern", "value").distinct().unionByName(seeds.join(good, "pattern", "left_semi").select("pattern", "value").distinct()))
-    total = edges.groupBy("pattern").agg(F.count_distinct("value").alias("all"))
+    places = scanned.select("rid", F.explode("_tokens").alias("x")).select("rid", "x.s", "x.e", F.col("x.value").alias("value"), _patterns(F.col("x")).alias("pattern"))
+    seen = seeds.select("pattern", "value").distinct()
+    held = written(places.select("pattern", "value").distinct())
     sure = seeds.select("value", "kind", F.lit(1.0).alias("score")).distinct()
-    scores = sure
-    likely = None
+    trusted, scores, best = seen, sure, None
     for _ in range(ROUNDS):
+        # What the round before found is a witness of its patterns, as a seed is.
+        good = written(trusted.groupBy("pattern").agg(F.count_distinct("value").alias("n")).where(F.col("n") >= SUPPORT).select("pattern"))
+        edges = held.unionByName(seen).distinct().join(good, "pattern")
+        total = edges.groupBy("pattern").agg(F.count_distinct("value").alias("all"))
         patterns = edges.join(scores, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("score"))
         rated = patterns.join(total, "pattern").select("pattern", "kind", (F.col("score") / (F.col("all") + 0.5)).alias("rate")).where(F.col("rate") >= GOOD_PATTERN)
         told = edges.join(sure.select("value").distinct(), "value", "left_anti").join(rated, "pattern").groupBy("value", "kind")
         likely = written(told.agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("rate"), F.lit(0.999)))))).alias("score")))
+        if not likely.limit(1).count():
+            return None
         scores = sure.unionByName(likely)
-    best = likely.groupBy("value").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"), F.max("score").alias("score")).where(F.col("score") >= GOOD_STRING)
-    return places.join(best, "value").select("rid", "kind", "s", "e").distinct()
+        best = likely.groupBy("value").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"), F.max("score").alias("score")).where(F.col("score") >= GOOD_STRING)
+        trusted = seen.unionByName(held.join(best.select("value"), "value"))
+    # A string is found where a pattern of the last round holds it.
+    return places.join(good, "pattern").join(best, "value").select("rid", "kind", "s", "e").distinct()
 
 
 def find(docs: DataFrame, keep: list[str]) -> DataFrame:

@@ -104,6 +104,18 @@ def test_contexts_of_candidates_and_seeds_are_alike(spark):
     assert [(i, got[i]) for i, _ in expect] == expect
 
 
+def test_found_strings_bring_patterns(spark):
+    found = [f"jane{i}@localhost" for i in range(20)]
+    texts = [f"now write to {v} today or so" for v in [*(f"u{i}@x.org" for i in range(200)), *found]]
+    # Only found strings stand between these words; they make the pattern that finds one more.
+    texts += [f"paid by {v} at noon" for v in found] + ["paid by ZZ99-8765 at noon", "sold for ZZ99-4321 at noon"]
+    # At signs make candidates too; words of marks alone are none.
+    texts = ["now write to tom@localhost, today or so", "now write to tom@localhost today or so", "now write to @@@@@@@@ today or so", *texts]
+    got = found_spans(spark, list(enumerate(texts)))
+    assert [got[i] for i in range(3)] == ["", place("email", texts[1], "tom@localhost"), ""]
+    assert got[len(texts) - 2] == place("email", texts[-2], "ZZ99-8765") and got[len(texts) - 1] == ""
+
+
 @pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.001"])
 def test_sample_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
