@@ -43,7 +43,7 @@ def csv_scan(t: Tables) -> DataFrame:
 @query()
 def blob_events(t: Tables) -> DataFrame:
     """Generated events, one row per blob: tests check sizes, centres and that a seed repeats."""
-    hits = blobs.events(t.spark, 8, seed=7)
+    hits = blobs.events(t.spark, 1000, seed=7)
     return hits.groupBy("event_id", "t_idx").agg(F.count("*").alias("n"), r(F.avg("x"), 4).alias("x"), r(F.avg("y"), 4).alias("y"), r(F.avg("z"), 4).alias("z"))
 
 

@@ -45,3 +45,10 @@ def test_outlier_scores_on_two_of_three_axes(spark):
     z = (x - x.mean(0)) / x.std(0)
     u, s, _ = np.linalg.svd(z, full_matrices=False)
     assert np.allclose(got, np.sqrt((u[:, :2] ** 2).sum(1) * len(z)))
+
+
+def test_blob_events_makes_at_least_as_many_as_a_file_of_the_reference(spark):
+    from hitloom.sources.tables import Tables
+    from hitloom.plans.summaries import blob_events
+
+    assert blob_events(Tables(spark, "")).select("event_id").distinct().count() == 1000
