@@ -12,6 +12,7 @@ from hitloom.plans.objects import IOU, match_objects, predicted
 from hitloom.functions.columns import c
 from hitloom.plans.registry import K, on_edges, on_hits, query, r
 from hitloom.operators import edges as ed
+from hitloom.session import shared_dir
 from hitloom.sources.tables import Tables
 
 KEY = ["event_id", "hit_id"]
@@ -242,8 +243,7 @@ def store_read(t: Tables) -> DataFrame:
 
     from hitloom.sources.store import MetricsStore
 
-    shared = t.spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    store = MetricsStore(t.spark, f"{shared.rstrip('/')}/store-{uuid.uuid4().hex}")
+    store = MetricsStore(t.spark, f"{shared_dir(t.spark)}/store-{uuid.uuid4().hex}")
     store.insert("values", t.table("events").select(F.col("event_type").alias("experiment_name"), "user_id", "value"))
     got = store.get_data("values", experiments=["click", "view"], condition="user_id % 2 = 0")
     return got.groupBy(F.col("experiment_name").alias("event_type")).agg(F.count("*").alias("n"), r(F.sum("value"), 5).alias("total"), r(F.max("value"), 5).alias("top"))

@@ -14,6 +14,7 @@ from hitloom.operators import knn as kn
 from hitloom.operators import shapes as sh
 from hitloom.plans.metrics import all_bins, bin_of, cases, grid_sql
 from hitloom.plans.objects import ALPHAS, GREEDY
+from hitloom.session import shared_dir
 from hitloom.plans.registry import K, on_edges, on_hits, query, r
 from hitloom.sources import blobs, csv
 from hitloom.sources.tables import Tables
@@ -33,8 +34,7 @@ def semi_join_chain(t: Tables) -> DataFrame:
 @query("SELECT s_nationkey, count(*) AS n, round(sum(s_acctbal), 4) AS total FROM supplier GROUP BY 1")
 def csv_scan(t: Tables) -> DataFrame:
     """A table written as CSV files with headers, then read under a schema."""
-    shared = t.spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{shared.rstrip('/')}/csv-{uuid.uuid4().hex}"
+    path = f"{shared_dir(t.spark)}/csv-{uuid.uuid4().hex}"
     t.table("supplier").select("s_suppkey", "s_nationkey", "s_acctbal").write.option("header", True).csv(path)
     rows = csv.scan(t.spark, path, "s_suppkey long, s_nationkey int, s_acctbal double")
     return rows.groupBy("s_nationkey").agg(F.count("*").alias("n"), r(F.sum("s_acctbal"), 4).alias("total"))

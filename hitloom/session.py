@@ -6,6 +6,28 @@ import os
 
 from pyspark.sql import SparkSession
 
+#: Used only by local masters whose session names no folder, as in tests.
+LOCAL_SHARED = "/tmp/checkpoints"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share.
+
+    A local master without that setting gets LOCAL_SHARED; any other raises, as its executors would
+    write where nobody else can read.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not folder and master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (folder or LOCAL_SHARED).rstrip("/")
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table or folder that nothing reads any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
 
 def local_session(cpus: int = 8, app: str = "hitloom") -> SparkSession:
     """A local session with adaptive execution on; clusters bring their own settings."""
