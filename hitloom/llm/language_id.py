@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hitloom.llm.shared import giving_back
+from hitloom.llm.shared import giving_back, numbered
 
-#: Bounds of the fit: rows of a language, code points of each and of all.
-SAMPLE_ROWS, ROW_POINTS, LANGUAGE_POINTS = 600, 400, 30_000
+#: Bounds of the fit: rows of a language, and their code points in all. Rows are taken whole.
+SAMPLE_ROWS, LANGUAGE_POINTS = 600, 30_000
 #: Tasks that share the first choice of a language's rows.
 CHOICES = 8
 #: Random places that are tried for a row of transitions before it goes to the end.
@@ -32,6 +32,8 @@ PART = 512
 #: Parts that are parsed together.
 LANES = 4096
 UNKNOWN = "und"
+#: A text of so many code points whose phrases are shorter than this is in no learned language.
+LEAST_JUDGED, LEAST_PARSED = 40, 1.5
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 #: (languages and their samples, as (name, text) in order of name).
@@ -169,28 +171,36 @@ def parser(samples: Samples) -> CrossParser:
 
 
 def fit(rows: DataFrame) -> Samples:
-    """Samples of each language of rows(doc_id, text, lang), bounded by SAMPLE_ROWS, ROW_POINTS and LANGUAGE_POINTS.
+    """Samples of each language of rows(text, lang), bounded by SAMPLE_ROWS and LANGUAGE_POINTS.
 
-    Rows come in the order of a hash of their text, equal texts once, so the sample is the same on every run.
-    Rows without text, letters or lang teach nothing. Every other lang is learned.
+    Whole texts in the order of a hash, equal texts once, so the sample is the same on every run. Texts longer
+    than LANGUAGE_POINTS come after all others, and of a language that has no shorter ones the shortest text is
+    cut at that bound. Texts without letters and rows without lang teach nothing. Every other lang is learned.
     """
-    said = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", F.substring("text", 1, ROW_POINTS).alias("text")).distinct()
-    first = said.withColumn("hash", F.xxhash64("text"))
-    # The first rows of a language are among the first of each of its shares.
+    said = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", F.xxhash64("text").alias("hash"), F.char_length("text").alias("n"), "text")
+    # Long texts, of which at most one is read, rank by length and all others by hash.
+    order = [F.greatest("n", F.lit(LANGUAGE_POINTS)), "hash", "n"]
+    # Texts are dealt by their hashes, copies once; the first of a language are among the first of each of its shares.
+    first = said.select("lang", "hash", "n").distinct()
     for share in ([F.pmod("hash", F.lit(CHOICES))], []):
-        order = Window.partitionBy("lang", *share).orderBy("hash", "text")
-        first = first.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= SAMPLE_ROWS)
+        first = first.withColumn("rn", F.row_number().over(Window.partitionBy("lang", *share).orderBy(*order))).where(F.col("rn") <= SAMPLE_ROWS)
+    so_far = F.sum(F.col("n") + 1).over(Window.partitionBy("lang").orderBy("rn"))
+    chosen = first.withColumn("so_far", so_far).where((F.col("so_far") <= LANGUAGE_POINTS) | (F.col("rn") == 1)).select("lang", "hash", "n", "rn")
+    # At most SAMPLE_ROWS short rows a language are broadcast.
+    texts = said.join(F.broadcast(chosen), ["lang", "hash", "n"]).select("lang", "rn", F.substring("text", 1, LANGUAGE_POINTS).alias("text"))
+    first = texts.groupBy("lang", "rn").agg(F.min("text").alias("text"))
     found: dict[str, list[str]] = {}
     for r in first.orderBy("lang", "rn").toLocalIterator():
         found.setdefault(r.lang, []).append(r.text)
-    return tuple((lang, " ".join(map(normal, texts))[:LANGUAGE_POINTS]) for lang, texts in sorted(found.items()))
+    return tuple((lang, " ".join(map(normal, texts))) for lang, texts in sorted(found.items()))
 
 
 def predictions(docs: DataFrame, samples: Samples, keep: list[str]) -> DataFrame:
-    """keep with lang_pred and score for every row of docs(text, ...).
+    """keep with lang_pred, score and parsed for every row of docs(text, ...); keep has none of these names.
 
     lang_pred is 'und' and the score 0 where the text is null or has no letter, or if no language was
     learned. The score is the margin in phrases to the runner-up: 1 - best / second (1: no other language).
+    parsed tells how well the language explains the text: its mean phrase length in letters and blanks (0: 'und').
     Ties go to the language first in order of name. Only text is read. Whole texts are parsed.
     """
     kept = docs.select(*keep, F.col("text").cast("string").alias("_text"))
@@ -200,7 +210,7 @@ def predictions(docs: DataFrame, samples: Samples, keep: list[str]) -> DataFrame
         parse = parser(samples)
         for batch in batches:
             texts = [normal(t or "") for t in batch["_text"].to_pylist()]
-            lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+            lang, score, parsed = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
             if parse.names:
                 counts = parse.phrases(texts)
                 best = counts.argmin(axis=0)
@@ -208,11 +218,12 @@ def predictions(docs: DataFrame, samples: Samples, keep: list[str]) -> DataFrame
                 second = np.partition(counts, 1, axis=0)[1] if len(counts) > 1 else np.full(len(texts), np.inf)
                 for i, text in enumerate(texts):
                     if text:
-                        lang[i], score[i] = parse.names[best[i]], float(1 - low[i] / second[i])
+                        lang[i], score[i], parsed[i] = parse.names[best[i]], float(1 - low[i] / second[i]), float(len(text) / low[i])
             cols = [batch[name] for name in keep]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(lang), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
+            told = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(parsed, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*cols, *told], names=[*keep, "lang_pred", "score", "parsed"])
 
-    return kept.mapInArrow(giving_back(run), ", ".join([*fields, "lang_pred string", "score double"]))
+    return kept.mapInArrow(giving_back(run), ", ".join([*fields, "lang_pred string", "score double", "parsed double"]))
 
 
 def held_out(doc_id: F.Column, folds: int = 5) -> F.Column:
@@ -233,3 +244,19 @@ def identify(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).withColumn("held_out", held_out(F.col("doc_id")))
     samples = fit(rows.where(~F.col("held_out")))
     return predictions(rows.select("doc_id", "held_out", "text"), samples, ["doc_id", "held_out"])
+
+
+def known(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text, lang, ...) without the rows whose text is in none of the learned languages.
+
+    These are null texts, texts without a letter, and texts of LEAST_JUDGED letters or more whose phrases under
+    the best language are shorter than LEAST_PARSED: noise, or scripts that no label covers. The automata
+    learn as in identify(). All columns stay, whatever their names; repeated rows are judged alike; null
+    doc_ids count as not held out; an empty table gives no rows.
+    """
+    inner, new, old = numbered(docs)
+    at = {name: F.col(new[old.index(name)]) for name in ("doc_id", "text", "lang")}
+    labelled = inner.where(~held_out(at["doc_id"])).select(at["text"].cast("string").alias("text"), at["lang"].cast("string").alias("lang"))
+    told = predictions(inner.withColumn("text", at["text"]), fit(labelled), new)
+    short = F.char_length(at["text"].cast("string")) < LEAST_JUDGED
+    return told.where((F.col("lang_pred") != UNKNOWN) & (short | (F.col("parsed") >= LEAST_PARSED))).select(new).toDF(*old)

@@ -11,17 +11,12 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no folder, as in local tests.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+from hitloom.session import removed, shared_dir
+
 #: Bytes of a batch that Python handles at once.
 SLICE = 1 << 22
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, or a local one where that setting is missing."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
-
-
 def written(df: DataFrame) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back.
 
@@ -29,9 +24,27 @@ def written(df: DataFrame) -> DataFrame:
     df comes back empty with the same columns.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/hitloom-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/hitloom-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_path = path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of written() that no later step reads."""
+    for table in tables:
+        removed(table.sparkSession, table.written_path)
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, list[str], list[str]]:
+    """docs with columns c0, c1, ... whatever their names were, these names, and the old ones.
+
+    Operators that keep all columns add their own beside c0, c1, ..., so none can clash.
+    """
+    old = docs.columns
+    new = [f"c{i}" for i in range(len(old))]
+    return docs.toDF(*new), new, old
 
 
 def partitions(spark: SparkSession) -> int:

@@ -79,7 +79,43 @@ def test_copies_leave_room_for_other_texts(spark):
     assert lang == "x" and sorted(sample.split("text of ")) == ["", *(f"{c} " if not sample.endswith(c) else c for c in names)]
     many = spark.range(2000).selectExpr("id AS doc_id", "concat('word ', translate(string(id), '0123456789', 'abcdefghij')) AS text", "'x' AS lang")
     first = [r.text for r in many.orderBy(li.F.xxhash64("text"), "text").limit(li.SAMPLE_ROWS).collect()]
-    assert li.fit(many) == (("x", " ".join(first)[: li.LANGUAGE_POINTS]),)
+    assert li.fit(many) == (("x", " ".join(first)),)
+
+
+def test_samples_are_of_whole_texts(spark):
+    long, longer = "ab " * li.LANGUAGE_POINTS, "cd " * (li.LANGUAGE_POINTS + 1)
+    rows = [(1, long, "x"), (2, "efg " * 100 + "last", "x"), (3, longer, "y"), (4, long, "y"), (5, "h" * (li.LANGUAGE_POINTS - 5), "z"), (6, "i" * 20, "z"), (7, "j" * 20, "z")]
+    got = dict(li.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert got["x"] == "efg " * 100 + "last" and got["y"] == long[: li.LANGUAGE_POINTS].strip()
+    assert all(set(part) < set("hij") and len(part) in (20, li.LANGUAGE_POINTS - 5) for part in got["z"].split(" "))
+
+
+SCRIPTS = {"el": 0x3B1, "ru": 0x430, "he": 0x5D0, "hi": 0x905, "ka": 0x10D0, "hy": 0x561, "th": 0xE01}
+
+
+def test_seven_scripts(spark):
+    rng = random.Random(4)
+
+    def text(first: int) -> str:
+        return " ".join("".join(chr(first + min(int(rng.expovariate(0.12)), 23)) for _ in range(rng.randint(2, 9))) for _ in range(40))
+
+    rows = [(i, text(SCRIPTS[lang]), lang) for i, lang in enumerate(rng.choices(list(SCRIPTS), [40, 200, 15, 60, 20, 12, 30], k=900))]
+    got = li.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    want = {i: lang for i, _, lang in rows}
+    assert {want[r.doc_id] for r in got if r.held_out} == set(SCRIPTS)
+    assert [r for r in got if r.lang_pred != want[r.doc_id]] == []
+
+
+def test_known_keeps_texts_of_learned_languages(spark):
+    rng = random.Random(3)
+    words = ["the", "cat", "sat", "over", "there", "while", "dogs", "run"]
+    rows = [(i, " ".join(rng.choices(words, k=30)), "en") for i in range(40)]
+    rows += [(50, "".join(chr(rng.randrange(0x561, 0x587)) for _ in range(80)), None), (51, "Ok", None), (52, None, "en"), (53, "12 34 ?", "en"), (None, rows[0][1], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 AS score", "2 AS lang_pred", "3 AS parsed", "4 AS _text", "5 AS c0", "text AS `a.b`")
+    got = li.known(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id for r in got.collect()), key=str) == sorted([*range(40), 51, None], key=str)
+    assert li.known(docs.limit(0)).collect() == []
 
 
 @pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.01"])
