@@ -19,6 +19,8 @@ from hitloom.llm.shared import partitions
 #: Bins of a fingerprint (a power of two), bits kept of each, words of a shingle, probes that are written out
 #: (the others are worked out only where these find empty bins).
 BINS, BITS, WORDS, PROBES = 128, 8, 5, 12
+#: Bytes of text of a range of ids, and the most quantiles that cut the ids.
+RANGE_BYTES, COARSE = 1 << 24, 500
 SEPARATORS = r"[\x20\x09-\x0D]+"
 
 
@@ -101,40 +103,47 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.0)).otherwise(estimate)
 
 
-def ranges(docs: DataFrame, most: int) -> list[int]:
-    """Ascending cuts of the doc_ids into at most so many ranges of about equal numbers of rows."""
-    shares = [k / most for k in range(1, most)]
-    found = docs.agg(F.percentile_approx("doc_id", shares, 10_000).alias("cuts")).first()
-    return sorted(set(found.cuts or []))
+def range_of(docs: DataFrame) -> Column:
+    """The number of a row's range: null doc_ids first, then ranges of descending doc_ids with about RANGE_BYTES of text each.
+
+    At most COARSE quantiles cut the ids into parts of about equal numbers of rows, and each part is cut
+    evenly, so the number of ranges follows the bytes of the table and the expression stays short.
+    """
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
+    wanted = max(partitions(docs.sparkSession), size["bytes"] // RANGE_BYTES)
+    if size["lo"] is None:
+        return F.lit(0).cast("long")
+    coarse = min(COARSE, wanted)
+    cuts = docs.agg(F.percentile_approx("doc_id", [k / coarse for k in range(1, coarse)], 10_000).alias("cuts")).first()["cuts"] if coarse > 1 else []
+    # Part k holds the ids from starts[k] to below starts[k + 1].
+    starts = sorted({size["lo"], *cuts})
+    inside = -(-wanted // len(starts))
+    width = [max(1, -(-(b - a) // inside)) for a, b in zip(starts, [*starts[1:], size["hi"] + 1])]
+    part = F.size(F.filter(_table(starts), lambda s: s <= F.col("doc_id"))) - 1
+    within = F.floor((F.col("doc_id") - F.get(_table(starts), part)) / F.get(_table(width), part))
+    place = (part * inside + within).cast("long")
+    return F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(place).cast("long")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, n_chars) with fingerprint, next_text and next_fingerprint, by descending doc_id.
 
     Equal doc_ids follow by text, null doc_ids come last; the last row is followed by the first. Ids are cut
-    into ranges; a window orders each range, and the first row of every range (looked up by its id) is
-    handed to the range before it. Texts are shuffled once.
+    into ranges, and a window orders each; it also gets the first row of the range that comes next, found by
+    its id. Texts are shuffled once; rows that share one doc_id are ordered in one task, which spills.
     """
     spark = docs.sparkSession
-    cuts = ranges(docs, max(partitions(spark), 48))
-    place = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.size(F.filter(_table(cuts), lambda c: c > F.col("doc_id")))) if cuts else F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(F.lit(0))
-    placed = docs.withColumn("range", place)
-    w = Window.partitionBy("range").orderBy(F.desc("doc_id"), F.desc("text"))
-    own = placed.withColumn("fingerprint", fingerprint(F.col("text"))).withColumn("following", F.lead(F.struct("text", "fingerprint")).over(w))
-
-    # At most one id a range, so this broadcast is bounded by the number of ranges.
-    ids = placed.groupBy("range").agg(F.max("doc_id").alias("doc_id")).collect()
-    order = sorted(r["range"] for r in ids)
-    before = dict(zip(order[1:] + order[:1], order))
-    firsts = spark.createDataFrame([(before[r["range"]], r["doc_id"]) for r in ids], "to int, first_id long")
-    first = (
-        docs.join(F.broadcast(firsts), F.col("doc_id").eqNullSafe(F.col("first_id")))
-        .groupBy("to")
-        .agg(F.max("text").alias("text"))
-        .select(F.col("to").alias("range"), F.struct("text", fingerprint(F.col("text")).alias("fingerprint")).alias("first"))
-    )
-    given = own.join(F.broadcast(first), "range", "left").withColumn("following", F.coalesce("following", "first"))
-    return given.select(*docs.columns, "fingerprint", F.col("following.text").alias("next_text"), F.col("following.fingerprint").alias("next_fingerprint"))
+    placed = docs.withColumn("range", range_of(docs))
+    # One id a range: the bounds of the ranges, which the driver puts in order.
+    ids = {r["range"]: r["first_id"] for r in placed.groupBy("range").agg(F.max("doc_id").alias("first_id")).collect()}
+    order = sorted(ids, reverse=True)
+    firsts = spark.createDataFrame([(ids[b], a) for a, b in zip(order, order[1:] + order[:1])], "first_id long, to long")
+    guests = docs.join(firsts, F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("to").agg(F.max("text").alias("text"))
+    guests = guests.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(None).cast("long").alias("n_chars"), F.col("to").alias("range"), F.lit(True).alias("guest"))
+    both = placed.withColumn("guest", F.lit(False)).unionByName(guests).withColumn("fingerprint", fingerprint(F.col("text")))
+    w = Window.partitionBy("range").orderBy("guest", F.desc("doc_id"), F.desc("text"))
+    own = both.withColumn("following", F.lead(F.struct("text", "fingerprint")).over(w)).where(~F.col("guest"))
+    return own.select(*docs.columns, "fingerprint", F.col("following.text").alias("next_text"), F.col("following.fingerprint").alias("next_fingerprint"))
 
 
 def compare(docs: DataFrame) -> DataFrame:
