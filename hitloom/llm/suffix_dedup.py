@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hitloom.llm.shared import giving_back, group_giving_back, partitions, written
+from hitloom.llm.shared import giving_back, group_giving_back, numbered, partitions, written
 from hitloom.llm.words import PLACES, mixed, prefix_hash, span_hash
 
 #: Bytes of a repeated string, and of the runs that anchors are chosen from.
@@ -34,7 +34,9 @@ BLOCK, PIECE, COLLECTED, SHARD = 1 << 18, 1 << 17, 1 << 24, 1 << 20
 FLUSH, FREQUENT = 400_000, 1 / 20_000
 LEAST_FREQUENT = 30
 
-SPANS = "key long, lo long, hi long, c1 long, c2 long"
+#: A row is known by 128 bits.
+KEY = ["key", "key2"]
+SPANS = "key long, key2 long, lo long, hi long, c1 long, c2 long"
 
 
 def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
@@ -101,18 +103,18 @@ def _anchors(buckets: int):
         size = 0
 
         def packed() -> Iterator[pa.RecordBatch]:
-            key, pos, h = (np.concatenate(c) for c in zip(*kept))
+            key, key2, pos, h = (np.concatenate(c) for c in zip(*kept))
             order = np.argsort(h, kind="stable")
-            key, pos, h = key[order], pos[order], h[order]
+            key, key2, pos, h = key[order], key2[order], pos[order], h[order]
             head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             count = np.diff(np.append(head, len(h)))
             once = np.repeat(count == 1, count)
             many = head[count > 1]
             by = lambda x: (x.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
             for kind, at, cols in (
-                (0, by(h[once]), (h[once], key[once], pos[once])),
+                (0, by(h[once]), (h[once], key[once], key2[once], pos[once])),
                 (1, by(h[many]), (h[many], count[count > 1])),
-                (2, by(mixed(key[~once].view(np.uint64)).view(np.int64)), (h[~once], key[~once], pos[~once])),
+                (2, by(mixed(key[~once].view(np.uint64)).view(np.int64)), (h[~once], key[~once], key2[~once], pos[~once])),
             ):
                 if not len(at):
                     continue
@@ -123,9 +125,9 @@ def _anchors(buckets: int):
                 yield pa.RecordBatch.from_arrays([pa.array(at[edge[:-1]], pa.int32()), pa.array([kind] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "kind", "packed"])
 
         for batch in batches:
-            keys = batch["key"].to_numpy()
+            keys, keys2 = (batch[k].to_numpy() for k in KEY)
             number, start, count, h = contexts(_raw(batch["text"]))
-            kept.append((keys[number], start * 256 + count, h))
+            kept.append((keys[number], keys2[number], start * 256 + count, h))
             size += len(h)
             if size >= FLUSH:
                 yield from packed()
@@ -139,17 +141,18 @@ def _anchors(buckets: int):
 def _repeated(table: pa.Table) -> pa.Table:
     """Of one bucket: places of anchors that occur again, and counts of anchors with many places (key null)."""
     kinds, blobs = table["kind"].to_pylist(), table["packed"].to_pylist()
-    rows = {k: np.concatenate([np.frombuffer(b, np.int64).reshape(2 if k == 1 else 3, -1) for b, x in zip(blobs, kinds) if x == k] or [np.zeros((2 if k == 1 else 3, 0), np.int64)], axis=1) for k in range(3)}
-    h, key, pos = rows[0]
+    rows = {k: np.concatenate([np.frombuffer(b, np.int64).reshape(2 if k == 1 else 4, -1) for b, x in zip(blobs, kinds) if x == k] or [np.zeros((2 if k == 1 else 4, 0), np.int64)], axis=1) for k in range(3)}
+    h, key, key2, pos = rows[0]
     name, back = np.unique(np.concatenate([h, rows[1][0]]), return_inverse=True)
     count = np.bincount(back, np.concatenate([np.ones(len(h)), rows[1][1]])).astype(np.int64)
     again = count[back[: len(h)]] > 1
     many = count >= LEAST_FREQUENT
-    keys = pa.array(np.concatenate([key[again], rows[2][1]]))
+    none = pa.nulls(int(many.sum()), pa.int64())
     return pa.table(
         {
-            "key": pa.concat_arrays([keys, pa.nulls(int(many.sum()), pa.int64())]),
-            "pos": np.concatenate([pos[again], rows[2][2], count[many]]),
+            "key": pa.concat_arrays([pa.array(np.concatenate([key[again], rows[2][1]])), none]),
+            "key2": pa.concat_arrays([pa.array(np.concatenate([key2[again], rows[2][2]])), none]),
+            "pos": np.concatenate([pos[again], rows[2][3], count[many]]),
             "h": np.concatenate([h[again], rows[2][0], name[many]]),
         }
     )
@@ -168,13 +171,13 @@ def _dealt(often: dict[int, int], shards: int):
             return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(text, pa.binary()), pa.array(hot), pa.array(places, pa.binary())], names=["shard", "bytes", "hot", "places"])
 
         for batch in batches:
-            for key, raw, pos, hs in zip(batch["key"].to_pylist(), _raw(batch["text"]), batch["pos"].to_pylist(), batch["hs"].to_pylist()):
+            for key, key2, raw, pos, hs in zip(batch["key"].to_pylist(), batch["key2"].to_pylist(), _raw(batch["text"]), batch["pos"].to_pylist(), batch["hs"].to_pylist()):
                 for p, h in zip(pos, hs):
                     at, n = p >> 8, p & 255
                     salts = often.get(h, 0)
                     shard = (h + (key % salts + 1) * 0x9E3779B1 if salts else h) % shards
                     part = raw[at : at + n + WIDTH - 1]
-                    kept.setdefault((shard, part, salts > 0), []).extend((key, at))
+                    kept.setdefault((shard, part, salts > 0), []).extend((key, key2, at))
                     size += len(part)
             if size >= COLLECTED:
                 yield packed()
@@ -280,16 +283,16 @@ def _settled(table: pa.Table) -> pa.Table:
         places.setdefault(text, []).append(own)
         hot[text] = often
     parts = list(places)
-    owners = [np.frombuffer(b"".join(v), np.int64).reshape(-1, 2) for v in places.values()]
+    owners = [np.frombuffer(b"".join(v), np.int64).reshape(-1, 3) for v in places.values()]
     times = np.fromiter(map(len, owners), np.int64, len(owners))
     part, start, number = equal_strings(parts)
     _, back = np.unique(number, return_inverse=True)
     total = np.bincount(back, times[part])[back]
     again = total > 1
-    out: list[list[np.ndarray]] = [[] for _ in range(5)]
+    out: list[list[np.ndarray]] = [[] for _ in range(6)]
 
-    def add(key, lo, hi, c1, c2) -> None:
-        for col, x in zip(out, (key, lo, hi, c1, c2)):
+    def add(key, key2, lo, hi, c1, c2) -> None:
+        for col, x in zip(out, (key, key2, lo, hi, c1, c2)):
             col.append(np.asarray(x, np.int64))
 
     # Runs of repeated starts in one context.
@@ -300,7 +303,7 @@ def _settled(table: pa.Table) -> pa.Table:
     for p, lo, hi in zip(part[head].tolist(), start[head].tolist(), start[tail].tolist()):
         own = owners[p]
         none = np.zeros(len(own), np.int64)
-        add(own[:, 0], own[:, 1] + lo, own[:, 1] + hi + WIDTH, none, none)
+        add(own[:, 0], own[:, 1], own[:, 2] + lo, own[:, 2] + hi + WIDTH, none, none)
     is_hot = np.fromiter((hot[p] for p in parts), bool, len(parts))
     keys: list[tuple[np.ndarray, np.ndarray]] = []
     absent = 0
@@ -312,52 +315,53 @@ def _settled(table: pa.Table) -> pa.Table:
         c1 = span_hash(run, at, at + WIDTH)
         c2 = mixed(c1 + PLACES[0]) ^ span_hash(run, at, at + WIDTH // 2)
         single = is_hot[part] & ~again
-        first = np.array([o[0] for o in owners]) if owners else np.zeros((0, 2), np.int64)
-        lo = first[part[single], 1] + start[single]
-        add(first[part[single], 0], lo, lo + WIDTH, c1[single].view(np.int64), c2[single].view(np.int64))
+        first = np.array([o[0] for o in owners]) if owners else np.zeros((0, 3), np.int64)
+        lo = first[part[single], 2] + start[single]
+        add(first[part[single], 0], first[part[single], 1], lo, lo + WIDTH, c1[single].view(np.int64), c2[single].view(np.int64))
         told = np.unique(np.stack([c1[is_hot[part] & again], c2[is_hot[part] & again]]), axis=1) if (is_hot[part] & again).any() else np.zeros((2, 0), np.uint64)
         absent = told.shape[1]
         keys.append((told[0].view(np.int64), told[1].view(np.int64)))
         none = np.zeros(absent, np.int64)
-        add(none, none, none, *keys[0])
+        add(none, none, none, none, *keys[0])
     cols = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
     mask = np.zeros(len(cols[0]), bool)
     mask[len(mask) - absent :] = absent > 0
-    return pa.table({"key": pa.array(cols[0], pa.int64(), mask=mask), "lo": cols[1], "hi": cols[2], "c1": cols[3], "c2": cols[4]})
+    return pa.table({"key": pa.array(cols[0], pa.int64(), mask=mask)} | dict(zip(("key2", "lo", "hi", "c1", "c2"), cols[1:])))
 
 
 def _merged(table: pa.Table) -> pa.Table:
     """Of one range of string keys: the single strings whose key another shard has too, by binary search."""
-    c1, c2 = table["c1"].to_numpy(), table["c2"].to_numpy()
-    both = np.sort(mixed(c1.view(np.uint64)) ^ c2.view(np.uint64))
-    mine = mixed(c1.view(np.uint64)) ^ c2.view(np.uint64)
+    # The ranks of both halves in one number stand for all 128 bits.
+    c1, c2 = (np.unique(table[c].to_numpy(), return_inverse=True)[1] for c in ("c1", "c2"))
+    mine = c1 * len(c1) + c2
+    both = np.sort(mine)
     again = np.searchsorted(both, mine, "right") - np.searchsorted(both, mine, "left") > 1
     keep = again & ~np.asarray(table["key"].is_null())
-    return table.select(["key", "lo", "hi"]).filter(pa.array(keep))
+    return table.select([*KEY, "lo", "hi"]).filter(pa.array(keep))
 
 
 def repeats(rows: DataFrame) -> DataFrame:
-    """key and spans (byte ranges to remove, in any order) of rows(key, text) in which strings occur again.
+    """KEY and spans (byte ranges to remove, in any order) of rows(key, key2, text) in which strings occur again.
 
-    key stands for a row; rows with equal keys must have equal texts, and count as often as they occur.
+    KEY stands for a row; rows with equal ones must have equal texts, and count as often as they occur.
     """
     spark = rows.sparkSession
     parts = max(partitions(spark), 48)
-    seen = rows.where(F.octet_length("text") >= WIDTH).select("key", "text")
-    found = written(seen.mapInArrow(giving_back(_anchors(parts)), "bucket int, kind int, packed binary").groupBy("bucket").applyInArrow(group_giving_back(_repeated), "key long, pos long, h long"))
+    seen = rows.where(F.octet_length("text") >= WIDTH).select(*KEY, "text")
+    found = written(seen.mapInArrow(giving_back(_anchors(parts)), "bucket int, kind int, packed binary").groupBy("bucket").applyInArrow(group_giving_back(_repeated), "key long, key2 long, pos long, h long"))
     placed = found.where("key is not null")
     size = placed.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.expr(f"pos % 256 + {WIDTH - 1}")), F.lit(0)).alias("bytes")).first()
     least = max(LEAST_FREQUENT, int(size.n * FREQUENT))
     often = {r.h: int(r.pos // least + 1) for r in found.where(F.col("key").isNull() & (F.col("pos") >= least)).collect()}
     shards = max(parts, size.bytes // SHARD)
-    listed = placed.groupBy("key").agg(F.collect_set(F.struct("pos", "h")).alias("x")).select("key", F.col("x.pos").alias("pos"), F.col("x.h").alias("hs"))
-    moved = seen.join(listed, "key").select("key", "text", "pos", "hs").mapInArrow(giving_back(_dealt(often, shards)), "shard int, bytes binary, hot boolean, places binary")
+    listed = placed.groupBy(*KEY).agg(F.collect_set(F.struct("pos", "h")).alias("x")).select(*KEY, F.col("x.pos").alias("pos"), F.col("x.h").alias("hs"))
+    moved = seen.join(listed, KEY).select(*KEY, "text", "pos", "hs").mapInArrow(giving_back(_dealt(often, shards)), "shard int, bytes binary, hot boolean, places binary")
     spans = written(moved.groupBy("shard").applyInArrow(group_giving_back(_settled), SPANS))
-    final = spans.where("key is not null and c1 = 0 and c2 = 0").select("key", "lo", "hi")
+    final = spans.where("key is not null and c1 = 0 and c2 = 0").select(*KEY, "lo", "hi")
     if often:
         open_ = spans.where("c1 <> 0 or c2 <> 0").withColumn("range", F.pmod("c1", F.lit(parts)))
-        final = final.unionByName(open_.groupBy("range").applyInArrow(group_giving_back(_merged), "key long, lo long, hi long"))
-    return final.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+        final = final.unionByName(open_.groupBy("range").applyInArrow(group_giving_back(_merged), "key long, key2 long, lo long, hi long"))
+    return final.groupBy(*KEY).agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
 def joined_runs(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -378,8 +382,8 @@ def without(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 def _with_spans(docs: DataFrame) -> DataFrame:
     """docs with the spans of each row; a null text is empty."""
-    rows = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("key", F.xxhash64("doc_id", "_text"))
-    return rows.join(repeats(rows.select("key", F.col("_text").alias("text"))), "key", "left").drop("key")
+    rows = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumns({"key": F.xxhash64("doc_id", "_text"), "key2": F.xxhash64(F.lit(1), F.reverse("_text"), "doc_id")})
+    return rows.join(repeats(rows.select(*KEY, F.col("_text").alias("text"))), KEY, "left").drop(*KEY)
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -407,11 +411,9 @@ def remove(docs: DataFrame) -> DataFrame:
 
     Characters of which a cut leaves only some bytes go with them.
     """
-    names = docs.columns
-    inner = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), F.col("doc_id"), F.col("text"))
-    found = _with_spans(inner).drop("doc_id", "text")
-    at = f"c{names.index('text')}"
-    columns = [f"c{i}" for i in range(len(names))]
+    inner, columns, names = numbered(docs)
+    at = columns[names.index("text")]
+    found = _with_spans(inner.withColumns({"doc_id": F.col(columns[names.index("doc_id")]), "text": F.col(at)})).drop("doc_id", "text")
     kept = found.select(*columns, "_text", "spans")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields[: len(names)])
 
