@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hitloom.llm.graph import components
-from hitloom.llm.shared import giving_back, group_giving_back, partitions, written
+from hitloom.llm.shared import giving_back, group_giving_back, numbered, partitions, written
 from hitloom.llm.words import set_key, shingle_sets
 
 #: Likeness of a link as a fraction, and the radius it gives.
@@ -314,13 +314,16 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Rows without words belong to no group and stay; all columns stay.
     """
+    inner, new, old = numbered(docs)
+    doc_id, text = (F.col(new[old.index(c)]) for c in ("doc_id", "text"))
+    inner = inner.withColumns({"doc_id": doc_id.cast("long"), "text": text.cast("string")})
     id_ = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id"), F.lit(0)).alias("id"), "text_hash")
-    kept = near_duplicates(docs).where("component is not null").groupBy("component").agg(F.min(id_).alias("first")).select("first.*")
-    own = docs.withColumns({"no_id": F.col("doc_id").isNull(), "id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "text_hash": F.xxhash64(F.col("text").cast("string"))})
+    kept = near_duplicates(inner).where("component is not null").groupBy("component").agg(F.min(id_).alias("first")).select("first.*")
     keys = ["no_id", "id", "text_hash"]
-    first = own.join(kept, keys, "left_semi").dropDuplicates(keys).drop(*keys)
-    blank = docs.where(F.col("text").isNull() | ~F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"))
-    return first.unionByName(blank)
+    own = inner.withColumns({"no_id": F.col("doc_id").isNull(), "id": F.coalesce("doc_id", F.lit(0)), "text_hash": F.xxhash64("text")})
+    first = own.join(kept, keys, "left_semi").dropDuplicates(keys)
+    blank = inner.where(F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return first.select(new).unionByName(blank.select(new)).toDF(*old)
 
 
 def _ring_links(regions: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
