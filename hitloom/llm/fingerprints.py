@@ -20,7 +20,7 @@ from hitloom.llm.shared import partitions
 #: (the others are worked out only where these find empty bins).
 BINS, BITS, WORDS, PROBES = 128, 8, 5, 12
 #: Bytes of text of a range of ids, and the most quantiles that cut the ids.
-RANGE_BYTES, COARSE = 1 << 24, 500
+RANGE_BYTES, COARSE = 1 << 25, 500
 SEPARATORS = r"[\x20\x09-\x0D]+"
 
 
@@ -138,7 +138,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     ids = {r["range"]: r["first_id"] for r in placed.groupBy("range").agg(F.max("doc_id").alias("first_id")).collect()}
     order = sorted(ids, reverse=True)
     firsts = spark.createDataFrame([(ids[b], a) for a, b in zip(order, order[1:] + order[:1])], "first_id long, to long")
-    guests = docs.join(firsts, F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("to").agg(F.max("text").alias("text"))
+    # Two longs a range are broadcast, 50 MB for 100 TB of text.
+    guests = docs.join(F.broadcast(firsts), F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("to").agg(F.max("text").alias("text"))
     guests = guests.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(None).cast("long").alias("n_chars"), F.col("to").alias("range"), F.lit(True).alias("guest"))
     both = placed.withColumn("guest", F.lit(False)).unionByName(guests).withColumn("fingerprint", fingerprint(F.col("text")))
     w = Window.partitionBy("range").orderBy("guest", F.desc("doc_id"), F.desc("text"))
