@@ -1,10 +1,11 @@
 """Personal data: fixed forms, and more of them found by the contexts that they stand in.
 
-Emails, IP addresses, card and phone numbers of a fixed form are the seeds. The words around a seed are
-its patterns. Patterns and the strings seen in them make a graph, scored in rounds: a pattern is as
+Emails, IP addresses, card and phone numbers of a fixed form are the seeds. The words on both sides of a
+seed, and two words before it that end as a label, are its patterns. Patterns and the strings seen in them make a graph, scored in rounds: a pattern is as
 good as the strings that it holds, a string as likely as its patterns say together. Strings with digits
 or at signs that good patterns hold are found too, with the kind of the seeds there, and bring patterns of
-their own to the next round. SQL functions only.
+their own to the next round. Secrets (passwords, access tokens) have seeds but no fixed form: they are
+assigned strings of many hex digits, and only what good patterns hold is reported. SQL functions only.
 
 Positions come from the text between matches: a match starts after all gaps and matches before it. The
 expressions start at the head of a run only and do not give back characters, so they take linear time;
@@ -16,9 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hitloom.llm.shared import written
+from hitloom.llm.shared import numbered, written
 
 KINDS = ("email", "ip", "card", "phone")
+#: Found by contexts only: no fixed form of it is reported, its seeds are assigned strings of many hex digits.
+SECRET = "secret"
+ALL = (*KINDS, SECRET)
 
 # The marker of inner dots and separators, its stand-in where texts hold it, and the forms.
 MARK, STAND_IN = "", ""
@@ -29,12 +33,15 @@ IP_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 INNER_BLANK = r"(?<=[0-9])[\x20-](?=[0-9])"
 CARD = rf"[0-9][0-9{MARK}]++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+SECRET_SEED = r"^[0-9A-Fa-f]{32,}$"
+#: The end of a word that says what follows, as in `token =` and `phone:`.
+LABEL = r"[=:]$"
 #: Other strings that may be identifiers: words with a digit or an at sign.
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 #: Marks around such a word are not part of the string; a plus before it is, as in phone numbers.
 HEAD_MARKS, TAIL_MARKS = r"^[\p{P}\p{S}&&[^+]]++", r"(?<![\p{P}\p{S}])[\p{P}\p{S}]++$"
-#: Shortest such word, code points of a context word that count, code points of a piece of text.
-LEAST_TOKEN, NEAR_TEXT, PIECE = 6, 48, 256
+#: Code points of context that count on either side (two words, of which the far end of very long ones is left out), code points of a piece of text.
+NEAR_TEXT, PIECE = 160, 256
 #: The word before the first and after the last one; no word holds a blank.
 EDGE = " "
 
@@ -100,21 +107,23 @@ def _around(text: Column) -> Column:
 
 
 def _with_words(spans: Column, around: Column) -> Column:
-    """Spans with the words before and after in the whole text, in lower case, digits as 0."""
+    """Spans with the two words before and after in the whole text, in lower case, digits as 0."""
 
     def at(name: str, place: Column) -> Column:
         return F.coalesce(F.get(around[name], F.floor(place / PIECE).cast("int")), F.lit(""))
 
-    def word(near: Column, before: bool) -> Column:
-        near = F.substring_index(F.trim(_single_blanks(near)), " ", -1 if before else 1)
+    def words(near: Column, before: bool) -> Column:
+        """The two nearest words, nearest first."""
+        near = F.regexp_replace(F.lower(F.trim(_single_blanks(near))), "[0-9]", "0")
         near = F.substring(near, -NEAR_TEXT, NEAR_TEXT) if before else F.substring(near, 1, NEAR_TEXT)
-        near = F.regexp_replace(F.lower(near), "[0-9]", "0")
-        return F.when(near == "", EDGE).otherwise(near)
+        parts = F.split(near, " ")
+        parts = F.reverse(parts) if before else parts
+        return F.transform(F.array(F.get(parts, F.lit(0)), F.get(parts, F.lit(1))), lambda w: F.when(w.isNull() | (w == ""), EDGE).otherwise(w))
 
     def wide(x: Column) -> Column:
         left = F.concat(at("before", x["s"]), F.substring(at("pieces", x["s"]), F.lit(1), x["s"] % PIECE))
         right = F.concat(F.substring(at("pieces", x["e"]), x["e"] % PIECE + 1, F.lit(PIECE)), at("after", x["e"]))
-        return F.struct(x["s"].alias("s"), x["e"].alias("e"), x["value"].alias("value"), word(left, True).alias("left"), word(right, False).alias("right"))
+        return F.struct(x["s"].alias("s"), x["e"].alias("e"), x["value"].alias("value"), words(left, True).alias("left"), words(right, False).alias("right"))
 
     return F.transform(spans, wide)
 
@@ -161,7 +170,7 @@ def _scan(docs: DataFrame, keep: list[str]) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     found = docs.withColumn("_text", text).select(F.monotonically_increasing_id().alias("rid"), *keep, "_text")
     found = found.withColumns({f"_{k}": c for k, c in base_spans(F.col("_text")).items()})
-    words = F.filter(_spans(F.col("_text"), TOKEN), lambda x: F.char_length(x["value"]) >= LEAST_TOKEN)
+    words = _spans(F.col("_text"), TOKEN)
     found = found.withColumn("_tokens", F.when(F.col("_text").rlike("[0-9@]"), F.filter(F.transform(words, _trimmed), lambda x: x["e"] > x["s"])).otherwise(F.array().cast(SPAN)))
     known = F.concat(*(F.col(f"_{k}") for k in KINDS))
     free = _let(known, lambda all_: F.filter("_tokens", lambda t: ~F.exists(all_, lambda b: (b["s"] < t["e"]) & (b["e"] > t["s"]))))
@@ -173,8 +182,14 @@ def _scan(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def _patterns(span: Column) -> Column:
-    """Words before and after; always both, so that common words alone are no pattern."""
-    return F.concat_ws("\t", span["left"], span["right"])
+    """The patterns that a span stands in: the words on both sides, and two words before it that end as a label does.
+
+    Always two words, so that one common word alone is no pattern; a text's edge is no second word of a label.
+    """
+    l1, l2, r1 = span["left"][0], span["left"][1], span["right"][0]
+    both = F.concat_ws("\t", F.lit("both"), l1, r1)
+    label = F.when(l1.rlike(LABEL) & (l2 != EDGE), F.concat_ws("\t", F.lit("label"), l2, l1))
+    return F.filter(F.array(both, label), lambda p: p.isNotNull())
 
 
 def discovered(scanned: DataFrame) -> DataFrame | None:
@@ -183,12 +198,18 @@ def discovered(scanned: DataFrame) -> DataFrame | None:
     Counts are of distinct strings, so one string that is copied a million times is one witness, and
     they are summed before they are shuffled.
     """
+
+    def placed(spans: Column) -> DataFrame:
+        return scanned.select("rid", F.explode(spans).alias("x")).select("rid", "x.s", "x.e", F.col("x.value").alias("value"), F.explode(_patterns(F.col("x"))).alias("pattern"))
+
     seeds = None
-    for kind in KINDS:
-        rows = scanned.select(F.explode(f"_{kind}").alias("x")).select(F.lit(kind).alias("kind"), F.col("x.value").alias("value"), _patterns(F.col("x")).alias("pattern"))
+    for kind in ALL:
+        # Seeds of secrets are among the candidates, and are reported where a good pattern holds them.
+        spans = F.col(f"_{kind}") if kind in KINDS else F.filter("_tokens", lambda x: x["value"].rlike(SECRET_SEED) & x["left"][0].rlike(LABEL))
+        rows = placed(spans).select(F.lit(kind).alias("kind"), "value", "pattern")
         seeds = rows if seeds is None else seeds.unionByName(rows)
     seeds = written(seeds.distinct())
-    places = scanned.select("rid", F.explode("_tokens").alias("x")).select("rid", "x.s", "x.e", F.col("x.value").alias("value"), _patterns(F.col("x")).alias("pattern"))
+    places = placed(F.col("_tokens"))
     seen = seeds.select("pattern", "value").distinct()
     held = written(places.select("pattern", "value").distinct())
     sure = seeds.select("value", "kind", F.lit(1.0).alias("score")).distinct()
@@ -200,15 +221,15 @@ def discovered(scanned: DataFrame) -> DataFrame | None:
         total = edges.groupBy("pattern").agg(F.count_distinct("value").alias("all"))
         patterns = edges.join(scores, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("score"))
         rated = patterns.join(total, "pattern").select("pattern", "kind", (F.col("score") / (F.col("all") + 0.5)).alias("rate")).where(F.col("rate") >= GOOD_PATTERN)
-        told = edges.join(sure.select("value").distinct(), "value", "left_anti").join(rated, "pattern").groupBy("value", "kind")
+        told = edges.join(sure.where(F.col("kind") != SECRET).select("value").distinct(), "value", "left_anti").join(rated, "pattern").groupBy("value", "kind")
         likely = written(told.agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("rate"), F.lit(0.999)))))).alias("score")))
         if not likely.limit(1).count():
             return None
-        scores = sure.unionByName(likely)
+        scores = sure.unionByName(likely.join(sure, ["value", "kind"], "left_anti").select("value", "kind", "score"))
         best = likely.groupBy("value").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"), F.max("score").alias("score")).where(F.col("score") >= GOOD_STRING)
         trusted = seen.unionByName(held.join(best.select("value"), "value"))
-    # A string is found where a pattern of the last round holds it.
-    return places.join(good, "pattern").join(best, "value").select("rid", "kind", "s", "e").distinct()
+    # A string is found where a pattern that the last round rates high for its kind holds it.
+    return places.join(rated.select("pattern", "kind"), "pattern").join(best.select("value", "kind"), ["value", "kind"]).select("rid", "kind", "s", "e").distinct()
 
 
 def find(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -222,7 +243,7 @@ def find(docs: DataFrame, keep: list[str]) -> DataFrame:
     more = discovered(scanned)
     if more is None:
         return rows.withColumn("spans", F.col("base")).drop("rid")
-    number = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
+    number = F.array_position(F.array(*map(F.lit, ALL)), F.col("kind")).cast("int") - 1
     added = more.groupBy("rid").agg(F.collect_list(F.struct(number.alias("k"), "s", "e", "kind")).alias("more"))
     both = rows.join(added, "rid", "left")
     return both.withColumn("spans", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more")))).drop("rid", "more")
@@ -265,8 +286,7 @@ def masked(text: Column, spans: Column) -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with personal data in text masked; all rows and columns stay, null texts stay null."""
     names = docs.columns
-    inner = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), F.col("text"))
-    found = find(inner, [f"c{i}" for i in range(len(names))])
-    at = f"c{names.index('text')}"
-    out = found.withColumn(at, masked(F.col(at), F.col("spans")))
-    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
+    inner, new, _ = numbered(docs)
+    at = new[names.index("text")]
+    found = find(inner.withColumn("text", F.col(at)), new)
+    return found.withColumn(at, masked(F.col(at), F.col("spans"))).select(new).toDF(*names)
