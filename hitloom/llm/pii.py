@@ -36,6 +36,8 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 SECRET_SEED = r"^[0-9A-Fa-f]{32,}$"
 #: The end of a word that says what follows, as in `token =` and `phone:`.
 LABEL = r"[=:]$"
+#: Quotes next to a string are no words.
+OPENED, CLOSED = "[\"'`]$", "^[\"'`]"
 #: Other strings that may be identifiers: words with a digit or an at sign.
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 #: Marks around such a word are not part of the string; a plus before it is, as in phone numbers.
@@ -113,7 +115,8 @@ def _with_words(spans: Column, around: Column) -> Column:
         return F.coalesce(F.get(around[name], F.floor(place / PIECE).cast("int")), F.lit(""))
 
     def words(near: Column, before: bool) -> Column:
-        """The two nearest words, nearest first."""
+        """The two nearest words, nearest first; a quote that the string stands in is none."""
+        near = F.regexp_replace(near, OPENED if before else CLOSED, "")
         near = F.regexp_replace(F.lower(F.trim(_single_blanks(near))), "[0-9]", "0")
         near = F.substring(near, -NEAR_TEXT, NEAR_TEXT) if before else F.substring(near, 1, NEAR_TEXT)
         parts = F.split(near, " ")

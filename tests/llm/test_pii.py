@@ -123,6 +123,7 @@ BLANKS = r"[ \t\n\x0b\f\r]+"
 
 
 def near_words(part: str, before: bool) -> list[str]:
+    part = re.sub("[\"'`]\\Z" if before else "\\A[\"'`]", "", part)
     words = re.sub("[0-9]", "0", re.sub(BLANKS, " ", part).strip(" ").lower())
     words = (words[-pii.NEAR_TEXT :] if before else words[: pii.NEAR_TEXT]).split(" ")
     return [w or pii.EDGE for w in ([*words[::-1], ""] if before else [*words, ""])[:2]]
@@ -202,7 +203,7 @@ def planted(seed: int) -> tuple[list[str], list[tuple]]:
         for k in range(60):
             value = free() if k % 6 == 0 else fixed()  # five seeds to an unseen one
             words = rng.choices(vocabulary, k=14)
-            words[6:6] = [rng.choice(contexts), value, "this night"] if kind == "ip" else [rng.choice(contexts), value + rng.choice(["", ".", ",", "!!"])]
+            words[6:6] = [rng.choice(contexts), value, "this night"] if kind == "ip" else [rng.choice(contexts), rng.choice(["{}", "{}.", "{},", "{}!!", "'{}'", '"{}".']).format(value)]
             if kind == "secret" or k % 6 == 0:
                 want.append((len(texts), kind, value))
             texts.append(" ".join(words))
