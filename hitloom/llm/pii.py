@@ -37,7 +37,7 @@ SECRET_SEED = r"^[0-9A-Fa-f]{32,}$"
 #: The end of a word that says what follows, as in `token =` and `phone:`.
 LABEL = r"[=:]$"
 #: Quotes next to a string are no words.
-OPENED, CLOSED = "[\"'`]$", "^[\"'`]"
+OPENED, CLOSED = "[\"'`]\\z", "^[\"'`]"
 #: Other strings that may be identifiers: words with a digit or an at sign.
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 #: Marks around such a word are not part of the string; a plus before it is, as in phone numbers.
