@@ -34,8 +34,8 @@ BLOCK, PIECE, COLLECTED, SHARD = 1 << 18, 1 << 17, 1 << 24, 1 << 20
 FLUSH, FREQUENT = 400_000, 1 / 20_000
 LEAST_FREQUENT = 30
 
-#: A row is known by 128 bits.
-KEY = ["key", "key2"]
+#: A row is known by its doc_id (or NO_ID) and a hash of its text.
+KEY, NO_ID = ["key", "key2"], -(1 << 63)
 SPANS = "key long, key2 long, lo long, hi long, c1 long, c2 long"
 
 
@@ -382,7 +382,8 @@ def without(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 def _with_spans(docs: DataFrame) -> DataFrame:
     """docs with the spans of each row; a null text is empty."""
-    rows = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumns({"key": F.xxhash64("doc_id", "_text"), "key2": F.xxhash64(F.lit(1), F.reverse("_text"), "doc_id")})
+    rows = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = rows.withColumns({"key": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "key2": F.xxhash64("_text")})
     return rows.join(repeats(rows.select(*KEY, F.col("_text").alias("text"))), KEY, "left").drop(*KEY)
 
 
