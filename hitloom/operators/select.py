@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -46,3 +46,65 @@ def back_scatter(hits: DataFrame, values: DataFrame, defaults: dict[str, float])
     kept = values.select("event_id", "hit_id", *(F.col(c).alias(f"_{c}") for c in defaults))
     out = hits.select("event_id", "hit_id").join(kept, ["event_id", "hit_id"], "left")
     return out.select("event_id", "hit_id", *(F.coalesce(f"_{c}", F.lit(d)).alias(c) for c, d in defaults.items()))
+
+
+def seeded(seed: int, *keys: str) -> Column:
+    """A text that orders rows at random, the same for equal seeds and keys."""
+    return F.md5(F.concat_ws("-", F.lit(str(seed)), *keys).cast("binary"))
+
+
+def downsample(hits: DataFrame, n: int, seed: int) -> DataFrame:
+    """At most n rows of each event, at random."""
+    order = event().orderBy(seeded(seed, "event_id", "hit_id"), "hit_id")
+    return hits.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= n).drop("_rn")
+
+
+def shuffled(events: DataFrame, seed: int) -> DataFrame:
+    """event_id and place of distinct events in a seeded random order.
+
+    Events are dealt to 256 shares by the first digits of their hash, which come one after another: windows order
+    each share, and only the shares' sizes are summed in one task.
+    """
+    rows = events.select("event_id", seeded(seed, "event_id").alias("_h")).withColumn("_share", F.substring("_h", 1, 2))
+    sizes = rows.groupBy("_share").agg(F.count("*").alias("_n"))
+    before = sizes.select("_share", F.coalesce(F.sum("_n").over(Window.orderBy("_share").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    inner = F.row_number().over(Window.partitionBy("_share").orderBy("_h", "event_id")) - 1
+    return rows.withColumn("_at", inner).join(F.broadcast(before), "_share").select("event_id", (F.col("_base") + F.col("_at")).cast("long").alias("place"))
+
+
+def without_pile_up(frame: DataFrame, least: int) -> DataFrame:
+    """Rows whose true object is numbered below least; those without one go too."""
+    return frame.where(F.col("t_idx") < least)
+
+
+def chained(first: DataFrame, second: DataFrame) -> DataFrame:
+    """The map of two filters that follow each other."""
+    then = second.select("event_id", F.col("hit_id").alias("new_id"), F.col("new_id").alias("_top"))
+    return first.join(then, ["event_id", "new_id"]).select("event_id", "hit_id", F.col("_top").alias("new_id"))
+
+
+def removed_at(hits: DataFrame, kept: list[DataFrame]) -> DataFrame:
+    """removed_at: the number of the first filter, from 1, that a row did not pass; 0 where it passed all."""
+    passed = None
+    for k, rows in enumerate(kept, 1):
+        one = rows.select("event_id", "hit_id", F.lit(k).alias("_k"))
+        passed = one if passed is None else passed.unionByName(one)
+    last = passed.groupBy("event_id", "hit_id").agg(F.max("_k").alias("_k"))
+    out = hits.select("event_id", "hit_id").join(last, ["event_id", "hit_id"], "left")
+    return out.select("event_id", "hit_id", F.when(F.col("_k") == len(kept), 0).otherwise(F.coalesce("_k", F.lit(0)) + 1).alias("removed_at"))
+
+
+def select_lowered_twice(hits: DataFrame, score: str, threshold: float, hardness: float = 20.0, below: float = 1e-2) -> DataFrame:
+    """Rows from thr on, with a soft weight: thr is the threshold, or the event's best score if that is lower, or just below
+    the least best score of all events if that is lower still."""
+    best = hits.groupBy("event_id").agg(F.max(score).alias("_m"))
+    least = best.agg((F.min("_m") - below).alias("_all"))
+    rows = hits.join(best, "event_id").crossJoin(F.broadcast(least))  # one row is broadcast
+    rows = rows.withColumn("thr", F.least(F.lit(threshold), "_m", "_all")).where(F.col(score) >= F.col("thr"))
+    return rows.withColumn("weight", 1 / (1 + F.exp(-hardness * (F.col(score) - 4.6 / hardness - F.col("thr"))))).drop("_m", "_all")
+
+
+def past_marks(rows: DataFrame, cache: DataFrame, experiment: str, order: str) -> DataFrame:
+    """Rows beyond the greatest value of order that the cache holds of their experiment; all rows of experiments that it lacks."""
+    marks = cache.groupBy(experiment).agg(F.max(order).alias("_mark"))
+    return rows.join(marks, experiment, "left").where(F.col("_mark").isNull() | (F.col(order) > F.col("_mark"))).drop("_mark")

@@ -39,6 +39,10 @@ class MetricsStore:
             rows = rows.where(F.expr(condition))
         return rows.select(*fields) if fields else rows
 
+    def query(self, sql: str, **tables: str) -> DataFrame:
+        """SQL in which {name} stands for a table of the store: query("SELECT ... FROM {rows}", rows="values")."""
+        return self.spark.sql(sql, **{name: self.table(table) for name, table in tables.items()})
+
     def experiments(self, table: str) -> DataFrame:
         return self.table(table).select(NAME).distinct()
 
