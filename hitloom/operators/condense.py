@@ -41,42 +41,47 @@ def greedy(coords: np.ndarray, beta: np.ndarray, radius: np.ndarray, threshold:
     return sid, points
 
 
-def condense(hits: DataFrame, beta: str = "beta", radius: Column | float = 1.0, threshold: float = 0.1, coords: tuple[str, ...] = ("x", "y", "z"), max_beta: bool = False, keep_noise: bool = False) -> DataFrame:
-    """event_id, hit_id, sid (-1: noise) and alpha_id (null: noise) of every row; rows with beta > threshold may be points.
+def condense(hits: DataFrame, beta: str = "beta", radius: Column | float = 1.0, threshold: float = 0.1, coords: tuple[str, ...] = ("x", "y", "z"), max_beta: bool = False, keep_noise: bool = False, singletons: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """event_id, hit_id, sid (-1: noise), alpha_id (null: noise) and the columns of keep of every row; rows with beta > threshold may be points.
 
-    keep_noise: rows that no point takes become objects of their own, numbered first.
+    keep_noise: rows that no point takes become objects of their own, numbered first. singletons: rows that
+    are objects of their own in any case, numbered last; they neither take rows nor are taken.
     """
-    rows = hits.select("event_id", "hit_id", *(F.col(c).cast("double").alias(c) for c in coords), F.col(beta).cast("double").alias("_b"), (radius if isinstance(radius, Column) else F.lit(radius)).cast("double").alias("_r"))
+    alone = (singletons if singletons is not None else F.lit(False)).alias("_alone")
+    rows = hits.select("event_id", "hit_id", *keep, alone, *(F.col(c).cast("double").alias(f"_{c}") for c in coords), F.col(beta).cast("double").alias("_b"), (radius if isinstance(radius, Column) else F.lit(radius)).cast("double").alias("_r"))
 
     def one(event: pa.Table) -> pa.Table:
-        xyz = np.stack([event[c].to_numpy() for c in coords], axis=1)
-        sid, points = greedy(xyz, event["_b"].to_numpy(), event["_r"].to_numpy(), threshold, max_beta)
+        xyz = np.stack([event[f"_{c}"].to_numpy() for c in coords], axis=1)
         ids = event["hit_id"].to_numpy()
-        alpha = np.where(sid >= 0, ids[np.array([*points, 0])[sid]], 0)
+        own = np.array(event["_alone"].to_pylist(), bool)
+        free = np.flatnonzero(~own)
+        sid, alpha = np.full(len(ids), -1), ids.copy()
+        found, points = greedy(xyz[free], event["_b"].to_numpy()[free], event["_r"].to_numpy()[free], threshold, max_beta)
+        sid[free] = found
+        sid[own] = len(points) + np.arange(own.sum())
+        held = free[found >= 0]
+        alpha[held] = ids[free[np.array(points, np.int64)[found[found >= 0]]]]
         noise = sid < 0
         if keep_noise:
             sid = np.where(noise, np.cumsum(noise) - 1, sid + noise.sum())
             alpha, noise = np.where(noise, ids, alpha), np.zeros(len(ids), bool)
-        return pa.table({"event_id": event["event_id"], "hit_id": ids, "sid": sid.astype(np.int32), "alpha_id": pa.array(alpha, mask=noise)})
+        out = {"event_id": event["event_id"], "hit_id": ids, "sid": sid.astype(np.int32), "alpha_id": pa.array(alpha, mask=noise)}
+        return pa.table(out | {name: event[name] for name in keep})
 
-    return per_event(rows, one, ASSIGNED, "hit_id")
+    more = [f"{f.name} {f.dataType.simpleString()}" for f in hits.select(*keep).schema.fields] if keep else []
+    return per_event(rows, one, ", ".join([ASSIGNED, *more]), "hit_id")
 
 
-def local_cluster(edges: DataFrame, hits: DataFrame, score: str) -> DataFrame:
-    """Rows in descending score: a free row becomes a centre and takes its free neighbours. event_id, hit_id, centre_id."""
-    rows = edges.where("slot > 0").groupBy("event_id", "hit_id").agg(F.collect_list("nbr_id").alias("nbrs"))
-    rows = hits.select("event_id", "hit_id", F.col(score).alias("_s")).join(rows, ["event_id", "hit_id"], "left")
+def condense_scaled(hits: DataFrame, scale: Column, distance: float, threshold: float, **more) -> DataFrame:
+    """condense() with each row's own distance scale times one distance as its radius."""
+    return condense(hits, radius=scale * distance, threshold=threshold, **more)
 
-    def one(event: pa.Table) -> pa.Table:
-        centre: dict[int, int] = {}
-        for i, nbrs in zip(event["hit_id"].to_pylist(), event["nbrs"].to_pylist()):
-            if i not in centre:
-                for j in (i, *(nbrs or ())):
-                    centre.setdefault(j, i)
-        return pa.table({"event_id": event["event_id"], "hit_id": event["hit_id"], "centre_id": [centre[i] for i in event["hit_id"].to_pylist()]})
-
-    ranked = rows.withColumn("_s", -F.col("_s"))
-    return per_event(ranked, one, "event_id long, hit_id long, centre_id long", "_s", "hit_id")
+
+def alpha_maps(assigned: DataFrame) -> DataFrame:
+    """slot (sid + 1; 0: noise), representative (the alpha; of noise its last row) and ragged (the object's place in its event) of each row."""
+    event = Window.partitionBy("event_id")
+    last = F.max(F.when(F.col("sid") < 0, F.col("hit_id"))).over(event)
+    return assigned.select("event_id", "hit_id", (F.col("sid") + 1).alias("slot"), F.coalesce("alpha_id", last).alias("representative"), (F.dense_rank().over(event.orderBy("sid")) - 1).alias("ragged"))
 
 
 def object_energy(assigned: DataFrame, hits: DataFrame) -> DataFrame:

@@ -61,3 +61,31 @@ def match(overlaps: DataFrame, truth: str, pred: str, threshold: float) -> DataF
         return pa.table([list(x) for x in zip(*pairs)] if pairs else [[]] * 4, schema=schema)
 
     return per_event(overlaps, one, f"event_id long, {truth} int, {pred} int, iou double", truth, pred)
+
+
+def frame(hits: DataFrame, weight: str, threshold: float) -> DataFrame:
+    """True and predicted objects of hits(event_id, t_idx, pred), matched or alone: t_idx, t_energy, pred, pred_energy, iou.
+
+    Weights are summed before events come together, and one task matches an event and joins both sides.
+    Ids below 0 are noise.
+    """
+    cells = hits.groupBy("event_id", "t_idx", "pred").agg(F.sum(weight).alias("w"))
+    schema = pa.schema([("event_id", pa.int64()), ("t_idx", pa.int32()), ("t_energy", pa.float64()), ("pred", pa.int32()), ("pred_energy", pa.float64()), ("iou", pa.float64())])
+
+    def one(event: pa.Table) -> pa.Table:
+        a, b, w = (event[c].to_numpy() for c in ("t_idx", "pred", "w"))
+        t, p = np.unique(a[a >= 0]), np.unique(b[b >= 0])
+        total_t, total_p = (np.array([w[ids == x].sum() for x in names]) for ids, names in ((a, t), (b, p)))
+        both = np.zeros((len(t), len(p)))
+        inner = (a >= 0) & (b >= 0)
+        both[np.searchsorted(t, a[inner]), np.searchsorted(p, b[inner])] = w[inner]
+        union = total_t[:, None] + total_p[None] - both
+        iou = np.divide(both, union, out=np.zeros_like(both), where=union != 0)
+        value = np.where(iou >= threshold, iou, 0)
+        pairs = {i: j for i, j in assign(value) if value[i, j] > 0}
+        rows = [(t[i], total_t[i], *((p[j], total_p[j], iou[i, j]) if (j := pairs.get(i)) is not None else (None,) * 3)) for i in range(len(t))]
+        rows += [(None, None, p[j], total_p[j], None) for j in range(len(p)) if j not in pairs.values()]
+        number = event["event_id"][0].as_py()
+        return pa.Table.from_pylist([dict(zip(schema.names, (number, *x))) for x in rows], schema=schema)
+
+    return per_event(cells, one, "event_id long, t_idx int, t_energy double, pred int, pred_energy double, iou double", "t_idx", "pred")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hitloom.operators import knn as kn
-from hitloom.plans.objects import IOU, match_objects, predicted
+from hitloom.plans.objects import IOU, predicted
 from hitloom.functions.columns import c
 from hitloom.plans.registry import K, on_edges, on_hits, query, r
 from hitloom.operators import edges as ed
@@ -218,24 +218,6 @@ def overlap_histogram(t: Tables) -> DataFrame:
     return overlap(predicted(t), "t_idx", "pred", "energy").where("iou >= 0.1").select(v).groupBy(F.floor("v").alias("bin")).agg(F.count("*").alias("n"), r(F.avg("v")).alias("mean"))
 
 
-@query()
-def analyse(t: Tables) -> DataFrame:
-    """The flagship: match objects, join both sides in full, and give binned efficiency, response and fakes."""
-    m = match_objects(t)
-    truth = t.hits().where("t_idx >= 0").groupBy("event_id", "t_idx").agg(F.sum("energy").alias("t_energy"))
-    pred = predicted(t).groupBy("event_id", "pred").agg(F.sum("energy").alias("pred_energy"))
-    frame = truth.join(m, ["event_id", "t_idx"], "left").join(pred, ["event_id", "pred"], "full_outer")
-    edges = [0, 50, 100, 150, 200, 300, 400, 600, 1000, 2000]
-    is_t, is_p = F.col("t_energy").isNotNull(), F.col("pred_energy").isNotNull()
-    b = bin_of(F.coalesce("t_energy", "pred_energy"), edges, False)
-    n = frame.groupBy(b.alias("bin")).agg(
-        F.count_if(is_t).alias("n_true"), F.count_if(is_p).alias("n_pred"), r(F.try_divide(F.count_if(is_t & is_p), F.count_if(is_t)), 6).alias("efficiency"),
-        r(F.try_divide(F.count_if(is_p & ~is_t), F.count_if(is_p)), 6).alias("fake_rate"), r(F.avg(F.col("pred_energy") / F.col("t_energy")), 5).alias("response"),
-        r(F.stddev_pop(F.col("pred_energy") / F.col("t_energy")), 5).alias("spread"),
-    )
-    return n.where("bin is not null")
-
-
 @query("SELECT event_type, count(*) AS n, round(sum(v), 5) AS total, round(max(v), 5) AS top FROM (SELECT event_type, user_id, CASE WHEN isnan(value) OR isinf(value) THEN 0 ELSE value END AS v FROM events) WHERE user_id % 2 = 0 AND event_type IN ('click', 'view') GROUP BY 1")
 def store_read(t: Tables) -> DataFrame:
     """A metrics store: rows appended by experiment, then read for some experiments under a condition."""

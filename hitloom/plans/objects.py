@@ -145,30 +145,6 @@ def condense_max_beta(t: Tables) -> DataFrame:
     return condensed(t, True).withColumn("sid", F.col("sid").cast("long"))
 
 
-@query()
-def condense_default(t: Tables) -> DataFrame:
-    """Density peaks; later points may take rows over. Tests hold it against a plain sequential version."""
-    return condensed(t, False)
-
-
-@query()
-def condense_keep_noise(t: Tables) -> DataFrame:
-    return condensed(t, False, True)
-
-
-@query()
-def condensate_objects(t: Tables) -> DataFrame:
-    """Objects of the default clustering: size, energy, alpha's own values, share of the event."""
-    rows = condensed(t, False).join(t.hits(), KEY).where("sid >= 0")
-    own = F.max(F.when(F.col("hit_id") == F.col("alpha_id"), F.col("beta")))
-    return rows.groupBy("event_id", "sid", "alpha_id").agg(F.count("*").alias("n"), r(F.sum("energy"), 5).alias("energy"), r(own).alias("alpha_beta"))
-
-
-@query()
-def local_cluster(t: Tables) -> DataFrame:
-    return co.local_cluster(kn.knn(t.hits(), K), t.hits(), "beta")
-
-
 IOU = """ious AS (SELECT i.event_id, i.t_idx, i.pred, i.w/(t.w+p.w-i.w) AS iou FROM (SELECT event_id, t_idx, CAST(floor(x/17) AS INTEGER) AS pred, sum(energy) AS w FROM hits WHERE t_idx >= 0 GROUP BY 1, 2, 3) i
   JOIN (SELECT event_id, t_idx, sum(energy) AS w FROM hits WHERE t_idx >= 0 GROUP BY 1, 2) t USING (event_id, t_idx)
   JOIN (SELECT event_id, CAST(floor(x/17) AS INTEGER) AS pred, sum(energy) AS w FROM hits GROUP BY 1, 2) p USING (event_id, pred))"""
@@ -184,12 +160,6 @@ def iou_matrix(t: Tables) -> DataFrame:
     return ma.overlap(predicted(t), "t_idx", "pred", "energy").select("event_id", "t_idx", "pred", r("iou").alias("iou"))
 
 
-@query()
-def match_objects(t: Tables) -> DataFrame:
-    """The assignment with the greatest total overlap; tests try all assignments of small events."""
-    return ma.match(ma.overlap(predicted(t), "t_idx", "pred", "energy"), "t_idx", "pred", 0.1)
-
-
 @query(on_hits("""SELECT event_id, round(best, 5) AS best FROM (SELECT a.event_id, max(a.s) AS best FROM (SELECT x.event_id, coalesce(x.v, 0)+coalesce(y.v, 0)+coalesce(z.v, 0) AS s FROM
   (SELECT e.event_id, c.t_idx, i.v FROM (SELECT DISTINCT event_id FROM thr) e CROSS JOIN (SELECT unnest(range(0, 8)) AS t_idx) c LEFT JOIN thr i ON i.event_id = e.event_id AND i.t_idx = c.t_idx AND i.pred = 0) x
   JOIN (SELECT e.event_id, c.t_idx, i.v FROM (SELECT DISTINCT event_id FROM thr) e CROSS JOIN (SELECT unnest(range(0, 8)) AS t_idx) c LEFT JOIN thr i ON i.event_id = e.event_id AND i.t_idx = c.t_idx AND i.pred = 1) y ON x.event_id = y.event_id AND x.t_idx <> y.t_idx
@@ -197,14 +167,4 @@ def match_objects(t: Tables) -> DataFrame:
   IOU, "thr AS (SELECT event_id, t_idx, pred, CASE WHEN iou >= 0.1 THEN iou ELSE 0 END AS v FROM ious)"))
 def match_score(t: Tables) -> DataFrame:
     """Total overlap of the assignment: the same for all optimal ones."""
-    return match_objects(t).groupBy("event_id").agg(r(F.sum("iou"), 5).alias("best"))
-
-
-@query()
-def matched_objects(t: Tables) -> DataFrame:
-    """True and predicted objects, matched or alone: a full outer join through the matches."""
-    m = match_objects(t)
-    truth = t.hits().where("t_idx >= 0").groupBy("event_id", "t_idx").agg(F.sum("energy").alias("t_energy"))
-    pred = predicted(t).groupBy("event_id", "pred").agg(F.sum("energy").alias("pred_energy"))
-    left = truth.join(m, ["event_id", "t_idx"], "left")
-    return left.join(pred, ["event_id", "pred"], "full_outer").select("event_id", "t_idx", "pred", r("t_energy", 5).alias("t_energy"), r("pred_energy", 5).alias("pred_energy"), r("iou").alias("iou"))
+    return ma.match(ma.overlap(predicted(t), "t_idx", "pred", "energy"), "t_idx", "pred", 0.1).groupBy("event_id").agg(r(F.sum("iou"), 5).alias("best"))
