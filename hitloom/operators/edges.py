@@ -49,3 +49,13 @@ def covariance(edges: DataFrame, hits: DataFrame, feature: str, coords: tuple[st
     parts = [(a, b) for i, a in enumerate(coords) for b in coords[: i + 1]]
     cov = [(F.sum(w * (F.col(f"n_{a}") - F.col(f"m_{a}")) * (F.col(f"n_{b}") - F.col(f"m_{b}"))) / total).alias(f"cov_{a}{b}") for a, b in parts]
     return centred.groupBy(*KEY).agg(*cov, *(F.first(f"m_{c}").alias(f"m_{c}") for c in coords))
+
+
+def composed_covariance(edges: DataFrame, hits: DataFrame, strength: str, coords: Sequence[str], weight: Column) -> DataFrame:
+    """All entries of each row's neighbour covariance, columns xx, xy, ...: each neighbour is taken about the mean of its own neighbours."""
+    near = with_neighbour(edges, hits, strength, *coords).withColumn("_w", weight * F.col(f"n_{strength}"))
+    total = F.sum("_w") + 1e-3
+    means = near.groupBy("event_id", "hit_id").agg(*((F.sum(F.col("_w") * F.col(f"n_{x}")) / total).alias(f"_m{x}") for x in coords))
+    centred = near.join(means.withColumnRenamed("hit_id", "nbr_id"), ["event_id", "nbr_id"])
+    off = {x: F.col(f"n_{x}") - F.col(f"_m{x}") for x in coords}
+    return centred.groupBy("event_id", "hit_id").agg(*((F.sum(F.col("_w") * off[x] * off[y]) / total).alias(f"{x}{y}") for x in coords for y in coords))

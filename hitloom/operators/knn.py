@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hitloom.session import stored
+
 SELF, NEAR = "p", "n"
 
 
@@ -59,27 +60,80 @@ def _cells(hits: DataFrame, coords: Sequence[str], width: float) -> DataFrame:
     return hits.withColumns({f"c_{c}": F.floor(F.col(c) / width) for c in coords})
 
 
+def _ring_pairs(probes: DataFrame, grid: DataFrame, inner: int, outer: int, coords: Sequence[str], binned: Sequence[str]) -> DataFrame:
+    """Pairs of probes with the rows of the cells beyond inner and up to outer cells from theirs: an equi-join on (event, cell).
+
+    Where probes have lo_c and hi_c, cells outside are left out.
+    """
+    cells = [f"c_{c}" for c in binned]
+    left = probes
+    for c in cells:
+        lo, hi = F.col(c) - outer, F.col(c) + outer
+        if f"lo_{c}" in probes.columns:
+            lo, hi = F.greatest(lo, f"lo_{c}"), F.least(hi, f"hi_{c}")
+        left = left.withColumn(f"to_{c}", F.explode(F.when(lo <= hi, F.sequence(lo, hi))))
+    away = [F.abs(F.col(f"to_{c}") - F.col(c)) for c in cells]
+    left = left.where((F.greatest(*away) if len(away) > 1 else away[0]) > inner)
+    left = _side(left, SELF, ["event_id", *(F.col(f"to_{c}").alias(c) for c in cells)], coords)
+    right = _side(grid, NEAR, ["event_id", *cells], coords)
+    return left.join(right, ["event_id", *cells]).withColumn("dsq", squared_distance(coords)).select("event_id", "hit_id", "nbr_id", "dsq")
+
+
 def knn_single_ring(hits: DataFrame, k: int, width: float, coords: Sequence[str] = ("x", "y", "z"), binned: Sequence[str] = ("x", "y")) -> DataFrame:
     """Neighbours among a row's own cell and those around it: approximate, an equi-join on cells."""
     grid = _cells(hits, binned, width)
-    cells = [f"c_{c}" for c in binned]
-    around = F.array(*(F.struct(*((F.col(c) + o).alias(c) for c, o in zip(cells, offset))) for offset in itertools.product((-1, 0, 1), repeat=len(cells))))
-    left = _side(grid.withColumn("cell", F.explode(around)), SELF, ["event_id", *(F.col(f"cell.{c}").alias(c) for c in cells)], coords)
-    right = _side(grid, NEAR, ["event_id", *cells], coords)
-    return _nearest(left.join(right, ["event_id", *cells]).withColumn("dsq", squared_distance(coords)), k, None)
+    return _nearest(_ring_pairs(grid, grid, -1, 1, coords, binned), k, None)
 
 
-def knn_grid(hits: DataFrame, k: int, width: float, coords: Sequence[str] = ("x", "y", "z"), binned: Sequence[str] = ("x", "y")) -> DataFrame:
-    """Exact neighbours: those of the ring where the k-th distance proves them, else of the whole event.
+def cell_width(hits: DataFrame, k: int, binned: Sequence[str] = ("x", "y")) -> float:
+    """A width by which a cell holds about k / 32 rows of a mean event: 5 to 30 cells along the longest side."""
+    size = [F.max(c) - F.min(c) for c in binned]
+    stats = hits.groupBy("event_id").agg(F.count("*").alias("n"), F.greatest(*size, F.lit(0.0)).alias("range") if len(size) > 1 else size[0].alias("range")).agg(F.avg("n").alias("n"), F.max("range").alias("range")).first()
+    if stats["n"] is None or not stats["range"]:
+        return 1.0
+    return stats["range"] * 1.00001 / min(30, max(5, int((stats["n"] / (k / 32)) ** (1 / len(binned)))))
 
-    A row outside the ring is at least one cell width away, so k rows nearer than that are the nearest.
+
+def knn_grid(hits: DataFrame, k: int, width: float | None = None, coords: Sequence[str] = ("x", "y", "z"), binned: Sequence[str] = ("x", "y"), probes: Column | None = None, neighbours: Column | None = None) -> DataFrame:
+    """Exact neighbours through cells of a grid, ring by ring: event_id, hit_id, nbr_id, dsq, slot.
+
+    A row outside the first r rings of cells is at least r widths away, so k rows within that distance are the
+    nearest: such probes are done, and the others look at the next ring only, beside the k best that they have.
+    Rings double in number until all probes are proven or have seen their whole event. Work follows the rows of the cells that are met, not the square of an event. Rows without a place (null or not
+    finite in a coordinate) take no part. probes and neighbours are as in knn().
     """
-    near = knn_single_ring(hits, k, width, coords, binned)
-    proven = near.groupBy("event_id", "hit_id").agg(F.count("*").alias("n"), F.max("dsq").alias("far")).where((F.col("n") == k) & (F.col("far") < width * width)).select("event_id", "hit_id")
-    open_ = hits.join(proven, ["event_id", "hit_id"], "left_anti")
-    left = _side(open_, SELF, ["event_id"], coords)
-    rest = _nearest(left.join(_side(hits, NEAR, ["event_id"], coords), "event_id").withColumn("dsq", squared_distance(coords)), k, None)
-    return near.join(proven, ["event_id", "hit_id"], "left_semi").unionByName(rest)
+    usable = hits.where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c}) AND abs({c}) < double('inf')" for c in coords))
+    width = width or cell_width(usable, k, binned)
+    grid = _cells(usable, binned, width)
+    cells = [f"c_{c}" for c in binned]
+    found_in = grid if neighbours is None else grid.where(neighbours)
+    asks = grid if probes is None else grid.where(probes)
+    # How far the rows of an event reach, in cells: beyond, there is nothing to find.
+    span = found_in.groupBy("event_id").agg(*(F.min(c).alias(f"lo_{c}") for c in cells), *(F.max(c).alias(f"hi_{c}") for c in cells))
+    reach = F.greatest(*(x for c in cells for x in (F.col(c) - F.col(f"lo_{c}"), F.col(f"hi_{c}") - F.col(c))))
+    ends = [f"{e}_{c}" for c in cells for e in ("lo", "hi")]
+    open_ = asks.join(span, "event_id", "left").withColumn("reach", F.coalesce(reach, F.lit(-1))).select("event_id", "hit_id", *coords, *cells, *ends, "reach")
+    inner, outer = -1, 1
+    best = asks.select("event_id", "hit_id", F.col("hit_id").alias("nbr_id"), F.lit(0.0).alias("dsq"))
+    done: list[DataFrame] = []
+    while True:
+        more = _ring_pairs(open_, found_in, inner, outer, coords, binned).where("nbr_id <> hit_id")
+        near = _nearest(best.unionByName(more), k, None)
+        told = Window.partitionBy("event_id", "hit_id")
+        rated = near.withColumn("n", F.count("*").over(told)).withColumn("far", F.max("dsq").over(told))
+        rated = stored(rated.join(open_.select("event_id", "hit_id", "reach"), ["event_id", "hit_id"]))
+        proven = ((F.col("n") == k) & (F.col("far") < (outer * width) ** 2)) | (F.col("reach") <= outer)
+        done.append(rated.where(proven).select("event_id", "hit_id", "nbr_id", "dsq", "slot"))
+        left = rated.where(~proven)
+        if left.isEmpty():
+            break
+        best = left.select("event_id", "hit_id", "nbr_id", "dsq")
+        open_ = open_.join(best.select("event_id", "hit_id").distinct(), ["event_id", "hit_id"], "left_semi")
+        inner, outer = outer, 2 * outer
+    out = done[0]
+    for rows in done[1:]:
+        out = out.unionByName(rows)
+    return out
 
 
 def mismatches(a: DataFrame, b: DataFrame, k: int) -> DataFrame:

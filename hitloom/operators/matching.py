@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hitloom.operators.events import per_event
@@ -89,3 +91,19 @@ def frame(hits: DataFrame, weight: str, threshold: float) -> DataFrame:
         return pa.Table.from_pylist([dict(zip(schema.names, (number, *x))) for x in rows], schema=schema)
 
     return per_event(cells, one, "event_id long, t_idx int, t_energy double, pred int, pred_energy double, iou double", "t_idx", "pred")
+
+
+def angle(a: Sequence[str], b: Sequence[str]) -> Column:
+    """The angle between two directions, given by their components; null where one has no length."""
+
+    def dot(x: Sequence[str], y: Sequence[str]) -> Column:
+        return sum((F.col(i) * F.col(j) for i, j in zip(x[1:], y[1:])), F.col(x[0]) * F.col(y[0]))
+
+    cosine = F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    return F.acos(F.least(F.greatest(cosine, F.lit(-1.0)), F.lit(1.0)))
+
+
+def processed(predictions: DataFrame) -> DataFrame:
+    """Predictions with corrected energy, half the width between quantiles as unc, and the place of the highest score as pid."""
+    highest = (F.array_position("scores", F.array_max("scores")) - 1).cast("int")
+    return predictions.select("event_id", "hit_id", (F.col("energy") * F.col("corr")).alias("energy"), (0.5 * (F.col("q_high") - F.col("q_low"))).alias("unc"), highest.alias("pid"))

@@ -104,7 +104,7 @@ def noise_flag(t: Tables) -> DataFrame:
 
 @query(on_assigned("""SELECT a.event_id, a.sid, max(a.alpha_id) AS alpha_id, count(*) AS n, round(sum(h.energy), 5) AS energy, round(max(CASE WHEN a.hit_id = a.alpha_id THEN h.beta END), 6) AS alpha_beta,
   round(max(CASE WHEN a.hit_id = a.alpha_id THEN h.x END), 5) AS pos_x, round(max(CASE WHEN a.hit_id = a.alpha_id THEN h.y END), 5) AS pos_y, round(max(CASE WHEN a.hit_id = a.alpha_id THEN h.tax END), 5) AS q_low,
-  max(CASE WHEN a.hit_id = a.alpha_id THEN h.cls END) AS cls, round(sum(CASE WHEN h.is_track THEN h.energy ELSE 0 END), 5) AS track_momentum, round(sum(h.energy) * max(CASE WHEN a.hit_id = a.alpha_id THEN 1 + h.tax END), 3) AS corrected
+  max(CASE WHEN a.hit_id = a.alpha_id THEN h.cls END) AS cls, round(sum(CASE WHEN h.is_track THEN h.energy ELSE 0 END), 5) AS track_momentum, round(sum(h.energy) * max(CASE WHEN a.hit_id = a.alpha_id THEN 1 + h.tax END), 8) AS corrected
   FROM assigned a JOIN hits h USING (event_id, hit_id) WHERE a.sid >= 0 GROUP BY 1, 2"""))
 def condensate_objects(t: Tables) -> DataFrame:
     """Objects of the default clustering: size, energy, track momentum, and the alpha's own values."""
@@ -115,7 +115,7 @@ def condensate_objects(t: Tables) -> DataFrame:
 
     return rows.groupBy("event_id", "sid").agg(
         F.max("alpha_id").alias("alpha_id"), F.count("*").alias("n"), r(F.sum("energy"), 5).alias("energy"), r(own(c.beta)).alias("alpha_beta"), r(own(c.x), 5).alias("pos_x"), r(own(c.y), 5).alias("pos_y"),
-        r(own(F.col("tax")), 5).alias("q_low"), own(F.col("cls")).alias("cls"), r(F.sum(F.when(F.col("is_track"), c.energy).otherwise(0.0)), 5).alias("track_momentum"), r(F.sum("energy") * own(1 + F.col("tax")), 3).alias("corrected"),
+        r(own(F.col("tax")), 5).alias("q_low"), own(F.col("cls")).alias("cls"), r(F.sum(F.when(F.col("is_track"), c.energy).otherwise(0.0)), 5).alias("track_momentum"), r(F.sum("energy") * own(1 + F.col("tax")), 8).alias("corrected"),
     )
 
 

@@ -65,10 +65,16 @@ def knn_directed(t: Tables) -> DataFrame:
 
 @query(on_edges(EDGE))
 def knn_grid(t: Tables) -> DataFrame:
-    """Exact neighbours through grid cells, with a whole-event search for unproven rows."""
+    """Exact neighbours through grid cells, ring by ring until they are proven."""
     return shown(kn.knn_grid(t.hits(), K, 12.0))
 
 
+@query(on_hits(EDGE, edges_sql(8)))
+def knn_grid_by_statistics(t: Tables) -> DataFrame:
+    """The cell width follows the sizes and ranges of events."""
+    return shown(kn.knn_grid(t.hits(), 8))
+
+
 RING = "a.event_id = b.event_id AND abs(floor(a.x/12) - floor(b.x/12)) <= 1 AND abs(floor(a.y/12) - floor(b.y/12)) <= 1"
 
 

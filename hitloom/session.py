@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Used only by local masters whose session names no folder, as in tests.
 LOCAL_SHARED = "/tmp/checkpoints"
@@ -23,6 +24,13 @@ def shared_dir(spark: SparkSession) -> str:
     return (folder or LOCAL_SHARED).rstrip("/")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder: a lost executor costs a read of it and not a rerun of what made it."""
+    path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes a table or folder that nothing reads any more."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

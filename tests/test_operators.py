@@ -132,3 +132,51 @@ def test_micro_batches(spark, tmp_path):
     scored = micro.score(micro.read_events(spark, inbox, like), lambda df: df.withColumn("w", F.col("v") * 2), str(tmp_path / "out"), str(tmp_path / "cp2"))
     scored.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 6
+
+
+def test_grid_neighbours_of_a_large_event(spark):
+    import numpy as np
+
+    from hitloom.operators import knn as kn
+
+    rng = np.random.default_rng(1)
+    n, k = 4000, 6
+    xyz = np.concatenate([rng.normal(size=(n // 2, 3)), rng.uniform(-20, 20, size=(n // 2, 3))])
+    rows = [(1, i, *map(float, p)) for i, p in enumerate(xyz)] + [(2, 1, 0.0, 0.0, 0.0), (3, 1, float("nan"), 0.0, 0.0)]
+    hits = spark.createDataFrame(rows, "event_id long, hit_id long, x double, y double, z double")
+    got = {}
+    for r in kn.knn_grid(hits, k).collect():
+        got.setdefault((r.event_id, r.hit_id), []).append((r.slot, r.nbr_id))
+    assert got.pop((2, 1)) == [(0, 1)]
+    d = ((xyz[:, None] - xyz[None]) ** 2).sum(2)
+    want = np.argsort(d, axis=1)[:, :k]
+    assert {i: [x for _, x in sorted(v)] for (_, i), v in got.items()} == {i: w.tolist() for i, w in enumerate(want)}
+
+
+def test_groups_against_plain_loops(spark):
+    import random
+
+    from hitloom.operators import groups, knn as kn
+
+    rng = random.Random(3)
+    rows = [(e, i, rng.uniform(0, 5), rng.uniform(0, 5), 0.0, rng.random()) for e in range(3) for i in range(40)]
+    hits = spark.createDataFrame(rows, "event_id long, hit_id long, x double, y double, z double, beta double")
+    edges = kn.knn(hits, 6)
+    near = {}
+    for r in edges.orderBy("slot").collect():
+        near.setdefault((r.event_id, r.hit_id), []).append(r.nbr_id)
+    for passes, run in ((1, groups.local_cluster), (2, groups.local_group)):
+        centre = {}
+        for e in range(3):
+            order = sorted((r for r in rows if r[0] == e), key=lambda r: (-r[5], r[1]))
+            touched = set()
+            for last in range(passes):
+                for r in order:
+                    i = r[1]
+                    if (e, i) in centre or (passes == 2 and not last and i in touched):
+                        continue
+                    for j in near[e, i] if r[5] >= 0.4 else [i]:
+                        if (e, j) not in centre:
+                            centre[e, j] = i
+                            touched |= set(near[e, j])
+        assert {(r.event_id, r.hit_id): r.centre_id for r in run(edges, hits, "beta", 0.4).collect()} == centre
