@@ -298,9 +298,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if more.limit(1).count():
         labels = components(more, labels)
 
-    lowest = classes.select(F.col("k1").alias("node"), "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    lowest = lowest.select(F.col("node").alias("k1"), "label").join(lowest.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label")
-    return described.join(lowest.select("k1", "label", "component_id"), "k1", "left").select(
+    lowest = classes.select(F.col("k1").alias("node"), "k2", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    lowest = lowest.select(F.col("node").alias("k1"), "k2", "label").join(lowest.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label")
+    return described.join(lowest.select("k1", "k2", "label", "component_id"), ["k1", "k2"], "left").select(
         "doc_id",
         "n_shingles",
         F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
