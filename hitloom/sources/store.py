@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hitloom.session import removed
+
 NAME = "experiment_name"
 
 
@@ -50,8 +52,10 @@ class MetricsStore:
         to.insert(table, self.get_data(table, experiment))
 
     def delete_experiment(self, table: str, experiment: str) -> None:
-        """Removes the experiment's folder of the table."""
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
-        path = hadoop.Path(f"{self.folder}/{table}/{NAME}={experiment}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        """Removes the experiment's folders of the table, found through its files: names may be escaped there."""
+        jvm = self.spark.sparkContext._jvm
+        files = self.get_data(table, experiment).select(F.input_file_name().alias("f")).distinct().collect()
+        paths = {jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(r.f)).getParent().toString() for r in files}
+        for path in paths:
+            removed(self.spark, path)
         self.spark.catalog.refreshByPath(f"{self.folder}/{table}")

@@ -52,3 +52,14 @@ def test_blob_events_makes_at_least_as_many_as_a_file_of_the_reference(spark):
     from hitloom.plans.summaries import blob_events
 
     assert blob_events(Tables(spark, "")).select("event_id").distinct().count() == 1000
+
+
+def test_experiments_of_any_name_are_deleted(spark, tmp_path):
+    from hitloom.sources.store import MetricsStore
+
+    store = MetricsStore(spark, str(tmp_path))
+    names = ["a/b: 100% [x]", "plain", "a=b"]
+    store.insert("t", spark.createDataFrame([(n, k) for k, n in enumerate(names)], "experiment_name string, v long"))
+    store.delete_experiment("t", names[0])
+    store.delete_experiment("t", names[2])
+    assert [tuple(r) for r in store.table("t").select("experiment_name", "v").collect()] == [("plain", 1)]
