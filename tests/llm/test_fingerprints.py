@@ -66,3 +66,47 @@ def test_bins_hold_the_least_hashes(spark):
         b = (h % (1 << 64)) >> 57
         least[b] = min(h, least.get(b, h))
     assert len(hashes) == 396 and sorted(least.values()) == sorted(minima)
+
+
+def test_bins_probes_and_bits_against_a_plain_version(spark):
+    import random
+    import re
+
+    import xxhash
+
+    from hitloom.llm import fingerprints as fp
+
+    def plain(text: str) -> str:
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+        words = [xxhash.xxh64(w.encode(), seed=42).digest()[::-1] for w in re.split(r"[\x20\x09-\x0D]+", low) if w]
+        shingles = [words[i : i + 5] for i in range(len(words) - 4)] if len(words) >= 5 else [words + [len(words).to_bytes(4, "little")]] if words else []
+        least: dict[int, int] = {}
+        for parts in shingles:
+            h = 42
+            for part in parts:
+                h = xxhash.xxh64(part, seed=h).intdigest()
+            b = h * fp.BINS >> 64
+            least[b] = min(least.get(b, h), h)
+        if not least:
+            return ""
+        out = []
+        for b in range(fp.BINS):
+            at = b if b in least else next(p for k in range(fp.BINS) if (p := (fp.START[b] + fp.STEP[b] * k) % fp.BINS) in least)
+            out.append(f"{least[at] % (1 << fp.BITS):0{fp.BITS // 4}x}")
+        return "".join(out)
+
+    rng = random.Random(2)
+    texts = ["", " \n", "One", "one two THREE", *(" ".join(rng.choices(["Ab", "c", "déf", "g1", "𝒳", "hh"], k=n)) for n in (5, 6, 9, 40, 300))]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string").select("i", fp.fingerprint(fp.F.col("text")).alias("f")).collect()
+    prints = [r.f for r in sorted(got)]
+    assert prints == [plain(t) for t in texts]
+
+    def likeness(a: str, b: str) -> float:
+        if a == b or not a or not b:
+            return float(a == b)
+        same = sum(a[k : k + 2] == b[k : k + 2] for k in range(0, len(a), 2)) / fp.BINS
+        return max(0.0, (same - 1 / 256) / (1 - 1 / 256))
+
+    pairs = [(a, b) for a in prints for b in prints]
+    told = spark.createDataFrame(pairs, "a string, b string").select("a", "b", fp.likeness(fp.F.col("a"), fp.F.col("b")).alias("n")).collect()
+    assert all(abs(r.n - likeness(r.a, r.b)) < 1e-12 for r in told)
