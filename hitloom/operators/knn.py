@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from hitloom.session import stored
 
 SELF, NEAR = "p", "n"
+#: Rows of an event up to which joining it with itself costs less than cells do.
+SMALL = 512
 
 
 def squared_distance(coords: Sequence[str], a: str = SELF, b: str = NEAR) -> Column:
@@ -20,47 +22,91 @@ def _side(hits: DataFrame, name: str, keep: Sequence[str], coords: Sequence[str]
     return hits.select(*keep, F.col("hit_id").alias("hit_id" if name == SELF else "nbr_id"), *(F.col(c).alias(f"{name}_{c}") for c in coords))
 
 
-def _nearest(pairs: DataFrame, k: int, max_radius: float | None) -> DataFrame:
-    """Slots by distance with self first; the row_number limit is applied before and after the shuffle."""
-    if max_radius is not None:
-        pairs = pairs.where(F.col("dsq") <= max_radius * max_radius)
-    w = Window.partitionBy("event_id", "hit_id").orderBy(F.col("nbr_id") != F.col("hit_id"), "dsq", "nbr_id")
+def _placed(hits: DataFrame, coords: Sequence[str]) -> DataFrame:
+    """Rows of an event with a place: no coordinate is null, NaN or infinite."""
+    return hits.where("event_id IS NOT NULL AND " + " AND ".join(f"{c} IS NOT NULL AND NOT isnan({c}) AND abs({c}) < double('inf')" for c in coords))
+
+
+def _nearest(pairs: DataFrame, k: int, own: str = "first") -> DataFrame:
+    """Slots by distance, with self first on demand; the row_number limit is applied before and after the shuffle."""
+    ahead = [F.col("nbr_id") != F.col("hit_id")] if own == "first" else []
+    w = Window.partitionBy("event_id", "hit_id").orderBy(*ahead, "dsq", "nbr_id")
     return pairs.select("event_id", "hit_id", "nbr_id", "dsq").withColumn("slot", F.row_number().over(w) - 1).where(F.col("slot") < k)
 
 
-def knn(hits: DataFrame, k: int, coords: Sequence[str] = ("x", "y", "z"), probes: Column | None = None, neighbours: Column | None = None, max_radius: float | None = None, keep_self: bool = True) -> DataFrame:
-    """The k nearest rows of each row's event: event_id, hit_id, nbr_id, dsq, slot.
+def _by_size(hits: DataFrame, pairs: Callable[[DataFrame], DataFrame], rings: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """pairs on events of up to SMALL rows and rings on larger ones: both give the same rows, at the cost of counting events."""
+    large = hits.groupBy("event_id").count().where(F.col("count") > SMALL).select("event_id")
+    if large.isEmpty():
+        return pairs(hits)
+    return pairs(hits.join(large, "event_id", "left_anti")).unionByName(rings(hits.join(large, "event_id", "left_semi")))
 
-    probes / neighbours: which rows ask, and which can be found (masks and directions). A probe always
-    finds itself in slot 0 while keep_self holds. Ties go to the smaller id. One shuffle by event.
-    """
-    left = _side(hits.where(probes) if probes is not None else hits, SELF, ["event_id"], coords)
+
+def _all_pairs(hits: DataFrame, k: int, coords: Sequence[str], probes: Column | None, neighbours: Column | None, own: str, distance: Column, extra: Sequence[str] = ()) -> DataFrame:
+    """Neighbours from an event joined with itself."""
+    left = _side(hits.where(probes) if probes is not None else hits, SELF, ["event_id", *extra], coords)
     right = _side(hits.where(neighbours) if neighbours is not None else hits, NEAR, ["event_id"], coords)
-    pairs = left.join(right, "event_id").withColumn("dsq", squared_distance(coords))
-    if not keep_self:
+    pairs = left.join(right, "event_id").withColumn("dsq", distance).where("dsq is not null")
+    if own == "none":
         pairs = pairs.where("nbr_id <> hit_id")
-    elif neighbours is not None:
-        own = left.select("event_id", "hit_id", F.col("hit_id").alias("nbr_id"), F.lit(0.0).alias("dsq"))
-        pairs = pairs.where("nbr_id <> hit_id").select("event_id", "hit_id", "nbr_id", "dsq").unionByName(own)
-    return _nearest(pairs, k, max_radius)
+    elif own == "first" and neighbours is not None:
+        self_ = left.select("event_id", "hit_id", F.col("hit_id").alias("nbr_id"), F.lit(0.0).alias("dsq"))
+        pairs = pairs.where("nbr_id <> hit_id").select("event_id", "hit_id", "nbr_id", "dsq").unionByName(self_)
+    return _nearest(pairs, k, own)
+
+
+def knn(hits: DataFrame, k: int, coords: Sequence[str] = ("x", "y", "z"), probes: Column | None = None, neighbours: Column | None = None, max_radius: float | None = None, own: str = "first") -> DataFrame:
+    """The k nearest rows of each row's event: event_id, hit_id, nbr_id, dsq, slot.
+
+    probes / neighbours: which rows ask, and which can be found (masks and directions). own: a probe always
+    finds itself in slot 0 ("first"), never ("none"), or as any other row ("found"). Ties go to the smaller id. Rows
+    without a place (null or not finite in a coordinate) or without event_id take no part. Events of up to SMALL
+    rows cost one shuffle by event, larger ones go through the cells of knn_grid(), so no event costs its square.
+    """
+    distance = squared_distance(coords)
+    near = _by_size(
+        _placed(hits, coords),
+        lambda small: _all_pairs(small, k, coords, probes, neighbours, own, distance),
+        lambda large: knn_grid(large, k, _wide(large, k, coords[:2]), coords, coords[:2], probes, neighbours, own, max_radius),
+    )
+    return near if max_radius is None else near.where(F.col("dsq") <= max_radius * max_radius)
 
 
 def knn_warped(hits: DataFrame, k: int, matrix: Sequence[Sequence[Column]], coords: Sequence[str] = ("x", "y", "z")) -> DataFrame:
-    """Neighbours under each probe's own linear map: matrix[j][i] are columns of the probe."""
+    """Neighbours under each probe's own linear map: matrix[j][i] are columns of the probe.
+
+    A map shrinks no distance below its least singular value, and that is at least |det| * ((n - 1) / s)^((n - 1) / 2) with s
+    the sum of squared entries: so far the rings of larger events are opened. Probes whose map has nulls find nothing in
+    small events and nothing but themselves in large ones.
+    """
     n = len(coords)
-    named = hits.select("event_id", "hit_id", *coords, *(matrix[j][i].alias(f"m{j}{i}") for j in range(n) for i in range(n)))
-    left = named.select("event_id", "hit_id", *(F.col(c).alias(f"{SELF}_{c}") for c in coords), *(f"m{j}{i}" for j in range(n) for i in range(n)))
-    pairs = left.join(_side(hits, NEAR, ["event_id"], coords), "event_id")
+    entries = [f"m{j}{i}" for j in range(n) for i in range(n)]
+    named = _placed(hits, coords).select("event_id", "hit_id", *coords, *(matrix[j][i].alias(f"m{j}{i}") for j in range(n) for i in range(n)))
     diff = [F.col(f"{SELF}_{c}") - F.col(f"{NEAR}_{c}") for c in coords]
     rows = [sum((F.col(f"m{j}{i}") * diff[j] for j in range(1, n)), F.col(f"m0{i}") * diff[0]) for i in range(n)]
-    return _nearest(pairs.withColumn("dsq", sum((r * r for r in rows[1:]), rows[0] * rows[0])), k, None)
+    distance = sum((r * r for r in rows[1:]), rows[0] * rows[0])
+    squares = sum((F.col(m) * F.col(m) for m in entries[1:]), F.col("m00") * F.col("m00"))
+    det = _determinant([[F.col(f"m{j}{i}") for i in range(n)] for j in range(n)])
+    shrink = det * det * (F.pow(F.try_divide(F.lit(float(n - 1)), squares), float(n - 1)) if n > 1 else 1.0)
+    return _by_size(
+        named,
+        lambda small: _all_pairs(small, k, coords, None, None, "first", distance, entries),
+        lambda large: knn_grid(large.withColumn("shrink", shrink), k, _wide(large, k, coords[:2]), coords, coords[:2], distance=distance, extra=entries, shrink="shrink"),
+    )
+
+
+def _determinant(m: Sequence[Sequence[Column]]) -> Column:
+    if len(m) == 1:
+        return m[0][0]
+    terms = [m[0][i] * _determinant([[*row[:i], *row[i + 1 :]] for row in m[1:]]) for i in range(len(m))]
+    return sum((t if i % 2 == 0 else -t for i, t in enumerate(terms[1:], 1)), terms[0])
 
 
 def _cells(hits: DataFrame, coords: Sequence[str], width: float) -> DataFrame:
     return hits.withColumns({f"c_{c}": F.floor(F.col(c) / width) for c in coords})
 
 
-def _ring_pairs(probes: DataFrame, grid: DataFrame, inner: int, outer: int, coords: Sequence[str], binned: Sequence[str]) -> DataFrame:
+def _ring_pairs(probes: DataFrame, grid: DataFrame, inner: int, outer: int, coords: Sequence[str], binned: Sequence[str], distance: Column | None = None, extra: Sequence[str] = ()) -> DataFrame:
     """Pairs of probes with the rows of the cells beyond inner and up to outer cells from theirs: an equi-join on (event, cell).
 
     Where probes have lo_c and hi_c, cells outside are left out.
@@ -74,35 +120,55 @@ def _ring_pairs(probes: DataFrame, grid: DataFrame, inner: int, outer: int, coor
         left = left.withColumn(f"to_{c}", F.explode(F.when(lo <= hi, F.sequence(lo, hi))))
     away = [F.abs(F.col(f"to_{c}") - F.col(c)) for c in cells]
     left = left.where((F.greatest(*away) if len(away) > 1 else away[0]) > inner)
-    left = _side(left, SELF, ["event_id", *(F.col(f"to_{c}").alias(c) for c in cells)], coords)
+    left = _side(left, SELF, ["event_id", *extra, *(F.col(f"to_{c}").alias(c) for c in cells)], coords)
     right = _side(grid, NEAR, ["event_id", *cells], coords)
-    return left.join(right, ["event_id", *cells]).withColumn("dsq", squared_distance(coords)).select("event_id", "hit_id", "nbr_id", "dsq")
+    return left.join(right, ["event_id", *cells]).withColumn("dsq", squared_distance(coords) if distance is None else distance).select("event_id", "hit_id", "nbr_id", "dsq")
 
 
 def knn_single_ring(hits: DataFrame, k: int, width: float, coords: Sequence[str] = ("x", "y", "z"), binned: Sequence[str] = ("x", "y")) -> DataFrame:
     """Neighbours among a row's own cell and those around it: approximate, an equi-join on cells."""
     grid = _cells(hits, binned, width)
-    return _nearest(_ring_pairs(grid, grid, -1, 1, coords, binned), k, None)
+    return _nearest(_ring_pairs(grid, grid, -1, 1, coords, binned), k)
 
 
-def cell_width(hits: DataFrame, k: int, binned: Sequence[str] = ("x", "y")) -> float:
-    """A width by which a cell holds about k / 32 rows of a mean event: 5 to 30 cells along the longest side."""
+def cell_width(hits: DataFrame, k: int, binned: Sequence[str] = ("x", "y"), rows: float | None = None, most: int = 30) -> float:
+    """A width by which a cell holds about rows (k / 32) rows of a mean event: 5 to most cells along the longest side."""
     size = [F.max(c) - F.min(c) for c in binned]
     stats = hits.groupBy("event_id").agg(F.count("*").alias("n"), F.greatest(*size, F.lit(0.0)).alias("range") if len(size) > 1 else size[0].alias("range")).agg(F.avg("n").alias("n"), F.max("range").alias("range")).first()
     if stats["n"] is None or not stats["range"]:
         return 1.0
-    return stats["range"] * 1.00001 / min(30, max(5, int((stats["n"] / (k / 32)) ** (1 / len(binned)))))
-
-
-def knn_grid(hits: DataFrame, k: int, width: float | None = None, coords: Sequence[str] = ("x", "y", "z"), binned: Sequence[str] = ("x", "y"), probes: Column | None = None, neighbours: Column | None = None) -> DataFrame:
+    return stats["range"] * 1.00001 / min(most, max(5, int((stats["n"] / (rows or k / 32)) ** (1 / len(binned)))))
+
+
+def _wide(hits: DataFrame, k: int, binned: Sequence[str]) -> float:
+    """Cells of about k rows: a ring costs a job, so the first one should prove most probes."""
+    return cell_width(hits, k, binned, k, 1024)
+
+
+def knn_grid(
+    hits: DataFrame,
+    k: int,
+    width: float | None = None,
+    coords: Sequence[str] = ("x", "y", "z"),
+    binned: Sequence[str] = ("x", "y"),
+    probes: Column | None = None,
+    neighbours: Column | None = None,
+    own: str = "first",
+    max_radius: float | None = None,
+    distance: Column | None = None,
+    extra: Sequence[str] = (),
+    shrink: str | None = None,
+) -> DataFrame:
     """Exact neighbours through cells of a grid, ring by ring: event_id, hit_id, nbr_id, dsq, slot.
 
     A row outside the first r rings of cells is at least r widths away, so k rows within that distance are the
     nearest: such probes are done, and the others look at the next ring only, beside the k best that they have.
-    Rings double in number until all probes are proven or have seen their whole event. Work follows the rows of the cells that are met, not the square of an event. Rows without a place (null or not
-    finite in a coordinate) take no part. probes and neighbours are as in knn().
+    Rings double in number until all probes are proven, have reached max_radius or have seen their whole event.
+    Work follows the rows of the cells that are met, not the square of an event. Rows without a place take no part.
+    probes, neighbours and own are as in knn(). distance: another squared distance, over the coordinates and the probe's
+    columns extra, that is never below the probe's column shrink times the plain one.
     """
-    usable = hits.where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c}) AND abs({c}) < double('inf')" for c in coords))
+    usable = _placed(hits, coords)
     width = width or cell_width(usable, k, binned)
     grid = _cells(usable, binned, width)
     cells = [f"c_{c}" for c in binned]
@@ -112,28 +178,54 @@ def knn_grid(hits: DataFrame, k: int, width: float | None = None, coords: Sequen
     span = found_in.groupBy("event_id").agg(*(F.min(c).alias(f"lo_{c}") for c in cells), *(F.max(c).alias(f"hi_{c}") for c in cells))
     reach = F.greatest(*(x for c in cells for x in (F.col(c) - F.col(f"lo_{c}"), F.col(f"hi_{c}") - F.col(c))))
     ends = [f"{e}_{c}" for c in cells for e in ("lo", "hi")]
-    open_ = asks.join(span, "event_id", "left").withColumn("reach", F.coalesce(reach, F.lit(-1))).select("event_id", "hit_id", *coords, *cells, *ends, "reach")
+    bound = F.coalesce(F.col(shrink) * (1 - 1e-9), F.lit(0.0)) if shrink else F.lit(1.0)
+    open_ = asks.join(span, "event_id", "left").withColumns({"reach": F.coalesce(reach, F.lit(-1)), "bound": bound})
+    carried = ["event_id", "hit_id", *coords, *cells, *ends, *extra, "reach", "bound"]
+    open_ = open_.select(*carried)
     inner, outer = -1, 1
-    best = asks.select("event_id", "hit_id", F.col("hit_id").alias("nbr_id"), F.lit(0.0).alias("dsq"))
+    # Each probe carries one row without a neighbour ahead of all others: its own place, or a mark that goes at the end.
+    slots = k if own == "first" else k + 1
+    best = asks.select("event_id", "hit_id", F.lit(None).cast(hits.schema["hit_id"].dataType).alias("nbr_id"), F.lit(-1.0).alias("dsq"))
     done: list[DataFrame] = []
     while True:
-        more = _ring_pairs(open_, found_in, inner, outer, coords, binned).where("nbr_id <> hit_id")
-        near = _nearest(best.unionByName(more), k, None)
+        more = _ring_pairs(open_, found_in, inner, outer, coords, binned, distance, extra).where("dsq is not null")
+        if own != "found":
+            more = more.where("nbr_id <> hit_id")
+        near = _nearest(best.unionByName(more), slots, "found")
         told = Window.partitionBy("event_id", "hit_id")
         rated = near.withColumn("n", F.count("*").over(told)).withColumn("far", F.max("dsq").over(told))
-        rated = stored(rated.join(open_.select("event_id", "hit_id", "reach"), ["event_id", "hit_id"]))
-        proven = ((F.col("n") == k) & (F.col("far") < (outer * width) ** 2)) | (F.col("reach") <= outer)
+        rated = stored(rated.join(open_, ["event_id", "hit_id"]))
+        seen = F.col("bound") * (outer * width) ** 2
+        proven = ((F.col("n") == slots) & (F.col("far") < seen)) | (F.col("reach") <= outer)
+        if max_radius is not None:
+            proven |= seen > max_radius * max_radius
         done.append(rated.where(proven).select("event_id", "hit_id", "nbr_id", "dsq", "slot"))
         left = rated.where(~proven)
         if left.isEmpty():
             break
         best = left.select("event_id", "hit_id", "nbr_id", "dsq")
-        open_ = open_.join(best.select("event_id", "hit_id").distinct(), ["event_id", "hit_id"], "left_semi")
+        open_ = left.where("slot = 0").select(*carried)
         inner, outer = outer, 2 * outer
     out = done[0]
     for rows in done[1:]:
         out = out.unionByName(rows)
-    return out
+    if own != "first":
+        return out.where("nbr_id is not null").withColumn("slot", F.col("slot") - 1)
+    mark = F.col("nbr_id").isNull()
+    return out.withColumns({"nbr_id": F.when(mark, F.col("hit_id")).otherwise(F.col("nbr_id")), "dsq": F.when(mark, 0.0).otherwise(F.col("dsq"))})
+
+
+def close(hits: DataFrame, radius: float, coords: Sequence[str], binned: Sequence[str] = ("x", "y")) -> DataFrame:
+    """Pairs of rows of an event, each once, whose cells of width radius touch: p_ and n_ coordinates, for a condition to follow.
+
+    Rows nearer than radius along every axis of binned are all there. Rows without a place take no part.
+    """
+    grid = _cells(_placed(hits, coords), binned, radius)
+    cells = [f"c_{c}" for c in binned]
+    left = grid
+    for c in cells:
+        left = left.withColumn(c, F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
+    return _side(left, SELF, ["event_id", *cells], coords).join(_side(grid, NEAR, ["event_id", *cells], coords), ["event_id", *cells]).where("hit_id < nbr_id").drop(*cells)
 
 
 def mismatches(a: DataFrame, b: DataFrame, k: int) -> DataFrame:

@@ -207,12 +207,9 @@ DOWN = f"""down AS (SELECT *, exp(-dsq/100-m)/sum(exp(-dsq/100-m)) OVER (PARTITI
 def transition(hits: DataFrame, k: int = 3, threshold: float = 0.8, scale: float = 100.0) -> tuple[DataFrame, DataFrame]:
     """Up nodes (score above threshold, one an event at least) and each row's k nearest of them with softmax weights."""
     w = Window.partitionBy("event_id").orderBy(F.desc("beta"), "hit_id")
-    up = hits.withColumn("rn", F.row_number().over(w)).where((F.col("beta") > threshold) | (F.col("rn") == 1)).drop("rn")
-    left = kn._side(hits, kn.SELF, ["event_id"], ("x", "y", "z"))
-    right = kn._side(up, kn.NEAR, ["event_id"], ("x", "y", "z"))
-    pairs = left.join(right, "event_id").withColumn("dsq", kn.squared_distance(("x", "y", "z")))
-    near = Window.partitionBy(*KEY).orderBy("dsq", "nbr_id")
-    down = pairs.withColumn("rn", F.row_number().over(near)).where(F.col("rn") <= k).select(*KEY, F.col("nbr_id").alias("up_id"), "dsq")
+    marked = hits.withColumn("up", (F.col("beta") > threshold) | (F.row_number().over(w) == 1))
+    up = marked.where("up").drop("up")
+    down = kn.knn(marked, k, neighbours=F.col("up"), own="found").select(*KEY, F.col("nbr_id").alias("up_id"), "dsq")
     return up, ed.softmax(down, -F.col("dsq") / scale)
 
 
@@ -256,7 +253,7 @@ def index_replacer(t: Tables) -> DataFrame:
 @query(on_hits("SELECT a.event_id, count(*) AS pairs, sum(CASE WHEN pow(a.x-b.x,2)+pow(a.y-b.y,2) < 4 THEN 1 ELSE 0 END)::BIGINT AS close_xy FROM hits a JOIN hits b ON a.event_id = b.event_id AND a.hit_id < b.hit_id AND pow(a.x-b.x,2)+pow(a.y-b.y,2)+pow(0.1*(a.z-b.z),2) < 25 GROUP BY 1"))
 def close_pairs(t: Tables) -> DataFrame:
     c = ("x", "y", "z")
-    p = kn._side(t.hits(), kn.SELF, ["event_id"], c).join(kn._side(t.hits(), kn.NEAR, ["event_id"], c), "event_id").where("hit_id < nbr_id")
+    p = kn.close(t.hits(), 5.0, c)
 
     def sq(a: str, scale: float = 1.0) -> Column:
         return F.pow(scale * (F.col(f"p_{a}") - F.col(f"n_{a}")), 2.0)

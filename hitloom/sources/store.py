@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from hitloom.session import removed
 
 NAME = "experiment_name"
+#: Each append writes folders of its own under an experiment's, named after its batch.
+BATCH = "batch_"
 
 
 class MetricsStore:
@@ -18,16 +22,24 @@ class MetricsStore:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def insert(self, table: str, rows: DataFrame) -> None:
-        """Appends rows; non-finite numbers are stored as 0. rows need the column experiment_name."""
+    def insert(self, table: str, rows: DataFrame, batch: str | None = None) -> None:
+        """Appends rows; non-finite numbers are stored as 0. rows need the column experiment_name.
+
+        A batch that is named is written once: the same name again replaces what it wrote for the same experiments.
+        """
         for name, kind in rows.dtypes:
             if kind in ("double", "float"):
                 x = F.col(f"`{name}`")
                 rows = rows.withColumn(name, F.when(F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(x).cast(kind))
-        rows.write.mode("append").partitionBy(NAME).parquet(f"{self.folder}/{table}")
+        named = rows.withColumn(BATCH, F.lit(batch or uuid.uuid4().hex))
+        named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(NAME, BATCH).parquet(f"{self.folder}/{table}")
 
     def table(self, table: str) -> DataFrame:
-        return self.spark.read.option("mergeSchema", "true").parquet(f"{self.folder}/{table}")
+        """All rows; experiments are strings, also where their names look like numbers."""
+        path = f"{self.folder}/{table}"
+        found = self.spark.read.option("mergeSchema", "true").parquet(path).schema
+        plain = StructType([StructField(f.name, StringType()) if f.name in (NAME, BATCH) else f for f in found])
+        return self.spark.read.schema(plain).parquet(path).drop(BATCH)
 
     def field_names(self, table: str) -> list[str]:
         return self.table(table).columns

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,9 +22,13 @@ def score(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], out: s
 
 
 def append_metrics(stream: DataFrame, store: MetricsStore, table: str, summarise: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
-    """Each batch's summary is one append to the store."""
+    """Each batch's summary is one append to the store; a batch that runs again after a failure replaces its own rows.
 
-    def put(batch: DataFrame, _: int) -> None:
-        store.insert(table, summarise(batch))
+    Batches are named after the checkpoint folder and their number: one folder serves one stream.
+    """
+    source = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+    def put(batch: DataFrame, number: int) -> None:
+        store.insert(table, summarise(batch), f"{source}-{number}")
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -180,3 +180,50 @@ def test_groups_against_plain_loops(spark):
                             centre[e, j] = i
                             touched |= set(near[e, j])
         assert {(r.event_id, r.hit_id): r.centre_id for r in run(edges, hits, "beta", 0.4).collect()} == centre
+
+
+def test_neighbours_of_large_events_equal_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(e, i, *map(float, rng.integers(0, 30, 3) / 2), float(rng.random())) for e in range(3) for i in range(90 - 40 * e)]
+    rows += [(0, 900, None, 0.0, 0.0, 0.7), (0, 901, 0.0, float("nan"), 0.0, 0.1), (4, 0, 1.0, 1.0, 1.0, 0.9), (5, 0, 2.0, 2.0, 2.0, 0.2), (None, 3, 1.0, 1.0, 1.0, 0.5)]
+    hits = spark.createDataFrame(rows, "event_id long, hit_id long, x double, y double, z double, beta double")
+    m2 = [[1 + F.col("beta"), F.lit(0.2)], [F.lit(0.1), 1 - F.col("beta")]]
+    m3 = [[F.col("beta"), F.lit(0.2), F.lit(0.0)], [F.lit(0.1), F.lit(1.0), F.lit(0.5)], [F.lit(0.0), F.lit(-0.3), F.lit(2.0)]]
+    low, high = F.col("beta") < 0.5, F.col("beta") >= 0.5
+    runs = {
+        "radius": lambda: knn.knn(hits, 12, max_radius=2.0),
+        "masks": lambda: knn.knn(hits, 5, probes=low, neighbours=high),
+        "no self": lambda: knn.knn(hits, 5, own="none"),
+        "self as found": lambda: knn.knn(hits, 5, neighbours=high, own="found"),
+        "map of two": lambda: knn.knn_warped(hits, 5, m2, ("x", "y")),
+        "map of three": lambda: knn.knn_warped(hits, 5, m3),
+        "flat map": lambda: knn.knn_warped(hits, 5, [[F.lit(1.0), F.lit(0.0)], [F.lit(0.0), F.lit(0.0)]], ("x", "y")),
+    }
+    shown = lambda df: sorted(tuple(r) for r in df.select("event_id", "hit_id", "slot", "nbr_id", F.round("dsq", 9)).collect())
+    want = {name: shown(run()) for name, run in runs.items()}
+    assert all(want.values()) and not any(r[1] in (900, 901) for r in want["no self"])
+    monkeypatch.setattr(knn, "SMALL", 60)  # one event goes through cells, the others do not
+    for name, run in runs.items():
+        assert shown(run()) == want[name], name
+
+
+def test_close_pairs_against_plain_loops(spark):
+    rng = np.random.default_rng(6)
+    rows = [(e, i, *map(float, rng.integers(-20, 20, 2) / 2), 0.0) for e in range(2) for i in range(60)]
+    hits = spark.createDataFrame(rows, "event_id long, hit_id long, x double, y double, z double")
+    near = (F.col("p_x") - F.col("n_x")) ** 2 + (F.col("p_y") - F.col("n_y")) ** 2 < 9
+    got = sorted((r.event_id, r.hit_id, r.nbr_id) for r in knn.close(hits, 3.0, ("x", "y", "z")).where(near).collect())
+    assert got == sorted((a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and (a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2 < 9)
+
+
+def test_batches_are_stored_once_and_names_stay_strings(spark, tmp_path):
+    store = MetricsStore(spark, str(tmp_path / "store"))
+    rows = spark.createDataFrame([("007", 1.0), ("7", 2.0)], "experiment_name string, v double")
+    store.insert("t", rows, "s-0")
+    store.insert("t", rows, "s-0")  # a retry
+    store.insert("t", rows.where("v > 1"), "s-1")
+    store.insert("t", rows.where("v < 2"))
+    assert sorted((r.experiment_name, r.v) for r in store.table("t").collect()) == [("007", 1.0), ("007", 1.0), ("7", 2.0), ("7", 2.0)]
+    assert store.get_data("t", "7").count() == 2 and store.field_names("t") == ["v", "experiment_name"]
+    store.delete_experiment("t", "007")
+    assert [r.experiment_name for r in store.experiments("t").collect()] == ["7"]
