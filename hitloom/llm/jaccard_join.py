@@ -42,7 +42,6 @@ FREQUENT = 0.002
 BLOCK = 256
 #: Rows of a local count, and pairs of a reduce group on average.
 FLUSH, PAIRS = 2_000_000, 1_000_000
-NO_ID = -(1 << 63)
 
 
 def _need(n: np.ndarray | int) -> np.ndarray | int:
@@ -270,17 +269,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     often = np.sort(np.array([r.h for r in counts.select("h").collect()], np.int64).view(np.uint64))
     buckets = max(partitions(spark), 48, total.shingles // PAIRS)
 
-    classes = described.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"))
+    classes = described.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.min(F.xxhash64("doc_id", "text_hash")).alias("row"))
     shared = (
         rows.mapInArrow(giving_back(_windows(often, buckets)), "bucket int, pairs binary").groupBy("bucket").applyInArrow(group_giving_back(_shared), "k long, h long, c long")
     )
     looked = written(shared.groupBy("k").agg(F.collect_list("h").alias("hs"), F.collect_list("c").alias("cs")))
-    points = classes.select(F.col("k1").alias("k"), F.coalesce("doc_id", F.lit(NO_ID)).alias("id"))
+    # A class is read from one of its rows, known by id and text: many rows may share an id or have none.
+    points = classes.select(F.col("k1").alias("k"), "row")
     # Points that look up nothing shared may still have frequent shingles only.
     asked = points.join(looked, "k", "left") if len(often) else points.join(looked, "k")
-    texts = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text")
-    found = asked.join(texts, "id").select("k", "hs", "cs", "text").mapInArrow(giving_back(_chosen(often)), "k long, n long, hashes array<long>, looks array<long>")
-    chosen = written(found.dropDuplicates(["k"]))  # rows may share their doc_id
+    texts = hashed.select(F.xxhash64("doc_id", "text_hash").alias("row"), "text")
+    found = asked.join(texts, "row").select("k", "hs", "cs", "text").mapInArrow(giving_back(_chosen(often)), "k long, n long, hashes array<long>, looks array<long>")
+    chosen = written(found.dropDuplicates(["k"]))  # rows may be repeated
     sets = chosen.select("k", "n", "hashes")
     looks = chosen.select("k", F.explode("looks").alias("h"))
     pivot = looks.groupBy("h").agg(F.min("k").alias("p"), F.max("k").alias("other")).where("p <> other").select("h", "p")

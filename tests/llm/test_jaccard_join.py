@@ -52,6 +52,16 @@ def test_shingle_sets_have_the_right_sizes():
     assert (got[3] == got[4]).all() and not (got[5] == got[3]).all()
 
 
+def test_many_rows_without_an_id_or_with_one_id(spark):
+    rng = random.Random(4)
+    base = [" ".join(str(rng.randrange(1000)) for _ in range(60)) for _ in range(40)]
+    near = [b.rsplit(" ", 1)[0] + " changed" for b in base[:20]]
+    rows = [(None, t) for t in base + near[:10]] + [(7, t) for t in near[10:] + base[:5]] + [(100 + i, t) for i, t in enumerate(base[:3])]
+    assert run(spark, rows) == brute(rows)
+    kept = jaccard_join.one_of_each(spark.createDataFrame([(d, t, None, 7, "x") for d, t in rows], SCHEMA))
+    assert kept.count() == 40
+
+
 def test_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "one two"), (9, "ONE  two"), (5, "one two three"), (None, "one two"), (7, "lone"), (7, "lone"), (None, "other words"), (8, "word " * 50_000)]
     assert run(spark, rows) == brute(rows)
