@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hitloom.llm import bpe, fingerprints, jaccard_join, language_id, packing, pii, sharding, suffix_dedup, topk, warc
+from hitloom.llm import bpe, clustering, fingerprints, jaccard_join, language_id, packing, pii, ranking, sharding, suffix_dedup, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(_table(spark, sf_dir, "embeddings")).drop("measured")
+
+
+def op12_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_jaccard_join": op2_jaccard_join,
@@ -73,6 +81,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_warc": op10_warc,
+    "op11_clustering": op11_clustering,
+    "op12_ranking": op12_ranking,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+def _moved(n: int) -> str:
+    """Assignment n of all vectors, and the centroids after it."""
+    return f"""
+    d{n} AS (SELECT r, vec_id, v, j, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint AS d FROM kept, c{n}),
+    a{n} AS (SELECT r, any_value(vec_id) AS vec_id, any_value(v) AS v, arg_min(j, (d, j)) AS j, min(d) AS d FROM d{n} GROUP BY r),
+    s{n} AS (SELECT j, i, sum(x) AS s, count(*) AS n FROM (SELECT j, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{n}) GROUP BY j, i),
+    m{n} AS (SELECT j, list(((s - ((s % n) + n) % n) // n)::bigint ORDER BY i) AS c FROM s{n} GROUP BY j),
+    c{n + 1} AS (SELECT j, coalesce(m{n}.c, c{n}.c) AS c FROM c{n} LEFT JOIN m{n} USING (j))"""
+
+
+_FINITE = "list_aggregate(list_transform(embedding, lambda x: CASE WHEN x IS NULL OR NOT isfinite(x) THEN 1 ELSE 0 END), 'sum') = 0"
+
+ORACLE_SQL: dict[str, str] = {
+    "op11_clustering": f"""
+    WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) AS v
+        FROM embeddings WHERE len(embedding) = 64 AND {_FINITE}),
+    c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS j, v AS c FROM kept QUALIFY j < 16),
+    {",".join(_moved(n) for n in range(4))}
+    SELECT vec_id, j::int AS cluster, d AS distance, (sum(d) OVER (PARTITION BY j))::bigint AS cluster_inertia, (sum(d) OVER ())::bigint AS inertia,
+        sha256(array_to_string(c3.c, ',')) AS centroid_sha256
+    FROM a3 JOIN c3 USING (j)""".replace("AS (SELECT", "AS MATERIALIZED (SELECT"),
+    "op12_ranking": r"""
+    WITH said AS MATERIALIZED (SELECT rowid AS r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT row_number() OVER () AS rowid, doc_id, text FROM documents)),
+    tf AS MATERIALIZED (SELECT r, term, count(*) AS tf FROM said GROUP BY r, term),
+    doc AS MATERIALIZED (SELECT r, any_value(doc_id) AS doc_id, count(*) AS n FROM said GROUP BY r),
+    total AS MATERIALIZED (SELECT count(*)::bigint AS n, sum(n)::bigint AS l FROM doc),
+    df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+    asked AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+    gain AS (SELECT item_id, term, count(*) * floor(1000 * ln((2.0::double * total.n + 2) / (2 * df + 1)))::bigint AS gain FROM asked JOIN df USING (term), total GROUP BY item_id, term, df, total.n),
+    scored AS (SELECT item_id, r, any_value(doc_id) AS doc_id, sum(gain * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * doc.n * total.n) // total.l))))::bigint AS score
+        FROM gain JOIN tf USING (term) JOIN doc USING (r), total GROUP BY item_id, r),
+    ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::int AS rank, doc_id, score FROM scored WHERE score > 0)
+    SELECT * FROM ranked WHERE rank <= 20""",
+}
