@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hitloom.llm import bpe, clustering, fingerprints, jaccard_join, language_id, packing, pii, ranking, sharding, suffix_dedup, topk, warc
+from hitloom.llm import bpe, clustering, fingerprints, jaccard_join, language_id, packing, pii, ranking, sharding, suffix_dedup, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,10 @@ def op12_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.rate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_jaccard_join": op2_jaccard_join,
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
     "op11_clustering": op11_clustering,
     "op12_ranking": op12_ranking,
+    "op13_toxicity": op13_toxicity,
 }
 
 
