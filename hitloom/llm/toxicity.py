@@ -28,8 +28,10 @@ from hitloom.llm.shared import dropped, giving_back, written
 SAMPLE_ROWS, SAMPLE_POINTS = {1: 6000, 0: 12000}, 1 << 25
 #: Tasks that share the first choice of a class's rows.
 CHOICES = 8
-#: Features that are kept, texts that a feature stands in at least, lengths of the first letters, and the longest word that is a feature.
-FEATURES, LEAST_TEXTS, LETTERS, LONGEST = 4096, 3, (4, 5, 6), 32
+#: Features that are kept, texts that a feature stands in at least, and its least chi-square (one feature in 100 has it by chance).
+FEATURES, LEAST_TEXTS, LEAST_SQUARE = 4096, 3, 6.63
+#: Lengths of the first letters, and the longest word that is a feature.
+LETTERS, LONGEST = (4, 5, 6), 32
 #: Steps of the fit and their size, weight of squared weights, and of squared changes under swaps.
 STEPS, RATE, RIDGE, FAIR = 300, 0.1, 0.3, 1.0
 THRESHOLD = 0.7
@@ -137,13 +139,13 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def chosen(found: DataFrame, texts: dict[int, int]) -> list[str]:
-    """The FEATURES that are over-represented in toxic texts or in others by the largest chi-square, in that order."""
+    """The FEATURES that stand in more toxic texts than their share, those with the largest chi-square first."""
     n, n1 = sum(texts.values()), texts[1]
     each = found.where("copy = 0").select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("k"), F.sum("toxic").alias("a"))
     expected = F.col("k") * (n1 / n)
     square = F.pow(F.col("a") - expected, 2) / (expected * (1 - n1 / n)) * n / (n - F.col("k") + 1)
     # Whatever tells others is common prose; only signs of toxicity are kept.
-    rated = each.where((F.col("k") >= LEAST_TEXTS) & (F.col("a") > expected)).withColumn("square", square)
+    rated = each.where((F.col("k") >= LEAST_TEXTS) & (F.col("a") > expected)).withColumn("square", square).where(F.col("square") >= LEAST_SQUARE)
     return [r.feature for r in rated.orderBy(F.desc("square"), "feature").limit(FEATURES).select("feature").collect()]
 
 
