@@ -1,6 +1,7 @@
 """Greedy density-peak clustering of events, and what follows from an assignment.
 
-Events are independent and bounded; rows of an event come together in a single shuffle on event_id.
+Events of bounded size come together in a single shuffle on event_id; larger ones go through rounds of joins on cells, so
+that no task holds them.
 """
 
 from __future__ import annotations
@@ -10,8 +11,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hitloom.operators.events import per_event
+from hitloom.operators import rounds
+from hitloom.operators.events import large_events, per_event
 
+#: Rows of an event up to which one task condenses it.
+LARGE = 100_000
 ASSIGNED = "event_id long, hit_id long, sid int, alpha_id long"
 
 
@@ -45,7 +49,8 @@ def condense(hits: DataFrame, beta: str = "beta", radius: Column | float = 1.0,
     """event_id, hit_id, sid (-1: noise), alpha_id (null: noise) and the columns of keep of every row; rows with beta > threshold may be points.
 
     keep_noise: rows that no point takes become objects of their own, numbered first. singletons: rows that
-    are objects of their own in any case, numbered last; they neither take rows nor are taken.
+    are objects of their own in any case, numbered last; they neither take rows nor are taken. Events of more than
+    LARGE rows are condensed in rounds, to the same result; looking for them is one job on event_id.
     """
     alone = (singletons if singletons is not None else F.lit(False)).alias("_alone")
     rows = hits.select("event_id", "hit_id", *keep, alone, *(F.col(c).cast("double").alias(f"_{c}") for c in coords), F.col(beta).cast("double").alias("_b"), (radius if isinstance(radius, Column) else F.lit(radius)).cast("double").alias("_r"))
@@ -69,7 +74,30 @@ def condense(hits: DataFrame, beta: str = "beta", radius: Column | float = 1.0,
         return pa.table(out | {name: event[name] for name in keep})
 
     more = [f"{f.name} {f.dataType.simpleString()}" for f in hits.select(*keep).schema.fields] if keep else []
-    return per_event(rows, one, ", ".join([ASSIGNED, *more]), "hit_id")
+    schema = ", ".join([ASSIGNED, *more])
+    large = large_events(rows, LARGE)
+    if large is None:
+        return per_event(rows, one, schema, "hit_id")
+    small = per_event(rows.join(large, "event_id", "left_anti"), one, schema, "hit_id")
+    return small.unionByName(_in_rounds(rows.join(large, "event_id", "left_semi"), coords, threshold, max_beta, keep_noise, keep))
+
+
+def _in_rounds(rows: DataFrame, coords: tuple[str, ...], threshold: float, max_beta: bool, keep_noise: bool, keep: tuple[str, ...]) -> DataFrame:
+    """condense() of large events."""
+    named = {"_b": "score", "_r": "radius"}
+    free = rows.where("NOT coalesce(_alone, false)").withColumnsRenamed(named)
+    told = rounds.condensed(free.select("event_id", "hit_id", "score", "radius", *(f"_{c}" for c in coords)), [f"_{c}" for c in coords], threshold, max_beta)
+    event = Window.partitionBy("event_id").orderBy("hit_id")
+    points = told.groupBy("event_id").agg((F.max("sid") + 1).alias("_points"))
+    own = rows.where("coalesce(_alone, false)").join(points, "event_id", "left").select("event_id", "hit_id", (F.coalesce("_points", F.lit(0)) + F.row_number().over(event) - 1).alias("sid"), F.col("hit_id").alias("alpha_id"))
+    told = told.unionByName(own)
+    if keep_noise:
+        noise = told.where("sid < 0").select("event_id", "hit_id", (F.row_number().over(event) - 1).alias("sid"), F.col("hit_id").alias("alpha_id"))
+        many = noise.groupBy("event_id").agg(F.count("*").cast("int").alias("_noise"))
+        held = told.where("sid >= 0").join(many, "event_id", "left").select("event_id", "hit_id", (F.col("sid") + F.coalesce("_noise", F.lit(0))).alias("sid"), "alpha_id")
+        told = noise.unionByName(held)
+    told = told.withColumn("sid", F.col("sid").cast("int"))
+    return told.join(rows.select("event_id", "hit_id", *keep), ["event_id", "hit_id"]) if keep else told
 
 
 def condense_scaled(hits: DataFrame, scale: Column, distance: float, threshold: float, **more) -> DataFrame:

@@ -9,13 +9,18 @@ KEY = ["event_id", "hit_id"]
 
 
 def with_neighbour(edges: DataFrame, hits: DataFrame, *features: str, prefix: str = "n_") -> DataFrame:
-    """Edges with features of the neighbour."""
+    """Edges with features of the neighbour, looked up unless the edges carry them."""
+    features = tuple(f for f in features if f"{prefix}{f}" not in edges.columns)
+    if not features:
+        return edges
     far = hits.select("event_id", F.col("hit_id").alias("nbr_id"), *(F.col(f).alias(f"{prefix}{f}") for f in features))
     return edges.join(far, ["event_id", "nbr_id"])
 
 
 def with_own(edges: DataFrame, hits: DataFrame, *features: str) -> DataFrame:
-    return edges.join(hits.select(*KEY, *features), KEY)
+    """Edges with features of the row itself, looked up unless the edges carry them."""
+    features = tuple(f for f in features if f not in edges.columns)
+    return edges.join(hits.select(*KEY, *features), KEY) if features else edges
 
 
 def accumulate(edges: DataFrame, hits: DataFrame, feature: str, k: int, weight: Column | None = None) -> DataFrame:
@@ -27,8 +32,10 @@ def accumulate(edges: DataFrame, hits: DataFrame, feature: str, k: int, weight:
 
 def push_sum(edges: DataFrame, hits: DataFrame, feature: str, weight: Column) -> DataFrame:
     """Each row adds weight * feature to its neighbours; rows that get nothing have 0."""
-    sent = with_own(edges, hits, feature).groupBy("event_id", F.col("nbr_id").alias("hit_id")).agg(F.sum(weight * F.col(feature)).alias("pushed"))
-    return hits.select(*KEY).join(sent, KEY, "left").select(*KEY, F.coalesce("pushed", F.lit(0.0)).alias("pushed"))
+    sent = with_own(edges, hits, feature).select("event_id", F.col("nbr_id").alias("hit_id"), (weight * F.col(feature)).alias("pushed"))
+    # Each row is there with nothing, so that no join has to bring back those that get nothing.
+    all_rows = hits.select(*KEY, F.lit(0.0).alias("pushed")).unionByName(sent)
+    return all_rows.groupBy(*KEY).agg(F.sum("pushed").alias("pushed"))
 
 
 def softmax(edges: DataFrame, score: Column) -> DataFrame:

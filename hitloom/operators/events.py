@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def per_event(df: DataFrame, run: Callable[[pa.Table], pa.Table], schema: str, *order: str) -> DataFrame:
@@ -35,3 +36,9 @@ def per_event(df: DataFrame, run: Callable[[pa.Table], pa.Table], schema: str, *
             yield from run(rest).to_batches()
 
     return df.where("event_id is not null").repartition("event_id").sortWithinPartitions("event_id", *order).mapInArrow(go, schema)
+
+
+def large_events(df: DataFrame, rows: int) -> DataFrame | None:
+    """event_id of the events of more than so many rows, or None if there are none: a job that counts by event_id."""
+    large = df.groupBy("event_id").agg(F.count("*").alias("n")).where((F.col("n") > rows) & F.col("event_id").isNotNull()).select("event_id")
+    return None if large.isEmpty() else large

@@ -1,4 +1,7 @@
-"""Groups of neighbours around the rows of highest score, event by event."""
+"""Groups of neighbours around the rows of highest score, event by event.
+
+Events of bounded size come together in a task; larger ones go through rounds of joins on their edges.
+"""
 
 from __future__ import annotations
 
@@ -6,18 +9,75 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hitloom.operators.events import per_event
+from hitloom.operators.events import large_events, per_event
+from hitloom.operators.rounds import first_in_order
 
+#: Rows of an event up to which one task groups it.
+LARGE = 100_000
+KEY = ["event_id", "hit_id"]
 GROUPED = "event_id long, hit_id long, centre_id long, place long, slot long"
 #: Neighbours of each row (as places in the order of descending score, the row itself first), and which rows may take
 #: others, to the chosen centres in order, each with all that it takes (itself first).
 Rule = Callable[[list[np.ndarray], np.ndarray], list[np.ndarray]]
 
 
-def _grouped(edges: DataFrame, hits: DataFrame, score: str, least: float | None, rule: Rule) -> DataFrame:
+def _grouped(edges: DataFrame, hits: DataFrame, score: str, least: float | None, rule: Rule, two: bool) -> DataFrame:
+    """The rule on events in tasks, and its rounds on those of more than LARGE rows; looking for them is one job on event_id."""
+    large = large_events(hits, LARGE)
+    if large is None:
+        return _in_tasks(edges, hits, score, least, rule)
+    small, rest = ([df.join(large, "event_id", how) for df in (edges, hits)] for how in ("left_anti", "left_semi"))
+    return _in_tasks(*small, score, least, rule).unionByName(_in_rounds(*rest, score, least, two))
+
+
+def _in_rounds(edges: DataFrame, hits: DataFrame, score: str, least: float | None, two: bool) -> DataFrame:
+    """Centres by rounds, and what they take.
+
+    In the first of two passes a row is no centre if an earlier centre has it as a neighbour, or as a neighbour of what
+    that centre takes: the taken are all neighbours that it has, by whomever they were taken.
+    """
+    # As in the order of tasks: no score comes first, NaN last.
+    order = F.when(F.col(score).isNull(), float("inf")).otherwise(F.nanvl(F.col(score).cast("double"), F.lit(float("-inf"))))
+    may = F.lit(True) if least is None else F.coalesce((F.col(score) >= least) & ~F.isnan(F.col(score).cast("double")), F.lit(False))
+    rows = hits.select(*KEY, order.alias("score"), may.alias("_may"))
+    far = rows.select("event_id", F.col("hit_id").alias("nbr_id"))
+    near = edges.where("nbr_id <> hit_id").join(rows, KEY).join(far, ["event_id", "nbr_id"], "left_semi")
+    near = near.select("event_id", F.col("hit_id").alias("a_id"), F.col("nbr_id").alias("b_id"), "slot", "score", "_may")
+    takes = near.where("_may")
+    picks: list[tuple[DataFrame, DataFrame]] = []
+    if two:
+        via = near.select("event_id", F.col("a_id").alias("b_id"), F.col("b_id").alias("c_id"))
+        touched = takes.join(via, ["event_id", "b_id"]).select("event_id", "a_id", F.col("c_id").alias("b_id")).where("a_id <> b_id")
+        covers = near.select("event_id", "a_id", "b_id").unionByName(touched)
+        picks.append(_pass(rows, covers, takes))
+        gone = picks[0][1].select(*KEY).unionByName(picks[0][0].select(*KEY))
+        rows = rows.join(gone, KEY, "left_anti")
+        for end in ("a_id", "b_id"):
+            takes = takes.join(gone.withColumnRenamed("hit_id", end), ["event_id", end], "left_anti")
+    picks.append(_pass(rows, takes, takes))
+    out: DataFrame | None = None
+    for number, (centres, taken) in enumerate(picks):
+        one = centres.select(*KEY, F.col("hit_id").alias("centre_id"), F.lit(number).alias("pass"), "score", F.lit(-1).alias("_at"))
+        one = one.unionByName(taken.select(*KEY, "centre_id", F.lit(number).alias("pass"), "score", F.col("slot").alias("_at")))
+        out = one if out is None else out.unionByName(one)
+    place = F.dense_rank().over(Window.partitionBy("event_id").orderBy("pass", F.desc("score"), "centre_id")) - 1
+    slot = F.row_number().over(Window.partitionBy("event_id", "centre_id").orderBy("_at", "hit_id")) - 1
+    return out.select(*KEY, "centre_id", place.cast("long").alias("place"), slot.cast("long").alias("slot"))
+
+
+def _pass(rows: DataFrame, covers: DataFrame, takes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Centres (with their score), and the other rows that they take: each goes to the first centre whose neighbour it is."""
+    centres = first_in_order(rows, covers).join(rows, KEY).select(*KEY, "score")
+    met = takes.join(centres.select("event_id", F.col("hit_id").alias("a_id")), ["event_id", "a_id"], "left_semi")
+    first = met.groupBy("event_id", F.col("b_id").alias("hit_id")).agg(F.min(F.struct((-F.col("score")).alias("s"), "a_id", "slot")).alias("t"))
+    taken = first.join(centres, KEY, "left_anti").select(*KEY, F.col("t.a_id").alias("centre_id"), (-F.col("t.s")).alias("score"), "t.slot")
+    return centres, taken
+
+
+def _in_tasks(edges: DataFrame, hits: DataFrame, score: str, least: float | None, rule: Rule) -> DataFrame:
     """centre_id, place (the centre's number in its event) and slot (place among what the centre takes, 0: itself) of each row."""
     near = edges.where("nbr_id <> hit_id").groupBy("event_id", "hit_id").agg(F.sort_array(F.collect_list(F.struct("slot", "nbr_id"))).alias("n"))
     rows = hits.select("event_id", "hit_id", (-F.col(score)).alias("_s")).join(near, ["event_id", "hit_id"], "left")
@@ -51,7 +111,7 @@ def local_cluster(edges: DataFrame, hits: DataFrame, score: str, least: float |
                 out.append(taken)
         return out
 
-    return _grouped(edges, hits, score, least, rule)
+    return _grouped(edges, hits, score, least, rule, False)
 
 
 def local_group(edges: DataFrame, hits: DataFrame, score: str, least: float | None = None) -> DataFrame:
@@ -69,4 +129,4 @@ def local_group(edges: DataFrame, hits: DataFrame, score: str, least: float | No
                     out.append(taken)
         return out
 
-    return _grouped(edges, hits, score, least, rule)
+    return _grouped(edges, hits, score, least, rule, True)

@@ -1,4 +1,9 @@
-"""Nearest-neighbour joins inside events."""
+"""Nearest-neighbour joins inside events.
+
+Rows of small events meet in arrays, one shuffle by event in all. Rows of large events meet in the cells of a grid that
+is halved again and again where rows are dense, by equi-joins on (event, level, cell), so that neither an event nor
+a crowded place costs its square. Both ways are parts of one plan; no job runs while it is built.
+"""
 
 from __future__ import annotations
 
@@ -7,15 +12,26 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hitloom.session import stored
-
 SELF, NEAR = "p", "n"
-#: Rows of an event up to which joining it with itself costs less than cells do.
-SMALL = 512
+#: Rows of an event up to which arrays of its rows cost less than cells do.
+SMALL = 256
+#: Halvings of an event's longest side at most.
+BITS = 30
+#: A squared distance of a probe and a neighbour, given the coordinates of each by name (a probe's also has columns of its own).
+Place = Callable[[str], Column]
+Distance = Callable[[Place, Place], Column]
+
 
+def squared(coords: Sequence[str]) -> Distance:
+    def distance(p: Place, n: Place) -> Column:
+        parts = [(p(c) - n(c)) * (p(c) - n(c)) for c in coords]
+        return sum(parts[1:], parts[0])
 
-def squared_distance(coords: Sequence[str], a: str = SELF, b: str = NEAR) -> Column:
-    return sum(((F.col(f"{a}_{c}") - F.col(f"{b}_{c}")) * (F.col(f"{a}_{c}") - F.col(f"{b}_{c}")) for c in coords[1:]), (F.col(f"{a}_{coords[0]}") - F.col(f"{b}_{coords[0]}")) * (F.col(f"{a}_{coords[0]}") - F.col(f"{b}_{coords[0]}")))
+    return distance
+
+
+def columns(side: str) -> Place:
+    return lambda name: F.col(f"{side}_{name}")
 
 
 def _side(hits: DataFrame, name: str, keep: Sequence[str], coords: Sequence[str]) -> DataFrame:
@@ -27,72 +43,167 @@ def _placed(hits: DataFrame, coords: Sequence[str]) -> DataFrame:
     return hits.where("event_id IS NOT NULL AND " + " AND ".join(f"{c} IS NOT NULL AND NOT isnan({c}) AND abs({c}) < double('inf')" for c in coords))
 
 
-def _nearest(pairs: DataFrame, k: int, own: str = "first") -> DataFrame:
-    """Slots by distance, with self first on demand; the row_number limit is applied before and after the shuffle."""
-    ahead = [F.col("nbr_id") != F.col("hit_id")] if own == "first" else []
-    w = Window.partitionBy("event_id", "hit_id").orderBy(*ahead, "dsq", "nbr_id")
-    return pairs.select("event_id", "hit_id", "nbr_id", "dsq").withColumn("slot", F.row_number().over(w) - 1).where(F.col("slot") < k)
-
-
-def _by_size(hits: DataFrame, pairs: Callable[[DataFrame], DataFrame], rings: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """pairs on events of up to SMALL rows and rings on larger ones: both give the same rows, at the cost of counting events."""
-    large = hits.groupBy("event_id").count().where(F.col("count") > SMALL).select("event_id")
-    if large.isEmpty():
-        return pairs(hits)
-    return pairs(hits.join(large, "event_id", "left_anti")).unionByName(rings(hits.join(large, "event_id", "left_semi")))
-
+def _slots(rows: DataFrame, near: Column, k: int, own: str, radius: float | None, carry: Sequence[str]) -> DataFrame:
+    """A row for each of the first k of near, by distance, then id; self comes ahead of them, is left out, or counts as any other row."""
+    near = F.sort_array(near)
+    if own != "found":
+        near = F.filter(near, lambda n: n["nbr_id"] != F.col("hit_id"))
+    if own == "first":
+        me = F.struct(F.lit(0.0).alias("dsq"), F.col("hit_id").alias("nbr_id"), *(F.col(f"own_{c}").alias(f"n_{c}") for c in carry))
+        near = F.concat(F.array(me), F.slice(near, 1, k - 1))
+    else:
+        near = F.slice(near, 1, k)
+    out = rows.select("event_id", "hit_id", *(F.col(f"own_{c}").alias(c) for c in carry), F.posexplode(near).alias("slot", "_n"))
+    out = out.select("event_id", "hit_id", "_n.nbr_id", "_n.dsq", "slot", *carry, *(f"_n.n_{c}" for c in carry))
+    return out if radius is None else out.where(F.col("dsq") <= radius * radius)
+
+
+def _in_arrays(rows: DataFrame, k: int, coords: Sequence[str], distance: Distance, extra: Sequence[str], own: str, radius: float | None, carry: Sequence[str]) -> DataFrame:
+    """Neighbours among the rows of each event, which are gathered in two arrays."""
+    more = [c for c in carry if c not in coords]
+    found = F.collect_list(F.when(F.col("_found"), F.struct("hit_id", *coords, *more)))
+    asks = F.collect_list(F.when(F.col("_asks"), F.struct("hit_id", *coords, *extra, *more)))
+    event = rows.groupBy("event_id").agg(found.alias("_found"), asks.alias("_asks")).select("event_id", "_found", F.explode("_asks").alias("_p"))
+    event = event.select("event_id", "_found", "_p", "_p.hit_id", *(F.col(f"_p.{c}").alias(f"own_{c}") for c in carry))
+    met = F.transform("_found", lambda n: F.struct(distance(lambda c: F.col(f"_p.{c}"), lambda c: n[c]).alias("dsq"), n["hit_id"].alias("nbr_id"), *(n[c].alias(f"n_{c}") for c in carry)))
+    return _slots(event, F.filter(met, lambda n: n["dsq"].isNotNull() if radius is None else n["dsq"] <= radius * radius), k, own, None, carry)
+
+
+def _first(pairs: DataFrame, probe: Sequence[str], need: int) -> DataFrame:
+    """The need nearest rows of each probe: ids of a place count one by one."""
+    w = Window.partitionBy(*probe).orderBy("dsq", "nbr_id")
+    return pairs.withColumn("nbr_id", F.explode("ids")).drop("ids").withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= need)
+
+
+def _through_cells(rows: DataFrame, k: int, coords: Sequence[str], distance: Distance, extra: Sequence[str], own: str, radius: float | None, carry: Sequence[str], shrink: Column | None, width: float | None) -> DataFrame:
+    """Neighbours of the rows of large events.
+
+    Rows at one place are one node with their first ids, and ask once. Places are in a cell at every level, whose
+    side halves from one to the next. A probe takes the finest cell of its own that holds k + 1 rows: the distance
+    of the last of them bounds its neighbours, which all lie in the few cells of that level (or of a coarser one) that
+    the bound reaches.
+    """
+    need, binned = k + 1, list(coords[:3])
+    place, probe = ["event_id", *coords], ["event_id", *coords, *extra]
+    cells = [f"c_{c}" for c in binned]
 
-def _all_pairs(hits: DataFrame, k: int, coords: Sequence[str], probes: Column | None, neighbours: Column | None, own: str, distance: Column, extra: Sequence[str] = ()) -> DataFrame:
-    """Neighbours from an event joined with itself."""
-    left = _side(hits.where(probes) if probes is not None else hits, SELF, ["event_id", *extra], coords)
-    right = _side(hits.where(neighbours) if neighbours is not None else hits, NEAR, ["event_id"], coords)
-    pairs = left.join(right, "event_id").withColumn("dsq", distance).where("dsq is not null")
-    if own == "none":
-        pairs = pairs.where("nbr_id <> hit_id")
-    elif own == "first" and neighbours is not None:
-        self_ = left.select("event_id", "hit_id", F.col("hit_id").alias("nbr_id"), F.lit(0.0).alias("dsq"))
-        pairs = pairs.where("nbr_id <> hit_id").select("event_id", "hit_id", "nbr_id", "dsq").unionByName(self_)
-    return _nearest(pairs, k, own)
+    box = rows.groupBy("event_id").agg(F.count("*").alias("rows"), *(F.min(c).alias(f"lo_{c}") for c in binned), *(F.max(c).alias(f"hi_{c}") for c in binned))
+    sides = [F.col(f"hi_{c}") - F.col(f"lo_{c}") for c in binned]
+    finest = F.log2(F.col("rows") / need) + 1 if width is None else F.log2(F.col("side") / width)
+    depth = F.when(F.col("side") > 0, F.greatest(F.lit(0), F.least(F.lit(BITS), F.ceil(finest).cast("int")))).otherwise(0)
+    box = box.withColumn("side", F.greatest(*sides) if len(sides) > 1 else sides[0]).withColumn("depth", depth).select("event_id", "side", "depth", *(f"lo_{c}" for c in binned))
+
+    def at(c: str) -> Column:
+        """The place along the longest side, from 0 to 1."""
+        return F.when(F.col("side") > 0, (F.col(c) - F.col(f"lo_{c}")) / F.col("side")).otherwise(0.0)
+
+    def cell(c: str, level: str) -> Column:
+        fine = F.least(F.floor(at(c) * float(2**BITS)), F.lit(2**BITS - 1)).cast("long")
+        return F.call_function("shiftright", fine, F.lit(BITS) - F.col(level)).alias(f"c_{c}")
+
+    w = Window.partitionBy(*place).orderBy("hit_id")
+    first = rows.where("_found").select(*place, "hit_id").withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= need)
+    nodes = first.groupBy(*place).agg(F.sort_array(F.collect_list("hit_id")).alias("ids")).join(box, "event_id")
+    grid = nodes.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("depth"))))
+    grid = grid.select("event_id", "level", *(cell(c, "level") for c in binned), *(F.col(c).alias(f"{NEAR}_{c}") for c in coords), "ids")
+    cell_key = ["event_id", "level", *cells]
+    crowd = grid.groupBy(*cell_key).agg(F.sum(F.size("ids")).alias("_held")).where(F.col("_held") >= need)
+
+    bound = [shrink.alias("_shrink")] if shrink is not None else []
+    asks = rows.where("_asks").select(*probe, *bound).distinct().join(box, "event_id")
+    boxed = [*probe, *(["_shrink"] if bound else []), "side", *(f"lo_{c}" for c in binned)]
+    levels = asks.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("depth")))).select("*", *(cell(c, "level") for c in binned))
+    levels = levels.join(crowd, cell_key, "left").groupBy(*boxed).agg(F.coalesce(F.max(F.when(F.col("_held").isNotNull(), F.col("level"))), F.lit(0)).alias("level"))
+
+    def met(probes: DataFrame) -> DataFrame:
+        """Probes with the nodes of the cells that they name."""
+        named = probes.select("*", *(F.col(c).alias(f"{SELF}_{c}") for c in [*coords, *extra]))
+        return named.join(grid, cell_key).withColumn("dsq", distance(columns(SELF), columns(NEAR))).where("dsq is not null")
+
+    own_cell = met(levels.select(*boxed, "level", *(cell(c, "level") for c in binned)))
+    near = _first(own_cell.select(*boxed, "level", "dsq", "ids"), probe, need)
+    far = F.when(F.count("*") >= need, F.max("dsq")).otherwise(float("inf"))
+    if radius is not None:
+        far = F.least(far, F.lit(radius * radius))
+    bounded = near.groupBy(*boxed, "level").agg(far.alias("far"))
+    reach = F.sqrt("far") if shrink is None else F.when(F.col("_shrink") > 0, F.sqrt(F.col("far") / F.col("_shrink"))).otherwise(float("inf"))
+    share = F.when(F.col("side") > 0, reach / F.col("side")).otherwise(0.0)
+    # The reach is two cells at most.
+    coarse = F.when(F.col("share") > 0, F.least("level", F.greatest(F.lit(0), F.floor(F.log2(2 / F.col("share"))).cast("int")))).otherwise(F.col("level"))
+    reaching = bounded.withColumn("share", share * (1 + 1e-9) + 1e-9).withColumn("level", coarse)
+    last = F.pow(F.lit(2.0), F.col("level"))
+    for c in binned:
+        lo = F.floor(F.greatest(at(c) - F.col("share"), F.lit(0.0)) * last)
+        hi = F.least(F.floor(F.least(at(c) + F.col("share"), F.lit(1.0)) * last), (last - 1).cast("long"))
+        reaching = reaching.withColumn(f"c_{c}", F.explode(F.sequence(F.least(lo, (last - 1).cast("long")), hi)))
+    best = _first(met(reaching).where("dsq <= far").select(*probe, "dsq", "ids"), probe, need)
+    best = best.groupBy(*probe).agg(F.collect_list(F.struct("dsq", "nbr_id")).alias("_near"))
+    none = F.array().cast("array<struct<dsq:double,nbr_id:bigint>>")
+    out = _slots(rows.where("_asks").join(best, probe, "left"), F.coalesce("_near", none), k, own, radius, ())
+    if not carry:
+        return out
+    mine = rows.select("event_id", "hit_id", *carry)
+    other = rows.select("event_id", F.col("hit_id").alias("nbr_id"), *(F.col(c).alias(f"n_{c}") for c in carry))
+    return out.join(mine, ["event_id", "hit_id"]).join(other, ["event_id", "nbr_id"]).select(*out.columns, *carry, *(f"n_{c}" for c in carry))
+
+
+def _nearest(
+    hits: DataFrame,
+    k: int,
+    coords: Sequence[str],
+    distance: Distance,
+    probes: Column | None = None,
+    neighbours: Column | None = None,
+    own: str = "first",
+    radius: float | None = None,
+    carry: Sequence[str] = (),
+    extra: Sequence[str] = (),
+    shrink: Column | None = None,
+    width: float | None = None,
+) -> DataFrame:
+    """Small events through arrays, large ones through cells: both give the same rows, at the cost of counting events."""
+    masks = {name: F.lit(True) if mask is None else F.coalesce(mask, F.lit(False)) for name, mask in (("_asks", probes), ("_found", neighbours))}
+    rows = _placed(hits, coords).withColumns(masks).select("event_id", "hit_id", *coords, *extra, *(c for c in carry if c not in coords), "_asks", "_found")
+    large = rows.groupBy("event_id").agg(F.count("*").alias("_n")).where(F.col("_n") > SMALL).select("event_id")
+    small = _in_arrays(rows.join(large, "event_id", "left_anti"), k, coords, distance, extra, own, radius, carry)
+    return small.unionByName(_through_cells(rows.join(large, "event_id", "left_semi"), k, coords, distance, extra, own, radius, carry, shrink, width))
 
 
-def knn(hits: DataFrame, k: int, coords: Sequence[str] = ("x", "y", "z"), probes: Column | None = None, neighbours: Column | None = None, max_radius: float | None = None, own: str = "first") -> DataFrame:
+def knn(hits: DataFrame, k: int, coords: Sequence[str] = ("x", "y", "z"), probes: Column | None = None, neighbours: Column | None = None, max_radius: float | None = None, own: str = "first", carry: Sequence[str] = ()) -> DataFrame:
     """The k nearest rows of each row's event: event_id, hit_id, nbr_id, dsq, slot.
 
     probes / neighbours: which rows ask, and which can be found (masks and directions). own: a probe always
     finds itself in slot 0 ("first"), never ("none"), or as any other row ("found"). Ties go to the smaller id. Rows
-    without a place (null or not finite in a coordinate) or without event_id take no part. Events of up to SMALL
-    rows cost one shuffle by event, larger ones go through the cells of knn_grid(), so no event costs its square.
+    without a place (null or not finite in a coordinate) or without event_id take no part. carry: columns of the
+    row, and as n_ columns of its neighbour, that edges are to have, so that no join has to fetch them.
     """
-    distance = squared_distance(coords)
-    near = _by_size(
-        _placed(hits, coords),
-        lambda small: _all_pairs(small, k, coords, probes, neighbours, own, distance),
-        lambda large: knn_grid(large, k, _wide(large, k, coords[:2]), coords, coords[:2], probes, neighbours, own, max_radius),
-    )
-    return near if max_radius is None else near.where(F.col("dsq") <= max_radius * max_radius)
+    return _nearest(hits, k, coords, squared(coords), probes, neighbours, own, max_radius, carry)
+
+
+def knn_grid(hits: DataFrame, k: int, width: float | None = None, coords: Sequence[str] = ("x", "y", "z")) -> DataFrame:
+    """knn() whose finest cells, in large events, have sides of about width (else they follow from the number of rows)."""
+    return _nearest(hits, k, coords, squared(coords), width=width)
 
 
 def knn_warped(hits: DataFrame, k: int, matrix: Sequence[Sequence[Column]], coords: Sequence[str] = ("x", "y", "z")) -> DataFrame:
     """Neighbours under each probe's own linear map: matrix[j][i] are columns of the probe.
 
     A map shrinks no distance below its least singular value, and that is at least |det| * ((n - 1) / s)^((n - 1) / 2) with s
-    the sum of squared entries: so far the rings of larger events are opened. Probes whose map has nulls find nothing in
-    small events and nothing but themselves in large ones.
+    the sum of squared entries: so far cells are opened in large events. Probes whose map has nulls find only themselves.
     """
     n = len(coords)
     entries = [f"m{j}{i}" for j in range(n) for i in range(n)]
-    named = _placed(hits, coords).select("event_id", "hit_id", *coords, *(matrix[j][i].alias(f"m{j}{i}") for j in range(n) for i in range(n)))
-    diff = [F.col(f"{SELF}_{c}") - F.col(f"{NEAR}_{c}") for c in coords]
-    rows = [sum((F.col(f"m{j}{i}") * diff[j] for j in range(1, n)), F.col(f"m0{i}") * diff[0]) for i in range(n)]
-    distance = sum((r * r for r in rows[1:]), rows[0] * rows[0])
+    named = hits.select("event_id", "hit_id", *coords, *(matrix[j][i].cast("double").alias(f"m{j}{i}") for j in range(n) for i in range(n)))
+
+    def distance(p: Place, q: Place) -> Column:
+        diff = [p(c) - q(c) for c in coords]
+        rows = [sum((p(f"m{j}{i}") * diff[j] for j in range(1, n)), p(f"m0{i}") * diff[0]) for i in range(n)]
+        return sum((r * r for r in rows[1:]), rows[0] * rows[0])
+
     squares = sum((F.col(m) * F.col(m) for m in entries[1:]), F.col("m00") * F.col("m00"))
     det = _determinant([[F.col(f"m{j}{i}") for i in range(n)] for j in range(n)])
-    shrink = det * det * (F.pow(F.try_divide(F.lit(float(n - 1)), squares), float(n - 1)) if n > 1 else 1.0)
-    return _by_size(
-        named,
-        lambda small: _all_pairs(small, k, coords, None, None, "first", distance, entries),
-        lambda large: knn_grid(large.withColumn("shrink", shrink), k, _wide(large, k, coords[:2]), coords, coords[:2], distance=distance, extra=entries, shrink="shrink"),
-    )
+    shrink = det * det * (F.pow(F.try_divide(F.lit(float(n - 1)), squares), float(n - 1)) if n > 1 else 1.0) * (1 - 1e-9)
+    return _nearest(named, k, coords, distance, extra=entries, shrink=shrink)
 
 
 def _determinant(m: Sequence[Sequence[Column]]) -> Column:
@@ -102,117 +213,21 @@ def _determinant(m: Sequence[Sequence[Column]]) -> Column:
     return sum((t if i % 2 == 0 else -t for i, t in enumerate(terms[1:], 1)), terms[0])
 
 
-def _cells(hits: DataFrame, coords: Sequence[str], width: float) -> DataFrame:
+def _grid(hits: DataFrame, coords: Sequence[str], width: float) -> DataFrame:
     return hits.withColumns({f"c_{c}": F.floor(F.col(c) / width) for c in coords})
 
 
-def _ring_pairs(probes: DataFrame, grid: DataFrame, inner: int, outer: int, coords: Sequence[str], binned: Sequence[str], distance: Column | None = None, extra: Sequence[str] = ()) -> DataFrame:
-    """Pairs of probes with the rows of the cells beyond inner and up to outer cells from theirs: an equi-join on (event, cell).
-
-    Where probes have lo_c and hi_c, cells outside are left out.
-    """
-    cells = [f"c_{c}" for c in binned]
-    left = probes
-    for c in cells:
-        lo, hi = F.col(c) - outer, F.col(c) + outer
-        if f"lo_{c}" in probes.columns:
-            lo, hi = F.greatest(lo, f"lo_{c}"), F.least(hi, f"hi_{c}")
-        left = left.withColumn(f"to_{c}", F.explode(F.when(lo <= hi, F.sequence(lo, hi))))
-    away = [F.abs(F.col(f"to_{c}") - F.col(c)) for c in cells]
-    left = left.where((F.greatest(*away) if len(away) > 1 else away[0]) > inner)
-    left = _side(left, SELF, ["event_id", *extra, *(F.col(f"to_{c}").alias(c) for c in cells)], coords)
-    right = _side(grid, NEAR, ["event_id", *cells], coords)
-    return left.join(right, ["event_id", *cells]).withColumn("dsq", squared_distance(coords) if distance is None else distance).select("event_id", "hit_id", "nbr_id", "dsq")
-
-
 def knn_single_ring(hits: DataFrame, k: int, width: float, coords: Sequence[str] = ("x", "y", "z"), binned: Sequence[str] = ("x", "y")) -> DataFrame:
-    """Neighbours among a row's own cell and those around it: approximate, an equi-join on cells."""
-    grid = _cells(hits, binned, width)
-    return _nearest(_ring_pairs(grid, grid, -1, 1, coords, binned), k)
-
-
-def cell_width(hits: DataFrame, k: int, binned: Sequence[str] = ("x", "y"), rows: float | None = None, most: int = 30) -> float:
-    """A width by which a cell holds about rows (k / 32) rows of a mean event: 5 to most cells along the longest side."""
-    size = [F.max(c) - F.min(c) for c in binned]
-    stats = hits.groupBy("event_id").agg(F.count("*").alias("n"), F.greatest(*size, F.lit(0.0)).alias("range") if len(size) > 1 else size[0].alias("range")).agg(F.avg("n").alias("n"), F.max("range").alias("range")).first()
-    if stats["n"] is None or not stats["range"]:
-        return 1.0
-    return stats["range"] * 1.00001 / min(most, max(5, int((stats["n"] / (rows or k / 32)) ** (1 / len(binned)))))
-
-
-def _wide(hits: DataFrame, k: int, binned: Sequence[str]) -> float:
-    """Cells of about k rows: a ring costs a job, so the first one should prove most probes."""
-    return cell_width(hits, k, binned, k, 1024)
-
-
-def knn_grid(
-    hits: DataFrame,
-    k: int,
-    width: float | None = None,
-    coords: Sequence[str] = ("x", "y", "z"),
-    binned: Sequence[str] = ("x", "y"),
-    probes: Column | None = None,
-    neighbours: Column | None = None,
-    own: str = "first",
-    max_radius: float | None = None,
-    distance: Column | None = None,
-    extra: Sequence[str] = (),
-    shrink: str | None = None,
-) -> DataFrame:
-    """Exact neighbours through cells of a grid, ring by ring: event_id, hit_id, nbr_id, dsq, slot.
-
-    A row outside the first r rings of cells is at least r widths away, so k rows within that distance are the
-    nearest: such probes are done, and the others look at the next ring only, beside the k best that they have.
-    Rings double in number until all probes are proven, have reached max_radius or have seen their whole event.
-    Work follows the rows of the cells that are met, not the square of an event. Rows without a place take no part.
-    probes, neighbours and own are as in knn(). distance: another squared distance, over the coordinates and the probe's
-    columns extra, that is never below the probe's column shrink times the plain one.
-    """
-    usable = _placed(hits, coords)
-    width = width or cell_width(usable, k, binned)
-    grid = _cells(usable, binned, width)
+    """Neighbours among a row's own cell and those around it, self first: approximate, an equi-join on cells."""
+    grid = _grid(hits, binned, width)
     cells = [f"c_{c}" for c in binned]
-    found_in = grid if neighbours is None else grid.where(neighbours)
-    asks = grid if probes is None else grid.where(probes)
-    # How far the rows of an event reach, in cells: beyond, there is nothing to find.
-    span = found_in.groupBy("event_id").agg(*(F.min(c).alias(f"lo_{c}") for c in cells), *(F.max(c).alias(f"hi_{c}") for c in cells))
-    reach = F.greatest(*(x for c in cells for x in (F.col(c) - F.col(f"lo_{c}"), F.col(f"hi_{c}") - F.col(c))))
-    ends = [f"{e}_{c}" for c in cells for e in ("lo", "hi")]
-    bound = F.coalesce(F.col(shrink) * (1 - 1e-9), F.lit(0.0)) if shrink else F.lit(1.0)
-    open_ = asks.join(span, "event_id", "left").withColumns({"reach": F.coalesce(reach, F.lit(-1)), "bound": bound})
-    carried = ["event_id", "hit_id", *coords, *cells, *ends, *extra, "reach", "bound"]
-    open_ = open_.select(*carried)
-    inner, outer = -1, 1
-    # Each probe carries one row without a neighbour ahead of all others: its own place, or a mark that goes at the end.
-    slots = k if own == "first" else k + 1
-    best = asks.select("event_id", "hit_id", F.lit(None).cast(hits.schema["hit_id"].dataType).alias("nbr_id"), F.lit(-1.0).alias("dsq"))
-    done: list[DataFrame] = []
-    while True:
-        more = _ring_pairs(open_, found_in, inner, outer, coords, binned, distance, extra).where("dsq is not null")
-        if own != "found":
-            more = more.where("nbr_id <> hit_id")
-        near = _nearest(best.unionByName(more), slots, "found")
-        told = Window.partitionBy("event_id", "hit_id")
-        rated = near.withColumn("n", F.count("*").over(told)).withColumn("far", F.max("dsq").over(told))
-        rated = stored(rated.join(open_, ["event_id", "hit_id"]))
-        seen = F.col("bound") * (outer * width) ** 2
-        proven = ((F.col("n") == slots) & (F.col("far") < seen)) | (F.col("reach") <= outer)
-        if max_radius is not None:
-            proven |= seen > max_radius * max_radius
-        done.append(rated.where(proven).select("event_id", "hit_id", "nbr_id", "dsq", "slot"))
-        left = rated.where(~proven)
-        if left.isEmpty():
-            break
-        best = left.select("event_id", "hit_id", "nbr_id", "dsq")
-        open_ = left.where("slot = 0").select(*carried)
-        inner, outer = outer, 2 * outer
-    out = done[0]
-    for rows in done[1:]:
-        out = out.unionByName(rows)
-    if own != "first":
-        return out.where("nbr_id is not null").withColumn("slot", F.col("slot") - 1)
-    mark = F.col("nbr_id").isNull()
-    return out.withColumns({"nbr_id": F.when(mark, F.col("hit_id")).otherwise(F.col("nbr_id")), "dsq": F.when(mark, 0.0).otherwise(F.col("dsq"))})
+    left = grid
+    for c in cells:
+        left = left.withColumn(c, F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
+    pairs = _side(left, SELF, ["event_id", *cells], coords).join(_side(grid, NEAR, ["event_id", *cells], coords), ["event_id", *cells])
+    w = Window.partitionBy("event_id", "hit_id").orderBy(F.col("nbr_id") != F.col("hit_id"), "dsq", "nbr_id")
+    pairs = pairs.withColumn("dsq", squared(coords)(columns(SELF), columns(NEAR))).select("event_id", "hit_id", "nbr_id", "dsq")
+    return pairs.withColumn("slot", F.row_number().over(w) - 1).where(F.col("slot") < k)
 
 
 def close(hits: DataFrame, radius: float, coords: Sequence[str], binned: Sequence[str] = ("x", "y")) -> DataFrame:
@@ -220,7 +235,7 @@ def close(hits: DataFrame, radius: float, coords: Sequence[str], binned: Sequenc
 
     Rows nearer than radius along every axis of binned are all there. Rows without a place take no part.
     """
-    grid = _cells(_placed(hits, coords), binned, radius)
+    grid = _grid(_placed(hits, coords), binned, radius)
     cells = [f"c_{c}" for c in binned]
     left = grid
     for c in cells:

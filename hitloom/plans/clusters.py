@@ -148,9 +148,22 @@ def local_cluster_splits(t: Tables) -> DataFrame:
     return rows.where("hit_id = centre_id").groupBy("event_id").agg(F.count("*").alias("n"), (F.max("place") + 1).cast("long").alias("places"))
 
 
-@query()
+# In the first pass a centre also covers the neighbours of what it takes; the second pass is over what the first one leaves.
+GROUP = ["""cand AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY beta DESC, hit_id) AS rk FROM hits),
+  takes AS (SELECT e.event_id, e.hit_id AS centre_id, e.nbr_id AS hit_id, e.slot, a.rk AS pt, b.rk AS other FROM edges e JOIN cand a ON a.event_id = e.event_id AND a.hit_id = e.hit_id JOIN cand b ON b.event_id = e.event_id AND b.hit_id = e.nbr_id WHERE e.slot = 0 OR a.beta >= 0.4),
+  cover AS (SELECT DISTINCT t.event_id, t.pt, b.rk AS other FROM takes t JOIN edges e ON e.event_id = t.event_id AND e.hit_id = t.hit_id JOIN cand b ON b.event_id = e.event_id AND b.hit_id = e.nbr_id)""",
+  LOCAL_ALPHAS,
+  """got AS (SELECT event_id, hit_id, arg_min(centre_id, pt) AS centre_id, min(pt) AS pt, arg_min(slot, pt) AS slot FROM takes JOIN alphas USING (event_id, pt) GROUP BY 1, 2),
+  rest AS (SELECT * FROM cand c WHERE NOT EXISTS (SELECT 1 FROM got g WHERE g.event_id = c.event_id AND g.hit_id = c.hit_id)),
+  takes2 AS (SELECT t.* FROM takes t JOIN rest a ON a.event_id = t.event_id AND a.rk = t.pt JOIN rest b ON b.event_id = t.event_id AND b.rk = t.other)""",
+  LOCAL_ALPHAS.replace("alphas AS", "alphas2 AS").replace("FROM cover ", "FROM takes2 ").replace("FROM cand k", "FROM rest k").replace("FROM hits GROUP BY", "FROM rest GROUP BY"),
+  """got2 AS (SELECT event_id, hit_id, arg_min(centre_id, pt) AS centre_id, min(pt) AS pt, arg_min(slot, pt) AS slot FROM takes2 JOIN alphas2 USING (event_id, pt) GROUP BY 1, 2)"""]
+
+
+@query(on_edges("""SELECT event_id, hit_id, centre_id, dense_rank() OVER (PARTITION BY event_id ORDER BY p, pt) - 1 AS place, row_number() OVER (PARTITION BY event_id, centre_id ORDER BY slot) - 1 AS slot
+  FROM (SELECT *, 0 AS p FROM got UNION ALL SELECT *, 1 FROM got2)""", *GROUP))
 def local_group(t: Tables) -> DataFrame:
-    """Grouping in two passes: directed edges of the selected rows; tests hold it against a plain sequential version."""
+    """Grouping in two passes: the first one leaves rows alone that are neighbours of what was taken before."""
     return gr.local_group(kn.knn(t.hits(), K), t.hits(), "beta", 0.4)
 
 

@@ -22,8 +22,9 @@ def shown(edges: DataFrame) -> DataFrame:
     return edges.select(*KEY, "nbr_id", slot(), r("dsq", 5).alias("dsq"))
 
 
-def edges(t: Tables) -> DataFrame:
-    return kn.knn(t.hits(), K)
+def edges(t: Tables, *carry: str) -> DataFrame:
+    """Neighbour edges that carry columns of both ends."""
+    return kn.knn(t.hits(), K, carry=carry)
 
 
 @query(on_edges(EDGE))
@@ -102,7 +103,7 @@ def compare_knn(t: Tables) -> DataFrame:
 @query(on_edges("SELECT e.event_id, e.hit_id, nbr_id, slot, round((a.x-b.x)*(a.x-b.x), 5) AS dx2 FROM edges e JOIN hits a USING (event_id, hit_id) JOIN hits b ON b.event_id = e.event_id AND b.hit_id = e.nbr_id"))
 def local_distance(t: Tables) -> DataFrame:
     """Squared distance along given edges in another space."""
-    e = ed.with_neighbour(ed.with_own(edges(t), t.hits(), "x"), t.hits(), "x")
+    e = ed.with_neighbour(ed.with_own(edges(t, "x"), t.hits(), "x"), t.hits(), "x")
     return e.select(*KEY, "nbr_id", slot(), r((F.col("x") - F.col("n_x")) * (F.col("x") - F.col("n_x")), 5).alias("dx2"))
 
 
@@ -111,24 +112,24 @@ NB = "edges e JOIN hits b ON b.event_id = e.event_id AND b.hit_id = e.nbr_id"
 
 @query(on_edges(f"SELECT e.event_id, e.hit_id, round(sum(exp(-dsq)*b.energy)/5, 5) AS mean, round(max(exp(-dsq)*b.energy), 5) AS max FROM {NB} GROUP BY 1, 2"))
 def accumulate_mean_max(t: Tables) -> DataFrame:
-    return ed.accumulate(edges(t), t.hits(), "energy", K).select(*KEY, r("mean", 5).alias("mean"), r("max", 5).alias("max"))
+    return ed.accumulate(edges(t, "energy"), t.hits(), "energy", K).select(*KEY, r("mean", 5).alias("mean"), r("max", 5).alias("max"))
 
 
 @query(on_edges(f"SELECT e.event_id, e.hit_id, round(sum(b.energy/(1+dsq))/5, 5) AS mean, round(max(b.energy/(1+dsq)), 5) AS max FROM {NB} GROUP BY 1, 2"))
 def accumulate_linear(t: Tables) -> DataFrame:
-    return ed.accumulate(edges(t), t.hits(), "energy", K, 1 / (1 + F.col("dsq"))).select(*KEY, r("mean", 5).alias("mean"), r("max", 5).alias("max"))
+    return ed.accumulate(edges(t, "energy"), t.hits(), "energy", K, 1 / (1 + F.col("dsq"))).select(*KEY, r("mean", 5).alias("mean"), r("max", 5).alias("max"))
 
 
 @query(on_edges(f"SELECT e.event_id, e.hit_id, round(sum(exp(-dsq)*b.energy)/sum(exp(-dsq)), 5) AS v FROM {NB} GROUP BY 1, 2"))
 def accumulate_normalised(t: Tables) -> DataFrame:
-    e = ed.with_neighbour(edges(t), t.hits(), "energy")
+    e = ed.with_neighbour(edges(t, "energy"), t.hits(), "energy")
     w = F.exp(-F.col("dsq"))
     return e.groupBy(*KEY).agg(r(F.coalesce(F.try_divide(F.sum(w * F.col("n_energy")), F.sum(w)), F.lit(0.0)), 5).alias("v"))
 
 
 @query(on_edges(f"SELECT e.event_id, e.hit_id, round(min(b.x), 5) AS lo, round(avg(b.x), 5) AS mean, round(max(b.x), 5) AS hi, round(sum(b.x), 5) AS total FROM {NB} GROUP BY 1, 2"))
 def accumulate_modes(t: Tables) -> DataFrame:
-    e = ed.with_neighbour(edges(t), t.hits(), "x").groupBy(*KEY)
+    e = ed.with_neighbour(edges(t, "x"), t.hits(), "x").groupBy(*KEY)
     x = F.col("n_x")
     return e.agg(r(F.min(x), 5).alias("lo"), r(F.avg(x), 5).alias("mean"), r(F.max(x), 5).alias("hi"), r(F.sum(x), 5).alias("total"))
 
@@ -136,7 +137,7 @@ def accumulate_modes(t: Tables) -> DataFrame:
 @query(on_edges("""SELECT h.event_id, h.hit_id, round(coalesce(p, 0), 5) AS pushed FROM hits h LEFT JOIN (SELECT e.event_id, nbr_id, sum(energy/(1+dsq)) AS p
   FROM edges e JOIN hits a USING (event_id, hit_id) WHERE slot > 0 GROUP BY 1, 2) s ON s.event_id = h.event_id AND s.nbr_id = h.hit_id"""))
 def push_sum(t: Tables) -> DataFrame:
-    return ed.push_sum(edges(t).where("slot > 0"), t.hits(), "energy", 1 / (1 + F.col("dsq"))).select(*KEY, r("pushed", 5).alias("pushed"))
+    return ed.push_sum(edges(t, "energy").where("slot > 0"), t.hits(), "energy", 1 / (1 + F.col("dsq"))).select(*KEY, r("pushed", 5).alias("pushed"))
 
 
 @query(on_edges(f"""SELECT c.event_id, c.hit_id, round(c.mx, 5) AS m_x, round(c.my, 5) AS m_y, round(sum(b.energy*(b.x-mx)*(b.x-mx))/(sum(b.energy)+1e-4), 3) AS cov_xx,
@@ -144,13 +145,13 @@ def push_sum(t: Tables) -> DataFrame:
   FROM {NB} JOIN (SELECT e.event_id, e.hit_id, sum(b.energy*b.x)/(sum(b.energy)+1e-4) AS mx, sum(b.energy*b.y)/(sum(b.energy)+1e-4) AS my FROM {NB} GROUP BY 1, 2) c
   ON c.event_id = e.event_id AND c.hit_id = e.hit_id GROUP BY c.event_id, c.hit_id, c.mx, c.my"""))
 def neighbour_covariance(t: Tables) -> DataFrame:
-    c = ed.covariance(edges(t), t.hits(), "energy", ("x", "y"))
+    c = ed.covariance(edges(t, "energy", "x", "y"), t.hits(), "energy", ("x", "y"))
     return c.select(*KEY, r("m_x", 5).alias("m_x"), r("m_y", 5).alias("m_y"), *(r(f"cov_{p}", 3).alias(f"cov_{p}") for p in ("xx", "yx", "yy")))
 
 
 @query(on_edges("SELECT e.event_id, e.hit_id, nbr_id, slot, round(a.x-b.x, 5) AS dx, round(a.energy-b.energy, 5) AS de FROM edges e JOIN hits a USING (event_id, hit_id) JOIN hits b ON b.event_id = e.event_id AND b.hit_id = e.nbr_id WHERE slot > 0"))
 def edge_features(t: Tables) -> DataFrame:
-    e = ed.with_neighbour(ed.with_own(edges(t).where("slot > 0"), t.hits(), "x", "energy"), t.hits(), "x", "energy")
+    e = ed.with_neighbour(ed.with_own(edges(t, "x", "energy").where("slot > 0"), t.hits(), "x", "energy"), t.hits(), "x", "energy")
     return e.select(*KEY, "nbr_id", slot(), r(F.col("x") - F.col("n_x"), 5).alias("dx"), r(F.col("energy") - F.col("n_energy"), 5).alias("de"))
 
 
@@ -166,35 +167,35 @@ def edge_softmax(t: Tables) -> DataFrame:
   FROM edges e JOIN hits b ON b.event_id = e.event_id AND b.hit_id = e.nbr_id) WHERE dsq <= 100 QUALIFY row_number() OVER (PARTITION BY event_id, hit_id ORDER BY (slot > 0), s DESC, nbr_id) <= 3"""))
 def sort_and_select_neighbours(t: Tables) -> DataFrame:
     """Edges ordered by a score, self first, cut at three and at a squared radius."""
-    e = ed.with_neighbour(edges(t), t.hits(), "beta").where("dsq <= 100")
+    e = ed.with_neighbour(edges(t, "beta"), t.hits(), "beta").where("dsq <= 100")
     w = Window.partitionBy(*KEY).orderBy(F.col("slot") > 0, F.desc("n_beta"), "nbr_id")
     return e.withColumn("rn", F.row_number().over(w)).where("rn <= 3").select(*KEY, "nbr_id", (F.col("rn") - 1).cast("long").alias("slot"))
 
 
 @query(on_edges("SELECT e.event_id, e.hit_id, nbr_id, slot FROM edges e JOIN hits b ON b.event_id = e.event_id AND b.hit_id = e.nbr_id WHERE slot = 0 OR b.beta >= 0.5"))
 def edge_selector(t: Tables) -> DataFrame:
-    e = ed.with_neighbour(edges(t), t.hits(), "beta")
+    e = ed.with_neighbour(edges(t, "beta"), t.hits(), "beta")
     return e.where("slot = 0 OR n_beta >= 0.5").select(*KEY, "nbr_id", slot())
 
 
 @query(on_edges(f"SELECT e.event_id, e.hit_id, round(sum(CASE WHEN b.t_idx = a.t_idx THEN b.energy ELSE 0 END)/sum(b.energy), 6) AS same, CASE WHEN sum(CASE WHEN b.t_idx = a.t_idx THEN b.energy ELSE 0 END)/sum(b.energy) <= 0.4 THEN -1 ELSE a.t_idx END AS t_idx FROM {NB} JOIN hits a ON a.event_id = e.event_id AND a.hit_id = e.hit_id GROUP BY e.event_id, e.hit_id, a.t_idx"))
 def same_truth_fraction(t: Tables) -> DataFrame:
     """Share of the neighbours' energy with the row's own label; rows with little of it become noise."""
-    e = ed.with_neighbour(ed.with_own(edges(t), t.hits(), "t_idx"), t.hits(), "t_idx", "energy")
+    e = ed.with_neighbour(ed.with_own(edges(t, "t_idx", "energy"), t.hits(), "t_idx"), t.hits(), "t_idx", "energy")
     share = F.sum(F.when(F.col("n_t_idx") == F.col("t_idx"), F.col("n_energy")).otherwise(0.0)) / F.sum("n_energy")
     return e.groupBy(*KEY, "t_idx").agg(share.alias("s")).select(*KEY, r("s").alias("same"), F.when(F.col("s") <= 0.4, -1).otherwise(F.col("t_idx")).alias("t_idx"))
 
 
 @query(on_edges(f"""SELECT event_id, hit_id, t AS label, n FROM (SELECT *, row_number() OVER (PARTITION BY event_id, hit_id ORDER BY n DESC, t) AS rn FROM (SELECT e.event_id, e.hit_id, b.t_idx AS t, count(*) AS n FROM {NB} GROUP BY 1, 2, 3)) WHERE rn = 1 AND n >= 3"""))
 def majority_label(t: Tables) -> DataFrame:
-    n = ed.with_neighbour(edges(t), t.hits(), "t_idx").groupBy(*KEY, F.col("n_t_idx").alias("label")).agg(F.count("*").alias("n"))
+    n = ed.with_neighbour(edges(t, "t_idx"), t.hits(), "t_idx").groupBy(*KEY, F.col("n_t_idx").alias("label")).agg(F.count("*").alias("n"))
     return n.groupBy(*KEY).agg(F.max_by(F.struct("label", "n"), F.struct(F.col("n"), -F.col("label"))).alias("m")).select(*KEY, "m.*").where("n >= 3")
 
 
 @query(on_edges(f"SELECT e.event_id, e.hit_id, nbr_id, slot FROM {NB} JOIN hits a ON a.event_id = e.event_id AND a.hit_id = e.hit_id WHERE slot = 0 OR a.beta >= (SELECT max(c.beta) FROM edges f JOIN hits c ON c.event_id = f.event_id AND c.hit_id = f.nbr_id WHERE f.event_id = e.event_id AND f.hit_id = e.hit_id AND f.slot > 0)"))
 def directed_graph_filter(t: Tables) -> DataFrame:
     """Rows whose neighbours score higher lose all neighbours."""
-    e = ed.with_neighbour(ed.with_own(edges(t), t.hits(), "beta"), t.hits(), "beta")
+    e = ed.with_neighbour(ed.with_own(edges(t, "beta"), t.hits(), "beta"), t.hits(), "beta")
     top = F.max(F.when(F.col("slot") > 0, F.col("n_beta"))).over(Window.partitionBy(*KEY))
     return e.withColumn("top", top).where("slot = 0 OR beta >= top").select(*KEY, "nbr_id", slot())
 

@@ -205,7 +205,7 @@ def oc_beta_penalty(t: Tables) -> DataFrame:
 
 @query(on_edges("SELECT e.event_id, round(avg(CASE WHEN a.t_idx = b.t_idx THEN -ln(exp(-dsq/100)*0.98+0.01) ELSE -ln(1-exp(-dsq/100)*0.98-0.01) END), 5) AS loss FROM edges e JOIN hits a USING (event_id, hit_id) JOIN hits b ON b.event_id = e.event_id AND b.hit_id = e.nbr_id WHERE slot > 0 GROUP BY 1"))
 def edge_cross_entropy(t: Tables) -> DataFrame:
-    e = ed.with_neighbour(ed.with_own(kn.knn(t.hits(), K).where("slot > 0"), t.hits(), "t_idx"), t.hits(), "t_idx")
+    e = ed.with_neighbour(ed.with_own(kn.knn(t.hits(), K, carry=("t_idx",)).where("slot > 0"), t.hits(), "t_idx"), t.hits(), "t_idx")
     p = F.exp(-F.col("dsq") / 100) * 0.98 + 0.01
     return e.groupBy("event_id").agg(r(F.avg(F.when(F.col("t_idx") == F.col("n_t_idx"), -F.log(p)).otherwise(-F.log(1 - p))), 5).alias("loss"))
 

@@ -19,8 +19,9 @@ from hitloom.sources.tables import Tables, edges_sql
 KEY = ["event_id", "hit_id"]
 
 
-def edges(t: Tables) -> DataFrame:
-    return kn.knn(t.hits(), K)
+def edges(t: Tables, *carry: str) -> DataFrame:
+    """Neighbour edges that carry columns of both ends."""
+    return kn.knn(t.hits(), K, carry=carry)
 
 
 def count_if(cond: str) -> str:
@@ -43,7 +44,7 @@ def knn_neither(t: Tables) -> DataFrame:
 @query(on_edges(f"SELECT e.event_id, e.hit_id, round(sum(b.energy)/5, 5) AS mean, round(max(b.energy), 5) AS max, arg_max(b.hit_id, b.energy*1000000 - slot) AS argmax FROM {NB} GROUP BY 1, 2"))
 def neighbour_average_max(t: Tables) -> DataFrame:
     """Mean and maximum of the neighbours without regard to distance, and where the maximum is."""
-    e = ed.with_neighbour(edges(t), t.hits(), "energy")
+    e = ed.with_neighbour(edges(t, "energy"), t.hits(), "energy")
     x = F.col("n_energy")
     return e.groupBy(*KEY).agg(r(F.sum(x) / K, 5).alias("mean"), r(F.max(x), 5).alias("max"), F.max_by("nbr_id", x * 1000000 - F.col("slot")).alias("argmax"))
 
@@ -51,7 +52,7 @@ def neighbour_average_max(t: Tables) -> DataFrame:
 @query(on_edges(f"""SELECT e.event_id, e.hit_id, round(sum(exp(-abs(dsq)/100)*b.x)/5, 5) AS gauss, round(min(b.x), 5) AS lo, round(sum(b.x)/5, 5) AS mean, round(max(b.x), 5) AS hi FROM {NB} GROUP BY 1, 2"""))
 def accumulate_more_modes(t: Tables) -> DataFrame:
     """Weights that fall off as a bell, and least, mean and greatest together."""
-    e = ed.with_neighbour(edges(t), t.hits(), "x")
+    e = ed.with_neighbour(edges(t, "x"), t.hits(), "x")
     x = F.col("n_x")
     return e.groupBy(*KEY).agg(r(F.sum(F.exp(-F.abs("dsq") / 100) * x) / K, 5).alias("gauss"), r(F.min(x), 5).alias("lo"), r(F.sum(x) / K, 5).alias("mean"), r(F.max(x), 5).alias("hi"))
 
@@ -312,7 +313,7 @@ def potential_pre_condensation(t: Tables) -> DataFrame:
 @query(on_edges(f"SELECT e.event_id, round(avg(CASE WHEN same > 0.5 THEN -ln(p) ELSE -ln(1-p) END), 6) AS neighbourhood, round(avg(CASE WHEN noise THEN -ln(q) ELSE -ln(1-q) END), 6) AS noise FROM (SELECT e.event_id, e.hit_id, avg(CASE WHEN a.t_idx = b.t_idx THEN 1.0 ELSE 0.0 END) AS same, max(a.beta)*0.98+0.01 AS p, max(a.tax)*0.98+0.01 AS q, max(a.t_idx) < 0 AS noise FROM {NB} JOIN hits a ON a.event_id = e.event_id AND a.hit_id = e.hit_id WHERE slot > 0 GROUP BY 1, 2) e GROUP BY 1"))
 def classifier_losses(t: Tables) -> DataFrame:
     """Cross entropies of a score for agreeing neighbourhoods and of one for noise."""
-    e = ed.with_neighbour(ed.with_own(edges(t).where("slot > 0"), t.hits(), "t_idx", "beta", "tax"), t.hits(), "t_idx")
+    e = ed.with_neighbour(ed.with_own(edges(t, "t_idx", "beta", "tax").where("slot > 0"), t.hits(), "t_idx", "beta", "tax"), t.hits(), "t_idx")
     rows = e.groupBy(*KEY).agg(F.avg(F.when(F.col("t_idx") == F.col("n_t_idx"), 1.0).otherwise(0.0)).alias("same"), (F.max("beta") * 0.98 + 0.01).alias("p"), (F.max("tax") * 0.98 + 0.01).alias("q"), (F.max("t_idx") < 0).alias("noise"))
 
     def entropy(yes: Column, p: str) -> Column:

@@ -59,7 +59,7 @@ def dataset_profile(t: Tables) -> DataFrame:
 
 @query(on_edges("SELECT e.event_id, e.hit_id, round(sum(CASE WHEN slot > 0 THEN b.beta ELSE 0 END)/(count(*)-1+0.1)*(1+sqrt(sum(b.energy))), 5) AS score FROM edges e JOIN hits b ON b.event_id = e.event_id AND b.hit_id = e.nbr_id GROUP BY 1, 2"))
 def group_score(t: Tables) -> DataFrame:
-    e = ed.with_neighbour(kn.knn(t.hits(), K), t.hits(), "beta", "energy")
+    e = ed.with_neighbour(kn.knn(t.hits(), K, carry=("beta", "energy",)), t.hits(), "beta", "energy")
     mean = F.sum(F.when(F.col("slot") > 0, F.col("n_beta")).otherwise(0.0)) / (F.count("*") - 1 + 0.1)
     return e.groupBy(*KEY).agg(r(mean * (1 + F.sqrt(F.sum("n_energy"))), 5).alias("score"))
 
@@ -196,7 +196,7 @@ def coordinate_loss(t: Tables) -> DataFrame:
 @query(on_edges("SELECT event_id, hit_id, nbr_id, CASE WHEN rn = 1 THEN 1 ELSE 0 END AS target FROM (SELECT e.event_id, e.hit_id, e.nbr_id, row_number() OVER (PARTITION BY e.event_id, e.hit_id ORDER BY dsq, e.nbr_id) AS rn FROM edges e JOIN hits a USING (event_id, hit_id) JOIN hits b ON b.event_id = e.event_id AND b.hit_id = e.nbr_id WHERE slot > 0 AND a.t_idx = b.t_idx AND a.t_idx >= 0)"))
 def edge_targets(t: Tables) -> DataFrame:
     """Same-truth edges; the closest one of a row is its target."""
-    e = ed.with_neighbour(ed.with_own(kn.knn(t.hits(), K).where("slot > 0"), t.hits(), "t_idx"), t.hits(), "t_idx").where("t_idx >= 0 and t_idx = n_t_idx")
+    e = ed.with_neighbour(ed.with_own(kn.knn(t.hits(), K, carry=("t_idx",)).where("slot > 0"), t.hits(), "t_idx"), t.hits(), "t_idx").where("t_idx >= 0 and t_idx = n_t_idx")
     w = Window.partitionBy(*KEY).orderBy("dsq", "nbr_id")
     return e.select(*KEY, "nbr_id", F.when(F.row_number().over(w) == 1, 1).otherwise(0).alias("target"))
 
@@ -219,7 +219,7 @@ def exponential_average(t: Tables) -> DataFrame:
 @query(on_edges("SELECT event_id, hit_id, round(sum(w*nx)/sum(w)-max(CASE WHEN slot = 0 THEN nx END), 5) AS shift FROM (SELECT e.*, b.x AS nx, greatest(exp(-10*dsq/1000), 0)+1e-6 AS w FROM edges e JOIN hits b ON b.event_id = e.event_id AND b.hit_id = e.nbr_id) GROUP BY 1, 2"))
 def weighted_neighbour_means(t: Tables) -> DataFrame:
     """A row's weighted mean over its neighbours, less its own value."""
-    e = ed.with_neighbour(kn.knn(t.hits(), K), t.hits(), "x")
+    e = ed.with_neighbour(kn.knn(t.hits(), K, carry=("x",)), t.hits(), "x")
     w = F.exp(-10 * F.col("dsq") / 1000) + 1e-6
     return e.groupBy(*KEY).agg(r(F.sum(w * F.col("n_x")) / F.sum(w) - F.max(F.when(F.col("slot") == 0, F.col("n_x"))), 5).alias("shift"))
 
@@ -234,7 +234,7 @@ def edge_mix(t: Tables) -> DataFrame:
 @query(on_edges("SELECT e.event_id, round(avg(CASE WHEN a.t_idx = b.t_idx AND a.t_idx >= 0 THEN dsq/100 ELSE greatest(0, 1-sqrt(dsq)/10) END), 5) AS loss FROM edges e JOIN hits a USING (event_id, hit_id) JOIN hits b ON b.event_id = e.event_id AND b.hit_id = e.nbr_id WHERE slot > 0 GROUP BY 1"))
 def push_pull_loss(t: Tables) -> DataFrame:
     """Neighbours of one object are pulled together, others pushed to a margin."""
-    e = ed.with_neighbour(ed.with_own(kn.knn(t.hits(), K).where("slot > 0"), t.hits(), "t_idx"), t.hits(), "t_idx")
+    e = ed.with_neighbour(ed.with_own(kn.knn(t.hits(), K, carry=("t_idx",)).where("slot > 0"), t.hits(), "t_idx"), t.hits(), "t_idx")
     same = (F.col("t_idx") == F.col("n_t_idx")) & (F.col("t_idx") >= 0)
     return e.groupBy("event_id").agg(r(F.avg(F.when(same, F.col("dsq") / 100).otherwise(F.greatest(F.lit(0.0), 1 - F.sqrt("dsq") / 10))), 5).alias("loss"))
 

@@ -28,7 +28,9 @@ def stored(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: a lost executor costs a read of it and not a rerun of what made it."""
     path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.stored_path = path
+    return table
 
 
 def removed(spark: SparkSession, path: str) -> None:

@@ -19,9 +19,10 @@ class Tables:
 
     def hits(self) -> DataFrame:
         """Line items as hits: one event per part, numbered in a fixed order."""
-        w = Window.partitionBy("l_partkey").orderBy(*HIT_ORDER)
-        return self.table("lineitem").select(
-            F.col("l_partkey").alias("event_id"),
+        # Numbered by event_id itself, so that later steps by event need no shuffle of their own.
+        w = Window.partitionBy("event_id").orderBy(*HIT_ORDER)
+        return self.table("lineitem").withColumn("event_id", F.col("l_partkey")).select(
+            "event_id",
             F.row_number().over(w).cast("long").alias("hit_id"),
             F.col("l_quantity").alias("x"),
             (F.col("l_extendedprice") / 2000).alias("y"),
