@@ -10,15 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def per_event(df: DataFrame, run: Callable[[pa.Table], pa.Table], schema: str, *order: str) -> DataFrame:
-    """run on the rows of each event, in the given order. Rows without event_id are left out.
+def per_event(df: DataFrame, run: Callable[[pa.Table], pa.Table], schema: str, *order: str, key: tuple[str, ...] = ("event_id",)) -> DataFrame:
+    """run on the rows of each event (or other key of integers), in the given order. Rows without event_id are left out.
 
     One shuffle brings events together; many small events share a task without a call to Python each.
     """
 
     def events(table: pa.Table) -> Iterator[pa.Table]:
-        ids = table["event_id"].to_numpy()
-        edges = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
+        ids = np.stack([table[name].to_numpy() for name in key])
+        edges = [0, *(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(0)) + 1).tolist(), ids.shape[1]]
         for a, b in zip(edges, edges[1:]):
             yield table.slice(a, b - a)
 
@@ -35,7 +35,7 @@ def per_event(df: DataFrame, run: Callable[[pa.Table], pa.Table], schema: str, *
         if rest is not None:
             yield from run(rest).to_batches()
 
-    return df.where("event_id is not null").repartition("event_id").sortWithinPartitions("event_id", *order).mapInArrow(go, schema)
+    return df.where("event_id is not null").repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(go, schema)
 
 
 def large_events(df: DataFrame, rows: int) -> DataFrame | None:

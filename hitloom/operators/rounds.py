@@ -58,6 +58,26 @@ def first_in_order(rows: DataFrame, covers: DataFrame) -> DataFrame:
     return open_
 
 
+def parts(links: DataFrame) -> DataFrame:
+    """Connected parts of links(event_id, a, b) inside events: (event_id, node, part), part being the part's smallest node.
+
+    Nodes pass their label on to neighbours and take their label's label, so rounds grow with the logarithm of a part's diameter.
+    """
+    both = links.select("event_id", "a", "b").unionByName(links.select("event_id", F.col("b").alias("a"), F.col("a").alias("b")))
+    both = stored(both.distinct())
+    labels = stored(both.groupBy("event_id", F.col("a").alias("node")).agg(F.min("b").alias("low")).select("event_id", "node", F.least("node", "low").alias("part")))
+    while True:
+        near = both.join(labels.withColumnRenamed("node", "b"), ["event_id", "b"]).groupBy("event_id", F.col("a").alias("node")).agg(F.min("part").alias("near"))
+        spread = labels.join(near, ["event_id", "node"]).select("event_id", "node", F.least("near", "part").alias("part"), F.col("part").alias("old"))
+        above = labels.select("event_id", F.col("node").alias("part"), F.col("part").alias("top"))
+        step = stored(spread.join(above, ["event_id", "part"], "left").select("event_id", "node", F.least("part", F.coalesce("top", "part")).alias("part"), "old"))
+        dropped(labels)
+        labels = step
+        if labels.where("part <> old").isEmpty():
+            dropped(both)
+            return labels.drop("old")
+
+
 def _cells(rows: DataFrame, coords: Sequence[str], level: str) -> list[Column]:
     return [F.floor(F.col(c) / F.pow(F.lit(2.0), F.col(level) + 1)).alias(f"c_{c}") for c in coords]
 

@@ -12,6 +12,7 @@ from hitloom.plans.objects import IOU, predicted
 from hitloom.functions.columns import c
 from hitloom.plans.registry import K, on_edges, on_hits, query, r
 from hitloom.operators import edges as ed
+from hitloom.operators import quantiles as qu
 from hitloom.session import shared_dir
 from hitloom.sources.tables import Tables
 
@@ -88,11 +89,10 @@ def response_resolution(t: Tables) -> DataFrame:
 
 @query(on_hits(f"SELECT bin, round(avg(energy), 6) AS x_mean, round(avg(beta), 6) AS mean, round(sqrt(avg(beta*beta)-avg(beta)*avg(beta)), 6) AS rms, round(quantile_cont(beta, 0.25), 6) AS q25, round(quantile_cont(beta, 0.75), 6) AS q75 FROM (SELECT *, {cases('energy', EDGES, False)} AS bin FROM hits) WHERE bin IS NOT NULL GROUP BY 1"))
 def profile_quantiles(t: Tables) -> DataFrame:
-    rows = t.hits().withColumn("bin", bin_of(c.energy, EDGES, False)).where("bin is not null")
-    return rows.groupBy("bin").agg(
-        r(F.avg("energy")).alias("x_mean"), r(F.avg("beta")).alias("mean"), r(F.sqrt(F.avg(c.beta * c.beta) - F.avg("beta") * F.avg("beta"))).alias("rms"),
-        r(F.percentile("beta", 0.25)).alias("q25"), r(F.percentile("beta", 0.75)).alias("q75"),
-    )
+    rows = t.hits().withColumn("bin", bin_of(c.energy, EDGES, False)).where("bin is not null").select("bin", "energy", "beta")
+    q = qu.wide(qu.quantiles(rows, "beta", [0.25, 0.75], ["bin"]), [0.25, 0.75], ["q25", "q75"], ["bin"])
+    n = rows.groupBy("bin").agg(r(F.avg("energy")).alias("x_mean"), r(F.avg("beta")).alias("mean"), r(F.sqrt(F.avg(c.beta * c.beta) - F.avg("beta") * F.avg("beta"))).alias("rms"))
+    return n.join(q, "bin").select("bin", "x_mean", "mean", "rms", r("q25").alias("q25"), r("q75").alias("q75"))
 
 
 @query(on_hits(f"SELECT bin, round(sum(beta*energy)/sum(energy), 6) AS found, round(2*avg(beta)*avg(tax*10)/nullif(avg(beta)+avg(tax*10), 0), 6) AS f1 FROM (SELECT *, {cases('energy', EDGES, False)} AS bin FROM hits) WHERE bin IS NOT NULL GROUP BY 1"))

@@ -9,6 +9,7 @@ from hitloom.functions.columns import c
 from hitloom.operators import condense as co
 from hitloom.operators import knn as kn
 from hitloom.operators import matching as ma
+from hitloom.operators import scans as sc
 from hitloom.plans.registry import K, on_hits, query, r
 from hitloom.sources.tables import Tables
 
@@ -106,12 +107,11 @@ def event_balance(t: Tables) -> DataFrame:
 
 @query(on_hits("SELECT event_id, hit_id, round(sum(energy) OVER (PARTITION BY event_id ORDER BY hit_id), 5) AS running, row_number() OVER (PARTITION BY event_id ORDER BY energy DESC, hit_id) AS rank, round(sum(x) OVER (PARTITION BY event_id ORDER BY hit_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)/5, 5) AS smooth, round(sum(x) OVER (PARTITION BY event_id ORDER BY hit_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 5) AS last4 FROM hits"))
 def running_sums(t: Tables) -> DataFrame:
-    """Sums that start anew in each event, ranks, zero-padded running means, sums of the last four."""
-    w = event().orderBy("hit_id")
-    return t.hits().select(
-        *KEY, r(F.sum("energy").over(w), 5).alias("running"), F.row_number().over(event().orderBy(F.desc("energy"), "hit_id")).cast("long").alias("rank"),
-        r(F.sum("x").over(w.rowsBetween(-2, 2)) / 5, 5).alias("smooth"), r(F.sum("x").over(w.rowsBetween(-3, 0)), 5).alias("last4"),
-    )
+    """Sums that start anew in each event, ranks, zero-padded running means, sums of the last four; all by parts of events."""
+    rows = sc.running_sum(t.hits().select(*KEY, "x", "energy"), "hit_id", "energy", "running")
+    rows = sc.numbered(rows, "energy", ["hit_id"], "rank", descending=True)
+    rows = sc.moving_sum(sc.moving_sum(rows, "hit_id", "x", 2, 2, "smooth"), "hit_id", "x", 3, 0, "last4")
+    return rows.select(*KEY, r("running", 5).alias("running"), F.col("rank").cast("long").alias("rank"), r(F.col("smooth") / 5, 5).alias("smooth"), r("last4", 5).alias("last4"))
 
 
 @query(on_hits("SELECT event_id, hit_id, round(w/sum(w) OVER (PARTITION BY event_id, t_idx), 6) AS weight FROM (SELECT *, pow(atanh(beta/1.01), 2)+0.1 AS w FROM hits WHERE t_idx >= 0)"))

