@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Code points of a leaf, first window, and the longest piece that is encoded in one go.
-LEAF, WINDOW, LONG = 4096, 64, 2048
+LEAF, WINDOW, LONG = 256, 64, 2048
 #: Bytes of a leaf, and tokens by which windows grow, inside a long piece.
 PIECE_LEAF, PIECE_WINDOW = 128, 4
 
@@ -154,21 +154,6 @@ def tree(path: str, pattern: str) -> TreeBPE:
         return TreeBPE({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}, pattern)
 
 
-def encode_column(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """docs(doc_id, text) with ids: the tokens of every whole text; a null text has none."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tree(path, pattern)
-        for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids = np.asarray(bpe.encode(text.as_py() or ""), np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc_id.as_py()], pa.int64()), pa.ListArray.from_arrays([0, len(ids)], pa.array(ids))], names=["doc_id", "ids"]
-                )
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
-
-
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row of docs(doc_id, text).
 
