@@ -122,12 +122,24 @@ def condensation_points(candidates: DataFrame, coords: Sequence[str]) -> DataFra
     return points
 
 
-def covering(rows: DataFrame, points: DataFrame, coords: Sequence[str], levels: Sequence[int]) -> DataFrame:
-    """Rows with the points that cover them: event_id, hit_id, own_score, point, dsq, and the point's score and radius."""
+def radius_level(radius: Column) -> Column:
+    """The power of two below a radius."""
+    return F.greatest(F.lit(LOWEST), F.coalesce(F.floor(F.log2(F.when(radius > 0, radius))), F.lit(LOWEST))).cast("int")
+
+
+def covering(rows: DataFrame, points: DataFrame, coords: Sequence[str], levels: Sequence[int] | None = None) -> DataFrame:
+    """Rows with the points that cover them: event_id, hit_id, own_score, point, dsq, and the point's score and radius.
+
+    A join by each point's own radius: points look into the cells of their level (radius_level) that touch theirs. Rows stand in
+    cells of all levels that their event has points of; levels names them, else they are part of the plan.
+    """
     cells = [f"c_{c}" for c in coords]
     key = ["event_id", "level", *cells]
-    every = F.explode(F.array(*(F.lit(x) for x in levels)) if levels else F.array().cast("array<int>"))
-    at = rows.select(*KEY, F.col("score").alias("own_score"), *coords, every.alias("level"))
+    at = rows.select(*KEY, F.col("score").alias("own_score"), *coords)
+    if levels is None:
+        at = at.join(points.select("event_id", "level").distinct(), "event_id")
+    else:
+        at = at.withColumn("level", F.explode(F.array(*(F.lit(x) for x in levels)) if levels else F.array().cast("array<int>")))
     at = at.select(*KEY, "own_score", "level", *_cells(at, coords, "level"), *(F.col(c).alias(f"b_{c}") for c in coords))
     reach = points.select("event_id", "level", *_cells(points, coords, "level"), F.col("hit_id").alias("point"), "score", "radius", *(F.col(c).alias(f"a_{c}") for c in coords))
     parts = [(F.col(f"a_{c}") - F.col(f"b_{c}")) * (F.col(f"a_{c}") - F.col(f"b_{c}")) for c in coords]
@@ -140,7 +152,7 @@ def condensed(rows: DataFrame, coords: Sequence[str], threshold: float, max_beta
 
     Rows without a place cover nothing but themselves. A row goes through the points that cover it in their order, in an array.
     """
-    level = F.greatest(F.lit(LOWEST), F.coalesce(F.floor(F.log2(F.when(F.col("radius") > 0, F.col("radius")))), F.lit(LOWEST))).cast("int")
+    level = radius_level(F.col("radius"))
     rows = rows.withColumns({"radius": F.coalesce(F.nanvl(F.abs("radius"), F.lit(0.0)), F.lit(0.0)), **{c: F.when(~F.isnan(c), F.col(c)) for c in ("score", *coords)}})
     placed = F.lit(True)
     for c in coords:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -108,3 +110,13 @@ def past_marks(rows: DataFrame, cache: DataFrame, experiment: str, order: str) -
     """Rows beyond the greatest value of order that the cache holds of their experiment; all rows of experiments that it lacks."""
     marks = cache.groupBy(experiment).agg(F.max(order).alias("_mark"))
     return rows.join(marks, experiment, "left").where(F.col("_mark").isNull() | (F.col(order) > F.col("_mark"))).drop("_mark")
+
+
+def paged(rows: DataFrame, by: Sequence[str], value: str, length: int, name: str) -> DataFrame:
+    """The values of each group in pages of length: by, page (0, 1, ...), name (an array in ascending order), n (the page's values).
+
+    No array follows the size of a group.
+    """
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(value)) - 1
+    pages = rows.withColumn("page", F.floor(place / length)).groupBy(*by, "page")
+    return pages.agg(F.array_sort(F.collect_list(value)).alias(name), F.count("*").alias("n"))

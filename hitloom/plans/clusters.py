@@ -15,7 +15,8 @@ from hitloom.operators import groups as gr
 from hitloom.operators import knn as kn
 from hitloom.operators import matching as ma
 from hitloom.plans.metrics import bin_of, cases
-from hitloom.plans.objects import ALPHAS, GREEDY, IOU, condensed, predicted
+from hitloom.operators import select as sel
+from hitloom.plans.objects import ALPHAS, GREEDY, IOU, PAGE, condensed, predicted
 from hitloom.plans.registry import K, on_edges, on_hits, query, r
 from hitloom.sources.tables import Tables
 
@@ -69,11 +70,11 @@ def condense_local_distance(t: Tables) -> DataFrame:
     return longs(co.condense_scaled(t.hits(), F.col("tax") + 0.5, 12.0, 0.3, max_beta=True)).select(*KEY, "sid")
 
 
-@query(on_assigned("SELECT event_id, sid + 1 AS slot, array_to_string(list(hit_id ORDER BY hit_id), ',') AS members, count(*) AS n FROM assigned GROUP BY 1, 2"))
+@query(on_assigned(f"SELECT event_id, slot, page, array_to_string(list(hit_id ORDER BY hit_id), ',') AS members, count(*) AS n FROM (SELECT *, sid + 1 AS slot, (row_number() OVER (PARTITION BY event_id, sid ORDER BY hit_id) - 1) // {PAGE} AS page FROM assigned) GROUP BY 1, 2, 3"))
 def ragged_members(t: Tables) -> DataFrame:
-    """The rows of each object, noise as object 0; an object is bounded by its event."""
-    rows = condensed(t, False).groupBy("event_id", (F.col("sid") + 1).cast("long").alias("slot")).agg(F.array_sort(F.collect_list("hit_id")).alias("m"), F.count("*").alias("n"))
-    return rows.select("event_id", "slot", F.array_join("m", ",").alias("members"), "n")
+    """The rows of each object, noise as object 0, in pages of fixed length."""
+    rows = condensed(t, False).select("event_id", (F.col("sid") + 1).cast("long").alias("slot"), "hit_id")
+    return sel.paged(rows, ["event_id", "slot"], "hit_id", PAGE, "m").select("event_id", "slot", "page", F.array_join("m", ",").alias("members"), "n")
 
 
 @query(on_assigned("""SELECT event_id, hit_id, sid + 1 AS slot, coalesce(alpha_id, max(CASE WHEN sid < 0 THEN hit_id END) OVER (PARTITION BY event_id)) AS representative,

@@ -10,10 +10,13 @@ from hitloom.operators import condense as co
 from hitloom.operators import knn as kn
 from hitloom.operators import matching as ma
 from hitloom.operators import scans as sc
+from hitloom.operators import select as sel
 from hitloom.plans.registry import K, on_hits, query, r
 from hitloom.sources.tables import Tables
 
 KEY = ["event_id", "hit_id"]
+#: Rows of a page of a list.
+PAGE = 4
 
 
 def event() -> WindowSpec:
@@ -31,11 +34,11 @@ def is_unique_flag(t: Tables) -> DataFrame:
     return t.hits().select(*KEY, (F.row_number().over(w) == 1).cast("int").alias("is_unique"))
 
 
-@query(on_hits("SELECT event_id, t_idx, array_to_string(list(hit_id ORDER BY hit_id), ',') AS members, count(*) AS n FROM hits WHERE t_idx >= 0 GROUP BY 1, 2"))
+@query(on_hits(f"SELECT event_id, t_idx, page, array_to_string(list(hit_id ORDER BY hit_id), ',') AS members, count(*) AS n FROM (SELECT *, (row_number() OVER (PARTITION BY event_id, t_idx ORDER BY hit_id) - 1) // {PAGE} AS page FROM hits WHERE t_idx >= 0) GROUP BY 1, 2, 3"))
 def object_members(t: Tables) -> DataFrame:
-    """The rows of each object; an object is bounded by its event."""
-    m = t.hits().where("t_idx >= 0").groupBy("event_id", "t_idx").agg(F.array_sort(F.collect_list("hit_id")).alias("m"), F.count("*").alias("n"))
-    return m.select("event_id", "t_idx", F.array_join("m", ",").alias("members"), "n")
+    """The rows of each object, in pages of fixed length."""
+    m = sel.paged(t.hits().where("t_idx >= 0"), ["event_id", "t_idx"], "hit_id", PAGE, "m")
+    return m.select("event_id", "t_idx", "page", F.array_join("m", ",").alias("members"), "n")
 
 
 @query(on_hits("SELECT o.event_id, o.t_idx, count(*) AS others FROM (SELECT DISTINCT event_id, t_idx FROM hits WHERE t_idx >= 0) o JOIN hits h ON h.event_id = o.event_id AND h.t_idx <> o.t_idx GROUP BY 1, 2"))

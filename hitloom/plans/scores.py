@@ -12,7 +12,7 @@ from hitloom.operators import quantiles as qu
 from hitloom.operators import select as sel
 from hitloom.plans.graphs import DOWN, NB, UP, transition
 from hitloom.plans.metrics import ALPHA, D2_SQL, EDGES, Q, all_bins, bin_of, cases, charged, d2, grid_sql
-from hitloom.plans.objects import IOU, predicted
+from hitloom.plans.objects import IOU, PAGE, predicted
 from hitloom.operators import matching as ma
 from hitloom.plans.registry import K, on_edges, on_hits, query, r
 from hitloom.sources.tables import Tables, edges_sql
@@ -50,14 +50,6 @@ def neighbour_average_max(t: Tables) -> DataFrame:
     return e.groupBy(*KEY).agg(r(F.sum(x) / K, 5).alias("mean"), r(F.max(x), 5).alias("max"), F.max_by("nbr_id", x * 1000000 - F.col("slot")).alias("argmax"))
 
 
-@query(on_edges(f"""SELECT e.event_id, e.hit_id, round(sum(exp(-abs(dsq)/100)*b.x)/5, 5) AS gauss, round(min(b.x), 5) AS lo, round(sum(b.x)/5, 5) AS mean, round(max(b.x), 5) AS hi FROM {NB} GROUP BY 1, 2"""))
-def accumulate_more_modes(t: Tables) -> DataFrame:
-    """Weights that fall off as a bell, and least, mean and greatest together."""
-    e = ed.with_neighbour(edges(t, "x"), t.hits(), "x")
-    x = F.col("n_x")
-    return e.groupBy(*KEY).agg(r(F.sum(F.exp(-F.abs("dsq") / 100) * x) / K, 5).alias("gauss"), r(F.min(x), 5).alias("lo"), r(F.sum(x) / K, 5).alias("mean"), r(F.max(x), 5).alias("hi"))
-
-
 MEANS = f"mu AS (SELECT e.event_id, e.hit_id, sum(w*b.x)/(sum(w)+1e-3) AS mx, sum(w*b.y)/(sum(w)+1e-3) AS my FROM (SELECT *, exp(-dsq/50) AS q FROM edges) e JOIN (SELECT *, 1/(1+exp(-(energy/50)))+1e-3 AS s FROM hits) b ON b.event_id = e.event_id AND b.hit_id = e.nbr_id, LATERAL (SELECT q*s AS w) GROUP BY 1, 2)"
 
 
@@ -276,15 +268,6 @@ def condensation_purity(t: Tables) -> DataFrame:
     return rows.agg(r(same / F.sum("energy")).alias("purity"), r(F.count_distinct("event_id", "up_id") / F.count("*")).alias("reduction"))
 
 
-@query(on_edges(f"SELECT e.event_id, count(*) AS n, round(avg(CASE WHEN a.t_idx <> b.t_idx THEN b.energy/(a.energy+b.energy) ELSE 0 END), 6) AS contamination FROM {NB} JOIN hits a ON a.event_id = e.event_id AND a.hit_id = e.hit_id WHERE slot > 0 AND substr(md5('3-' || e.event_id || '-' || e.hit_id), 1, 1) < '4' GROUP BY 1"))
-def neighbour_contamination(t: Tables) -> DataFrame:
-    """Energy of neighbours with other truth, on a seeded sample of a quarter of the rows."""
-    e = edges(t).where("slot > 0").where(F.substring(sel.seeded(3, *KEY), 1, 1) < "4")
-    e = ed.with_neighbour(ed.with_own(e, t.hits(), "t_idx", "energy"), t.hits(), "t_idx", "energy")
-    x = F.when(F.col("t_idx") != F.col("n_t_idx"), F.col("n_energy") / (c.energy + F.col("n_energy"))).otherwise(0.0)
-    return e.groupBy("event_id").agg(F.count("*").alias("n"), r(F.avg(x)).alias("contamination"))
-
-
 @query(on_hits("SELECT event_id, t_idx, round(sum(q*energy)/(sum(q)+1e-6), 5) AS payload, round(1-max(beta), 6) AS beta_penalty FROM q WHERE t_idx >= 0 GROUP BY 1, 2", Q))
 def payload_average(t: Tables) -> DataFrame:
     """Charge-weighted payload of objects beside their beta penalty."""
@@ -292,57 +275,6 @@ def payload_average(t: Tables) -> DataFrame:
     return hits.where("t_idx >= 0").groupBy("event_id", "t_idx").agg(r(F.sum(F.col("q") * c.energy) / (F.sum("q") + 1e-6), 5).alias("payload"), r(1 - F.max("beta")).alias("beta_penalty"))
 
 
-@query(on_edges(f"SELECT e.event_id, round(avg(b.q*a.q*CASE WHEN a.t_idx = b.t_idx AND a.t_idx >= 0 THEN dsq/200 ELSE exp(-dsq/200) END), 5) AS knn_limited, round(avg(CASE WHEN a.t_idx = b.t_idx THEN 1-exp(-dsq/200) ELSE exp(-dsq/200) END), 6) AS push_pull, round(avg(CASE WHEN a.t_idx = b.t_idx THEN sqrt(dsq+1e-6) ELSE greatest(0.0, 5-sqrt(dsq+1e-6)) END), 6) AS hinge FROM edges e JOIN q a USING (event_id, hit_id) JOIN q b ON b.event_id = e.event_id AND b.hit_id = e.nbr_id WHERE slot > 0 GROUP BY 1", Q))
-def potential_variants(t: Tables) -> DataFrame:
-    """Attraction and repulsion among neighbours only: with charges, as push and pull, and with a margin."""
-    hits, _ = charged(t)
-    e = ed.with_neighbour(ed.with_own(edges(t).where("slot > 0"), hits, "t_idx", "q"), hits, "t_idx", "q")
-    d, same = F.col("dsq"), F.col("t_idx") == F.col("n_t_idx")
-    far = F.exp(-d / 200)
-    near = F.sqrt(d + 1e-6)
-    return e.groupBy("event_id").agg(
-        r(F.avg(F.col("n_q") * F.col("q") * F.when(same & (F.col("t_idx") >= 0), d / 200).otherwise(far)), 5).alias("knn_limited"),
-        r(F.avg(F.when(same, 1 - far).otherwise(far))).alias("push_pull"), r(F.avg(F.when(same, near).otherwise(F.greatest(F.lit(0.0), 5 - near)))).alias("hinge"),
-    )
-
-
-@query(on_hits("""SELECT q.event_id, round(avg(CASE WHEN al.t_idx = q.t_idx THEN 1-exp(-(CAST((x-ax)*(x-ax)+(y-ay)*(y-ay) AS DOUBLE))/50) ELSE exp(-((x-ax)*(x-ax)+(y-ay)*(y-ay))/50) END), 6) AS pre_condensation FROM q JOIN al ON al.event_id = q.event_id GROUP BY 1""", Q, ALPHA))
-def potential_pre_condensation(t: Tables) -> DataFrame:
-    """Every row against every object's strongest row of its event; an event holds few objects."""
-    hits, alpha = charged(t)
-    both = hits.withColumnRenamed("t_idx", "own").join(alpha, "event_id")
-    e = F.exp(-d2() / 50)
-    return both.groupBy("event_id").agg(r(F.avg(F.when(F.col("own") == F.col("t_idx"), 1 - e).otherwise(e))).alias("pre_condensation"))
-
-
-@query(on_edges(f"SELECT e.event_id, round(avg(CASE WHEN same > 0.5 THEN -ln(p) ELSE -ln(1-p) END), 6) AS neighbourhood, round(avg(CASE WHEN noise THEN -ln(q) ELSE -ln(1-q) END), 6) AS noise FROM (SELECT e.event_id, e.hit_id, avg(CASE WHEN a.t_idx = b.t_idx THEN 1.0 ELSE 0.0 END) AS same, max(a.beta)*0.98+0.01 AS p, max(a.tax)*0.98+0.01 AS q, max(a.t_idx) < 0 AS noise FROM {NB} JOIN hits a ON a.event_id = e.event_id AND a.hit_id = e.hit_id WHERE slot > 0 GROUP BY 1, 2) e GROUP BY 1"))
-def classifier_losses(t: Tables) -> DataFrame:
-    """Cross entropies of a score for agreeing neighbourhoods and of one for noise."""
-    e = ed.with_neighbour(ed.with_own(edges(t, "t_idx", "beta", "tax").where("slot > 0"), t.hits(), "t_idx", "beta", "tax"), t.hits(), "t_idx")
-    rows = e.groupBy(*KEY).agg(F.avg(F.when(F.col("t_idx") == F.col("n_t_idx"), 1.0).otherwise(0.0)).alias("same"), (F.max("beta") * 0.98 + 0.01).alias("p"), (F.max("tax") * 0.98 + 0.01).alias("q"), (F.max("t_idx") < 0).alias("noise"))
-
-    def entropy(yes: Column, p: str) -> Column:
-        return r(F.avg(F.when(yes, -F.log(p)).otherwise(-F.log(1 - F.col(p)))))
-
-    return rows.groupBy("event_id").agg(entropy(F.col("same") > 0.5, "p").alias("neighbourhood"), entropy(F.col("noise"), "q").alias("noise"))
-
-
-@query(on_hits("""SELECT t.event_id, t.t_idx, round(t.e, 5) AS true_energy, round(coalesce(sum(p.e*exp(-(CAST((t.cx-p.cx)*(t.cx-p.cx)+(t.cy-p.cy)*(t.cy-p.cy) AS DOUBLE))/100)), 0), 5) AS near_energy, round(pow(t.e - coalesce(sum(p.e*exp(-((t.cx-p.cx)*(t.cx-p.cx)+(t.cy-p.cy)*(t.cy-p.cy))/100)), 0), 2)/(t.e*t.e+1e-6), 5) AS loss
-  FROM o t LEFT JOIN (SELECT event_id, CAST(floor(x/17) AS INTEGER) AS pred, sum(energy) AS e, avg(x) AS cx, avg(y) AS cy FROM hits GROUP BY 1, 2) p ON p.event_id = t.event_id GROUP BY t.event_id, t.t_idx, t.e""", OBJS))
-def local_energy_conservation(t: Tables) -> DataFrame:
-    """Energy of each true object against the predicted energy around it, weighted by distance; events hold few objects."""
-    def objects(rows: DataFrame, key: str) -> DataFrame:
-        return rows.groupBy("event_id", key).agg(F.sum("energy").alias("e"), F.avg("x").alias("cx"), F.avg("y").alias("cy"))
-
-    true = objects(t.hits().where("t_idx >= 0"), "t_idx")
-    pred = objects(predicted(t), "pred").select("event_id", F.col("e").alias("pe"), F.col("cx").alias("px"), F.col("cy").alias("py"))
-    dx, dy = F.col("cx") - F.col("px"), F.col("cy") - F.col("py")
-    near = F.coalesce(F.sum(F.col("pe") * F.exp(-(dx * dx + dy * dy) / 100)), F.lit(0.0))
-    both = true.join(pred, "event_id", "left").groupBy("event_id", "t_idx", "e").agg(near.alias("near"))
-    e = F.col("e")
-    return both.select("event_id", "t_idx", r("e", 5).alias("true_energy"), r("near", 5).alias("near_energy"), r((e - F.col("near")) * (e - F.col("near")) / (e * e + 1e-6), 5).alias("loss"))
-
-
 @query(on_hits("SELECT d.event_id, up_id, round(sum(weight*energy) + max(u.e), 5) AS pushed, arg_max(h.t_idx, weight*1000000 - h.hit_id/1000.0) AS truth FROM down d JOIN hits h USING (event_id, hit_id) JOIN (SELECT event_id, hit_id AS up_id, energy AS e FROM hits) u USING (event_id, up_id) GROUP BY 1, 2", UP, DOWN))
 def push_up_truth(t: Tables) -> DataFrame:
     """Energy of up nodes, their own included, and the truth of the row that weighs most below each."""
@@ -377,18 +309,6 @@ def spherical_nan_to_zero(t: Tables) -> DataFrame:
     return t.hits().select(*KEY, r(radius).alias("radius"), r(F.nanvl(F.atan(F.col("y") / (c.x + 1e-6)), F.lit(0.0))).alias("phi"), r(F.coalesce(F.acos(F.try_divide(F.col("z"), radius)), F.lit(0.0))).alias("theta"))
 
 
-# The mean and the spread that features are brought to.
-MEANS_AND_STDS = {"energy": (30.0, 20.0), "eta": (1.5, 0.5), "abs_z": (20.0, 12.0), "theta": (0.5, 0.3)}
-
-
-@query(on_hits("SELECT event_id, hit_id, round((energy-30.0)/20.0, 6) AS energy, round((abs(x/20-1)-1.5)/0.5, 6) AS eta, round((abs(z-20)-20.0)/12.0, 6) AS abs_z, round((2*atan(exp(-abs(x/20-1)))-0.5)/0.3, 6) AS theta FROM hits"))
-def standardised_features(t: Tables) -> DataFrame:
-    """Features, absolute where their sign means nothing, about fixed means in units of fixed spreads."""
-    eta = F.abs(c.x / 20 - 1)
-    made = {"energy": c.energy, "eta": eta, "abs_z": F.abs(F.col("z") - 20), "theta": 2 * F.atan(F.exp(-eta))}
-    return t.hits().select(*KEY, *(r((made[k] - m) / s).alias(k) for k, (m, s) in MEANS_AND_STDS.items()))
-
-
 @query(on_hits("SELECT event_id, hit_id, round(exp(-x*x/200), 6) AS bell, round(exp(tax)-1, 6) AS expm1, round(greatest(x-25, 0)+1e-6, 6) AS positive, 1.0::DOUBLE AS ones, 0.0::DOUBLE AS zeros FROM hits"))
 def small_functions(t: Tables) -> DataFrame:
     """Bell, exp - 1, positive part, constants; numbers that are not finite stop the query."""
@@ -409,13 +329,13 @@ def latent_grid_order(t: Tables) -> DataFrame:
     return rows.select(*KEY, "cell", place.alias("place"), F.count("*").over(Window.partitionBy("event_id", "cell")).alias("in_cell"), (F.col("nx") * F.col("ny")).alias("cells"))
 
 
-@query(on_hits("SELECT o.event_id, o.t_idx, array_to_string(list(h.hit_id ORDER BY h.hit_id), ',') AS others FROM (SELECT DISTINCT event_id, t_idx FROM hits WHERE t_idx >= 0) o JOIN hits h ON h.event_id = o.event_id AND h.t_idx <> o.t_idx AND h.t_idx >= 0 GROUP BY 1, 2"))
+@query(on_hits(f"SELECT event_id, t_idx, page, array_to_string(list(hit_id ORDER BY hit_id), ',') AS others, count(*) AS n FROM (SELECT o.event_id, o.t_idx, h.hit_id, (row_number() OVER (PARTITION BY o.event_id, o.t_idx ORDER BY h.hit_id) - 1) // {PAGE} AS page FROM (SELECT DISTINCT event_id, t_idx FROM hits WHERE t_idx >= 0) o JOIN hits h ON h.event_id = o.event_id AND h.t_idx <> o.t_idx AND h.t_idx >= 0) GROUP BY 1, 2, 3"))
 def object_complement_members(t: Tables) -> DataFrame:
-    """The rows of an event's other objects, as lists by object: a list is bounded by its event."""
-    o = t.hits().where("t_idx >= 0").groupBy("event_id", "t_idx").agg(F.collect_list("hit_id").alias("m"))
-    every = o.groupBy("event_id").agg(F.flatten(F.collect_list("m")).alias("all"))
-    left = o.join(every, "event_id").select("event_id", "t_idx", F.array_sort(F.array_except("all", "m")).alias("rest"))
-    return left.where(F.size("rest") > 0).select("event_id", "t_idx", F.array_join("rest", ",").alias("others"))
+    """The rows of an event's other objects by object, in pages of fixed length: what is asked for is rows times objects."""
+    rows = t.hits().where("t_idx >= 0")
+    objects = rows.select("event_id", F.col("t_idx").alias("own")).distinct()
+    others = rows.join(objects, "event_id").where("t_idx <> own").select("event_id", F.col("own").alias("t_idx"), "hit_id")
+    return sel.paged(others, ["event_id", "t_idx"], "hit_id", PAGE, "m").select("event_id", "t_idx", "page", F.array_join("m", ",").alias("others"), "n")
 
 
 @query(on_hits("SELECT d.event_id, d.hit_id, round(sum(weight*u.energy)*3, 5) AS total, round(sum(weight*u.energy) + h.energy, 5) AS mixed FROM down d JOIN hits u ON u.event_id = d.event_id AND u.hit_id = d.up_id JOIN hits h ON h.event_id = d.event_id AND h.hit_id = d.hit_id GROUP BY d.event_id, d.hit_id, h.energy", UP, DOWN))

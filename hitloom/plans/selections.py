@@ -81,13 +81,13 @@ def shuffle_events(t: Tables) -> DataFrame:
     return sel.shuffled(t.table("lineitem").select(F.col("l_partkey").alias("event_id")).distinct(), seed=42)
 
 
-@query(on_hits("SELECT event_id, t_idx, pred, round(e, 5) AS energy FROM (SELECT event_id, t_idx, sum(energy) AS e FROM hits GROUP BY 1, 2) FULL JOIN (SELECT event_id, CAST(floor(x/9) AS INTEGER) AS pred FROM hits GROUP BY 1, 2) p USING (event_id) WHERE t_idx = pred AND t_idx < 4"))
+@query(on_hits("SELECT l.event_id, t_idx, pred, round(e, 5) AS energy FROM (SELECT event_id, t_idx, sum(energy) AS e FROM hits GROUP BY 1, 2) l FULL JOIN (SELECT event_id, CAST(floor(x/9) AS INTEGER) AS pred FROM hits GROUP BY 1, 2) p ON p.event_id = l.event_id AND p.pred = l.t_idx WHERE t_idx < 4"))
 def pile_up_removed(t: Tables) -> DataFrame:
-    """A matched frame without objects from a mark on; predictions without truth go with them, as a null meets no condition."""
+    """A matched frame without true objects from a mark on; predictions without truth go with them, as a null meets no condition, and true objects without a prediction stay."""
     truth = t.hits().groupBy("event_id", "t_idx").agg(F.sum("energy").alias("e"))
     pred = t.hits().select("event_id", F.floor(c.x / 9).cast("int").alias("pred")).distinct()
     frame = truth.join(pred, (truth["event_id"] == pred["event_id"]) & (F.col("t_idx") == F.col("pred")), "full_outer").select(truth["event_id"], "t_idx", "pred", "e")
-    return sel.without_pile_up(frame, 4).where("pred is not null").select("event_id", "t_idx", "pred", r("e", 5).alias("energy"))
+    return sel.without_pile_up(frame, 4).select("event_id", "t_idx", "pred", r("e", 5).alias("energy"))
 
 
 @query(on_hits("SELECT h.event_id, h.hit_id, round(coalesce(o.e, 0), 5) AS object_energy, coalesce(o.n, 0) AS object_size FROM hits h LEFT JOIN (SELECT event_id, t_idx, sum(energy) AS e, count(*) AS n FROM hits GROUP BY 1, 2) o ON o.event_id = h.event_id AND o.t_idx = h.t_idx AND h.t_idx >= 0"))
