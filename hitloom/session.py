@@ -33,10 +33,20 @@ def stored(df: DataFrame) -> DataFrame:
     return table
 
 
+def _at(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes a table or folder that nothing reads any more."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    files, target = _at(spark, path)
+    files.delete(target, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, target = _at(spark, path)
+    return files.exists(target)
 
 
 def local_session(cpus: int = 8, app: str = "hitloom") -> SparkSession:
