@@ -89,16 +89,49 @@ def aggregators(t: Tables) -> DataFrame:
     return rows.groupBy("event_id", "agg").agg(r(F.avg("v"), 5).alias("mean"), r(F.max("v"), 5).alias("top"))
 
 
-@query(on_hits("""SELECT event_id, round(ln(pow((a+b)/2/((a+b)/2-sqrt((a-b)*(a-b)/4+k*k))-1, 2)+1), 4) AS ratio FROM (SELECT event_id, var_pop(x) AS a, var_pop(z) AS b, covar_pop(x, z) AS k FROM hits GROUP BY 1 HAVING count(*) >= 10)"""))
+def jacobi_sql(m: int, start: str, name: str = "axes") -> str:
+    """Rotations of every event's matrix (start: event_id, a as a flat list) as a recursive table: event_id, a, v."""
+    pairs = [(p, q) for p in range(m) for q in range(p + 1, m)]
+    plan = ", ".join(f"({n}, {p}, {q})" for n, (p, q) in enumerate(pairs * sh.SWEEPS))
+    one = ", ".join(str(float(i == j)) for i in range(m) for j in range(m))
+
+    def turned(x: str, place: str, stride: int) -> str:
+        return f"list_transform({x}, lambda e, i: CASE WHEN {place} = p THEN c*e - s*{x}[i+(q-p)*{stride}] WHEN {place} = q THEN s*{x}[i-(q-p)*{stride}] + c*e ELSE e END)"
+
+    return f"""plan(n, p, q) AS (VALUES {plan}), {name} AS (WITH RECURSIVE turn(event_id, n, a, v) AS (
+    SELECT event_id, 0, a, CAST([{one}] AS DOUBLE[]) FROM ({start})
+    UNION ALL SELECT event_id, n + 1, {turned('b', '(i-1)//' + str(m), m)}, v FROM (
+      SELECT event_id, n, p, q, c, s, {turned('a', f'(i-1)%{m}', 1)} AS b, {turned('v', f'(i-1)%{m}', 1)} AS v FROM (
+        SELECT *, 1/sqrt(1+t*t) AS c, t/sqrt(1+t*t) AS s FROM (SELECT event_id, turn.n, p, q, a, v, CASE WHEN a[p*{m}+q+1] = 0 THEN 0 ELSE a[p*{m}+q+1]*(CASE WHEN a[q*{m}+q+1] < a[p*{m}+p+1] THEN -1 ELSE 1 END)
+          /(abs((a[q*{m}+q+1]-a[p*{m}+p+1])/2)+sqrt(pow((a[q*{m}+q+1]-a[p*{m}+p+1])/2, 2)+a[p*{m}+q+1]*a[p*{m}+q+1])) END AS t FROM turn JOIN plan ON plan.n = turn.n))))
+    SELECT event_id, a, v FROM turn WHERE n = {len(pairs) * sh.SWEEPS})"""
+
+
+def moments_sql(features: tuple[str, ...], scaled: bool) -> str:
+    """Covariances of an event's features (correlations, if scaled) as a flat list."""
+    entry = lambda x, y: f"covar_pop({x}, {y})" + (f"/coalesce(nullif(stddev_pop({x}), 0), 1)/coalesce(nullif(stddev_pop({y}), 0), 1)" if scaled else "")
+    return f"SELECT event_id, [{', '.join(entry(x, y) for x in features for y in features)}] AS a FROM hits GROUP BY 1 HAVING count(*) >= 10"
+
+
+SHAPE = ("x", "y", "z")
+
+
+@query(on_hits("SELECT event_id, round(ln(pow((a[1]+a[5]+a[9])/3/least(a[1], a[5], a[9])-1, 2)+1), 4) AS ratio FROM axes", jacobi_sql(3, moments_sql(SHAPE, False))))
 def shape_ratio(t: Tables) -> DataFrame:
     """How stretched an event is: its mean over its least variance along principal axes."""
-    return sh.axis_ratio(t.hits(), ("x", "z"), 10).select("event_id", r("ratio", 4).alias("ratio"))
+    return sh.axis_ratio(t.hits(), SHAPE, 10).select("event_id", r("ratio", 4).alias("ratio"))
+
+
+SPECTATOR = ("x", "y", "z", "beta", "tax")
 
 
-@query(on_hits("""SELECT event_id, hit_id, round(sqrt((u*u-2*k*u*v+v*v)/(1-k*k)), 4) AS score FROM (SELECT event_id, hit_id, (x-avg(x) OVER w)/stddev_pop(x) OVER w AS u, (z-avg(z) OVER w)/stddev_pop(z) OVER w AS v, corr(x, z) OVER w AS k, count(*) OVER w AS n FROM hits WINDOW w AS (PARTITION BY event_id)) WHERE n >= 10"""))
+@query(on_hits(f"""SELECT event_id, hit_id, round(sqrt(sum(along*along/value)), 4) AS score FROM (SELECT z.event_id, hit_id, value, z1*v[k]+z2*v[5+k]+z3*v[10+k]+z4*v[15+k]+z5*v[20+k] AS along
+  FROM (SELECT event_id, hit_id, {", ".join(f"({f}-avg({f}) OVER w)/stddev_pop({f}) OVER w AS z{i}" for i, f in enumerate(SPECTATOR, 1))} FROM hits WINDOW w AS (PARTITION BY event_id)) z
+  JOIN (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY value DESC) AS place FROM (SELECT event_id, v, unnest([1, 2, 3, 4, 5]) AS k, unnest([a[1], a[7], a[13], a[19], a[25]]) AS value FROM axes)) x ON x.event_id = z.event_id AND place <= 2) GROUP BY 1, 2""",
+  jacobi_sql(5, moments_sql(SPECTATOR, True))))
 def spectator_scores(t: Tables) -> DataFrame:
-    """Mahalanobis distances on two principal axes; with two features these are all axes, which SQL has in closed form."""
-    return sh.outlier_scores(t.hits(), ("x", "z"), 2, 10).select(*KEY, r("score", 4).alias("score"))
+    """Mahalanobis distances of five standardised features, projected on their two strongest axes."""
+    return sh.outlier_scores(t.hits(), SPECTATOR, 2, 10).select(*KEY, r("score", 4).alias("score"))
 
 
 @query(on_hits("SELECT event_id, round(coalesce(sum(CASE WHEN beta > 0.5 THEN x END)/count(CASE WHEN beta > 0.5 AND x <> 0 THEN 1 END), 0), 5) AS pooled FROM hits GROUP BY 1"))
