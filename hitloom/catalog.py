@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hitloom.plans import clusters, graphs, losses, metrics, objects, scalars, scores, selections, summaries  # noqa: F401  they register their queries
+from hitloom.plans import clusters, graphs, losses, matched, metrics, objects, scalars, scores, selections, summaries  # noqa: F401  they register their queries
 from hitloom.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "analyse"

@@ -218,7 +218,7 @@ def overlap_histogram(t: Tables) -> DataFrame:
     return overlap(predicted(t), "t_idx", "pred", "energy").where("iou >= 0.1").select(v).groupBy(F.floor("v").alias("bin")).agg(F.count("*").alias("n"), r(F.avg("v")).alias("mean"))
 
 
-@query("SELECT event_type, count(*) AS n, round(sum(v), 5) AS total, round(max(v), 5) AS top FROM (SELECT event_type, user_id, CASE WHEN isnan(value) OR isinf(value) THEN 0 ELSE value END AS v FROM events) WHERE user_id % 2 = 0 AND event_type IN ('click', 'view') GROUP BY 1")
+@query("SELECT event_type, count(*) AS n, round(sum(v), 5) AS total, round(max(v), 5) AS top FROM (SELECT event_type, user_id, CASE WHEN isnan(value) OR isinf(value) THEN 0 ELSE value END AS v FROM events) WHERE v > 5 AND event_type IN ('click', 'view') GROUP BY 1")
 def store_read(t: Tables) -> DataFrame:
     """A metrics store: rows appended by experiment, then read for some experiments under a condition."""
     import uuid
@@ -227,7 +227,7 @@ def store_read(t: Tables) -> DataFrame:
 
     store = MetricsStore(t.spark, f"{shared_dir(t.spark)}/store-{uuid.uuid4().hex}")
     store.insert("values", t.table("events").select(F.col("event_type").alias("experiment_name"), "user_id", "value"))
-    got = store.get_data("values", experiments=["click", "view"], condition="user_id % 2 = 0")
+    got = store.get_data("values", experiments=["click", "view"], condition="value > 5")
     return got.groupBy(F.col("experiment_name").alias("event_type")).agg(F.count("*").alias("n"), r(F.sum("value"), 5).alias("total"), r(F.max("value"), 5).alias("top"))
 
 

@@ -199,14 +199,6 @@ def resolution_estimator(t: Tables) -> DataFrame:
     return rows.groupBy("bin").agg(F.count("*").alias("n")).join(q, "bin").select("bin", "n", r((F.col("hi") - F.col("lo")) / 2).alias("half_width"))
 
 
-@query(on_hits("SELECT band, bin, count(*) AS n, round(avg(CASE WHEN top > 0.8 THEN 1.0 ELSE 0.0 END), 6) AS efficiency FROM (SELECT CASE WHEN n < 4 THEN 0 WHEN n < 7 THEN 1 ELSE 2 END AS band, CAST(floor(least(e/50, 10.99)) AS BIGINT) AS bin, top FROM (SELECT count(*) AS n, sum(energy) AS e, max(beta) AS top FROM hits WHERE t_idx >= 0 GROUP BY event_id, t_idx)) GROUP BY 1, 2"))
-def track_efficiency(t: Tables) -> DataFrame:
-    """Efficiency of objects by momentum, clipped at the last bin, in bands of their number of rows."""
-    o = t.hits().where("t_idx >= 0").groupBy("event_id", "t_idx").agg(F.count("*").alias("n"), F.sum("energy").alias("e"), F.max("beta").alias("top"))
-    band = F.when(F.col("n") < 4, 0).when(F.col("n") < 7, 1).otherwise(2)
-    return o.groupBy(band.alias("band"), F.floor(F.least(F.col("e") / 50, F.lit(10.99))).alias("bin")).agg(F.count("*").alias("n"), r(F.avg(F.when(F.col("top") > 0.8, 1.0).otherwise(0.0))).alias("efficiency"))
-
-
 @query(on_hits("SELECT bin, round(avg(beta), 6) AS mean, count(*) AS n, round(stddev_pop(beta)/sqrt(count(*)), 6) AS error FROM (SELECT *, " + cases("energy", EDGES, False) + " AS bin FROM hits) WHERE bin IS NOT NULL GROUP BY 1"))
 def binned_errors(t: Tables) -> DataFrame:
     """Binned means with their errors, kept wide and read back long."""
@@ -283,15 +275,6 @@ def push_up_truth(t: Tables) -> DataFrame:
     return d.groupBy("event_id", "up_id").agg(r(F.sum(F.col("weight") * c.energy) + F.max("e"), 5).alias("pushed"), F.max_by("t_idx", F.col("weight") * 1000000 - F.col("hit_id") / 1000.0).alias("truth"))
 
 
-@query(on_hits(f"SELECT own AS same, cls, round(avg(least(sqrt({D2_SQL})/(abs(tax)+1e-3), 6)), 5) AS mean, count(*) AS n FROM (SELECT q.*, al.ax, al.ay, q.t_idx = al.t_idx AS own FROM q JOIN al ON al.event_id = q.event_id WHERE q.t_idx = al.t_idx OR substr(md5('5-' || q.event_id || '-' || q.hit_id), 1, 1) < '4') GROUP BY 1, 2", Q, ALPHA))
-def cluster_separation(t: Tables) -> DataFrame:
-    """Distances to an object's strongest row in units of a scale, of its own rows and of a seeded sample of others."""
-    hits, alpha = charged(t)
-    both = hits.withColumnRenamed("t_idx", "own").join(alpha, "event_id").withColumn("same", F.col("own") == F.col("t_idx"))
-    both = both.where(F.col("same") | (F.substring(sel.seeded(5, *KEY), 1, 1) < "4"))
-    return both.groupBy("same", "cls").agg(r(F.avg(F.least(F.sqrt(d2()) / (F.abs("tax") + 1e-3), F.lit(6.0))), 5).alias("mean"), F.count("*").alias("n"))
-
-
 @query(on_hits("SELECT event_id, hit_id, round(coalesce(w/m, 0), 6) AS relative, round(greatest(w/m-0.3, 0.0)/nullif(sum(greatest(w/m-0.3, 0.0)) OVER (PARTITION BY event_id, t_idx), 0), 6) AS cut FROM (SELECT *, max(w) OVER (PARTITION BY event_id, t_idx) AS m FROM (SELECT *, pow(atanh(beta/1.01), 2) AS w FROM hits WHERE t_idx >= 0))"))
 def payload_weights_cut(t: Tables) -> DataFrame:
     """Weights by their object's greatest, less a threshold, normalised again."""

@@ -15,7 +15,7 @@ from hitloom.operators import scans as sc
 from hitloom.operators import shapes as sh
 from hitloom.plans.metrics import all_bins, bin_of, cases, grid_sql
 from hitloom.plans.objects import ALPHAS, GREEDY
-from hitloom.session import shared_dir
+from hitloom.session import removed, shared_dir
 from hitloom.plans.registry import K, on_edges, on_hits, query, r
 from hitloom.sources import blobs, csv
 from hitloom.sources.tables import Tables
@@ -38,7 +38,11 @@ def csv_scan(t: Tables) -> DataFrame:
     path = f"{shared_dir(t.spark)}/csv-{uuid.uuid4().hex}"
     t.table("supplier").select("s_suppkey", "s_nationkey", "s_acctbal").write.option("header", True).csv(path)
     rows = csv.scan(t.spark, path, "s_suppkey long, s_nationkey int, s_acctbal double")
-    return rows.groupBy("s_nationkey").agg(F.count("*").alias("n"), r(F.sum("s_acctbal"), 4).alias("total"))
+    told = rows.groupBy("s_nationkey").agg(F.count("*").alias("n"), r(F.sum("s_acctbal"), 4).alias("total"))
+    # A row a nation goes through the driver, so that the files can go.
+    told = t.spark.createDataFrame(told.collect(), told.schema)
+    removed(t.spark, path)
+    return told
 
 
 @query()
