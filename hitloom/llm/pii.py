@@ -14,7 +14,9 @@ dots and separators inside a run are first marked by one private character, so n
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hitloom.llm.shared import numbered, written
@@ -49,6 +51,8 @@ EDGE = " "
 
 #: Rounds of scoring, seeds that a pattern holds at least, and scores from which patterns and strings count.
 ROUNDS, SUPPORT, GOOD_PATTERN, GOOD_STRING = 3, 3, 0.7, 0.9
+#: What a string that nothing is known of takes from a pattern, beside what a seed gives: it may be an unseen identifier.
+UNKNOWN = 0.25
 
 SPAN = "array<struct<s:int,e:int,value:string>>"
 
@@ -195,9 +199,10 @@ def _patterns(span: Column) -> Column:
     return F.filter(F.array(both, label), lambda p: p.isNotNull())
 
 
-def discovered(scanned: DataFrame) -> DataFrame | None:
+def discovered(scanned: DataFrame, seeding: Callable[[Column], Column] | None = None) -> DataFrame | None:
     """(rid, kind, s, e) of the strings that good patterns hold; None where no pattern is good.
 
+    seeding: which strings may be seeds (default: all of a seed's form), so that a test can hide some and see them found.
     Counts are of distinct strings, so one string that is copied a million times is one witness, and
     they are summed before they are shuffled.
     """
@@ -210,6 +215,7 @@ def discovered(scanned: DataFrame) -> DataFrame | None:
         # Seeds of secrets are among the candidates, and are reported where a good pattern holds them.
         spans = F.col(f"_{kind}") if kind in KINDS else F.filter("_tokens", lambda x: x["value"].rlike(SECRET_SEED) & x["left"][0].rlike(LABEL))
         rows = placed(spans).select(F.lit(kind).alias("kind"), "value", "pattern")
+        rows = rows if seeding is None else rows.where(seeding(F.col("value")))
         seeds = rows if seeds is None else seeds.unionByName(rows)
     seeds = written(seeds.distinct())
     places = placed(F.col("_tokens"))
@@ -223,7 +229,10 @@ def discovered(scanned: DataFrame) -> DataFrame | None:
         edges = held.unionByName(seen).distinct().join(good, "pattern")
         total = edges.groupBy("pattern").agg(F.count_distinct("value").alias("all"))
         patterns = edges.join(scores, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("score"))
-        rated = patterns.join(total, "pattern").select("pattern", "kind", (F.col("score") / (F.col("all") + 0.5)).alias("rate")).where(F.col("rate") >= GOOD_PATTERN)
+        # What speaks for other kinds counts in full against a kind, what is unknown counts less.
+        known = patterns.join(total, "pattern").withColumn("known", F.sum("score").over(Window.partitionBy("pattern")))
+        weight = F.col("known") + UNKNOWN * F.greatest(F.col("all") - F.col("known"), F.lit(0.0)) + 0.5
+        rated = known.select("pattern", "kind", (F.col("score") / weight).alias("rate")).where(F.col("rate") >= GOOD_PATTERN)
         told = edges.join(sure.where(F.col("kind") != SECRET).select("value").distinct(), "value", "left_anti").join(rated, "pattern").groupBy("value", "kind")
         likely = written(told.agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("rate"), F.lit(0.999)))))).alias("score")))
         if not likely.limit(1).count():

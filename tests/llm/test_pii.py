@@ -11,6 +11,8 @@ from collections import defaultdict
 import pytest
 import regex
 
+from pyspark.sql import functions as F
+
 from hitloom.llm import pii
 
 SCHEMA = "doc_id long, text string, lang string, spans string, rid long"
@@ -165,7 +167,9 @@ def plain_found(texts: list[str]) -> list[set[tuple]]:
             both = held[p] | seen[p]
             if len(good) >= pii.SUPPORT:
                 for kind in pii.ALL:
-                    x = sum(scores.get((v, kind), 0) for v in both) / (len(both) + 0.5)
+                    told = sum(scores.get((v, kind), 0) for v in both)
+                    known = sum(scores.get((v, k), 0) for v in both for k in pii.ALL)
+                    x = told / (known + pii.UNKNOWN * max(len(both) - known, 0) + 0.5)
                     if x >= pii.GOOD_PATTERN:
                         rate[p, kind] = x
         log = defaultdict(float)
@@ -236,3 +240,17 @@ def test_sample_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = sorted((tuple(r)[:6] for r in pii.report(docs).collect()), key=str)
     assert got == sorted((expected(r.doc_id, r.text) for r in docs.collect()), key=str)
+
+
+def test_hidden_secrets_are_found_by_contexts(spark):
+    """Half of the secrets of the table are no seeds: the contexts of the others find them, and hardly anything else."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    scanned = pii._scan(docs, ["doc_id"])
+    tokens = scanned.select("rid", F.explode("_tokens").alias("x")).select("rid", "x.s", "x.value")
+    secret = tokens.where(F.col("value").rlike(pii.SECRET_SEED))
+    hidden = {r.value for r in secret.where(F.crc32(F.col("value").cast("binary")) % 2 == 1).collect()}
+    found = pii.discovered(scanned, lambda v: F.crc32(v.cast("binary")) % 2 == 0)
+    got = [r.value for r in found.where("kind = 'secret'").join(tokens, ["rid", "s"]).collect()]
+    assert len(hidden) > 30
+    assert len(hidden & set(got)) >= 0.9 * len(hidden)
+    assert sum(len(v) >= 32 and all(c in "0123456789abcdefABCDEF" for c in v) for v in got) >= 0.95 * len(got)
