@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from hitloom.operators.scans import numbered
+
 
 def event() -> WindowSpec:
     return Window.partitionBy("event_id")
@@ -64,14 +66,11 @@ def downsample(hits: DataFrame, n: int, seed: int) -> DataFrame:
 def shuffled(events: DataFrame, seed: int) -> DataFrame:
     """event_id and place of distinct events in a seeded random order.
 
-    Events are dealt to 256 shares by the first digits of their hash, which come one after another: windows order
-    each share, and only the shares' sizes are summed in one task.
+    Ranges of the hash, as many as the number of events asks for, are ordered apart; only their sizes are summed in one task.
     """
-    rows = events.select("event_id", seeded(seed, "event_id").alias("_h")).withColumn("_share", F.substring("_h", 1, 2))
-    sizes = rows.groupBy("_share").agg(F.count("*").alias("_n"))
-    before = sizes.select("_share", F.coalesce(F.sum("_n").over(Window.orderBy("_share").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    inner = F.row_number().over(Window.partitionBy("_share").orderBy("_h", "event_id")) - 1
-    return rows.withColumn("_at", inner).join(F.broadcast(before), "_share").select("event_id", (F.col("_base") + F.col("_at")).cast("long").alias("place"))
+    rows = events.select("event_id", seeded(seed, "event_id").alias("_h"), F.lit(0).alias("_all"))
+    rows = rows.withColumn("_v", F.conv(F.substring("_h", 1, 12), 16, 10).cast("double"))  # exact in a double
+    return numbered(rows, "_v", ["_h", "event_id"], "_at", by=("_all",)).select("event_id", (F.col("_at") - 1).cast("long").alias("place"))
 
 
 def without_pile_up(frame: DataFrame, least: int) -> DataFrame:

@@ -115,9 +115,10 @@ def accumulate_mean_max(t: Tables) -> DataFrame:
     return ed.accumulate(edges(t, "energy"), t.hits(), "energy", K).select(*KEY, r("mean", 5).alias("mean"), r("max", 5).alias("max"))
 
 
-@query(on_edges(f"SELECT e.event_id, e.hit_id, round(sum(b.energy/(1+dsq))/5, 5) AS mean, round(max(b.energy/(1+dsq)), 5) AS max FROM {NB} GROUP BY 1, 2"))
+@query(on_edges(f"SELECT e.event_id, e.hit_id, round(sum(b.energy/(1+dsq))/5, 5) AS mean, round(max(b.energy/(1+dsq)), 5) AS max, arg_max(nbr_id, (b.energy/(1+dsq), -nbr_id)) AS arg FROM {NB} GROUP BY 1, 2"))
 def accumulate_linear(t: Tables) -> DataFrame:
-    return ed.accumulate(edges(t, "energy"), t.hits(), "energy", K, 1 / (1 + F.col("dsq"))).select(*KEY, r("mean", 5).alias("mean"), r("max", 5).alias("max"))
+    """Mean and greatest value under weights of their own, and the neighbour that has it."""
+    return ed.accumulate(edges(t, "energy"), t.hits(), "energy", K, 1 / (1 + F.col("dsq"))).select(*KEY, r("mean", 5).alias("mean"), r("max", 5).alias("max"), "arg")
 
 
 @query(on_edges(f"SELECT e.event_id, e.hit_id, round(sum(exp(-dsq)*b.energy)/sum(exp(-dsq)), 5) AS v FROM {NB} GROUP BY 1, 2"))

@@ -59,11 +59,9 @@ def segment_ids(t: Tables) -> DataFrame:
 
     Sums over ranges of events come first, so that no task orders more than one range.
     """
-    rows = t.hits().groupBy("event_id").agg((F.max("t_idx") + 1).cast("long").alias("m")).withColumn("part", F.floor(F.col("event_id") / 256))
-    parts = rows.groupBy("part").agg(F.sum("m").alias("s"))
-    before = parts.withColumn("base", F.coalesce(F.sum("s").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("s")
-    inner = F.coalesce(F.sum("m").over(Window.partitionBy("part").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    off = rows.withColumn("inner", inner).join(before, "part").select("event_id", (F.col("inner") + F.col("base")).alias("off"))
+    rows = t.hits().groupBy("event_id").agg((F.max("t_idx") + 1).cast("long").alias("m")).withColumn("all", F.lit(0))
+    rows = sc.running_sum(sc.numbered(rows, "event_id", [], "at", by=("all",)), "at", "m", "run", by=("all",))
+    off = rows.select("event_id", (F.col("run") - F.col("m")).alias("off"))
     return t.hits().where("t_idx >= 0").select("event_id", "t_idx").distinct().join(off, "event_id").select("event_id", "t_idx", (F.col("off") + F.col("t_idx")).cast("long").alias("global_id"))
 
 
