@@ -46,3 +46,45 @@ def test_few_sequences():
     sizes = rng.integers(1, 2049, 3000)
     bins, offsets, n = packing.sum_of_squares(sizes, 2048)
     assert n <= 1.03 * -(-sizes.sum() // 2048) + 1 and np.bincount(bins, sizes).max() <= 2048
+
+
+def plain_sum_of_squares(sizes: list[int], capacity: int) -> list[tuple[int, int]]:
+    """(bin, offset) of each size: every open bin that fits is tried, and the sum over gaps is worked out anew."""
+    gaps: list[int] = []  # of all bins, in the order in which they came to their gap
+    order: list[int] = []
+    placed: dict[int, tuple[int, int]] = {}
+
+    def total() -> int:
+        count: dict[int, int] = {}
+        for g in gaps:
+            if g:
+                count[g] = count.get(g, 0) + 1
+        return sum(n * n for n in count.values())
+
+    for k in sorted(range(len(sizes)), key=lambda k: -sizes[k]):
+        tries = []
+        for b, g in enumerate(gaps):
+            if g >= sizes[k]:
+                gaps[b] = g - sizes[k]
+                tries.append((total(), g, -order[b], b))
+                gaps[b] = g
+        if tries:
+            b = min(tries)[3]
+        else:
+            b = len(gaps)
+            gaps.append(capacity)
+            order.append(0)
+        placed[k] = (b, capacity - gaps[b])
+        gaps[b] -= sizes[k]
+        order[b] = len(placed)
+    return [placed[k] for k in range(len(sizes))]
+
+
+def test_plain_rule():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        capacity = int(rng.integers(5, 40))
+        sizes = rng.integers(1, capacity + 1, int(rng.integers(1, 60)))
+        bins, offsets, n = packing.sum_of_squares(sizes, capacity)
+        want = plain_sum_of_squares(sizes.tolist(), capacity)
+        assert list(zip(bins.tolist(), offsets.tolist())) == want and n == len({b for b, _ in want})
