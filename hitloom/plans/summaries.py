@@ -45,10 +45,25 @@ def csv_scan(t: Tables) -> DataFrame:
     return told
 
 
-@query()
+def drawn(name: str, *keys: str) -> str:
+    """The generator's number in (0, 1)."""
+    text = " || '-' || ".join(keys)
+    return f"(('0x' || substr(md5('7-{name}-' || {text}), 1, 8))::BIGINT + 0.5) / 4294967296.0"
+
+
+_ROW = ("event_id", "t_idx", "k")
+_PLACE = ", ".join(
+    f"CASE WHEN t_idx < 0 THEN 20*{drawn(d, *_ROW)}-10 ELSE 20*{drawn('centre ' + d, 'event_id', 't_idx')}-10 + 0.5*sqrt(-2*ln({drawn(d + ' radius', *_ROW)}))*cos(2*pi()*{drawn(d + ' angle', *_ROW)}) END AS {d}" for d in "xyz"
+)
+
+
+@query(f"""WITH blob AS (SELECT s_suppkey AS event_id, unnest(range(-1, 2 + floor({drawn('blobs', 's_suppkey')}*5)::BIGINT)) AS t_idx FROM supplier),
+  rows AS (SELECT event_id, t_idx, unnest(range(1, 1 + CASE WHEN t_idx < 0 THEN 10 ELSE 1800 + floor({drawn('rows', 'event_id', 't_idx')}*100)::BIGINT END)) AS k FROM blob),
+  hits AS (SELECT event_id, t_idx, {_PLACE} FROM rows)
+  SELECT event_id, t_idx::INTEGER AS t_idx, count(*) AS n, round(avg(x), 4) AS x, round(avg(y), 4) AS y, round(avg(z), 4) AS z FROM hits GROUP BY 1, 2""")
 def blob_events(t: Tables) -> DataFrame:
-    """Generated events, one row per blob: tests check sizes, centres and that a seed repeats."""
-    hits = blobs.events(t.spark, 1000, seed=7)
+    """An event of generated blobs for each supplier, one row per blob."""
+    hits = blobs.events(t.table("supplier").select(F.col("s_suppkey").alias("event_id")), seed=7)
     return hits.groupBy("event_id", "t_idx").agg(F.count("*").alias("n"), r(F.avg("x"), 4).alias("x"), r(F.avg("y"), 4).alias("y"), r(F.avg("z"), 4).alias("z"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Blobs an event, rows a blob (both ends included), rows of noise.
@@ -12,8 +12,9 @@ BLOBS, ROWS, NOISE = (2, 6), (1800, 1899), 10
 
 
 def _uniform(seed: int, name: str, *keys: str) -> Column:
-    """A number in (0, 1) that depends on seed, name and keys alone, so lost tasks come back alike."""
-    return (F.pmod(F.xxhash64(F.lit(seed), F.lit(name), *keys), F.lit(1 << 32)) + 0.5) / float(1 << 32)
+    """A number in (0, 1) that depends on seed, name and keys alone, so lost tasks come back alike, and SQL can follow."""
+    digest = F.md5(F.concat_ws("-", F.lit(f"{seed}-{name}"), *keys).cast("binary"))
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
 
 
 def _between(u: Column, low: int, high: int) -> Column:
@@ -24,9 +25,9 @@ def _normal(seed: int, name: str, *keys: str) -> Column:
     return F.sqrt(-2 * F.log(_uniform(seed, f"{name} radius", *keys))) * F.cos(2 * math.pi * _uniform(seed, f"{name} angle", *keys))
 
 
-def events(spark: SparkSession, count: int, seed: int = 0) -> DataFrame:
-    """count events of event_id, hit_id, t_idx (-1: noise), energy, x, y, z. Nothing is shuffled."""
-    blob = spark.range(count).withColumnRenamed("id", "event_id")
+def events(of: DataFrame, seed: int = 0) -> DataFrame:
+    """An event for each row of of(event_id): event_id, hit_id, t_idx (-1: noise), energy, x, y, z. Nothing is shuffled."""
+    blob = of.select("event_id")
     blob = blob.withColumn("t_idx", F.explode(F.sequence(F.lit(-1), _between(_uniform(seed, "blobs", "event_id"), *BLOBS) - 1)))
     size = F.when(F.col("t_idx") < 0, F.lit(NOISE)).otherwise(_between(_uniform(seed, "rows", "event_id", "t_idx"), *ROWS))
     centre = {d: 20 * _uniform(seed, f"centre {d}", "event_id", "t_idx") - 10 for d in "xyz"}

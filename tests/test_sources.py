@@ -25,15 +25,16 @@ def test_csv_hits_of_fast_particles(spark, tmp_path):
 
 
 def test_generated_events(spark):
-    hits = blobs.events(spark, 5, seed=3)
+    of = spark.range(5).withColumnRenamed("id", "event_id")
+    hits = blobs.events(of, seed=3)
     sizes = {(r.event_id, r.t_idx): r["count"] for r in hits.groupBy("event_id", "t_idx").count().collect()}
     for e in range(5):
         assert 2 <= sum(k[0] == e and k[1] >= 0 for k in sizes) <= 6 and sizes[e, -1] == 10
     assert all(1800 <= n <= 1899 for (_, t), n in sizes.items() if t >= 0)
     assert hits.select("event_id", "hit_id").distinct().count() == hits.count()
-    assert hits.exceptAll(blobs.events(spark, 5, seed=3)).isEmpty()
-    assert not hits.exceptAll(blobs.events(spark, 5, seed=4)).isEmpty()
-    assert blobs.events(spark, 0).isEmpty()
+    assert hits.exceptAll(blobs.events(of, seed=3)).isEmpty()
+    assert not hits.exceptAll(blobs.events(of, seed=4)).isEmpty()
+    assert blobs.events(of.where("false")).isEmpty()
 
 
 def test_outlier_scores_on_two_of_three_axes(spark):
@@ -47,11 +48,12 @@ def test_outlier_scores_on_two_of_three_axes(spark):
     assert np.allclose(got, np.sqrt((u[:, :2] ** 2).sum(1) * len(z)))
 
 
-def test_blob_events_makes_at_least_as_many_as_a_file_of_the_reference(spark):
-    from hitloom.sources.tables import Tables
+def test_blob_events_follow_the_table(spark):
     from hitloom.plans.summaries import blob_events
+    from hitloom.sources.tables import Tables
 
-    assert blob_events(Tables(spark, "")).select("event_id").distinct().count() == 1000
+    t = Tables(spark, "/root/testdata/sf0.001")
+    assert blob_events(t).select("event_id").distinct().count() == t.table("supplier").count()
 
 
 def test_experiments_of_any_name_are_deleted(spark, tmp_path):
