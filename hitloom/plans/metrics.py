@@ -110,14 +110,6 @@ def confusion_matrix(t: Tables) -> DataFrame:
     return grid.join(F.broadcast(n), ["t", "p"], "left").select("t", "p", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query(on_hits("SELECT score, round(sum(pos) OVER w/sum(pos) OVER (), 6) AS tpr, round(sum(neg) OVER w/sum(neg) OVER (), 6) AS fpr FROM (SELECT floor(beta*100)/100 AS score, sum(CASE WHEN cls = 'A' THEN 1 ELSE 0 END) AS pos, sum(CASE WHEN cls = 'R' THEN 1 ELSE 0 END) AS neg FROM hits WHERE cls IN ('A', 'R') GROUP BY 1) WINDOW w AS (ORDER BY score DESC)"))
-def roc_one_vs_one(t: Tables) -> DataFrame:
-    """Rates over distinct scores in steps of 0.01: at most 101 rows are ordered."""
-    n = t.hits().where("cls in ('A', 'R')").groupBy((F.floor(c.beta * 100) / 100).alias("score")).agg(F.count_if(F.col("cls") == "A").alias("pos"), F.count_if(F.col("cls") == "R").alias("neg"))
-    w, whole = Window.orderBy(F.desc("score")), Window.partitionBy()
-    return n.select("score", r(F.sum("pos").over(w) / F.sum("pos").over(whole)).alias("tpr"), r(F.sum("neg").over(w) / F.sum("neg").over(whole)).alias("fpr"))
-
-
 @query(on_hits("SELECT a.event_id, a.t_idx, round(a.e/sum(b.e), 6) AS local_fraction, round(sum(CASE WHEN a.t_idx <> b.t_idx THEN b.e ELSE 0 END), 5) AS other FROM objs a JOIN objs b ON a.event_id = b.event_id AND (a.cx-b.cx)*(a.cx-b.cx)+(a.cy-b.cy)*(a.cy-b.cy) <= 25 GROUP BY 1, 2, a.e", "objs AS (SELECT event_id, t_idx, sum(energy) AS e, avg(x) AS cx, avg(y) AS cy FROM hits WHERE t_idx >= 0 GROUP BY 1, 2)"))
 def local_energy_fraction(t: Tables) -> DataFrame:
     """An object's share of the energy of all objects near it, and what the others hold."""

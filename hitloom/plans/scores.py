@@ -169,10 +169,12 @@ def histogram_fraction(t: Tables) -> DataFrame:
     return rows.select("bin", r(F.col("d") / F.sum("d").over(Window.partitionBy())).alias("fraction"))  # one row a bin
 
 
-@query(on_hits("""SELECT pair, round(max(CASE WHEN fpr <= 0.1 THEN tpr END), 6) AS tpr_at, round(min(CASE WHEN tpr >= 0.9 THEN fpr END), 6) AS fpr_at, count(*) AS points FROM (SELECT pair, sum(pos) OVER w/sum(pos) OVER (PARTITION BY pair) AS tpr, sum(neg) OVER w/sum(neg) OVER (PARTITION BY pair) AS fpr
-  FROM (SELECT pair, beta, count(CASE WHEN cls = pair[1] THEN 1 END) AS pos, count(CASE WHEN cls = pair[2] THEN 1 END) AS neg FROM hits JOIN (SELECT unnest(['AR', 'AN', 'NR']) AS pair) ON cls = pair[1] OR cls = pair[2] GROUP BY 1, 2) WINDOW w AS (PARTITION BY pair ORDER BY beta DESC)) GROUP BY 1"""))
-def roc_lookup(t: Tables) -> DataFrame:
-    """Curves of every pair of classes over all distinct scores, looked up at fixed rates.
+CURVES = """curves AS (SELECT pair, beta, sum(pos) OVER w/sum(pos) OVER (PARTITION BY pair) AS tpr, sum(neg) OVER w/sum(neg) OVER (PARTITION BY pair) AS fpr
+  FROM (SELECT pair, beta, count(CASE WHEN cls = pair[1] THEN 1 END) AS pos, count(CASE WHEN cls = pair[2] THEN 1 END) AS neg FROM hits JOIN (SELECT unnest(['AR', 'AN', 'NR']) AS pair) ON cls = pair[1] OR cls = pair[2] GROUP BY 1, 2) WINDOW w AS (PARTITION BY pair ORDER BY beta DESC))"""
+
+
+def curves(t: Tables) -> DataFrame:
+    """Curves of every pair of classes over all distinct scores: pair, beta, tpr, fpr.
 
     Scores of a pair are counted in coarse bands first; windows order the scores of one band, and bands
     are summed apart, so no task orders all scores.
@@ -187,8 +189,19 @@ def roc_lookup(t: Tables) -> DataFrame:
     before = bands.select("pair", "band", *(F.coalesce(F.sum(x).over(above), F.lit(0)).alias(f"{x}0") for x in "pq"), *(F.sum(x).over(whole).alias(f"{x}all") for x in "pq"))
     inner = Window.partitionBy("pair", "band").orderBy(F.desc("beta"))
     curve = n.withColumns({"cp": F.sum("pos").over(inner), "cq": F.sum("neg").over(inner)}).join(before, ["pair", "band"])
-    curve = curve.select("pair", ((F.col("p0") + F.col("cp")) / F.col("pall")).alias("tpr"), ((F.col("q0") + F.col("cq")) / F.col("qall")).alias("fpr"))
-    return curve.groupBy("pair").agg(r(F.max(F.when(F.col("fpr") <= 0.1, F.col("tpr")))).alias("tpr_at"), r(F.min(F.when(F.col("tpr") >= 0.9, F.col("fpr")))).alias("fpr_at"), F.count("*").alias("points"))
+    return curve.select("pair", "beta", ((F.col("p0") + F.col("cp")) / F.col("pall")).alias("tpr"), ((F.col("q0") + F.col("cq")) / F.col("qall")).alias("fpr"))
+
+
+@query(on_hits("SELECT round(beta, 6) AS score, round(tpr, 6) AS tpr, round(fpr, 6) AS fpr FROM curves WHERE pair = 'AR'", CURVES))
+def roc_one_vs_one(t: Tables) -> DataFrame:
+    """Rates of one class against another at every distinct score."""
+    return curves(t).where("pair = 'AR'").select(r("beta").alias("score"), r("tpr").alias("tpr"), r("fpr").alias("fpr"))
+
+
+@query(on_hits("SELECT pair, round(max(CASE WHEN fpr <= 0.1 THEN tpr END), 6) AS tpr_at, round(min(CASE WHEN tpr >= 0.9 THEN fpr END), 6) AS fpr_at, count(*) AS points FROM curves GROUP BY 1", CURVES))
+def roc_lookup(t: Tables) -> DataFrame:
+    """The curves, looked up at fixed rates."""
+    return curves(t).groupBy("pair").agg(r(F.max(F.when(F.col("fpr") <= 0.1, F.col("tpr")))).alias("tpr_at"), r(F.min(F.when(F.col("tpr") >= 0.9, F.col("fpr")))).alias("fpr_at"), F.count("*").alias("points"))
 
 
 @query(on_hits("SELECT bin, count(*) AS n, round((quantile_cont(v, 0.84) - quantile_cont(v, 0.16))/2, 6) AS half_width FROM (SELECT (energy-x)/energy AS v, CAST(floor(tax/0.01) AS BIGINT) AS bin FROM hits WHERE energy > 0 AND tax >= 0 AND tax < 0.3) GROUP BY 1"))

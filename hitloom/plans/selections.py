@@ -186,7 +186,7 @@ def prediction_sink(t: Tables) -> DataFrame:
 
 
 @query(on_hits("""SELECT 'events' AS part, count(*) AS n, round(sum(e), 3) AS total FROM (SELECT event_id, sum(energy) AS e FROM hits GROUP BY 1) UNION ALL
-  SELECT 'objects', count(*), round(sum(e), 3) FROM (SELECT event_id, t_idx, sum(energy) AS e FROM hits WHERE t_idx >= 0 GROUP BY 1, 2)"""))
+  SELECT 'objects', count(*), round(sum(e), 3) FROM (SELECT event_id, t_idx, sum(energy) AS e FROM hits WHERE t_idx >= 0 GROUP BY 1, 2) UNION ALL SELECT 'settings', 1, round(0.3+1.0, 3)"""))
 def analysis_dump(t: Tables) -> DataFrame:
     """Tables of an analysis and a row of its settings under one folder, scanned again."""
     path = f"{shared_dir(t.spark)}/analysis-{uuid.uuid4().hex}"
@@ -197,7 +197,8 @@ def analysis_dump(t: Tables) -> DataFrame:
     def told(part: str) -> DataFrame:
         return t.spark.read.parquet(f"{path}/{part}").agg(F.count("*").alias("n"), r(F.sum("energy"), 3).alias("total")).select(F.lit(part).alias("part"), "n", "total")
 
-    return told("events").unionByName(told("objects"))
+    settings = t.spark.read.parquet(f"{path}/settings").select(F.lit("settings").alias("part"), F.lit(1).cast("long").alias("n"), r(F.col("beta_threshold") + F.col("distance_threshold"), 3).alias("total"))
+    return told("events").unionByName(told("objects")).unionByName(settings)
 
 
 @query("SELECT event_type, count(*) AS n, max(event_id) AS last_id FROM events WHERE value > 5 GROUP BY 1")
