@@ -48,12 +48,20 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data in their texts masked; null texts stay null and n_chars follows the text."""
+    """All documents, with personal data in their texts masked; null texts stay null and n_chars follows the text.
+
+    Repeated rows are masked alike, null ids and other columns of any name stay, an empty table gives an empty one.
+    Of spans that overlap the first one is masked, of equal starts the shorter one.
+    """
     return _sized(pii.redact(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences; null and empty texts are one end token."""
+    """The pieces of all documents with their places in sequences; null and empty texts are one end token.
+
+    Repeated rows and null ids are packed each for itself, other columns are ignored, an empty table gives no rows.
+    Of bins that serve the rule alike the tightest takes a piece.
+    """
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
