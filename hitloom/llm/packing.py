@@ -112,7 +112,10 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 
 
 def pieces(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int = 0) -> DataFrame:
-    """One row per piece: its place in the document, its length and the CRC of its ids."""
+    """One row per piece: its place in the document, its length and the CRC of its ids.
+
+    Repeated rows give repeated pieces, null doc_ids stay null, a null text is empty, other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
