@@ -65,7 +65,7 @@ def _in_arrays(rows: DataFrame, k: int, coords: Sequence[str], distance: Distanc
     asks = F.collect_list(F.when(F.col("_asks"), F.struct("hit_id", *coords, *extra, *more)))
     event = rows.groupBy("event_id").agg(found.alias("_found"), asks.alias("_asks")).select("event_id", "_found", F.explode("_asks").alias("_p"))
     event = event.select("event_id", "_found", "_p", "_p.hit_id", *(F.col(f"_p.{c}").alias(f"own_{c}") for c in carry))
-    met = F.transform("_found", lambda n: F.struct(distance(lambda c: F.col(f"_p.{c}"), lambda c: n[c]).alias("dsq"), n["hit_id"].alias("nbr_id"), *(n[c].alias(f"n_{c}") for c in carry)))
+    met = F.transform("_found", lambda n: F.struct(distance(lambda c: F.col(f"_p.{c}"), lambda c: n[c]).cast("double").alias("dsq"), n["hit_id"].alias("nbr_id"), *(n[c].alias(f"n_{c}") for c in carry)))
     return _slots(event, F.filter(met, lambda n: n["dsq"].isNotNull() if radius is None else n["dsq"] <= radius * radius), k, own, None, carry)
 
 
@@ -118,7 +118,7 @@ def _through_cells(rows: DataFrame, k: int, coords: Sequence[str], distance: Dis
     def met(probes: DataFrame) -> DataFrame:
         """Probes with the nodes of the cells that they name."""
         named = probes.select("*", *(F.col(c).alias(f"{SELF}_{c}") for c in [*coords, *extra]))
-        return named.join(grid, cell_key).withColumn("dsq", distance(columns(SELF), columns(NEAR))).where("dsq is not null")
+        return named.join(grid, cell_key).withColumn("dsq", distance(columns(SELF), columns(NEAR)).cast("double")).where("dsq is not null")
 
     own_cell = met(levels.select(*boxed, "level", *(cell(c, "level") for c in binned)))
     near = _first(own_cell.select(*boxed, "level", "dsq", "ids"), probe, need)
@@ -138,7 +138,7 @@ def _through_cells(rows: DataFrame, k: int, coords: Sequence[str], distance: Dis
         reaching = reaching.withColumn(f"c_{c}", F.explode(F.sequence(F.least(lo, (last - 1).cast("long")), hi)))
     best = _first(met(reaching).where("dsq <= far").select(*probe, "dsq", "ids"), probe, need)
     best = best.groupBy(*probe).agg(F.collect_list(F.struct("dsq", "nbr_id")).alias("_near"))
-    none = F.array().cast("array<struct<dsq:double,nbr_id:bigint>>")
+    none = F.array().cast(f"array<struct<dsq:double,nbr_id:{rows.schema['hit_id'].dataType.simpleString()}>>")
     out = _slots(rows.where("_asks").join(best, probe, "left"), F.coalesce("_near", none), k, own, radius, ())
     if not carry:
         return out

@@ -55,3 +55,14 @@ def test_crowded_cell(spark):
     d[np.arange(n), np.arange(n)] = -1
     want = np.argsort(d, axis=1, kind="stable")[:, :k]
     assert (got == want).all()
+
+
+def test_whole_numbers(spark, monkeypatch):
+    """Ids and coordinates may be integers of any width; both ways give the same types and rows."""
+    rows = [(1, i, i % 7, i * i % 11) for i in range(40)]
+    hits = spark.createDataFrame(rows, "event_id int, hit_id int, x int, y int")
+    want = knn.knn(hits, 4, ("x", "y"), carry=("x",))
+    rows = shown(want)
+    monkeypatch.setattr(knn, "SMALL", 10)
+    got = knn.knn(hits, 4, ("x", "y"), carry=("x",))
+    assert shown(got) == rows and dict(got.dtypes) == dict(want.dtypes)
