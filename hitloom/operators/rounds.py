@@ -78,7 +78,7 @@ def parts(links: DataFrame) -> DataFrame:
             return labels.drop("old")
 
 
-def _cells(rows: DataFrame, coords: Sequence[str], level: str) -> list[Column]:
+def _cells(coords: Sequence[str], level: str) -> list[Column]:
     return [F.floor(F.col(c) / F.pow(F.lit(2.0), F.col(level) + 1)).alias(f"c_{c}") for c in coords]
 
 
@@ -103,11 +103,11 @@ def condensation_points(candidates: DataFrame, coords: Sequence[str]) -> DataFra
     open_ = stored(candidates)
     found: list[DataFrame] = []
     while not open_.isEmpty():
-        own = open_.select("*", *_cells(open_, coords, "level"))
+        own = open_.select("*", *_cells(coords, "level"))
         best = own.groupBy(*key).agg(F.max_by(F.struct(*KEY[1:], "score", "radius", *coords), F.struct("score", -F.col("hit_id"))).alias("best")).select(*key, "best.*")
         named = best.select(*key, F.col("hit_id").alias("a_id"), F.col("score").alias("a_score"))
         asked = best.select(*KEY, F.col("hit_id").alias("b_id"), F.col("score").alias("b_score"), *coords, every.alias("level"))
-        asked = _around(asked.select("*", *_cells(asked, coords, "level")), cells)
+        asked = _around(asked.select("*", *_cells(coords, "level")), cells)
         waits = asked.join(named, key).where(earlier("a", "b")).select(*KEY).distinct()
         new = stored(best.select("event_id", "hit_id", "score", "radius", "level", *coords).join(waits, KEY, "left_anti"))
         # A better row that a point covers stays open: it comes before that point.
@@ -140,8 +140,8 @@ def covering(rows: DataFrame, points: DataFrame, coords: Sequence[str], levels:
         at = at.join(points.select("event_id", "level").distinct(), "event_id")
     else:
         at = at.withColumn("level", F.explode(F.array(*(F.lit(x) for x in levels)) if levels else F.array().cast("array<int>")))
-    at = at.select(*KEY, "own_score", "level", *_cells(at, coords, "level"), *(F.col(c).alias(f"b_{c}") for c in coords))
-    reach = points.select("event_id", "level", *_cells(points, coords, "level"), F.col("hit_id").alias("point"), "score", "radius", *(F.col(c).alias(f"a_{c}") for c in coords))
+    at = at.select(*KEY, "own_score", "level", *_cells(coords, "level"), *(F.col(c).alias(f"b_{c}") for c in coords))
+    reach = points.select("event_id", "level", *_cells(coords, "level"), F.col("hit_id").alias("point"), "score", "radius", *(F.col(c).alias(f"a_{c}") for c in coords))
     parts = [(F.col(f"a_{c}") - F.col(f"b_{c}")) * (F.col(f"a_{c}") - F.col(f"b_{c}")) for c in coords]
     pairs = at.join(_around(reach, cells), key).withColumn("dsq", sum(parts[1:], parts[0]))
     return pairs.where(F.col("dsq") <= F.col("radius") * F.col("radius")).select(*KEY, "own_score", "point", "dsq", "score", "radius")

@@ -11,7 +11,7 @@ from hitloom.operators import knn as kn
 from hitloom.operators import quantiles as qu
 from hitloom.operators import select as sel
 from hitloom.plans.graphs import DOWN, NB, UP, transition
-from hitloom.plans.metrics import ALPHA, D2_SQL, EDGES, Q, all_bins, bin_of, cases, charged, d2, grid_sql
+from hitloom.plans.metrics import EDGES, Q, all_bins, bin_of, cases, charged, grid_sql
 from hitloom.plans.objects import IOU, PAGE, predicted
 from hitloom.operators import matching as ma
 from hitloom.plans.registry import K, on_edges, on_hits, query, r
