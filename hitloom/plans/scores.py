@@ -288,9 +288,9 @@ def push_up_truth(t: Tables) -> DataFrame:
     return d.groupBy("event_id", "up_id").agg(r(F.sum(F.col("weight") * c.energy) + F.max("e"), 5).alias("pushed"), F.max_by("t_idx", F.col("weight") * 1000000 - F.col("hit_id") / 1000.0).alias("truth"))
 
 
-@query(on_hits("SELECT event_id, hit_id, round(coalesce(w/m, 0), 6) AS relative, round(greatest(w/m-0.3, 0.0)/nullif(sum(greatest(w/m-0.3, 0.0)) OVER (PARTITION BY event_id, t_idx), 0), 6) AS cut FROM (SELECT *, max(w) OVER (PARTITION BY event_id, t_idx) AS m FROM (SELECT *, pow(atanh(beta/1.01), 2) AS w FROM hits WHERE t_idx >= 0))"))
+@query(on_hits("SELECT event_id, hit_id, round(coalesce(w/nullif(m, 0), 0), 6) AS relative, round(greatest(w/nullif(m, 0)-0.3, 0.0)/nullif(sum(greatest(w/nullif(m, 0)-0.3, 0.0)) OVER (PARTITION BY event_id, t_idx), 0), 6) AS cut FROM (SELECT *, max(w) OVER (PARTITION BY event_id, t_idx) AS m FROM (SELECT *, pow(atanh(beta/1.01), 2) AS w FROM hits WHERE t_idx >= 0))"))
 def payload_weights_cut(t: Tables) -> DataFrame:
-    """Weights by their object's greatest, less a threshold, normalised again."""
+    """Weights by their object's greatest, less a threshold, normalised again; objects without any weight have 0 and no cut."""
     w = Window.partitionBy("event_id", "t_idx")
     a = F.atanh(c.beta / 1.01)
     rows = t.hits().where("t_idx >= 0").withColumn("w", a * a).withColumn("rel", F.try_divide("w", F.max("w").over(w)))

@@ -33,3 +33,9 @@ def test_overlap_on_the_border_of_two_bins(both):
     # 0.1 / (0.2 + 0.4 - 0.1) is one fifth, and 0.19999999999999996 in doubles.
     got, want = both("overlap_histogram", [(1, 1, 1.0, 100.0), (1, 1, 20.0, 100.0), (1, 2, 1.0, 300.0)])
     assert got == want == [(2, 1, 2.0), (5, 1, 5.0), (7, 1, 7.5)]
+
+
+def test_object_without_any_weight(both):
+    # Prices of whole thousands have beta 0: no weight to divide by.
+    got, want = both("payload_weights_cut", [(1, 1, 1.0, 3000.0), (2, 1, 1.0, 500.0), (2, 1, 1.0, 4000.0)])
+    assert got == want == [(1, 1, 0.0, None), (2, 1, 1.0, 1.0), (2, 2, 0.0, 0.0)]
