@@ -26,9 +26,16 @@ def _normal(seed: int, name: str, *keys: str) -> Column:
 
 
 def events(of: DataFrame, seed: int = 0) -> DataFrame:
-    """An event for each row of of(event_id): event_id, hit_id, t_idx (-1: noise), energy, x, y, z. Nothing is shuffled."""
+    """An event for each row of of(event_id): event_id, hit_id, t_idx (-1: noise), energy, x, y, z.
+
+    Blobs are dealt to tasks before their rows are made: a row of a small table stands for thousands, and its few files
+    would be as many tasks. A number is named, as adaptive execution goes by the few bytes of the blobs.
+    """
+    spark = of.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     blob = of.select("event_id")
     blob = blob.withColumn("t_idx", F.explode(F.sequence(F.lit(-1), _between(_uniform(seed, "blobs", "event_id"), *BLOBS) - 1)))
+    blob = blob.repartition(parts, "event_id", "t_idx")
     size = F.when(F.col("t_idx") < 0, F.lit(NOISE)).otherwise(_between(_uniform(seed, "rows", "event_id", "t_idx"), *ROWS))
     centre = {d: 20 * _uniform(seed, f"centre {d}", "event_id", "t_idx") - 10 for d in "xyz"}
     rows = blob.withColumns({f"_{d}": v for d, v in centre.items()}).withColumn("_k", F.explode(F.sequence(F.lit(1), size)))

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from hitloom import catalog
+from hitloom.sources import blobs
 
 LINES = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate date"
 
@@ -39,3 +40,8 @@ def test_object_without_any_weight(both):
     # Prices of whole thousands have beta 0: no weight to divide by.
     got, want = both("payload_weights_cut", [(1, 1, 1.0, 3000.0), (2, 1, 1.0, 500.0), (2, 1, 1.0, 4000.0)])
     assert got == want == [(1, 1, 0.0, None), (2, 1, 1.0, 1.0), (2, 2, 0.0, 0.0)]
+
+
+def test_generated_rows_are_dealt_to_many_tasks(spark):
+    of = spark.range(40).coalesce(1).withColumnRenamed("id", "event_id")
+    assert blobs.events(of).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
