@@ -23,3 +23,13 @@ def test_whole_numbers_ties_and_equal_ids(spark):
         near = sorted((float((x - a) ** 2 + (y - b) ** 2), j) for f, j, a, b in rows if f == e and j != i)
         want += [(e, i, x, y, slot, j, d) for slot, (d, j) in enumerate(near[:4])]
     assert got == sorted(want)
+
+
+def test_single_ring_in_arrays_equals_the_join(spark, monkeypatch):
+    hits = spark.range(300).select((F.col("id") % 4).alias("event_id"), F.col("id").alias("hit_id"), *((F.floor(F.rand(i) * 60) / 2 - 9).alias(c) for i, c in enumerate("xyz"))).localCheckpoint()
+    plan = knn.mismatches(knn.knn(hits, 5), knn.knn_single_ring(hits, 5, 4.0), 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hash") <= 4 and "c_x" not in plan
+    shown = lambda df: sorted(map(tuple, df.select("event_id", "hit_id", "slot", "nbr_id", "dsq").collect()))
+    got = shown(knn.knn_single_ring(hits, 5, 4.0))
+    monkeypatch.setattr(knn, "SMALL", 10)
+    assert got == shown(knn.knn_single_ring(hits, 5, 4.0))
