@@ -33,3 +33,18 @@ def test_single_ring_in_arrays_equals_the_join(spark, monkeypatch):
     got = shown(knn.knn_single_ring(hits, 5, 4.0))
     monkeypatch.setattr(knn, "SMALL", 10)
     assert got == shown(knn.knn_single_ring(hits, 5, 4.0))
+
+
+def test_covariance_shuffles_no_edges(spark):
+    from hitloom.operators import edges as ed
+
+    hits = spark.range(60).select((F.col("id") % 2).alias("event_id"), F.col("id").alias("hit_id"), F.rand(5).alias("energy"), *((1e5 + F.rand(i)).alias(c) for i, c in enumerate("xyz"))).localCheckpoint()
+    near = knn.knn(hits, 5, carry=("energy", "x", "y"))
+    got = ed.covariance(near, hits, "energy", ("x", "y"))
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = near.toPandas().groupby("hit_id")
+    for r in got.collect():
+        e = rows.get_group(r.hit_id)
+        total = e.n_energy.sum() + 1e-4
+        mx, my = (e.n_energy * e.n_x).sum() / total, (e.n_energy * e.n_y).sum() / total
+        assert abs(r.cov_yx - (e.n_energy * (e.n_x - mx) * (e.n_y - my)).sum() / total) < 1e-4
