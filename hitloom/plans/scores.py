@@ -58,7 +58,7 @@ MEANS = f"mu AS (SELECT e.event_id, e.hit_id, sum(w*b.x)/(sum(w)+1e-3) AS mx, su
 def composed_covariance(t: Tables) -> DataFrame:
     """All entries of the neighbours' covariance, each neighbour about its own mean."""
     hits = t.hits().withColumn("s", 1 / (1 + F.exp(-(c.energy / 50))) + 1e-3)
-    cov = ed.composed_covariance(edges(t), hits, "s", ("x", "y"), F.exp(-F.col("dsq") / 50))
+    cov = ed.composed_covariance(kn.knn(hits, K, carry=("s", "x", "y")), hits, "s", ("x", "y"), F.exp(-F.col("dsq") / 50))
     return cov.select(*KEY, *(r(p, 4).alias(p) for p in ("xx", "xy", "yx", "yy")))
 
 
