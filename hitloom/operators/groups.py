@@ -5,32 +5,29 @@ Events of bounded size come together in a task; larger ones go through rounds of
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hitloom.operators.events import large_events, per_event
+from hitloom.operators.events import large_events
 from hitloom.operators.rounds import first_in_order
 
 #: Rows of an event up to which one task groups it.
 LARGE = 100_000
 KEY = ["event_id", "hit_id"]
 GROUPED = "event_id long, hit_id long, centre_id long, place long, slot long"
-#: Neighbours of each row (as places in the order of descending score, the row itself first), and which rows may take
-#: others, to the chosen centres in order, each with all that it takes (itself first).
-Rule = Callable[[list[np.ndarray], np.ndarray], list[np.ndarray]]
 
 
-def _grouped(edges: DataFrame, hits: DataFrame, score: str, least: float | None, rule: Rule, two: bool) -> DataFrame:
-    """The rule on events in tasks, and its rounds on those of more than LARGE rows; looking for them is one job on event_id."""
+def _grouped(edges: DataFrame, hits: DataFrame, score: str, least: float | None, two: bool) -> DataFrame:
+    """Events in tasks, and by rounds those of more than LARGE rows; looking for them is one job on event_id."""
     large = large_events(hits, LARGE)
     if large is None:
-        return _in_tasks(edges, hits, score, least, rule)
+        return _in_tasks(edges, hits, score, least, two)
     small, rest = ([df.join(large, "event_id", how) for df in (edges, hits)] for how in ("left_anti", "left_semi"))
-    return _in_tasks(*small, score, least, rule).unionByName(_in_rounds(*rest, score, least, two))
+    return _in_tasks(*small, score, least, two).unionByName(_in_rounds(*rest, score, least, two))
 
 
 def _in_rounds(edges: DataFrame, hits: DataFrame, score: str, least: float | None, two: bool) -> DataFrame:
@@ -77,56 +74,84 @@ def _pass(rows: DataFrame, covers: DataFrame, takes: DataFrame) -> tuple[DataFra
     return centres, taken
 
 
-def _in_tasks(edges: DataFrame, hits: DataFrame, score: str, least: float | None, rule: Rule) -> DataFrame:
-    """centre_id, place (the centre's number in its event) and slot (place among what the centre takes, 0: itself) of each row."""
-    near = edges.where("nbr_id <> hit_id").groupBy("event_id", "hit_id").agg(F.sort_array(F.collect_list(F.struct("slot", "nbr_id"))).alias("n"))
-    rows = hits.select("event_id", "hit_id", (-F.col(score)).alias("_s")).join(near, ["event_id", "hit_id"], "left")
-    rows = rows.select("event_id", "hit_id", "_s", F.coalesce("n.nbr_id", F.array().cast("array<long>")).alias("nbrs"))
+def _in_tasks(edges: DataFrame, hits: DataFrame, score: str, least: float | None, two: bool) -> DataFrame:
+    """centre_id, place (the centre's number in its event) and slot (place among what the centre takes, 0: itself) of each row.
 
-    def one(event: pa.Table) -> pa.Table:
-        ids, scores = event["hit_id"].to_numpy(), -event["_s"].to_numpy()
-        lists = event["nbrs"].combine_chunks()
-        by_id = np.argsort(ids)
-        places = by_id[np.searchsorted(ids, lists.flatten().to_numpy(), sorter=by_id)]
-        ends = np.cumsum(lists.value_lengths().to_numpy())
-        own = [np.concatenate([[i], x]) for i, x in enumerate(np.split(places, ends[:-1]))]
-        centre, place, slot = (np.full(len(ids), -1) for _ in range(3))
-        for k, taken in enumerate(rule(own, np.ones(len(ids), bool) if least is None else scores >= least)):
-            centre[taken], place[taken], slot[taken] = taken[0], k, np.arange(len(taken))
-        return pa.table({"event_id": event["event_id"], "hit_id": ids, "centre_id": ids[centre], "place": place, "slot": slot})
-
-    return per_event(rows, one, GROUPED, "_s", "hit_id")
+    Edges and rows of an event are one row each where event_id put them, so that nothing is shuffled for the join and each edge
+    is a few numbers in an array. All events of a batch go on together, by the rank of the row whose turn it is.
+    """
+    near = edges.where("nbr_id <> hit_id").groupBy("event_id").agg(F.collect_list(F.struct(*(F.col(name).cast("long").alias(name) for name in ("hit_id", "slot", "nbr_id")))).alias("n"))
+    rows = hits.where("event_id is not null").groupBy("event_id").agg(F.collect_list(F.struct(F.col(score).cast("double").alias("s"), F.col("hit_id").cast("long").alias("hit_id"))).alias("r"))
+    none = F.array().cast("array<long>")
+    linked = [F.coalesce(f"n.{name}", none).alias(to) for name, to in (("hit_id", "of"), ("slot", "slot"), ("nbr_id", "nbr_id"))]
+    events = rows.join(near, "event_id", "left").select(F.col("event_id").cast("long").alias("event_id"), "r.hit_id", "r.s", *linked)
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield _of_events(batch, least, two)
+
+    return events.mapInArrow(go, GROUPED)
+
+
+def _of_events(batch: pa.RecordBatch, least: float | None, two: bool) -> pa.RecordBatch:
+    """The grouping of all events of a batch. Rows are known by their places in it; those of an event stand together, in order of descending score."""
+    lengths, links = batch["hit_id"].value_lengths().to_numpy(), batch["of"].value_lengths().to_numpy()
+    event, from_event = np.repeat(np.arange(len(lengths)), lengths), np.repeat(np.arange(len(links)), links)
+    ids, scores = batch["hit_id"].flatten().to_numpy(), batch["s"].flatten()
+    missing, scores = scores.is_null().to_numpy(zero_copy_only=False), scores.to_numpy(zero_copy_only=False)
+    ranked = np.lexsort((ids, -scores, ~missing, event))  # no score comes first, NaN last
+    ids, scores = ids[ranked], scores[ranked]
+    start, total = np.cumsum(lengths) - lengths, len(ids)
+    by_id = np.lexsort((ids, event))
+
+    def places(name: str) -> np.ndarray:
+        """Rows by (event, id): ids become numbers that ascend, so that one search finds an event's row."""
+        known, code = np.unique(ids, return_inverse=True)
+        wanted = batch[name].flatten().to_numpy()
+        at = np.searchsorted(known, wanted)
+        return by_id[np.searchsorted(event[by_id] * len(known) + code[by_id], from_event * len(known) + at)]
+
+    # Each row's neighbours, itself first; places that are left over point past all rows, where nothing is free.
+    of, other = places("of"), places("nbr_id")
+    number = np.bincount(of, minlength=total)
+    order = np.lexsort((other, batch["slot"].flatten().to_numpy(), of))
+    slot_of = np.arange(len(of)) - np.repeat(np.cumsum(number) - number, number)
+    near = np.full((total + 1, 1 + (number.max() if len(of) else 0)), total)
+    near[:, 0] = np.arange(total + 1)
+    near[of[order], 1 + slot_of] = other[order]
+    may = np.ones(total, bool) if least is None else scores >= least
+
+    free, touched = np.ones(total + 1, bool), np.zeros(total + 1, bool)
+    free[total] = False
+    centre, place, slot = (np.full(total + 1, -1) for _ in range(3))
+    centres = np.zeros(len(lengths), int)
+    by_length = np.argsort(-lengths, kind="stable")
+    longest_first = -lengths[by_length]
+    for wait in (True, False) if two else (False,):
+        for rank in range(int(lengths.max())):
+            own = by_length[: np.searchsorted(longest_first, -rank)]
+            at = start[own] + rank
+            turn = free[at] & ~touched[at] if wait else free[at]
+            own, at = own[turn], at[turn]
+            met = near[at]
+            taken = free[met]
+            taken[:, 1:] &= may[at][:, None]
+            row, column = np.nonzero(taken)
+            got = met[row, column]
+            free[got] = False
+            centre[got], place[got], slot[got] = at[row], centres[own][row], (taken.cumsum(1) - 1)[row, column]
+            centres[own] += 1
+            if wait:
+                touched[near[got].ravel()] = True
+    return pa.RecordBatch.from_pydict({"event_id": batch["event_id"].take(pa.array(event)), "hit_id": ids, "centre_id": ids[centre[:total]], "place": place[:total], "slot": slot[:total]})
 
 
 def local_cluster(edges: DataFrame, hits: DataFrame, score: str, least: float | None = None) -> DataFrame:
     """Rows in descending score: a free row becomes a centre and takes its free neighbours; below least it takes itself only."""
-
-    def rule(near: list[np.ndarray], may: np.ndarray) -> list[np.ndarray]:
-        free = np.ones(len(near), bool)
-        out = []
-        for i, x in enumerate(near):
-            if free[i]:
-                taken = x[free[x]] if may[i] else x[:1]
-                free[taken] = False
-                out.append(taken)
-        return out
-
-    return _grouped(edges, hits, score, least, rule, False)
+    return _grouped(edges, hits, score, least, False)
 
 
 def local_group(edges: DataFrame, hits: DataFrame, score: str, least: float | None = None) -> DataFrame:
     """As local_cluster, in two passes: the first one leaves rows alone that are neighbours of what was taken before."""
-
-    def rule(near: list[np.ndarray], may: np.ndarray) -> list[np.ndarray]:
-        free, touched = np.ones(len(near), bool), np.zeros(len(near), bool)
-        out = []
-        for waits in (touched, np.zeros(len(near), bool)):
-            for i, x in enumerate(near):
-                if free[i] and not waits[i]:
-                    taken = x[free[x]] if may[i] else x[:1]
-                    free[taken] = False
-                    touched[np.concatenate([near[j] for j in taken])] = True
-                    out.append(taken)
-        return out
-
-    return _grouped(edges, hits, score, least, rule, True)
+    return _grouped(edges, hits, score, least, True)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from hitloom.operators import edges as ed
-from hitloom.operators import knn
+from hitloom.operators import groups, knn
 
 
 def plan(df) -> str:
@@ -37,3 +37,18 @@ def test_composed_covariance_makes_edges_once(spark):
     want = j.groupby(["event_id", "hit_id"])[["xy", "n_beta"]].sum()
     want = (want.xy / (want.n_beta + 1e-3)).to_dict()
     assert {(r.event_id, r.hit_id): round(r.xy, 9) for r in got.collect()} == {k: round(v, 9) for k, v in want.items()}
+
+
+def test_groups_shuffle_by_event_only(spark):
+    """Rows and edges meet by event; a row without a place, without a score, or with a score that is no number is there too."""
+    odd = [(3, 90, None, 0.0, 0.0, 0.9), (3, 91, 1.0, 1.0, 1.0, None), (3, 92, 2.0, 1.0, 1.0, float("nan")), (9, 1, None, 0.0, 0.0, 0.1)]
+    hits = table(spark)
+    hits = hits.unionByName(spark.createDataFrame(odd, hits.schema))
+    edges = knn.knn(hits, 5)
+    for run in (groups.local_cluster, groups.local_group):
+        got = run(edges, hits, "beta", 0.4)
+        assert "hit_id" not in "".join(re.findall(r"hashpartitioning\(([^)]*)\)", plan(got)))
+        rows = got.collect()
+        assert len(rows) == hits.count() and all(r.slot == 0 for r in rows if r.hit_id == r.centre_id)
+        first = next(r for r in rows if (r.event_id, r.hit_id) == (3, 91))
+        assert (first.centre_id, first.place) == (91, 0)  # no score comes first
