@@ -13,6 +13,7 @@ from hitloom.operators import select as sel
 from hitloom.plans.graphs import NB, edges
 from hitloom.plans.objects import predicted
 from hitloom.plans.registry import K, on_edges, on_hits, query, r
+from hitloom.session import stored
 from hitloom.sources.tables import DSQ, Tables, edges_sql
 
 KEY, OBJECT = ["event_id", "hit_id"], ["event_id", "t_idx"]
@@ -125,11 +126,12 @@ def neighbour_contamination(t: Tables) -> DataFrame:
     return row.groupBy("event_id").agg(F.count("*").alias("n"), r(F.avg(-(p * F.log(s) + (1 - p) * F.log(1 - s))), 5).alias("loss"), r(1 - F.avg(p)).alias("contamination"))
 
 
-def _nodes(rows: DataFrame, label: str, shift: int, kind: str) -> DataFrame:
-    """Objects at the place of their best row, with their energy on one side."""
-    o = rows.where(F.col(label) >= 0).groupBy("event_id", label).agg(F.max_by(F.struct("x", "y", "z"), F.struct("beta", -F.col("hit_id"))).alias("p"), F.sum("energy").alias("e"))
-    mine, zero = F.col("e"), F.lit(0.0)
-    return o.select("event_id", (F.col(label) + shift).cast("long").alias("hit_id"), "p.*", (mine if kind == "rec" else zero).alias("rec"), (mine if kind == "true" else zero).alias("true"))
+def _nodes(rows: DataFrame, labels: dict[str, tuple[str, int]]) -> DataFrame:
+    """Objects of every kind at the place of their best row, with their energy on its side. labels: of each kind, the column and what its numbers are moved by."""
+    of = [F.struct(F.lit(kind).alias("kind"), F.col(label).cast("long").alias("label"), (F.col(label) + shift).cast("long").alias("id")) for kind, (label, shift) in labels.items()]
+    each = rows.select("event_id", "hit_id", "x", "y", "z", "beta", "energy", F.explode(F.array(*of)).alias("o")).where("o.label >= 0")
+    o = each.groupBy("event_id", F.col("o.kind").alias("kind"), F.col("o.id").alias("id")).agg(F.max_by(F.struct("x", "y", "z"), F.struct("beta", -F.col("hit_id"))).alias("p"), F.sum("energy").alias("e"))
+    return o.select("event_id", F.col("id").alias("hit_id"), "p.*", *(F.when(F.col("kind") == kind, F.col("e")).otherwise(0.0).alias(kind) for kind in labels))
 
 
 UNION = """nodes AS (SELECT event_id, t_idx::BIGINT AS hit_id, arg_max(x, (beta, -hit_id)) AS x, arg_max(y, (beta, -hit_id)) AS y, arg_max(z, (beta, -hit_id)) AS z, 0.0::DOUBLE AS rec, sum(energy) AS tru FROM hits WHERE t_idx >= 0 GROUP BY event_id, t_idx
@@ -140,11 +142,17 @@ UNION = """nodes AS (SELECT event_id, t_idx::BIGINT AS hit_id, arg_max(x, (beta,
   FROM edges e JOIN nodes b ON b.event_id = e.event_id AND b.hit_id = e.nbr_id, (SELECT avg(far) AS scale FROM (SELECT max(dsq) AS far FROM edges GROUP BY event_id, hit_id)) GROUP BY 1, 2)""", UNION, edges_sql(3).replace("FROM hits a JOIN hits b", "FROM nodes a JOIN nodes b")))
 def local_energy_conservation(t: Tables) -> DataFrame:
     """Predicted against true energy around every object of either kind: neighbours in the union of both, distances by the mean of farthest ones."""
-    nodes = _nodes(t.hits(), "t_idx", 0, "true").unionByName(_nodes(predicted(t), "pred", 1000, "rec"))
-    near = kn.knn(nodes, 3, carry=("rec", "true"))
-    scale = near.groupBy(*KEY).agg(F.max("dsq").alias("far")).agg(F.avg("far").alias("scale"))
-    w = F.exp(-3 * F.col("dsq") / F.col("scale"))
-    around = near.crossJoin(F.broadcast(scale)).groupBy(*KEY).agg(F.max("scale").alias("scale"), F.sum(w * F.col("n_rec")).alias("rec"), F.sum(w * F.col("n_true")).alias("true"))  # one row is broadcast
+    # Written, as the search for large events reads them first, and would else have the rows numbered and shuffled twice.
+    nodes = stored(_nodes(predicted(t), {"true": ("t_idx", 0), "rec": ("pred", 1000)}))
+    # Written too: the scale needs all edges before the first one can be weighed.
+    near = stored(kn.knn(nodes, 3, carry=("rec", "true")).groupBy(*KEY).agg(F.max("dsq").alias("far"), F.collect_list(F.struct("dsq", "n_rec", "n_true")).alias("near")))
+    scale = near.agg(F.avg("far").alias("scale"))
+
+    def total(name: str) -> Column:
+        terms = F.filter(F.transform("near", lambda n: F.exp(-3 * n["dsq"] / F.col("scale")) * n[name]), lambda v: v.isNotNull())
+        return F.when(F.size(terms) > 0, F.aggregate(terms, F.lit(0.0), lambda a, b: a + b))
+
+    around = near.crossJoin(F.broadcast(scale)).select("scale", total("n_rec").alias("rec"), total("n_true").alias("true"))  # one row is broadcast
     relative = (F.col("rec") - F.col("true")) / (F.col("true") + 1e-2)
     return around.agg(F.count("*").alias("n"), r(F.max("scale"), 5).alias("scale"), r(F.abs(F.avg(relative)), 4).alias("loss"))
 

@@ -8,9 +8,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from hitloom import catalog
 from hitloom.operators import edges as ed
 from hitloom.operators import groups, knn
 
+SMALL_DIR = "/root/testdata/sf0.001"
+
 
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
@@ -52,3 +55,9 @@ def test_groups_shuffle_by_event_only(spark):
         assert len(rows) == hits.count() and all(r.slot == 0 for r in rows if r.hit_id == r.centre_id)
         first = next(r for r in rows if (r.event_id, r.hit_id) == (3, 91))
         assert (first.centre_id, first.place) == (91, 0)  # no score comes first
+
+
+def test_energy_conservation_keeps_its_edges(spark):
+    """The scale and the sums read one table of edges."""
+    got = catalog.queries()["local_energy_conservation"](spark, SMALL_DIR)
+    assert "ArrowEvalPython" not in plan(got)
