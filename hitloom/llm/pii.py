@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hitloom.llm.shared import numbered, written
+from hitloom.llm.shared import dropped, numbered, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Found by contexts only: no fixed form of it is reported, its seeds are assigned strings of many hex digits.
@@ -210,14 +210,14 @@ def discovered(scanned: DataFrame, seeding: Callable[[Column], Column] | None =
     def placed(spans: Column) -> DataFrame:
         return scanned.select("rid", F.explode(spans).alias("x")).select("rid", "x.s", "x.e", F.col("x.value").alias("value"), F.explode(_patterns(F.col("x"))).alias("pattern"))
 
-    seeds = None
-    for kind in ALL:
+    def of_kind(kind: str) -> Column:
         # Seeds of secrets are among the candidates, and are reported where a good pattern holds them.
         spans = F.col(f"_{kind}") if kind in KINDS else F.filter("_tokens", lambda x: x["value"].rlike(SECRET_SEED) & x["left"][0].rlike(LABEL))
-        rows = placed(spans).select(F.lit(kind).alias("kind"), "value", "pattern")
-        rows = rows if seeding is None else rows.where(seeding(F.col("value")))
-        seeds = rows if seeds is None else seeds.unionByName(rows)
-    seeds = written(seeds.distinct())
+        return F.transform(spans, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("x")))
+
+    # All kinds in one array: the table is read once for them, and the plan holds it once.
+    seeds = scanned.select(F.explode(F.concat(*map(of_kind, ALL))).alias("_s")).select("_s.kind", F.col("_s.x.value").alias("value"), F.explode(_patterns(F.col("_s.x"))).alias("pattern"))
+    seeds = written((seeds if seeding is None else seeds.where(seeding(F.col("value")))).distinct())
     places = placed(F.col("_tokens"))
     seen = seeds.select("pattern", "value").distinct()
     held = written(places.select("pattern", "value").distinct())
@@ -226,15 +226,17 @@ def discovered(scanned: DataFrame, seeding: Callable[[Column], Column] | None =
     for _ in range(ROUNDS):
         # What the round before found is a witness of its patterns, as a seed is.
         good = written(trusted.groupBy("pattern").agg(F.count_distinct("value").alias("n")).where(F.col("n") >= SUPPORT).select("pattern"))
-        edges = held.unionByName(seen).distinct().join(good, "pattern")
+        # Written, as is what patterns are rated: else each of the joins below brings the plans of both along, and the driver's memory follows them.
+        edges = written(held.unionByName(seen).distinct().join(good, "pattern"))
         total = edges.groupBy("pattern").agg(F.count_distinct("value").alias("all"))
         patterns = edges.join(scores, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("score"))
         # What speaks for other kinds counts in full against a kind, what is unknown counts less.
         known = patterns.join(total, "pattern").withColumn("known", F.sum("score").over(Window.partitionBy("pattern")))
         weight = F.col("known") + UNKNOWN * F.greatest(F.col("all") - F.col("known"), F.lit(0.0)) + 0.5
-        rated = known.select("pattern", "kind", (F.col("score") / weight).alias("rate")).where(F.col("rate") >= GOOD_PATTERN)
+        rated = written(known.select("pattern", "kind", (F.col("score") / weight).alias("rate")).where(F.col("rate") >= GOOD_PATTERN))
         told = edges.join(sure.where(F.col("kind") != SECRET).select("value").distinct(), "value", "left_anti").join(rated, "pattern").groupBy("value", "kind")
         likely = written(told.agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("rate"), F.lit(0.999)))))).alias("score")))
+        dropped(good, edges)
         if not likely.limit(1).count():
             return None
         scores = sure.unionByName(likely.join(sure, ["value", "kind"], "left_anti").select("value", "kind", "score"))

@@ -254,3 +254,15 @@ def test_hidden_secrets_are_found_by_contexts(spark):
     assert len(hidden) > 30
     assert len(hidden & set(got)) >= 0.9 * len(hidden)
     assert sum(len(v) >= 32 and all(c in "0123456789abcdefABCDEF" for c in v) for v in got) >= 0.95 * len(got)
+
+
+def test_plan_of_rounds_is_bounded(spark):
+    """What is found reads the scanned rows, the rated patterns and the best strings, and not what every round read before."""
+    rows = [(i, f"please write to name{i}@host{i}.example today or call") for i in range(8)]
+    docs = spark.createDataFrame([(d, t, "x", "y", 3) for d, t in rows], SCHEMA)
+    found = pii.discovered(pii._scan(docs.select("doc_id", "text"), ["doc_id"]))
+    assert found is None or found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 3
+    hidden = [(100 + i, f"please write to user{i} (at) 9box{i} today or call") for i in range(3)]
+    more = spark.createDataFrame([(d, t.replace(" (at) ", "@"), "x", "y", 3) for d, t in rows + hidden], SCHEMA)
+    found = pii.discovered(pii._scan(more.select("doc_id", "text"), ["doc_id"]))
+    assert found is not None and found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 3
