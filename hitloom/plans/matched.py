@@ -92,11 +92,11 @@ NEAR_ROWS = f"""nr AS (SELECT e.event_id, e.hit_id, slot, dsq/((4+40*a.tax)*(4+4
 
 
 def near_rows(t: Tables) -> DataFrame:
-    """Edges, self included, with squared distances in units of the row's own width."""
-    e = kn.knn(t.hits(), K, carry=("t_idx", "beta", "tax"))
+    """Edges, self included, with squared distances in units of the row's own width; n counts those of the row."""
+    e = kn.exploded(kn.lists(t.hits(), K, carry=("t_idx", "beta", "tax")), "t_idx", "beta", "tax", F.size("near").alias("n"))
     width = 4 + 40 * F.col("tax")
     same = F.when((F.col("t_idx") == F.col("n_t_idx")) & (F.col("n_t_idx") >= 0), 1.0).otherwise(0.0)
-    return e.select(*KEY, "slot", (F.col("dsq") / (width * width + 1e-4)).alias("s"), same.alias("same"), F.col("beta").alias("ab"), F.col("n_beta").alias("bb"), "t_idx")
+    return e.select(*KEY, "slot", (F.col("dsq") / (width * width + 1e-4)).alias("s"), same.alias("same"), F.col("beta").alias("ab"), F.col("n_beta").alias("bb"), "t_idx", "n")
 
 
 @query(on_edges(f"""SELECT event_id, round({SCORE_PART}*avg(CASE WHEN purity > {PURE} THEN -ln(b) ELSE -ln(1-b) END) + {1 - SCORE_PART}*(avg(att+1e-3)+avg(rep+1e-3)), 5) AS loss, round(avg(CASE WHEN purity > {PURE} THEN 1.0 ELSE 0 END), 6) AS pure
@@ -126,11 +126,12 @@ def knn_push_pull_condensation(t: Tables) -> DataFrame:
     same, s, other = F.col("same"), F.col("s"), F.col("slot") > 0
     pull = -same * (F.col("ab") + LEAST_CHARGE) * (F.col("bb") + LEAST_CHARGE) * F.exp(-s / (2 * WELL * WELL))
     push = (1 - same) * charge("ab") * charge("bb") * F.exp(-s / 2)
-    mean = lambda x: F.coalesce(F.try_divide(F.sum(F.when(other, x).otherwise(0.0)), F.count("*") - 1), F.lit(0.0))
-    row = near_rows(t).groupBy(*KEY).agg(F.max("ab").alias("b"), F.max("t_idx").alias("t_idx"), mean(pull).alias("att"), mean(push).alias("rep"))
-    noise = F.col("t_idx") < 0
-    paid = F.sum(F.when(noise, F.col("b")).otherwise(0.0)) / (F.count_if(noise) + 1e-3)
-    return row.groupBy("event_id").agg(r(F.avg(F.col("att") + 1e-3)).alias("attraction"), r(F.avg(F.col("rep") + 1e-3), 5).alias("repulsion"), r(paid).alias("noise"))
+    # Each edge brings its share of its row's mean, and the edge to self its row, so that events are summed at once.
+    rows = F.count_if(~other)
+    mean = lambda x: F.sum(F.when(other, x / (F.col("n") - 1)).otherwise(0.0)) / rows + 1e-3
+    noise = ~other & (F.col("t_idx") < 0)
+    paid = F.sum(F.when(noise, F.col("ab")).otherwise(0.0)) / (F.count_if(noise) + 1e-3)
+    return near_rows(t).groupBy("event_id").agg(r(mean(pull)).alias("attraction"), r(mean(push), 5).alias("repulsion"), r(paid).alias("noise"))
 
 
 SEPARATED = f"least(sqrt({D2_SQL})/(abs(tax)+1e-3), 6)"
