@@ -97,16 +97,17 @@ def classifier_losses(t: Tables) -> DataFrame:
     def weight(energy: Column, spectator: Column) -> Column:
         return (1 - F.least(5 * spectator, F.lit(1.0))) * (1 + F.log(energy + 1) + 1e-2) + 1e-2
 
-    e = edges(t, "t_idx", "tax", "energy").where("slot > 0")
+    carry = ("t_idx", "tax", "energy")
+    e = kn.exploded(kn.lists(t.hits(), K, carry=carry), *carry, (F.size("near") - 1).alias("n")).where("slot > 0")
     p = F.least(F.greatest(F.exp(-F.col("dsq") / 100) * 0.98 + 0.01, F.lit(1e-7)), F.lit(1 - 1e-7))
     same = F.when((F.col("t_idx") == F.col("n_t_idx")) & (F.col("n_t_idx") >= 0), 1.0).otherwise(0.0)
-    rows = e.select(*KEY, p.alias("p"), same.alias("same"), weight(c.energy + F.col("n_energy"), F.col("n_tax")).alias("nw"), weight(c.energy, F.col("tax")).alias("w"))
-    # The loss is linear in the classes' weights, so sums of both classes are enough and edges are read once.
-    part = lambda yes: F.sum(F.when(F.col("same") == yes, (-F.log("p") if yes else -F.log(1 - F.col("p"))) * F.col("nw")).otherwise(0.0))
-    hit = rows.groupBy(*KEY).agg(F.max("w").alias("w"), F.count("*").alias("n"), F.sum("same").alias("k"), part(1).alias("yes"), part(0).alias("no"))
-    ws = 1 - F.sum("k") / F.sum("n")
-    loss = (ws * F.sum(F.col("w") * F.col("yes") / F.col("n")) + (1 - ws) * F.sum(F.col("w") * F.col("no") / F.col("n"))) * 2 / F.sum("w")
-    return hit.groupBy("event_id").agg(r(loss, 5).alias("loss"))
+    edge = e.select(*KEY, p.alias("p"), same.alias("same"), weight(c.energy + F.col("n_energy"), F.col("n_tax")).alias("nw"), weight(c.energy, F.col("tax")).alias("w"), "slot", "n")
+    # The loss is linear in the classes' weights, so sums of both classes are enough and edges are read once. Each edge
+    # brings its share of its row's mean, and the first one the row's weight, so that events are summed at once.
+    part = lambda yes: F.sum(F.when(F.col("same") == yes, F.col("w") * (-F.log("p") if yes else -F.log(1 - F.col("p"))) * F.col("nw") / F.col("n")).otherwise(0.0))
+    ws = 1 - F.avg("same")
+    loss = (ws * part(1) + (1 - ws) * part(0)) * 2 / F.sum(F.when(F.col("slot") == 1, F.col("w")))
+    return edge.groupBy("event_id").agg(r(loss, 5).alias("loss"))
 
 
 SAMPLED = "substr(md5('3-' || a.event_id || '-' || a.hit_id), 1, 1) < '4'"

@@ -51,7 +51,7 @@ def test_lists_of_large_events(spark, monkeypatch):
     assert shown(knn.exploded(knn.lists(hits, 4, carry=("beta",)), "beta")) == plain(hits, 4)
 
 
-@pytest.mark.parametrize("name", ["knn_push_pull_condensation", "directed_graph_filter"])
+@pytest.mark.parametrize("name", ["knn_push_pull_condensation", "directed_graph_filter", "classifier_losses"])
 def test_edges_are_not_shuffled(spark, name):
     plan = catalog.queries()[name](spark, SMALL_DIR)._jdf.queryExecution().executedPlan().toString()
     keys = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
@@ -64,7 +64,7 @@ def test_losses_where_rows_are_alone(spark, tmp_path):
     hits = spark.read.parquet(f"{SMALL_DIR}/lineitem.parquet").orderBy("l_orderkey", "l_linenumber").limit(40).withColumn("l_partkey", F.when(F.col("l_partkey") % 2 == 0, F.lit(2).cast("long")).otherwise(F.col("l_partkey")))
     hits.write.parquet(f"{tmp_path}/lineitem.parquet")
     duckdb = pytest.importorskip("duckdb")
-    for name in ("knn_push_pull_condensation", "directed_graph_filter"):
+    for name in ("knn_push_pull_condensation", "directed_graph_filter", "classifier_losses"):
         con = duckdb.connect()
         con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
         want = con.execute(catalog.oracle_sql()[name])
