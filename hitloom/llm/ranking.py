@@ -93,7 +93,7 @@ def index(docs: DataFrame) -> tuple[DataFrame, int]:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     documents, total = sizes(rows)
-    return written(rows.mapInArrow(giving_back(_indexed(documents, total)), INDEX)), documents
+    return written(rows.mapInArrow(giving_back(_indexed(documents, total)), INDEX), large_rows=True), documents
 
 
 def questions(items: DataFrame, shards: DataFrame, documents: int) -> DataFrame:

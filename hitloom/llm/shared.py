@@ -15,17 +15,20 @@ from hitloom.session import removed, shared_dir
 
 #: Bytes of a batch that Python handles at once.
 SLICE = 1 << 22
+#: Bytes after which a row group of large rows ends. Parquet looks at sizes after 100 rows at first, which writers and readers would hold at once.
+ROW_GROUP = 1 << 24
+LARGE_ROWS = {"parquet.block.size": str(ROW_GROUP), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, large_rows: bool = False) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back.
 
     A lost executor then costs a read of the table and not a rerun of what made it. An empty
-    df comes back empty with the same columns.
+    df comes back empty with the same columns. large_rows: rows of megabytes, whose row groups end at ROW_GROUP.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/hitloom-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**(LARGE_ROWS if large_rows else {})).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.written_path = path
     return table

@@ -7,7 +7,11 @@ import random
 import re
 from collections import Counter
 
+from pathlib import Path
+
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from hitloom.llm import ranking
 
@@ -72,3 +76,13 @@ def test_empty(spark):
     docs, items = spark.createDataFrame([], DOCS), spark.createDataFrame([(1, "a", "")], ITEMS)
     assert found(ranking.search(docs, items)) == []
     assert found(ranking.search(spark.createDataFrame([(1, "a", "")], DOCS), spark.createDataFrame([], ITEMS))) == []
+
+
+def test_row_groups_of_the_index_end_by_bytes(spark):
+    """Neither who writes shards nor who reads them holds a hundred at once."""
+    text = F.expr("concat_ws(' ', transform(sequence(1, 60000), i -> hex(xxhash64(id, i))))")
+    shards, documents = ranking.index(spark.range(0, 40, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text")))
+    files = [pq.ParquetFile(f).metadata for f in Path(shards.written_path.removeprefix("file:")).glob("*.parquet")]
+    groups = [f.row_group(i) for f in files for i in range(f.num_row_groups)]
+    assert documents == 40 and sum(g.num_rows for g in groups) > 10
+    assert max(g.total_byte_size for g in groups) < 1 << 25
