@@ -10,6 +10,7 @@ from hitloom.operators import edges as ed
 from hitloom.operators import knn as kn
 from hitloom.operators import rounds
 from hitloom.operators import select as sel
+from hitloom.operators.events import large_events
 from hitloom.plans.graphs import NB, edges
 from hitloom.plans.objects import predicted
 from hitloom.plans.registry import K, on_edges, on_hits, query, r
@@ -110,6 +111,17 @@ def classifier_losses(t: Tables) -> DataFrame:
     return edge.groupBy("event_id").agg(r(loss, 5).alias("loss"))
 
 
+def _met_by_join(hits: DataFrame, asks: Column) -> DataFrame:
+    """event_id, score and share of the own object of rows of large events that ask: rows and those who ask meet in cells."""
+    hits = hits.withColumn("score", F.col("beta"))
+    asked = hits.where(asks).withColumn("level", rounds.radius_level(F.col("radius")))
+    met = rounds.covering(hits, asked, ("x", "y", "z")).where("dsq < radius * radius").select("event_id", "hit_id", "point", "score")
+    own = hits.select("event_id", F.col("hit_id").alias("point"), F.col("t_idx").alias("mine"))
+    both = met.join(hits.select(*KEY, "t_idx"), KEY).join(own, ["event_id", "point"])
+    same = F.sum(F.when(F.col("t_idx") == F.col("mine"), 1.0).otherwise(0.0))
+    return both.groupBy("event_id", "point").agg(F.max("score").alias("s"), (same / (F.count("*") + 1e-3)).alias("p")).drop("point")
+
+
 SAMPLED = "substr(md5('3-' || a.event_id || '-' || a.hit_id), 1, 1) < '4'"
 
 
@@ -117,12 +129,14 @@ SAMPLED = "substr(md5('3-' || a.event_id || '-' || a.hit_id), 1, 1) < '4'"
   FROM hits a JOIN hits b ON a.event_id = b.event_id AND {DSQ} < (6+8*a.beta)*(6+8*a.beta) WHERE {SAMPLED} GROUP BY 1, 2) GROUP BY 1"""))
 def neighbour_contamination(t: Tables) -> DataFrame:
     """How many of the rows within each row's own distance are of its object, on a seeded sample of rows, and the cross entropy of its score with that."""
-    hits = t.hits().select(*KEY, "x", "y", "z", "beta", "t_idx", F.col("beta").alias("score"), (6 + 8 * c.beta).alias("radius"))
-    asked = hits.where(F.substring(sel.seeded(3, *KEY), 1, 1) < "4").withColumn("level", rounds.radius_level(F.col("radius")))
-    met = rounds.covering(hits, asked, ("x", "y", "z")).where("dsq < radius * radius").select("event_id", "hit_id", "point", "score")
-    own = t.hits().select("event_id", F.col("hit_id").alias("point"), F.col("t_idx").alias("mine"))
-    both = met.join(hits.select(*KEY, "t_idx"), KEY).join(own, ["event_id", "point"])
-    row = both.groupBy("event_id", "point").agg(F.max("score").alias("s"), (F.sum(F.when(F.col("t_idx") == F.col("mine"), 1.0).otherwise(0.0)) / (F.count("*") + 1e-3)).alias("p"))
+    hits = t.hits().select(*KEY, "x", "y", "z", "beta", "t_idx", (6 + 8 * c.beta).alias("radius"))
+    asks = F.substring(sel.seeded(3, *KEY), 1, 1) < "4"
+    large = large_events(hits, kn.SMALL)
+    small = hits if large is None else hits.join(large, "event_id", "left_anti")
+    same = F.size(F.filter("near", lambda n: n["n_t_idx"] == F.col("t_idx")))
+    row = kn.within(small, "radius", probes=asks, carry=("beta", "t_idx")).select("event_id", F.col("beta").alias("s"), (same / (F.size("near") + 1e-3)).alias("p"))
+    if large is not None:
+        row = row.unionByName(_met_by_join(hits.join(large, "event_id", "left_semi"), asks))
     s, p = F.least(F.greatest("s", F.lit(1e-7)), F.lit(1 - 1e-7)), F.col("p")
     return row.groupBy("event_id").agg(F.count("*").alias("n"), r(F.avg(-(p * F.log(s) + (1 - p) * F.log(1 - s))), 5).alias("loss"), r(1 - F.avg(p)).alias("contamination"))
 

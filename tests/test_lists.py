@@ -71,3 +71,33 @@ def test_losses_where_rows_are_alone(spark, tmp_path):
         names = [d[0] for d in want.description]
         got = catalog.queries()[name](spark, str(tmp_path)).select(*names).collect()
         assert sorted(map(tuple, got)) == sorted(want.fetchall()) and len(got) > 1
+
+
+def test_rows_within_own_radius(spark):
+    """A row without a radius finds nothing, one without a place is not found, and what lies just at the radius is not within."""
+    rows = [(e, i, None if i % 11 == 5 else float(i * i % 5), float(i % 3), i / 50, None if i % 7 == 3 else float(i % 4)) for e in range(9) for i in range(1 + 39 * e // 8)]
+    hits = spark.createDataFrame(rows, "event_id long, hit_id long, x double, y double, beta double, radius double")
+    got = knn.within(hits, "radius", ("x", "y"), probes=F.col("hit_id") % 2 == 0, carry=("beta",))
+    want = [(e, i, b, [n[1] for n in sorted(((x - u) ** 2 + (y - v) ** 2, j) for f, j, u, v, _, _ in rows if f == e and u is not None) if n[0] < r * r]) for e, i, x, y, b, r in rows if i % 2 == 0 and x is not None and r]
+    assert sorted((g.event_id, g.hit_id, g.beta, [n.nbr_id for n in g.near]) for g in got.collect()) == sorted(want)
+    assert all(n.n_beta == n.nbr_id / 50 for g in got.collect() for n in g.near)
+
+
+def sql_and_query(spark, folder, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{folder}/lineitem.parquet'")
+    want = con.execute(catalog.oracle_sql()[name])
+    got = catalog.queries()[name](spark, folder).select(*(d[0] for d in want.description)).collect()
+    return sorted(want.fetchall()), sorted(map(tuple, got))
+
+
+def test_contamination_shuffles_rows_by_event_only(spark, monkeypatch):
+    """No row is dealt to cells in small events; large ones give the same."""
+    plan = catalog.queries()["neighbour_contamination"](spark, SMALL_DIR)._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+    assert len(keys) <= 2 and not re.search("hit_id|level|c_x", "".join(keys))
+    for small in (256, 28):
+        monkeypatch.setattr(knn, "SMALL", small)
+        want, got = sql_and_query(spark, SMALL_DIR, "neighbour_contamination")
+        assert got == want and len(got) > 100
