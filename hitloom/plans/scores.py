@@ -10,7 +10,7 @@ from hitloom.operators import edges as ed
 from hitloom.operators import knn as kn
 from hitloom.operators import quantiles as qu
 from hitloom.operators import select as sel
-from hitloom.plans.graphs import DOWN, NB, UP, transition
+from hitloom.plans.graphs import DOWN, NB, UP, down_edges, transition
 from hitloom.plans.metrics import EDGES, Q, all_bins, bin_of, cases, charged, grid_sql
 from hitloom.plans.objects import IOU, PAGE, predicted
 from hitloom.operators import matching as ma
@@ -265,10 +265,8 @@ def lost_object_set(t: Tables) -> DataFrame:
 @query(on_hits("SELECT round(sum(CASE WHEN h.t_idx = a.t_idx THEN h.energy ELSE 0 END)/sum(h.energy), 6) AS purity, round(count(DISTINCT h.event_id*100000 + a.hit_id)*1.0/count(*), 6) AS reduction FROM hits h JOIN down d ON d.event_id = h.event_id AND d.hit_id = h.hit_id AND d.rn = 1 JOIN hits a ON a.event_id = d.event_id AND a.hit_id = d.up_id", UP, DOWN))
 def condensation_purity(t: Tables) -> DataFrame:
     """Share of energy whose up node has the same truth, and how many up nodes the rows come down to."""
-    near = Window.partitionBy(*KEY).orderBy("dsq", "up_id")
-    d = transition(t.hits())[1].withColumn("rn", F.row_number().over(near)).where("rn = 1").select(*KEY, "up_id")
-    top = t.hits().select("event_id", F.col("hit_id").alias("up_id"), F.col("t_idx").alias("up_truth"))
-    rows = t.hits().join(d, KEY).join(top, ["event_id", "up_id"])
+    nearest = F.col("near")[0]
+    rows = transition(t.hits(), carry=("t_idx", "energy")).select("event_id", nearest["nbr_id"].alias("up_id"), nearest["n_t_idx"].alias("up_truth"), "t_idx", "energy")
     same = F.sum(F.when(F.col("t_idx") == F.col("up_truth"), c.energy).otherwise(0.0))
     return rows.agg(r(same / F.sum("energy")).alias("purity"), r(F.count_distinct("event_id", "up_id") / F.count("*")).alias("reduction"))
 
@@ -284,7 +282,7 @@ def payload_average(t: Tables) -> DataFrame:
 def push_up_truth(t: Tables) -> DataFrame:
     """Energy of up nodes, their own included, and the truth of the row that weighs most below each."""
     own = t.hits().select("event_id", F.col("hit_id").alias("up_id"), F.col("energy").alias("e"))
-    d = ed.with_own(transition(t.hits())[1], t.hits(), "energy", "t_idx").join(own, ["event_id", "up_id"])
+    d = down_edges(transition(t.hits(), carry=("energy", "t_idx")), "energy", "t_idx").join(own, ["event_id", "up_id"])
     return d.groupBy("event_id", "up_id").agg(r(F.sum(F.col("weight") * c.energy) + F.max("e"), 5).alias("pushed"), F.max_by("t_idx", F.col("weight") * 1000000 - F.col("hit_id") / 1000.0).alias("truth"))
 
 
@@ -338,6 +336,6 @@ def object_complement_members(t: Tables) -> DataFrame:
 def pull_down_mix(t: Tables) -> DataFrame:
     """Sums of up nodes on the rows below, and the rows' own values with them."""
     up = t.hits().select("event_id", F.col("hit_id").alias("up_id"), F.col("energy").alias("ue"))
-    d = ed.with_own(transition(t.hits())[1], t.hits(), "energy").join(up, ["event_id", "up_id"])
+    d = down_edges(transition(t.hits(), carry=("energy",)), "energy").join(up, ["event_id", "up_id"])
     s = F.sum(F.col("weight") * F.col("ue"))
     return d.groupBy(*KEY, "energy").agg(r(s * 3, 5).alias("total"), r(s + c.energy, 5).alias("mixed")).select(*KEY, "total", "mixed")

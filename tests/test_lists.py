@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from hitloom import catalog
 from hitloom.operators import knn
+from hitloom.sources.tables import Tables
 
 SMALL_DIR = "/root/testdata/sf0.001"
 
@@ -101,3 +103,38 @@ def test_contamination_shuffles_rows_by_event_only(spark, monkeypatch):
         monkeypatch.setattr(knn, "SMALL", small)
         want, got = sql_and_query(spark, SMALL_DIR, "neighbour_contamination")
         assert got == want and len(got) > 100
+
+
+def by_event_only(spark, name):
+    """Rows go to Python once, and neither rows nor edges are shuffled by row."""
+    plan = catalog.queries()[name](spark, SMALL_DIR)._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+    return "hit_id" not in "".join(keys) and len(keys) <= 2 and plan.count("ArrowEvalPython") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize("small", [256, 28])
+def test_up_nodes_in_lists(spark, monkeypatch, small):
+    """Small and large events alike, by the queries that share the step."""
+    monkeypatch.setattr(knn, "SMALL", small)
+    for name in ("pull_down", "graph_condensation_edges", "push_up", "condensation_purity"):
+        assert small < 256 or name == "condensation_purity" or by_event_only(spark, name)
+        want, got = sql_and_query(spark, SMALL_DIR, name)
+        assert got == want
+
+
+def test_pull_down_where_rows_share_places(spark, tmp_path):
+    """Of up nodes at a row's own place the first one counts, and weighs most."""
+    hits = spark.read.parquet(f"{SMALL_DIR}/lineitem.parquet").orderBy("l_orderkey", "l_linenumber").limit(80)
+    hits = hits.withColumns({"l_partkey": F.col("l_partkey") % 5, "l_quantity": F.floor(F.col("l_quantity") / 20) * 20.0, "l_discount": F.lit(0.0), "l_extendedprice": F.floor(F.col("l_extendedprice") / 15000) * 15000 + F.when(F.col("l_suppkey") % 2 == 0, 900.0).otherwise(100.0)})
+    hits.write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = Tables(spark, str(tmp_path)).hits().collect()
+    want = {}
+    for a in rows:
+        event = [b for b in rows if b.event_id == a.event_id]
+        first = min(event, key=lambda b: (-b.beta, b.hit_id))
+        near = sorted(((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2, b.hit_id, b.energy) for b in event if b.beta > 0.8 or b is first)[:3]
+        parts = [math.exp((near[0][0] - d) / 100) for d, _, _ in near]
+        used = [i for i in range(len(near)) if i == 0 or near[i][0] > 0]
+        want[a.event_id, a.hit_id] = (sum(parts[i] * near[i][2] for i in used) / sum(parts), max(near[i][2] for i in used), near[0][1])
+    got = {(g.event_id, g.hit_id): (g["mean"], g["max"], g.gather) for g in catalog.queries()["pull_down"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-5) for k in want)
