@@ -10,7 +10,7 @@ from hitloom.operators import edges as ed
 from hitloom.operators import knn as kn
 from hitloom.operators import quantiles as qu
 from hitloom.operators import select as sel
-from hitloom.plans.graphs import DOWN, NB, UP, down_edges, transition
+from hitloom.plans.graphs import DOWN, NB, SCALE, UP, down_edges, transition
 from hitloom.plans.metrics import EDGES, Q, all_bins, bin_of, cases, charged, grid_sql
 from hitloom.plans.objects import IOU, PAGE, predicted
 from hitloom.operators import matching as ma
@@ -335,7 +335,5 @@ def object_complement_members(t: Tables) -> DataFrame:
 @query(on_hits("SELECT d.event_id, d.hit_id, round(sum(weight*u.energy)*3, 5) AS total, round(sum(weight*u.energy) + h.energy, 5) AS mixed FROM down d JOIN hits u ON u.event_id = d.event_id AND u.hit_id = d.up_id JOIN hits h ON h.event_id = d.event_id AND h.hit_id = d.hit_id GROUP BY d.event_id, d.hit_id, h.energy", UP, DOWN))
 def pull_down_mix(t: Tables) -> DataFrame:
     """Sums of up nodes on the rows below, and the rows' own values with them."""
-    up = t.hits().select("event_id", F.col("hit_id").alias("up_id"), F.col("energy").alias("ue"))
-    d = down_edges(transition(t.hits(), carry=("energy",)), "energy").join(up, ["event_id", "up_id"])
-    s = F.sum(F.col("weight") * F.col("ue"))
-    return d.groupBy(*KEY, "energy").agg(r(s * 3, 5).alias("total"), r(s + c.energy, 5).alias("mixed")).select(*KEY, "total", "mixed")
+    s = ed.softmax_sum(F.col("near"), lambda n: n["n_energy"], SCALE)
+    return transition(t.hits(), carry=("energy",)).select(*KEY, r(s * 3, 5).alias("total"), r(s + c.energy, 5).alias("mixed"))

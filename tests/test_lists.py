@@ -138,3 +138,11 @@ def test_pull_down_where_rows_share_places(spark, tmp_path):
         want[a.event_id, a.hit_id] = (sum(parts[i] * near[i][2] for i in used) / sum(parts), max(near[i][2] for i in used), near[0][1])
     got = {(g.event_id, g.hit_id): (g["mean"], g["max"], g.gather) for g in catalog.queries()["pull_down"](spark, str(tmp_path)).collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-5) for k in want)
+
+
+def test_pull_down_mix_shuffles_rows_by_event_only(spark, monkeypatch):
+    assert by_event_only(spark, "pull_down_mix")
+    for small in (256, 28):
+        monkeypatch.setattr(knn, "SMALL", small)
+        want, got = sql_and_query(spark, SMALL_DIR, "pull_down_mix")
+        assert got == want
