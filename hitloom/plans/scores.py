@@ -281,9 +281,8 @@ def payload_average(t: Tables) -> DataFrame:
 @query(on_hits("SELECT d.event_id, up_id, round(sum(weight*energy) + max(u.e), 5) AS pushed, arg_max(h.t_idx, weight*1000000 - h.hit_id/1000.0) AS truth FROM down d JOIN hits h USING (event_id, hit_id) JOIN (SELECT event_id, hit_id AS up_id, energy AS e FROM hits) u USING (event_id, up_id) GROUP BY 1, 2", UP, DOWN))
 def push_up_truth(t: Tables) -> DataFrame:
     """Energy of up nodes, their own included, and the truth of the row that weighs most below each."""
-    own = t.hits().select("event_id", F.col("hit_id").alias("up_id"), F.col("energy").alias("e"))
-    d = down_edges(transition(t.hits(), carry=("energy", "t_idx")), "energy", "t_idx").join(own, ["event_id", "up_id"])
-    return d.groupBy("event_id", "up_id").agg(r(F.sum(F.col("weight") * c.energy) + F.max("e"), 5).alias("pushed"), F.max_by("t_idx", F.col("weight") * 1000000 - F.col("hit_id") / 1000.0).alias("truth"))
+    d = down_edges(transition(t.hits(), carry=("energy", "t_idx")), "energy", "t_idx")
+    return d.groupBy("event_id", "up_id").agg(r(F.sum(F.col("weight") * c.energy) + F.max("n_energy"), 5).alias("pushed"), F.max_by("t_idx", F.col("weight") * 1000000 - F.col("hit_id") / 1000.0).alias("truth"))
 
 
 @query(on_hits("SELECT event_id, hit_id, round(coalesce(w/nullif(m, 0), 0), 6) AS relative, round(greatest(w/nullif(m, 0)-0.3, 0.0)/nullif(sum(greatest(w/nullif(m, 0)-0.3, 0.0)) OVER (PARTITION BY event_id, t_idx), 0), 6) AS cut FROM (SELECT *, max(w) OVER (PARTITION BY event_id, t_idx) AS m FROM (SELECT *, pow(atanh(beta/1.01), 2) AS w FROM hits WHERE t_idx >= 0))"))

@@ -146,3 +146,11 @@ def test_pull_down_mix_shuffles_rows_by_event_only(spark, monkeypatch):
         monkeypatch.setattr(knn, "SMALL", small)
         want, got = sql_and_query(spark, SMALL_DIR, "pull_down_mix")
         assert got == want
+
+
+def test_push_up_truth_shuffles_sums_only(spark, monkeypatch):
+    assert by_event_only(spark, "push_up_truth")
+    for small in (256, 28):
+        monkeypatch.setattr(knn, "SMALL", small)
+        want, got = sql_and_query(spark, SMALL_DIR, "push_up_truth")
+        assert got == want
